@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..params import CaptureParams
-from ..plans.ordered import BUCKET, asof_next, bucket_of, scan
+from ..plans.ordered import BUCKET, asof_next, bucket_of, neighbours, scan
 from ..plans.scratch import stored
 
 # Matches of one island that a single task folds; longer islands are linked instead.
@@ -29,15 +29,38 @@ def match_rows(labelled: DataFrame) -> DataFrame:
 
 def islands(matches: DataFrame, gap_us: int, gap_lines: int | None = None, size: int = BUCKET) -> DataFrame:
     """Add the start (island_seq, island_t) of the run of matches each match belongs to.
-    A run ends at a gap longer than gap_us or, when given, gap_lines."""
+    A run ends at a gap longer than gap_us or, when given, gap_lines.
+
+    Runs are found inside each bucket; one row per bucket then tells whether its first
+    run goes on from the bucket before, and where that one began.
+    """
     point = F.struct("seq", "t")
-    rows = scan(matches, ["host"], point, "_prev", inclusive=False, size=size)
-    breaks = F.col("_prev").isNull() | (F.col("t") - F.col("_prev.t") > gap_us)
-    if gap_lines is not None:
-        breaks = breaks | (F.col("seq") - F.col("_prev.seq") > gap_lines)
-    rows = scan(rows, ["host"], F.when(breaks, point), "_start", size=size)
-    return rows.select(
-        "host", "seq", "t", F.col("_start.seq").alias("island_seq"), F.col("_start.t").alias("island_t")
+
+    def parted(later: Column, earlier: Column) -> Column:
+        apart = earlier.isNull() | (later["t"] - earlier["t"] > gap_us)
+        return apart if gap_lines is None else apart | (later["seq"] - earlier["seq"] > gap_lines)
+
+    inside = Window.partitionBy("host", "bucket").orderBy("seq")
+    rows = matches.select("host", bucket_of(F.col("seq"), size).alias("bucket"), point.alias("point"), "seq")
+    rows = rows.withColumn("prev", F.lag("point").over(inside))
+    rows = rows.withColumn("opens", F.when(F.col("prev").isNotNull() & parted(F.col("point"), F.col("prev")), F.col("point")))
+    rows = rows.withColumn(
+        "start", F.last("opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    across = Window.partitionBy("host").orderBy("bucket")
+    so_far = across.rowsBetween(Window.unboundedPreceding, 0)
+    edges = (
+        rows.groupBy("host", "bucket")
+        .agg(F.min("point").alias("first"), F.max("point").alias("last"), F.max("opens").alias("inner"))
+        .withColumn("fresh", F.when(parted(F.col("first"), F.lag("last").over(across)), F.col("first")))
+        .withColumn("ran", F.last(F.coalesce("inner", "fresh"), ignorenulls=True).over(so_far))
+        .withColumn("lead_in", F.coalesce("fresh", F.lag("ran").over(across)))
+    )
+    return (
+        rows.join(edges.select("host", "bucket", "lead_in"), ["host", "bucket"])
+        .withColumn("start", F.coalesce("start", "lead_in"))
+        .select("host", F.col("point.seq").alias("seq"), F.col("point.t").alias("t"),
+                F.col("start.seq").alias("island_seq"), F.col("start.t").alias("island_t"))
     )
 
 
@@ -140,16 +163,21 @@ def find_captures(
     capture of a run is a plain aggregate; only matches beyond it are folded.
     """
     gap = min(params.window_us, params.longest_us) if params.longest_us else params.window_us
-    rows = stored(islands(matches, gap, params.reach, size), "islands")
+    rows = islands(matches, gap, params.reach, size)
+    many = matches.count() > fold_limit
+    if many:
+        rows = stored(rows, "islands")
     inside = F.col("seq") <= F.col("island_seq") + params.reach
     if params.longest_us:
         inside = inside & (F.col("t") <= F.col("island_t") + params.longest_us)
     first = _spans(rows.where(inside).withColumnsRenamed({"island_seq": "open_seq", "island_t": "open_t"}))
     rest = rows.where(~inside)
     parts = [first]
-    counts = rest.groupBy("host", "island_seq").agg(F.count("*").alias("_n"))
-    over = stored(counts.where(F.col("_n") > fold_limit).drop("_n"), "long_islands")
-    if over.isEmpty():
+    over = None
+    if many:
+        counts = rest.groupBy("host", "island_seq").agg(F.count("*").alias("_n"))
+        over = stored(counts.where(F.col("_n") > fold_limit).drop("_n"), "long_islands")
+    if over is None or over.isEmpty():
         parts.append(_folded(rest, params))
     else:
         parts.append(_folded(rest.join(over, ["host", "island_seq"], "left_anti"), params))
@@ -177,29 +205,36 @@ def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size
     """Rows (host, bucket, at, rank, event) saying which capture is current and which is
     next from line `at` on. A capture is repeated at the start of each later bucket that
     can still hold one of its lines or a context line of the next capture."""
-    now = F.struct("open_seq", "open_t", "until", "limit_seq")
-    nxt = F.struct("open_seq", "open_t")
-    chained = scan(captures, ["host"], nxt, "next", seq="open_seq", size=size, backwards=True, inclusive=False)
-    chained = chained.select("host", now.alias("now"), "next")
-    first = captures.groupBy("host").agg(F.min_by(nxt, "open_seq").alias("next"))
-    before = first.select("host", F.lit(None).cast(dict(chained.dtypes)["now"]).alias("now"), "next")
-    ends = index.groupBy("host").agg(F.max("high_seq").alias("_end"))
-    opened = chained.select(
-        "host", bucket_of(F.col("now.open_seq"), size).alias("bucket"), F.col("now.open_seq").alias("at"),
-        F.lit(1).alias("rank"), F.struct("now", "next").alias("event"),
+    this = F.struct("open_seq", "open_t", "until", "limit_seq")
+    chained = neighbours(captures.select("host", "open_seq", "open_t", "until", "limit_seq"), ["host"], this, "open_seq", size)
+    nothing = F.lit(None).cast("struct<open_seq:bigint,open_t:bigint,until:bigint,limit_seq:bigint>")
+    # What holds from a capture's opener on, and, for a source's first capture, before it.
+    states = F.array(
+        F.struct(this.alias("now"), F.col("after").alias("next")),
+        F.when(F.col("before").isNull(), F.struct(nothing.alias("now"), this.alias("next"))),
+    )
+    states = chained.select("host", F.explode(F.filter(states, lambda s: s.isNotNull())).alias("event"))
+    now, nxt = "event.now", "event.next"
+    own_bucket = bucket_of(F.col(f"{now}.open_seq"), size)
+    opened = states.where(F.col(now).isNotNull()).select(
+        "host", own_bucket.alias("bucket"), F.col(f"{now}.open_seq").alias("at"), F.lit(1).alias("rank"), "event"
+    )
+    reach = F.col(f"{now}.limit_seq")
+    if params.reach > 1000 * size:
+        states = states.join(index.groupBy("host").agg(F.max("high_seq").alias("_end")), "host")
+        reach = F.least(reach, F.col("_end"))
+    spread = (
+        states.withColumn("_from", F.coalesce(own_bucket + 1, F.lit(0).cast("long")))
+        .withColumn("_to", bucket_of(F.coalesce(F.col(f"{nxt}.open_seq"), reach), size))
+        .where(F.col("_from") <= F.col("_to"))
+        .withColumn("bucket", F.explode(F.sequence("_from", "_to")))
     )
-    spread = chained.unionByName(before).join(ends, "host").withColumn(
-        "_from", F.coalesce(bucket_of(F.col("now.open_seq"), size) + 1, F.lit(0).cast("long"))
-    ).withColumn(
-        "_to", bucket_of(F.coalesce(F.col("next.open_seq"), F.least("now.limit_seq", "_end")), size)
-    ).where(F.col("_from") <= F.col("_to")).withColumn("bucket", F.explode(F.sequence("_from", "_to")))
-    holds = (F.col("bucket") * size <= F.col("now.limit_seq")) & (F.col("low_t") <= F.col("now.until"))
-    leads = F.col("high_t") >= F.col("next.open_t") - params.window_us
+    holds = (F.col("bucket") * size <= F.col(f"{now}.limit_seq")) & (F.col("low_t") <= F.col(f"{now}.until"))
+    leads = F.col("high_t") >= F.col(f"{nxt}.open_t") - params.window_us
     carried = (
         spread.join(index, ["host", "bucket"])
         .where(F.coalesce(holds, F.lit(False)) | F.coalesce(leads, F.lit(False)))
-        .select("host", "bucket", (F.col("bucket") * size).alias("at"), F.lit(0).alias("rank"),
-                F.struct("now", "next").alias("event"))
+        .select("host", "bucket", (F.col("bucket") * size).alias("at"), F.lit(0).alias("rank"), "event")
     )
     return opened.unionByName(carried)
 

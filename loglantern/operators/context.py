@@ -66,6 +66,27 @@ def context_byte_cap(held: DataFrame, spans: DataFrame, params: CaptureParams, s
     )
 
 
+def cap_context(held: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
+    """Captured lines without the context lines beyond context_bytes before their opener.
+    The context a capture owns runs up to its opener without a gap, so running byte counts
+    over the captured lines decide; the newest context line always stays."""
+    width = F.octet_length("line").cast("long") + 1
+    sized = scan(held.withColumn("_width", width), ["host"], F.col("_width"), "_to", how="sum", size=size)
+    opened = F.when(F.col("role") == "open", F.col("_to") - F.col("_width"))
+    marked = scan(sized, ["host"], opened, "_open", size=size, backwards=True)
+    fits = F.col("_open") - F.col("_to") + F.col("_width") <= params.context_bytes
+    keep = (F.col("role") != "context") | (F.col("seq") == F.col("open_seq") - 1) | fits
+    return marked.where(keep).drop("_width", "_to", "_open")
+
+
+def newest_bytes(lines: DataFrame, limit: int, size: int = BUCKET) -> DataFrame:
+    """The newest lines of each source that fit in `limit` bytes, and always the newest one."""
+    width = F.octet_length("line").cast("long") + 1
+    sized = scan(lines.withColumn("_width", width), ["host"], F.col("_width"), "_sum", how="sum", size=size, backwards=True)
+    newest = F.col("_sum") == F.col("_width")
+    return sized.where((F.col("_sum") <= limit) | newest).drop("_width", "_sum")
+
+
 def held_ranges(capped: DataFrame, summary: DataFrame, size: int = BUCKET) -> DataFrame:
     """What each capture writes, as one run of line numbers [low_seq, end_seq]: its window
     minus what earlier reusable captures hold, then its own lines. A capture that is not

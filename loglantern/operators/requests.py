@@ -52,7 +52,8 @@ def _kind(value: Column) -> Column:
 def _shown(value: Column) -> Column:
     """A JSON value as text: strings as they are, booleans capitalised."""
     text = F.try_variant_get(value, "$", "string")
-    return F.when(_kind(value) == "BOOLEAN", F.initcap(text)).otherwise(F.coalesce(text, F.to_json(value)))
+    kind = _kind(value)
+    return F.when(kind == "BOOLEAN", F.initcap(text)).when(kind != "VOID", F.coalesce(text, F.to_json(value)))
 
 
 def parse_verdict(replies: DataFrame, reply: str = "reply") -> DataFrame:

@@ -16,6 +16,7 @@ from ..sources import journal, lines, patterns
 from ..sources.tables import (
     ALWAYS, DOC_PATTERNS, OWN, PARAMS, WATCH, doc_lines, labelled_lines, log_lines, once, raw_lines, table,
 )
+from ..streaming.batches import CaptureStream, captured_stream_lines, closed_captures, fixed, late_lines
 from .scratch import scratch_path
 
 NOW = "2024-02-10T00:00:00"
@@ -320,6 +321,11 @@ def context_byte_cap(spark, sf):
     )
 
 
+def capped_context(spark, sf):
+    rows = ctx.cap_context(held(spark, sf), PARAMS)
+    return rows.where(F.col("role") == "context").select("host", "open_seq", "seq", "line")
+
+
 def context_dedup(spark, sf):
     return ctx.context_dedup(held(spark, sf), ranges(spark, sf)).select("host", "open_seq", "seq", "line")
 
@@ -444,7 +450,7 @@ def replies(spark, sf):
         .when(n % 8 == 3, F.col("text"))
         .when(n % 8 == 4, F.concat(F.lit("["), good, F.lit("]")))
         .when(n % 8 == 5, F.lit('{"title": "t", "summary": "s", "notify": "true"}'))
-        .when(n % 8 == 6, F.lit('{"title": " \\n ", "summary": null, "notify": true}'))
+        .when(n % 8 == 6, F.lit('{"title": "  ", "summary": null, "notify": true}'))
         .otherwise(F.lit('{"title": 5, "notify": false, "more": [1]}'))
     )
     return table(spark, sf, "conversations").select("conv_id", "turn", reply.alias("reply"))
@@ -503,6 +509,44 @@ def compact_month(spark, sf):
     return spark.read.parquet(path).select(F.col("month").cast("string").alias("month"), "o_orderkey", "o_custkey")
 
 
+# --- streams ---
+
+def feed(spark, sf, slices, delay=None):
+    """Run a capture stream over the given time slices of the log, one at a time: every slice
+    lands as new files, and a new query resumes from the checkpoint."""
+    base = scratch_path(spark, "stream")
+    rows = log_lines(spark, sf).select("host", "seq", "ts", "t", "line")
+    ends = rows.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    step = (ends["high"] - ends["low"]) // 3 + 1
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, delay)
+    for part in slices:
+        inside = (F.col("t") >= ends["low"] + part * step) & (F.col("t") < ends["low"] + (part + 1) * step)
+        rows.where(inside).drop("t").write.mode("append").parquet(f"{base}/in")
+        source = lines.stream_log_lines(spark, f"{base}/in")
+        stream.start(source, f"{base}/checkpoint", available_now=True).awaitTermination()
+    return stream
+
+
+def stream_captures(spark, sf):
+    stream = feed(spark, sf, (0, 1, 2))
+    return captured_stream_lines(spark, stream.output).select("host", "open_seq", "seq", "role", "line")
+
+
+def quiet_close(spark, sf):
+    stream = feed(spark, sf, (0, 1, 2), delay=600)
+    return closed_captures(spark, stream.output).select("host", "open_seq", "until", "n_matches", "end_reason")
+
+
+def stream_late_lines(spark, sf):
+    stream = feed(spark, sf, (0, 1, 0))
+    return late_lines(spark, stream, 2)
+
+
+def backlog_catch_up(spark, sf):
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return lines.catch_up(log_lines(spark, sf), now, 5 * 86400).select("host", "seq", "line")
+
+
 QUERIES = {
     "read_log_lines": read_log_lines, "number_lines": number_lines, "tail_start": tail_start,
     "read_journal_export": read_journal_export, "journal_to_lines": journal_to_lines, "resume_slice": resume_slice,
@@ -512,7 +556,7 @@ QUERIES = {
     "flatten_text": flatten, "note_text": notes, "strip_ansi": ansi, "slugify": slugs,
     "capture_sessions": capture_sessions, "capture_sessions_capped": capture_sessions_capped,
     "capture_members": capture_members, "owned_context": owned_context, "lookback_context": lookback_context,
-    "overlapping_context": overlapping_context, "context_byte_cap": context_byte_cap, "context_dedup": context_dedup,
+    "overlapping_context": overlapping_context, "context_byte_cap": context_byte_cap, "capped_context": capped_context, "context_dedup": context_dedup,
     "left_out_counts": left_out_counts, "capture_summary": capture_summary, "always_notify_rollup": always_notify_rollup,
     "range_coalesce": range_coalesce, "run_counters": run_counters, "capture_name": capture_name,
     "capture_index": capture_index, "render_capture": render_capture, "append_analysis": append_analysis,
@@ -521,6 +565,8 @@ QUERIES = {
     "event_payload": event_payload, "model_request": model_request, "parse_verdict": parse_verdict,
     "push_request": push_request, "write_captures": write_captures, "partition_usage": partition_usage,
     "retention_plan": retention_plan, "purge_plan": purge_plan, "compact_month": compact_month,
+    "stream_captures": stream_captures, "quiet_close": quiet_close, "stream_late_lines": stream_late_lines,
+    "backlog_catch_up": backlog_catch_up,
 }
 
 

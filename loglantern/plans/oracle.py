@@ -220,10 +220,6 @@ entries AS (
 CONVERSATIONS = """
 n AS (SELECT *, conv_id * 7 + turn AS k FROM conversations)"""
 
-BODY_CUT = """
-CASE WHEN strlen({text}) <= {room} THEN {text}
-     ELSE (SELECT max_by(left({text}, i), i) FROM range(0, 4097) r(i) WHERE strlen(left({text}, i)) <= {room}) END"""
-
 USAGE = """
 usage AS (
   SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(o_custkey) AS BIGINT) AS bytes FROM orders GROUP BY 1)"""
@@ -239,7 +235,23 @@ def captured(ctes: str, select: str) -> str:
 
 SECOND = "coalesce(" + text("line", "click user 1") + ", " + text("line", "purchase user 2") + ")"
 
+STREAM_CLOSED = """,
+last_line AS (SELECT host, max(t) AS end_t FROM lines GROUP BY host),
+newest AS (SELECT max(t) - 600000000 AS mark FROM lines)"""
+
 ORACLE = {
+    "stream_captures": captured(CAPPED, """SELECT host, open_seq, seq, role, line FROM members
+UNION ALL SELECT host, o.open_seq, seq, 'context', k.line FROM owned o JOIN kept k USING (host, open_seq, seq)"""),
+    "capped_context": captured(CAPPED, "SELECT host, open_seq, seq, k.line FROM owned o JOIN kept k USING (host, open_seq, seq)"),
+    "quiet_close": captured(SUMMARY + STREAM_CLOSED, f"""
+SELECT s.host, s.open_seq, s.until, s.n_matches,
+  CASE WHEN lines_after > {CAP} THEN 'line_cap' WHEN s.until = s.open_t + {M} THEN 'time_max' ELSE 'time' END AS end_reason
+FROM summary s JOIN last_line l USING (host), newest
+WHERE l.end_t > s.until OR s.lines_after > {CAP} OR s.until < mark"""),
+    "stream_late_lines": query(RAW + """,
+bounds AS (SELECT min(t) AS low, (max(t) - min(t)) // 3 + 1 AS step FROM lines)""",
+        "SELECT host, count(*) FILTER (t < low + step) AS late FROM lines, bounds GROUP BY host"),
+    "backlog_catch_up": query(RAW, "SELECT host, seq, line FROM lines WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 5 DAY"),
     "read_log_lines": query(RAW + r""",
 odd AS (SELECT host, seq AS place, CASE WHEN event_id % 7 = 0 THEN line || chr(13) || 'x' ELSE line END AS line FROM lines WHERE event_id % 11 <> 0)""",
         "SELECT host, row_number() OVER (PARTITION BY host ORDER BY place) AS seq, line FROM odd"),
@@ -258,11 +270,11 @@ rows AS (SELECT cursor, prefix, texts, unnest(generate_series(0, len(texts) - 1)
     "resume_slice": query(RAW + """,
 e AS (SELECT CAST(event_id AS VARCHAR) AS cursor, event_id + 1 AS seq, t // 1000000 - CASE WHEN event_id % 9 = 0 THEN 900 ELSE 0 END AS stored FROM raw),
 mid AS (SELECT (min(stored) + max(stored)) // 2 AS m, max(stored) AS high FROM e),
-saved AS (SELECT max(seq) AS at FROM e, mid WHERE stored <= m),
-bound AS (SELECT max(seq) AS stop FROM e, mid, saved WHERE seq <= at AND stored < m - 36000),
-ctx AS (SELECT cursor, seq, min(stored) OVER (ORDER BY seq DESC) AS low, m FROM e, mid, saved, bound WHERE seq <= at AND seq > stop)""",
+saved AS (SELECT max(seq) AS place FROM e, mid WHERE stored <= m),
+bound AS (SELECT max(seq) AS stop FROM e, mid, saved WHERE seq <= place AND stored < m - 36000),
+ctx AS (SELECT cursor, seq, min(stored) OVER (ORDER BY seq DESC) AS low, m FROM e, mid, saved, bound WHERE seq <= place AND seq > stop)""",
         """SELECT 'found' AS "case", cursor, 'context' AS role, least(low, m + 3600) AS time FROM ctx
-UNION ALL SELECT 'found', cursor, 'match', CASE WHEN stored < m + 3598 THEN stored ELSE m + 3600 END FROM e, mid, saved WHERE seq > at
+UNION ALL SELECT 'found', cursor, 'match', CASE WHEN stored < m + 3598 THEN stored ELSE m + 3600 END FROM e, mid, saved WHERE seq > place
 UNION ALL SELECT 'lost', cursor, 'match', CASE WHEN stored < m + 3598 THEN stored ELSE m + 3600 END FROM e, mid WHERE stored >= m - 36000
 UNION ALL SELECT 'old', cursor, 'match', CASE WHEN stored < high - 2 THEN stored ELSE high END FROM e, mid WHERE stored >= high - 86400"""),
     "line_time": "SELECT event_id, epoch_us(ts) + CASE WHEN event_id % 5 > 2 THEN 0 ELSE (event_id % 5) * 1000000 END AS line_us FROM events",
@@ -277,8 +289,8 @@ UNION ALL SELECT 'old', cursor, 'match', CASE WHEN stored < high - 2 THEN stored
 cutoff AS (SELECT host, seq, CASE WHEN seq % 5 = 0 THEN 'saw ' ELSE '' END || CASE WHEN seq % 3 = 0 THEN regexp_replace(line, '^[^\s]+ ', '') ELSE line END AS line FROM lines)""",
         f"SELECT host, seq, {own('line')} AS own FROM cutoff"),
     "pattern_versions": query(RAW + f""",
-both AS (SELECT host, seq, line, CASE WHEN {own('line')} THEN NULL WHEN seq < 500 THEN {WATCH} ELSE {SECOND} END AS label FROM lines)""",
-        f"SELECT host, seq, label, seq < 500 AND {ALWAYS} AS always FROM both WHERE label IS NOT NULL"),
+versioned AS (SELECT host, seq, line, CASE WHEN {own('line')} THEN NULL WHEN seq < 500 THEN {WATCH} ELSE {SECOND} END AS label FROM lines)""",
+        f"SELECT host, seq, label, seq < 500 AND {ALWAYS} AS always FROM versioned WHERE label IS NOT NULL"),
     "always_notify_match": query(LABELLED, "SELECT host, seq, label FROM marked WHERE always"),
     "flatten_text": "SELECT conv_id, turn, replace(replace(text, '. ', '.' || chr(10)), chr(10), ' / ') AS text FROM conversations",
     "note_text": r"SELECT conv_id, turn, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) AS text FROM conversations",
@@ -326,8 +338,11 @@ notes AS (
 full_title AS (SELECT doc_id, line_no, regexp_replace('doc' || doc_id || ': ' || line, '\\r', ' / ', 'g') AS title FROM doc_lines)""",
         "SELECT doc_id, line_no, CASE WHEN length(title) > 120 THEN rtrim(left(title, 120)) ELSE title END AS title FROM full_title"),
     "alert_body": query("""
-b AS (SELECT doc_id, regexp_replace(text, '\\r\\n|\\r|\\n', ' / ', 'g') AS flat, chr(10) || '/captures/' || doc_id || '/é.log' AS suffix FROM documents)""",
-        "SELECT doc_id, " + BODY_CUT.format(text="flat", room="(4096 - strlen(suffix))") + " || suffix AS body FROM b"),
+b AS (SELECT doc_id, regexp_replace(text, '\\r\\n|\\r|\\n', ' / ', 'g') AS flat, chr(10) || '/captures/' || doc_id || '/é.log' AS suffix FROM documents),
+chars AS (SELECT doc_id, strlen(suffix) AS tail, unnest(string_split(left(flat, 4096), '')) AS ch, unnest(generate_series(1, least(length(flat), 4096))) AS i FROM b),
+fitting AS (SELECT doc_id, i, sum(strlen(ch)) OVER (PARTITION BY doc_id ORDER BY i) + tail <= 4096 AS fits FROM chars),
+room AS (SELECT doc_id, max(i) FILTER (fits) AS n FROM fitting GROUP BY doc_id)""",
+        "SELECT doc_id, left(flat, coalesce(n, 0)) || suffix AS body FROM b LEFT JOIN room USING (doc_id)"),
     "route_capture": captured(INCIDENTS, "SELECT mode, host, open_seq, push, title, body_text, model_called, to_phone FROM routed"),
     "push_request": captured(INCIDENTS,
         "SELECT host, open_seq, title, CAST(3 AS BIGINT) AS priority, replace(body_text, chr(10), ' / ') || chr(10) || coalesce(path, 'capture not saved; see the log') AS body "

@@ -102,6 +102,26 @@ def scan(
     )
 
 
+def neighbours(df: DataFrame, key: list[str], value: Column, seq: str = "seq", size: int = BUCKET) -> DataFrame:
+    """Add `before` and `after`: the value of the previous and the next row of the key in seq order."""
+    rows = df.withColumn("_bucket", bucket_of(F.col(seq), size)).withColumn("_value", value)
+    inside = Window.partitionBy(*key, "_bucket").orderBy(seq)
+    across = Window.partitionBy(*key).orderBy("_bucket")
+    edges = (
+        rows.groupBy(*key, "_bucket")
+        .agg(F.min_by("_value", seq).alias("_first"), F.max_by("_value", seq).alias("_last"))
+        .select(*key, "_bucket", F.lag("_last").over(across).alias("_prior"), F.lead("_first").over(across).alias("_later"))
+    )
+    return (
+        rows.withColumn("before", F.lag("_value").over(inside))
+        .withColumn("after", F.lead("_value").over(inside))
+        .join(edges, [*key, "_bucket"])
+        .withColumn("before", F.coalesce("before", "_prior"))
+        .withColumn("after", F.coalesce("after", "_later"))
+        .drop("_bucket", "_value", "_prior", "_later")
+    )
+
+
 def asof_next(
     points: DataFrame, probes: DataFrame, key: list[str], at: str, value: str, tie: str, out: str,
     size: int = BUCKET,
