@@ -107,7 +107,8 @@ def java_regex(pattern: str) -> str | None:
 
 
 def glob_regex(glob: str) -> str:
-    """A whole-string shell glob (* ? [set] [!set]) as a Java regex."""
+    """A whole-string shell glob (* ? [set] [!set]) as a Java regex to search with: a star
+    at either end needs no matching, only the lack of one anchors the regex."""
     out, i = [], 0
     while i < len(glob):
         c = glob[i]
@@ -126,7 +127,10 @@ def glob_regex(glob: str) -> str:
                 i = end + 1
         else:
             out.append("\\" + c if not c.isalnum() and c.isascii() else c)
-    return "(?s)\\A(?:" + "".join(out) + ")\\z"
+    head = "" if out[:1] == [".*"] else "\\A"
+    tail = "" if out[-1:] == [".*"] else "\\z"
+    inner = "".join(out).removeprefix(".*") if not head else "".join(out)
+    return "(?s)" + head + (inner.removesuffix(".*") if not tail else inner) + tail
 
 
 def _glob_set(body: str) -> str:

@@ -16,6 +16,8 @@ from ..plans.scratch import stored
 
 # Matches of one island that a single task folds; longer islands are linked instead.
 FOLD_LIMIT = 2_000_000
+# Touched buckets that may be broadcast to filter lines, at a few dozen bytes each.
+BROADCAST_BUCKETS = 500_000
 
 
 def capture_id() -> Column:
@@ -240,23 +242,26 @@ def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size
 
 
 def capture_lines(
-    labelled: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET
+    labelled: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET,
+    broadcast_limit: int = BROADCAST_BUCKETS,
 ) -> DataFrame:
     """Every captured line with its one owner and role: open, match, after or context.
 
     A line belongs to the capture open when it was read, else as context to the next
-    capture if it is at most capture_time older. Only buckets that some capture touches
-    are shuffled; in each, lines and openings are sorted together and the latest opening
-    is carried down, so no line meets more than one capture.
+    capture if it is at most capture_time older. In each bucket, lines and openings are
+    sorted together and the latest opening is carried down, so no line meets more than one
+    capture. Buckets no capture touches are left out before the shuffle while the list of
+    touched ones is small enough to broadcast; beyond that most lines are needed anyway.
     """
     index = line_index(labelled, size)
     events = stored(_openings(captures, index, params, size), "openings")
     touched = events.select("host", "bucket").distinct()
     extra = [c for c in ("always",) if c in labelled.columns]
-    lines = (
-        labelled.withColumn("bucket", bucket_of(F.col("seq"), size))
-        .join(touched, ["host", "bucket"], "left_semi")
-        .select("host", "bucket", F.col("seq").alias("at"), F.lit(2).alias("rank"), "ts", "t", "line", "label", *extra)
+    lines = labelled.withColumn("bucket", bucket_of(F.col("seq"), size))
+    if touched.count() <= broadcast_limit:
+        lines = lines.join(F.broadcast(touched), ["host", "bucket"], "left_semi")
+    lines = lines.select(
+        "host", "bucket", F.col("seq").alias("at"), F.lit(2).alias("rank"), "ts", "t", "line", "label", *extra
     )
     latest = Window.partitionBy("host", "bucket").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = (
@@ -295,17 +300,19 @@ def capture_members(held: DataFrame) -> DataFrame:
 def capture_summary(held: DataFrame, ends: DataFrame, params: CaptureParams) -> DataFrame:
     """One row per capture: pattern, matched line, span, counts and why it ended.
     `ends` gives each source's last line time (host, end_t)."""
-    opener = F.col("role") == "open"
     after = F.col("role").isin("match", "after")
+    member = F.col("role") != "context"
+    # Numbers only, so the partial sums stay in hash aggregation; texts come from the opener's row.
     rolled = held.groupBy("host", "open_seq", "open_t").agg(
-        F.max(F.when(opener, F.col("label"))).alias("pattern"),
-        strip(F.max(F.when(opener, F.col("line")))).alias("matched_line"),
         F.max("until").alias("until"),
-        F.max(F.when(F.col("role") != "context", F.col("seq"))).alias("end_seq"),
-        F.max(F.when(F.col("role") != "context", F.col("t"))).alias("end_t"),
+        F.max(F.when(member, F.col("seq"))).alias("end_seq"),
+        F.max(F.when(member, F.col("t"))).alias("end_t"),
         F.count_if(after).alias("lines_after"),
-        F.count_if(F.col("role") == "context").alias("context_lines"),
-        F.count_if(F.col("is_match") & (F.col("role") != "context")).alias("n_matches"),
+        F.count_if(~member).alias("context_lines"),
+        F.count_if(F.col("is_match") & member).alias("n_matches"),
+    )
+    openers = held.where(F.col("role") == "open").select(
+        "host", "open_seq", F.col("label").alias("pattern"), strip(F.col("line")).alias("matched_line")
     )
     longest = F.lit(bool(params.longest_us)) & (F.col("until") == F.col("open_t") + params.longest_us)
     reason = (
@@ -315,7 +322,8 @@ def capture_summary(held: DataFrame, ends: DataFrame, params: CaptureParams) ->
         .otherwise("time")
     )
     return (
-        rolled.join(ends.select("host", F.col("end_t").alias("end_t_host")), "host")
+        rolled.join(openers, ["host", "open_seq"])
+        .join(ends.select("host", F.col("end_t").alias("end_t_host")), "host")
         .withColumn("end_reason", reason)
         .withColumn("capture_id", capture_id())
         .drop("end_t_host")
@@ -329,9 +337,10 @@ def source_ends(lines: DataFrame) -> DataFrame:
 def always_notify_rollup(held: DataFrame) -> DataFrame:
     """Per capture: whether a matched line passed the always-notify patterns, and the first that did."""
     hit = F.col("always") & F.col("is_match") & (F.col("role") != "context")
-    return held.groupBy("host", "open_seq").agg(
-        F.coalesce(F.bool_or(hit), F.lit(False)).alias("always_notify"),
-        F.min_by("line", F.when(hit, F.col("seq"))).alias("always_notify_line"),
+    firsts = held.groupBy("host", "open_seq").agg(F.min(F.when(hit, F.col("seq"))).alias("seq"))
+    texts = held.where(hit).select("host", "open_seq", "seq", strip(F.col("line")).alias("always_notify_line"))
+    return firsts.join(texts, ["host", "open_seq", "seq"], "left").select(
+        "host", "open_seq", F.col("seq").isNotNull().alias("always_notify"), "always_notify_line"
     )
 
 

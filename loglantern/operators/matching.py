@@ -142,7 +142,8 @@ def is_own_line(line: Column, own: OwnIdentity) -> Column:
         | line.contains(own.needle)
         | regex_predicate(line, rf"(?:^|\s)(?:{named})\[\d+\]:")
     )
-    return F.when(line.rlike(prefix), F.regexp_extract(line, prefix, 1).isin(*own.idents)).otherwise(loose)
+    ident = F.regexp_extract(line, prefix, 1)  # '' only without a prefix
+    return F.when(ident != "", ident.isin(*own.idents)).otherwise(loose)
 
 
 def match_label(line: Column, patterns: PatternSet, own: OwnIdentity | None = None) -> Column:

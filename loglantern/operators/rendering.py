@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify, strip
 from ..params import CaptureParams
+from ..plans.ordered import number_rows
 
 # The texts of a rendered capture.
 RULE = "-" * 80
@@ -39,13 +40,12 @@ def capture_name(captures: DataFrame, root: str) -> DataFrame:
         F.col("slug"), F.lit("_"), F.date_format(F.timestamp_micros("open_t"), "yyyy-MM-dd'T'HH_mm_ss")
     )
     named = slugify(captures, "pattern").withColumn("_base", base).withColumn("month", month_of(F.col("open_t")))
-    same = Window.partitionBy("host", "_base").orderBy("open_seq")
-    nth = F.row_number().over(same) - 1
-    name = F.concat("_base", F.when(nth > 0, F.concat(F.lit("-"), nth.cast("string"))).otherwise(""), F.lit(".log"))
+    numbered = number_rows(named, ["host", "_base"], ["open_seq"], out="_nth")
+    again = F.when(F.col("_nth") > 1, F.concat(F.lit("-"), (F.col("_nth") - 1).cast("string"))).otherwise("")
     return (
-        named.withColumn("name", name)
+        numbered.withColumn("name", F.concat("_base", again, F.lit(".log")))
         .withColumn("path", F.concat_ws("/", F.lit(root), "host", "month", "name"))
-        .drop("_base")
+        .drop("_base", "_nth")
     )
 
 
@@ -62,7 +62,7 @@ def body_text(line: Column, is_match: Column) -> Column:
     return F.when(is_match, F.concat(F.lit(MATCH_MARK), strip(line))).otherwise(line)
 
 
-def _rows(df: DataFrame, part: int, texts: Column, *carry: str) -> DataFrame:
+def _rows(df: DataFrame, part: int, texts: Column) -> DataFrame:
     return df.select("host", "open_seq", F.lit(part).alias("part"), F.posexplode(F.filter(texts, lambda x: x.isNotNull()))).select(
         "host", "open_seq", "part", F.col("pos").cast("long").alias("pos"), F.col("col").alias("text")
     )

@@ -487,7 +487,7 @@ def partition_usage(spark, sf):
 def usage(spark, sf):
     stamp = F.concat(F.date_format("o_orderdate", "yyyy-MM"), F.lit("-28"))
     return table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(
-        F.sum(F.col("o_custkey")).alias("bytes"), F.max(F.to_timestamp(stamp)).alias("newest"), F.count("*").alias("entries")
+        F.sum(F.col("o_custkey") + 1000).alias("bytes"), F.max(F.to_timestamp(stamp)).alias("newest"), F.count("*").alias("entries")
     ).withColumn("root", F.lit(ROOT))
 
 

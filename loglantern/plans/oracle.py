@@ -222,7 +222,7 @@ n AS (SELECT *, conv_id * 7 + turn AS k FROM conversations)"""
 
 USAGE = """
 usage AS (
-  SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(o_custkey) AS BIGINT) AS bytes FROM orders GROUP BY 1)"""
+  SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(o_custkey + 1000) AS BIGINT) AS bytes FROM orders GROUP BY 1)"""
 
 
 def query(ctes: str, select: str, recursive: bool = False) -> str:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators.matching import PatternSet, needle_of
 
+MOST_PATTERNS = 20_000
+
 
 def pattern_files(spark: SparkSession, paths: list[str]) -> list[str]:
     """Folders give their pattern files in name order, subfolders left out; a path to a file is taken as it is."""
@@ -49,13 +51,20 @@ def load_patterns(spark: SparkSession, paths: list[str]) -> DataFrame:
         .where((F.col("pattern") != "") & ~F.col("pattern").startswith("#"))
         .distinct()
     )
-    # A pattern dimension is tens to hundreds of rows, written by hand: it is small by nature.
     ranked = pattern_set(rows).ranked()
     return spark.createDataFrame(
         [(kind, p, needle_of(p) if kind == "substring" else None, rank) for rank, (kind, p) in enumerate(ranked)], schema
     )
 
 
+def _collected(rows: DataFrame) -> list:
+    """Patterns are written by hand, tens to hundreds of them; far more than that is a wrong file."""
+    listed = rows.limit(MOST_PATTERNS + 1).collect()
+    if len(listed) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns; is a pattern path a log file?")
+    return listed
+
+
 def _valid(pattern: str) -> bool:
     try:
         re.compile(pattern)
@@ -67,9 +76,9 @@ def _valid(pattern: str) -> bool:
 def pattern_set(rows: DataFrame) -> PatternSet:
     """The pattern set of (is_regex, pattern) rows or of a load_patterns table."""
     if "kind" in rows.columns:
-        listed = [(r["kind"] == "regex", r["pattern"]) for r in rows.select("kind", "pattern").collect()]
+        listed = [(r["kind"] == "regex", r["pattern"]) for r in _collected(rows.select("kind", "pattern"))]
         return PatternSet(frozenset(p for rx, p in listed if rx), frozenset(p for rx, p in listed if not rx))
-    listed = [(r["is_regex"], r["pattern"]) for r in rows.collect()]
+    listed = [(r["is_regex"], r["pattern"]) for r in _collected(rows)]
     return PatternSet.of([p for rx, p in listed if rx and _valid(p)], [p for rx, p in listed if not rx])
 
 

@@ -21,7 +21,7 @@ from ..operators.context import cap_context, newest_bytes
 from ..operators.matching import OwnIdentity, PatternSet, label_lines
 from ..params import CaptureParams
 from ..plans.ordered import BUCKET, scan
-from ..plans.scratch import scratch_path, stored
+from ..plans.scratch import scratch_path, scratch_scope, stored
 
 LINES = "host string, seq bigint, ts timestamp, t bigint, line string, label string, always boolean"
 MATCHES = "host string, seq bigint, t bigint"
@@ -52,6 +52,10 @@ class CaptureStream:
     session: SparkSession | None = None
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
+        with scratch_scope(self.session or rows.sparkSession):
+            self._run(rows, batch)
+
+    def _run(self, rows: DataFrame, batch: int) -> None:
         # The batch is written once; the rest reads it as an ordinary table, with the caller's session settings.
         spark = self.session or rows.sparkSession
         path = scratch_path(spark, "arrived")
