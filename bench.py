@@ -18,16 +18,13 @@ from pyspark.sql import SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from loglantern.operators import captures as cap  # noqa: E402
-from loglantern.operators import context as ctx  # noqa: E402
 from loglantern.operators.matching import label_lines  # noqa: E402
-from loglantern.params import CaptureParams  # noqa: E402
 from loglantern.plans import catalog  # noqa: E402
-from loglantern.plans.scratch import stored  # noqa: E402
+from loglantern.plans.scratch import drop_scratch, stored  # noqa: E402
 from loglantern.sources.lines import number_lines  # noqa: E402
 from loglantern.sources.tables import ALWAYS, OWN, PARAMS, WATCH, log_lines, raw_lines  # noqa: E402
 
 MONTH_US = 30 * 86400 * 1_000_000
-DEFAULTS = CaptureParams()
 
 
 def session() -> SparkSession:
@@ -36,7 +33,7 @@ def session() -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("bench")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
-        .config("spark.sql.shuffle.partitions", str(4 * int(cpus)))
+        .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
@@ -113,17 +110,12 @@ def main() -> None:
         def held():
             steps["held"] = stored(cap.capture_lines(steps["labelled"], steps["captures"], PARAMS), "many_held")
 
-        def dedup():
-            spans = ctx.overlapping_context(steps["held"], steps["captures"], PARAMS)
-            capped = ctx.context_byte_cap(steps["held"], spans, PARAMS)
-            ends = steps["captures"].select("host", "open_seq", F.col("last_seq").alias("end_seq"))
-            run(ctx.held_ranges(capped, ends))
-
-        for step in (number, label, captures, held, dedup):
+        for step in (number, label, captures, held):
             large[f"replicated_{step.__name__}"] = timed(step)
         large["replicated_lines"] = total
         path = sum(large[f"replicated_{s}"] for s in ("label", "captures", "held"))
         large["replicated_lines_per_sec"] = round(total / path)
+    drop_scratch(spark)
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds,
         "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "lines": count,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -14,10 +12,13 @@ from ..params import CaptureParams
 from ..plans.ordered import BUCKET, asof_next, bucket_of, neighbours, scan
 from ..plans.scratch import stored
 
-# Matches of one island that a single task folds; longer islands are linked instead.
-FOLD_LIMIT = 2_000_000
-# Touched buckets that may be broadcast to filter lines, at a few dozen bytes each.
+# Matches of one island that a single task folds, reading them as a stream of batches;
+# longer islands are linked instead.
+FOLD_LIMIT = 10_000_000
+# Openings up to which their buckets are broadcast to filter lines, a few dozen bytes each.
 BROADCAST_BUCKETS = 500_000
+# Captures that a window over one source may hold in one task.
+WINDOW_CAPTURES = 2_000_000
 
 
 def capture_id() -> Column:
@@ -43,26 +44,26 @@ def islands(matches: DataFrame, gap_us: int, gap_lines: int | None = None, size:
         return apart if gap_lines is None else apart | (later["seq"] - earlier["seq"] > gap_lines)
 
     inside = Window.partitionBy("host", "bucket").orderBy("seq")
-    rows = matches.select("host", bucket_of(F.col("seq"), size).alias("bucket"), point.alias("point"), "seq")
-    rows = rows.withColumn("prev", F.lag("point").over(inside))
-    rows = rows.withColumn("opens", F.when(F.col("prev").isNotNull() & parted(F.col("point"), F.col("prev")), F.col("point")))
-    rows = rows.withColumn(
-        "start", F.last("opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    prev = F.lag("point").over(inside)
+    rows = matches.select("host", bucket_of(F.col("seq"), size).alias("bucket"), point.alias("point"), "seq").select(
+        "*", F.when(prev.isNotNull() & parted(F.col("point"), prev), F.col("point")).alias("opens")
     )
     across = Window.partitionBy("host").orderBy("bucket")
     so_far = across.rowsBetween(Window.unboundedPreceding, 0)
     edges = (
         rows.groupBy("host", "bucket")
         .agg(F.min("point").alias("first"), F.max("point").alias("last"), F.max("opens").alias("inner"))
-        .withColumn("fresh", F.when(parted(F.col("first"), F.lag("last").over(across)), F.col("first")))
-        .withColumn("ran", F.last(F.coalesce("inner", "fresh"), ignorenulls=True).over(so_far))
-        .withColumn("lead_in", F.coalesce("fresh", F.lag("ran").over(across)))
+        .select("*", F.when(parted(F.col("first"), F.lag("last").over(across)), F.col("first")).alias("fresh"))
+        .select("*", F.last(F.coalesce("inner", "fresh"), ignorenulls=True).over(so_far).alias("ran"))
+        .select("host", "bucket", F.coalesce("fresh", F.lag("ran").over(across)).alias("lead_in"))
     )
+    latest = F.last("opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    start = F.coalesce("start", "lead_in")
     return (
-        rows.join(edges.select("host", "bucket", "lead_in"), ["host", "bucket"])
-        .withColumn("start", F.coalesce("start", "lead_in"))
+        rows.select("host", "bucket", "point", latest.alias("start"))
+        .join(edges, ["host", "bucket"])
         .select("host", F.col("point.seq").alias("seq"), F.col("point.t").alias("t"),
-                F.col("start.seq").alias("island_seq"), F.col("start.t").alias("island_t"))
+                start["seq"].alias("island_seq"), start["t"].alias("island_t"))
     )
 
 
@@ -81,7 +82,7 @@ def capture_sessions(matches: DataFrame, params: CaptureParams, size: int = BUCK
 
 def _fold(params: CaptureParams):
     """Cut sorted matches into captures, jumping from opener to opener."""
-    longest, reach = params.longest_us, params.reach
+    window, longest, reach = params.window_us, params.longest_us, params.reach
 
     def cut(batches):
         run = None  # host, island, open_seq, open_t, last_seq, last_t, matches
@@ -89,10 +90,11 @@ def _fold(params: CaptureParams):
             hosts, island = batch["host"].to_numpy(), batch["island_seq"].to_numpy()
             seq, t = batch["seq"].to_numpy(), batch["t"].to_numpy()
             rows, i, n = [], 0, len(batch)
-            edges = np.flatnonzero((island[1:] != island[:-1]) | (hosts[1:] != hosts[:-1])) + 1
-            for end in [*edges, n]:
+            # A capture never goes on past a quiet gap, into another run, or to another source.
+            apart = (island[1:] != island[:-1]) | (hosts[1:] != hosts[:-1]) | (t[1:] - t[:-1] > window)
+            for end in [*(np.flatnonzero(apart) + 1), n]:
                 while i < end:
-                    if run is None or run[0] != hosts[i] or run[1] != island[i]:
+                    if run is None or run[0] != hosts[i] or run[1] != island[i] or t[i] - run[5] > window:
                         if run is not None:
                             rows.append(run)
                         run = [hosts[i], island[i], seq[i], t[i], seq[i], t[i], 0]
@@ -161,33 +163,32 @@ def find_captures(
     """Captures with all limits: one row per capture with its opener, its last match, the
     time it lasts `until`, and the highest line number it may reach.
 
-    Runs of matches that no open capture can survive between are independent. The first
-    capture of a run is a plain aggregate; only matches beyond it are folded.
+    Matches that one task may read are cut in one pass per source. With more of them, runs
+    that no open capture can survive between are independent: the first capture of every
+    run is a plain aggregate, only matches beyond it are cut, run by run, and runs that are
+    themselves too long are linked.
     """
-    gap = min(params.window_us, params.longest_us) if params.longest_us else params.window_us
-    rows = islands(matches, gap, params.reach, size)
-    many = matches.count() > fold_limit
-    if many:
-        rows = stored(rows, "islands")
-    inside = F.col("seq") <= F.col("island_seq") + params.reach
-    if params.longest_us:
-        inside = inside & (F.col("t") <= F.col("island_t") + params.longest_us)
-    first = _spans(rows.where(inside).withColumnsRenamed({"island_seq": "open_seq", "island_t": "open_t"}))
-    rest = rows.where(~inside)
-    parts = [first]
-    over = None
-    if many:
+    if matches.count() <= fold_limit:
+        found = _folded(matches.withColumn("island_seq", F.lit(0).cast("long")), params)
+    else:
+        gap = min(params.window_us, params.longest_us) if params.longest_us else params.window_us
+        rows = stored(islands(matches, gap, params.reach, size), "islands")
+        inside = F.col("seq") <= F.col("island_seq") + params.reach
+        if params.longest_us:
+            inside = inside & (F.col("t") <= F.col("island_t") + params.longest_us)
+        first = _spans(rows.where(inside).withColumnsRenamed({"island_seq": "open_seq", "island_t": "open_t"}))
+        rest = rows.where(~inside)
         counts = rest.groupBy("host", "island_seq").agg(F.count("*").alias("_n"))
         over = stored(counts.where(F.col("_n") > fold_limit).drop("_n"), "long_islands")
-    if over is None or over.isEmpty():
-        parts.append(_folded(rest, params))
-    else:
-        parts.append(_folded(rest.join(over, ["host", "island_seq"], "left_anti"), params))
-        parts.append(_linked(stored(rest.join(over, ["host", "island_seq"], "left_semi"), "long_rows"), params, size))
+        if over.isEmpty():
+            found = first.unionByName(_folded(rest, params))
+        else:
+            short = _folded(rest.join(over, ["host", "island_seq"], "left_anti"), params)
+            long = stored(rest.join(over, ["host", "island_seq"], "left_semi"), "long_rows")
+            found = first.unionByName(short).unionByName(_linked(long, params, size))
     until = F.col("last_t") + params.window_us
     if params.longest_us:
         until = F.least(until, F.col("open_t") + params.longest_us)
-    found = reduce(DataFrame.unionByName, parts)
     return found.select(
         "host", "open_seq", "open_t", "last_seq", "last_t", "n_matches",
         until.alias("until"), (F.col("open_seq") + params.reach).alias("limit_seq"),
@@ -203,12 +204,17 @@ def line_index(lines: DataFrame, size: int = BUCKET) -> DataFrame:
     )
 
 
-def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size: int) -> DataFrame:
+def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size: int, window_limit: int) -> DataFrame:
     """Rows (host, bucket, at, rank, event) saying which capture is current and which is
     next from line `at` on. A capture is repeated at the start of each later bucket that
     can still hold one of its lines or a context line of the next capture."""
     this = F.struct("open_seq", "open_t", "until", "limit_seq")
-    chained = neighbours(captures.select("host", "open_seq", "open_t", "until", "limit_seq"), ["host"], this, "open_seq", size)
+    rows = captures.select("host", "open_seq", "open_t", "until", "limit_seq")
+    if captures.count() <= window_limit:
+        in_order = Window.partitionBy("host").orderBy("open_seq")
+        chained = rows.select("*", F.lag(this).over(in_order).alias("before"), F.lead(this).over(in_order).alias("after"))
+    else:
+        chained = neighbours(rows, ["host"], this, "open_seq", size)
     nothing = F.lit(None).cast("struct<open_seq:bigint,open_t:bigint,until:bigint,limit_seq:bigint>")
     # What holds from a capture's opener on, and, for a source's first capture, before it.
     states = F.array(
@@ -218,32 +224,31 @@ def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size
     states = chained.select("host", F.explode(F.filter(states, lambda s: s.isNotNull())).alias("event"))
     now, nxt = "event.now", "event.next"
     own_bucket = bucket_of(F.col(f"{now}.open_seq"), size)
-    opened = states.where(F.col(now).isNotNull()).select(
-        "host", own_bucket.alias("bucket"), F.col(f"{now}.open_seq").alias("at"), F.lit(1).alias("rank"), "event"
-    )
     reach = F.col(f"{now}.limit_seq")
     if params.reach > 1000 * size:
         states = states.join(index.groupBy("host").agg(F.max("high_seq").alias("_end")), "host")
         reach = F.least(reach, F.col("_end"))
-    spread = (
-        states.withColumn("_from", F.coalesce(own_bucket + 1, F.lit(0).cast("long")))
-        .withColumn("_to", bucket_of(F.coalesce(F.col(f"{nxt}.open_seq"), reach), size))
-        .where(F.col("_from") <= F.col("_to"))
-        .withColumn("bucket", F.explode(F.sequence("_from", "_to")))
+    last_bucket = bucket_of(F.coalesce(F.col(f"{nxt}.open_seq"), reach), size)
+    zero = F.lit(0).cast("long")
+    spread = states.select(
+        "host", "event", F.explode(F.sequence(F.coalesce(own_bucket, zero), F.greatest(last_bucket, own_bucket, zero))).alias("bucket")
     )
+    opens = F.coalesce(F.col("bucket") == own_bucket, F.lit(False))
     holds = (F.col("bucket") * size <= F.col(f"{now}.limit_seq")) & (F.col("low_t") <= F.col(f"{now}.until"))
     leads = F.col("high_t") >= F.col(f"{nxt}.open_t") - params.window_us
-    carried = (
+    return (
         spread.join(index, ["host", "bucket"])
-        .where(F.coalesce(holds, F.lit(False)) | F.coalesce(leads, F.lit(False)))
-        .select("host", "bucket", (F.col("bucket") * size).alias("at"), F.lit(0).alias("rank"), "event")
+        .where(opens | F.coalesce(holds, F.lit(False)) | F.coalesce(leads, F.lit(False)))
+        .select(
+            "host", "bucket", F.when(opens, F.col(f"{now}.open_seq")).otherwise(F.col("bucket") * size).alias("at"),
+            F.when(opens, 1).otherwise(0).alias("rank"), "event",
+        )
     )
-    return opened.unionByName(carried)
 
 
 def capture_lines(
     labelled: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET,
-    broadcast_limit: int = BROADCAST_BUCKETS,
+    broadcast_limit: int = BROADCAST_BUCKETS, window_limit: int = WINDOW_CAPTURES,
 ) -> DataFrame:
     """Every captured line with its one owner and role: open, match, after or context.
 
@@ -254,11 +259,11 @@ def capture_lines(
     touched ones is small enough to broadcast; beyond that most lines are needed anyway.
     """
     index = line_index(labelled, size)
-    events = stored(_openings(captures, index, params, size), "openings")
-    touched = events.select("host", "bucket").distinct()
+    events = stored(_openings(captures, index, params, size, window_limit), "openings")
     extra = [c for c in ("always",) if c in labelled.columns]
     lines = labelled.withColumn("bucket", bucket_of(F.col("seq"), size))
-    if touched.count() <= broadcast_limit:
+    if events.count() <= broadcast_limit:
+        touched = events.select("host", "bucket").distinct()
         lines = lines.join(F.broadcast(touched), ["host", "bucket"], "left_semi")
     lines = lines.select(
         "host", "bucket", F.col("seq").alias("at"), F.lit(2).alias("rank"), "ts", "t", "line", "label", *extra
@@ -292,6 +297,12 @@ def capture_lines(
     )
 
 
+def captured_lines(labelled: DataFrame, params: CaptureParams, size: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """The whole path from labelled lines: (captures, captured lines). Captures are written once on the way."""
+    captures = stored(find_captures(match_rows(labelled), params, size), "captures")
+    return captures, capture_lines(labelled, captures, params, size)
+
+
 def capture_members(held: DataFrame) -> DataFrame:
     """The lines from each opener to its capture's end."""
     return held.where(F.col("role") != "context")

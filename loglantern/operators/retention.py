@@ -27,6 +27,13 @@ def write_index(index: DataFrame, path: str, mode: str = "append") -> None:
     index.select(F.col("entry").alias("value")).write.mode(mode).text(path)
 
 
+def write_rendered(rendered: DataFrame, named: DataFrame, root: str, mode: str = "append") -> None:
+    """Each capture's text in a folder of its own: root/month/host/name, rows in order."""
+    rows = rendered.join(named.select("host", "open_seq", "month", "name"), ["host", "open_seq"])
+    ordered = rows.repartition("month", "host", "name").sortWithinPartitions("month", "host", "name", "part", "pos")
+    ordered.select("month", "host", "name", "text").write.mode(mode).partitionBy("month", "host", "name").text(root, lineSep="\n")
+
+
 def partition_usage(spark: SparkSession, root: str) -> DataFrame:
     """Per month folder under root: bytes, newest change and number of files. File contents are not read."""
     files = (

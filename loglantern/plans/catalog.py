@@ -295,8 +295,7 @@ def capture_sessions_capped(spark, sf):
 
 def captured(spark, sf):
     """The whole path from labelled lines to captured lines, nothing reused."""
-    labelled = labelled_lines(spark, sf)
-    return cap.capture_lines(labelled, cap.find_captures(cap.match_rows(labelled), PARAMS), PARAMS)
+    return cap.captured_lines(labelled_lines(spark, sf), PARAMS)[1]
 
 
 def capture_members(spark, sf):
@@ -469,6 +468,13 @@ def write_captures(spark, sf):
     return spark.read.parquet(path).select(F.col("month").cast("string").alias("month"), "host", "open_seq", "seq", "role", "line")
 
 
+def write_rendered(spark, sf):
+    path = scratch_path(spark, "texts")
+    retention.write_rendered(rendered(spark, sf), named(spark, sf), path)
+    back = spark.read.option("lineSep", "\n").text(path)
+    return back.select(F.col("month").cast("string").alias("month"), "host", "name", F.col("value").alias("text"))
+
+
 def month_texts(spark, sf):
     """Orders as text, one folder per month."""
     path = scratch_path(spark, "months")
@@ -563,7 +569,7 @@ QUERIES = {
     "excerpt_marks": excerpt_marks, "excerpt_around_match": excerpt_around_match, "excerpt_head_tail": excerpt_head_tail,
     "excerpt_json_capped": excerpt_json_capped, "alert_title": titles, "alert_body": bodies, "route_capture": route_capture,
     "event_payload": event_payload, "model_request": model_request, "parse_verdict": parse_verdict,
-    "push_request": push_request, "write_captures": write_captures, "partition_usage": partition_usage,
+    "push_request": push_request, "write_captures": write_captures, "write_rendered": write_rendered, "partition_usage": partition_usage,
     "retention_plan": retention_plan, "purge_plan": purge_plan, "compact_month": compact_month,
     "stream_captures": stream_captures, "quiet_close": quiet_close, "stream_late_lines": stream_late_lines,
     "backlog_catch_up": backlog_catch_up,

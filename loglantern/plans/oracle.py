@@ -358,6 +358,7 @@ t AS (SELECT *, trim(regexp_replace('On / ' || left(text, 250), '\r\n|\r|\n', '
     "write_captures": captured(CAPTURES, """SELECT strftime(make_timestamp(open_t), '%Y-%m') AS month, host, open_seq, seq, role, line FROM members
 UNION ALL SELECT strftime(make_timestamp(c.open_t), '%Y-%m'), o.host, o.open_seq, o.seq, 'context', l.line
 FROM owned o JOIN captures c USING (host, open_seq) JOIN lines l ON l.host = o.host AND l.seq = o.seq"""),
+    "write_rendered": captured(RENDERED, "SELECT n.month, r.host, n.name, r.text FROM rendered r JOIN named n USING (host, open_seq)"),
     "partition_usage": "SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(strlen(o_orderkey || ' ' || o_orderstatus || ' ' || o_orderpriority) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1",
     "retention_plan": query(USAGE + """,
 aged AS (SELECT *, date_diff('day', CAST(month || '-01' AS DATE), DATE '1999-03-15') AS age FROM usage)""",

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 BUCKET = 65536
+# Rows that a window over one key may hold in one task; with more, the work is split.
+WINDOW_ROWS = 2_000_000
 
 
 def bucket_of(seq: Column, size: int = BUCKET) -> Column:
@@ -59,7 +61,7 @@ def scan(
     """Add a running value per key in seq order: the last non-null value, or the sum,
     min or max so far. backwards runs from the highest seq; inclusive counts the row itself."""
     place = F.desc if backwards else F.asc
-    rows = df.withColumn("_bucket", bucket_of(F.col(seq), size)).withColumn("_value", value)
+    rows = df.select("*", bucket_of(F.col(seq), size).alias("_bucket"), value.alias("_value"))
     inside = (
         Window.partitionBy(*key, "_bucket")
         .orderBy(place(seq))
@@ -94,17 +96,17 @@ def scan(
         .agg(total.alias("_total"))
         .select(*key, "_bucket", running("_total", across).alias("_before"))
     )
+    kept = [c for c in df.columns if c != out]
     return (
-        rows.withColumn("_local", running("_value", inside))
+        rows.select("*", running("_value", inside).alias("_local"))
         .join(carried, [*key, "_bucket"], "left")
-        .withColumn(out, merged(F.col("_local"), F.col("_before")))
-        .drop("_bucket", "_value", "_local", "_before")
+        .select(*kept, merged(F.col("_local"), F.col("_before")).alias(out))
     )
 
 
 def neighbours(df: DataFrame, key: list[str], value: Column, seq: str = "seq", size: int = BUCKET) -> DataFrame:
     """Add `before` and `after`: the value of the previous and the next row of the key in seq order."""
-    rows = df.withColumn("_bucket", bucket_of(F.col(seq), size)).withColumn("_value", value)
+    rows = df.select("*", bucket_of(F.col(seq), size).alias("_bucket"), value.alias("_value"))
     inside = Window.partitionBy(*key, "_bucket").orderBy(seq)
     across = Window.partitionBy(*key).orderBy("_bucket")
     edges = (
@@ -112,13 +114,9 @@ def neighbours(df: DataFrame, key: list[str], value: Column, seq: str = "seq", s
         .agg(F.min_by("_value", seq).alias("_first"), F.max_by("_value", seq).alias("_last"))
         .select(*key, "_bucket", F.lag("_last").over(across).alias("_prior"), F.lead("_first").over(across).alias("_later"))
     )
-    return (
-        rows.withColumn("before", F.lag("_value").over(inside))
-        .withColumn("after", F.lead("_value").over(inside))
-        .join(edges, [*key, "_bucket"])
-        .withColumn("before", F.coalesce("before", "_prior"))
-        .withColumn("after", F.coalesce("after", "_later"))
-        .drop("_bucket", "_value", "_prior", "_later")
+    near = rows.select("*", F.lag("_value").over(inside).alias("_lag"), F.lead("_value").over(inside).alias("_lead"))
+    return near.join(edges, [*key, "_bucket"]).select(
+        *df.columns, F.coalesce("_lag", "_prior").alias("before"), F.coalesce("_lead", "_later").alias("after")
     )
 
 
@@ -128,8 +126,9 @@ def asof_next(
 ) -> DataFrame:
     """Give every probe the value of the first point of its key at or after it (null: none).
 
-    Points and probes are put in one order and numbered, and the next point's value
-    is carried back over the probes: no pairs, and no group larger than a bucket.
+    Points and probes are put in one order, and the next point's value is carried back
+    over the probes: no pairs. With more than WINDOW_ROWS of them they are numbered
+    first, and no group is larger than a bucket.
     """
     carried = [c for c in probes.columns if c not in key and c != at]
     types = dict(probes.dtypes)
@@ -143,8 +142,13 @@ def asof_next(
         F.lit(None).cast(dict(left.dtypes)["_point"]).alias("_point"),
         *carried,
     )
-    numbered = number_rows(left.unionByName(right), key, ["_at", "_kind", "_tie"], out="_place_no")
-    found = scan(numbered, key, F.col("_point"), "_next", seq="_place_no", size=size, backwards=True)
+    both, order = left.unionByName(right), ["_at", "_kind", "_tie"]
+    if points.count() + probes.count() <= WINDOW_ROWS:
+        later = Window.partitionBy(*key).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_next", F.last("_point", ignorenulls=True).over(later))
+    else:
+        numbered = number_rows(both, key, order, out="_place_no")
+        found = scan(numbered, key, F.col("_point"), "_next", seq="_place_no", size=size, backwards=True)
     return found.where(F.col("_kind") == 0).select(
         *key, F.col("_at").alias(at), *carried, F.col(f"_next.{value}").alias(out)
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loglantern.operators import captures as cap
 from loglantern.operators import context as ctx
 from loglantern.params import CaptureParams
+from loglantern.plans import ordered
 from loglantern.plans.scratch import stored
 
 S = 1_000_000
@@ -14,7 +15,8 @@ S = 1_000_000
 
 def run(labelled, params, size=65536, limit=cap.FOLD_LIMIT):
     found = stored(cap.find_captures(cap.match_rows(labelled), params, size, limit), "found")
-    held = stored(cap.capture_lines(labelled, found, params, size), "held")
+    few = cap.BROADCAST_BUCKETS if limit > 10 else 0
+    held = stored(cap.capture_lines(labelled, found, params, size, few, few), "held")
     return found, held
 
 
@@ -93,7 +95,9 @@ CASES = [
 
 
 @pytest.mark.parametrize("T,M,most,size,limit,budget", CASES)
-def test_against_line_by_line_model(log, T, M, most, size, limit, budget):
+def test_against_line_by_line_model(log, monkeypatch, T, M, most, size, limit, budget):
+    if limit < 10:
+        monkeypatch.setattr(ordered, "WINDOW_ROWS", 0)
     hosts = random_hosts(T * 31 + M * 7 + most, 25, 70)
     params = CaptureParams(T, M, most, budget)
     labelled = stored(log(hosts), "log")

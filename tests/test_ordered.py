@@ -1,8 +1,10 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from loglantern.operators.context import expand, range_coalesce
+from loglantern.plans import ordered
 from loglantern.plans.ordered import asof_next, neighbours, number_rows, scan
 
 
@@ -49,7 +51,9 @@ def test_scans_and_neighbours(spark):
             assert got[(host, seqs[i])] == (seqs[i - 1], seqs[i + 1])
 
 
-def test_asof_next(spark):
+@pytest.mark.parametrize("window_rows", [0, 1000])
+def test_asof_next(spark, monkeypatch, window_rows):
+    monkeypatch.setattr(ordered, "WINDOW_ROWS", window_rows)
     rng = random.Random(3)
     points = [(h, rng.randint(0, 50), s) for h in ("a", "b") for s in range(1, 25)]
     probes = [(h, rng.randint(-5, 55), i) for h in ("a", "b", "c") for i in range(25)]
