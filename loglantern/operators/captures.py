@@ -298,9 +298,10 @@ def capture_lines(
 
 
 def captured_lines(labelled: DataFrame, params: CaptureParams, size: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """The whole path from labelled lines: (captures, captured lines). Captures are written once on the way."""
+    """The whole path from labelled lines: (captures, captured lines), each written once, as
+    most later operators read them more than once."""
     captures = stored(find_captures(match_rows(labelled), params, size), "captures")
-    return captures, capture_lines(labelled, captures, params, size)
+    return captures, stored(capture_lines(labelled, captures, params, size), "held")
 
 
 def capture_members(held: DataFrame) -> DataFrame:

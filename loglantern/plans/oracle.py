@@ -170,6 +170,36 @@ marks AS (
          CAST(max(upto) FILTER (part = 2 AND pos = open_seq) AS BIGINT) AS match_end, CAST(max(upto) AS BIGINT) AS size
   FROM sized GROUP BY host, open_seq)"""
 
+def gap(n: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN '[... ' || ({n}) || ' bytes skipped ...]' || chr(10) ELSE '' END"
+
+
+# The captures' texts are ASCII, so characters are bytes.
+TEXTS = RENDERED + """,
+texts AS (SELECT host, open_seq, string_agg(text || chr(10), '' ORDER BY part, pos) AS body FROM rendered GROUP BY host, open_seq)"""
+
+AROUND = TEXTS + """,
+parts AS (SELECT t.host, t.open_seq, body, header_end, match_end, size, least(header_end, 2048, 1100 // 4) AS hn FROM texts t JOIN marks USING (host, open_seq)),
+room AS (SELECT *, 1100 - hn - 135 AS room, match_end - header_end AS lead, size - match_end AS rest FROM parts),
+sides AS (SELECT *, least(lead, room // 4) AS plain, rest <= room - least(lead, room // 4) AS fits FROM room),
+shares AS (
+  SELECT *, CASE WHEN fits THEN least(lead, room - rest) ELSE plain END AS before,
+    CASE WHEN fits THEN rest ELSE room // 2 + room // 4 - plain END AS after FROM sides),
+tails AS (SELECT *, CASE WHEN fits THEN 0 ELSE room - before - after END AS tail FROM shares),
+raw_cuts AS (
+  SELECT *, left(body, hn) AS h0, substr(body, match_end - before + 1, before) AS p1, substr(body, match_end + 1, after) AS p2,
+    CASE WHEN tail > 0 THEN right(body, tail) ELSE '' END AS p3 FROM tails),
+cuts AS (
+  SELECT *, CASE WHEN hn < header_end AND contains(h0, chr(10)) THEN regexp_replace(h0, '[^\\n]*$', '') ELSE h0 END AS hh,
+    CASE WHEN match_end - before > header_end AND contains(p1, chr(10)) THEN regexp_replace(p1, '^[^\\n]*\\n', '') ELSE p1 END AS q1,
+    CASE WHEN after < rest AND contains(p2, chr(10)) THEN regexp_replace(p2, '[^\\n]*$', '') ELSE p2 END AS q2,
+    regexp_replace(p3, '^[^\\n]*\\n', '') AS q3 FROM raw_cuts)"""
+
+AROUND_TEXT = (
+    f"hh || {gap('match_end - length(q1) - length(hh)')} || q1 || q2 || CASE WHEN tail > 0 THEN "
+    f"{gap('size - length(q3) - match_end - length(q2)')} || q3 ELSE {gap('size - match_end - length(q2)')} END"
+)
+
 INCIDENTS = WRITTEN + NAMED.replace("FROM_TABLE", "runs") + """,
 told AS (
   SELECT host, open_seq, coalesce(bool_or(always), FALSE) AS always_notify,
@@ -334,6 +364,10 @@ notes AS (
         "SELECT host, open_seq, CAST(0 AS BIGINT) AS pos, '' AS text FROM notes UNION ALL "
         "SELECT host, open_seq, unnest(generate_series(1, len(texts))), 'loglantern-self ' || unnest(texts) FROM notes"),
     "excerpt_marks": captured(RENDERED, "SELECT host, open_seq, header_end, match_end, size FROM marks"),
+    "excerpt_around_match": captured(AROUND,
+        f"SELECT host, open_seq, CASE WHEN size <= 1100 THEN body ELSE left({AROUND_TEXT}, 1100) END AS excerpt FROM cuts"),
+    "excerpt_head_tail": captured(TEXTS, "SELECT host, open_seq, CASE WHEN length(body) <= 700 THEN body "
+        "ELSE left(body, 350) || chr(10) || '...' || chr(10) || right(body, 345) END AS excerpt FROM texts"),
     "alert_title": query(DOC_LINES + """,
 full_title AS (SELECT doc_id, line_no, regexp_replace('doc' || doc_id || ': ' || line, '\\r', ' / ', 'g') AS title FROM doc_lines)""",
         "SELECT doc_id, line_no, CASE WHEN length(title) > 120 THEN rtrim(left(title, 120)) ELSE title END AS title FROM full_title"),

@@ -2,11 +2,13 @@ import random
 
 import pytest
 from brute import fold
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from loglantern.operators.captures import observed, run_counters
 from loglantern.operators.matching import PatternSet
 from loglantern.params import CaptureParams
-from loglantern.sources.lines import LINE_SCHEMA, stream_log_lines
+from loglantern.sources.lines import LINE_SCHEMA, catch_up, stream_log_lines, stream_text_lines
 from loglantern.streaming.batches import CaptureStream, captured_stream_lines, closed_captures, fixed, late_lines
 
 WATCH = PatternSet.of(texts=["HIT"])
@@ -76,3 +78,26 @@ def test_context_bytes_bound_the_state(spark, tmp_path):
     assert sorted(r["seq"] for r in kept.collect()) == [7, 8]
     got = captured_stream_lines(spark, stream.output).collect()
     assert sorted((r["seq"], r["role"]) for r in got) == [(7, "context"), (8, "context"), (9, "open")]
+
+
+def test_text_files_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_bytes(b"one\r\n\n \ntwo\xff\n")
+    source = stream_text_lines(spark, f"{tmp_path}/in", "h")
+    query = source.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    assert sorted((r["host"], r["line"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("h", "one\r"), ("h", "two�")]
+
+
+def test_counters_while_reading(spark):
+    df = spark.createDataFrame([("h", "x", None), ("h", "HIT", "*HIT*")], "host string, line string, label string")
+    seen = Observation("run")
+    observed(df, seen).collect()
+    assert seen.get == {"lines": 2, "matched": 1}
+    assert tuple(run_counters(df).first()) == ("h", 2, 1, 0)
+
+
+def test_catch_up(spark):
+    df = spark.sql("SELECT timestamp_seconds(s) AS ts, s FROM VALUES (99), (100), (150) AS t(s)")
+    kept = catch_up(df, F.timestamp_seconds(F.lit(200)), 100).collect()
+    assert sorted(r["s"] for r in kept) == [100, 150]
