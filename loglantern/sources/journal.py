@@ -69,8 +69,8 @@ def read_journal_export(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_decode, RAW_SCHEMA)
     digits = F.col("source").rlike(r"\A[0-9]+\z")
     return raw.select(
-        "file", "place", "cursor", F.col("stored").cast("bigint").alias("stored_us"),
-        F.when(digits, F.col("source").cast("bigint")).alias("source_us"),
+        "file", "place", "cursor", F.col("stored").try_cast("bigint").alias("stored_us"),
+        F.when(digits, F.col("source").try_cast("bigint")).alias("source_us"),
         "host", "ident", "comm", "pid", "syslog_pid", "message",
     )
 
@@ -115,8 +115,8 @@ def resume_slice(
     any_cursor: bool = False,
     size: int = BUCKET,
 ) -> DataFrame:
-    """What to read after a stop, from entries (host, seq, cursor, stored in seconds): rows
-    with role match or context, and their time.
+    """What to read after a stop, from the entries of one journal (host, seq, cursor, stored
+    in seconds): rows with role match or context, and their time.
 
     Found: everything after the saved entry is matched; before it, entries back to the
     first one stored earlier than the look-back are context, whose times never run backwards.

@@ -47,8 +47,10 @@ def read_log_lines(spark: SparkSession, path: str, host: Column | None = None) -
 
 
 def number_lines(lines: DataFrame, order: list[str], key: str = "host") -> DataFrame:
-    """Number each source's non-blank lines 1.. in the given order."""
-    return number_rows(lines.where(~is_blank(F.col("line"))), [key], order)
+    """Number each source's non-blank lines 1.. in the given order. Lines without a source
+    are numbered together, as source ''."""
+    named = lines.where(~is_blank(F.col("line"))).withColumn(key, F.coalesce(F.col(key), F.lit("")))
+    return number_rows(named, [key], order)
 
 
 def steady_time(lines: DataFrame, key: str = "host") -> DataFrame:

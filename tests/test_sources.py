@@ -31,6 +31,12 @@ def test_tail_and_time(spark):
     assert [r["t"] for r in got] == [97, 100, 100]
 
 
+def test_number_lines_keeps_lines_without_a_source(spark):
+    df = spark.createDataFrame([(None, 2, "b"), ("a", 1, "x"), (None, 1, "a"), (None, 3, " ")], "host string, at bigint, line string")
+    got = sorted((r["host"], r["seq"], r["line"]) for r in lines.number_lines(df, ["at"]).collect())
+    assert got == [("", 1, "a"), ("", 2, "b"), ("a", 1, "x")]
+
+
 def test_steady_time(spark):
     rows = [("a", 1, 5), ("a", 2, 3), ("a", 3, 9), ("b", 1, 1)]
     df = spark.createDataFrame(rows, "host string, seq bigint, s bigint").withColumn("ts", F.timestamp_seconds("s"))
@@ -56,7 +62,7 @@ def test_journal_export(spark, tmp_path):
         + record(__REALTIME_TIMESTAMP=usec, MESSAGE="no cursor")
         + record(__CURSOR="c3", __REALTIME_TIMESTAMP=usec + 10**6, _SOURCE_REALTIME_TIMESTAMP=usec - 10**6, MESSAGE="x=y", _COMM="sh", SYSLOG_PID="9")
         + record(__CURSOR="c4", __REALTIME_TIMESTAMP=usec, MESSAGE="first", _BAD_="") .replace(b"\n\n", b"\nMESSAGE=last wins\nnot a field\n\n")
-        + record(__CURSOR="c5", __REALTIME_TIMESTAMP=usec)
+        + record(__CURSOR="c5", __REALTIME_TIMESTAMP=usec, _SOURCE_REALTIME_TIMESTAMP="9" * 30)
         + b"__CURSOR=c6\n__REALTIME_TIMESTAMP=%d\nMESSAGE=cut" % usec
     )
     (tmp_path / "x.export").write_bytes(data)
