@@ -24,3 +24,9 @@ def text_size(text: Column) -> Column:
 def parts(spark: SparkSession) -> int:
     """Partitions to deal rows into where a count is needed."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def has_words(text: Column) -> Column:
+    """Whether a text has a word; false for null."""
+    blanks = "\t\n\u000b\f\r "
+    return F.coalesce(F.translate(text, blanks, "") != "", F.lit(False))

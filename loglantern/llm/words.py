@@ -142,11 +142,3 @@ def taken(batch: pa.RecordBatch, name: str, index: np.ndarray) -> pa.Array:
 
 def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
-
-
-def word_counts(docs, text: str = "text", into: str = "n_words"):
-    """docs with the number of words of a column; a null text has none. Other columns are kept, `into` is replaced."""
-    from pyspark.sql import functions as F
-
-    blanks = "\t\n\u000b\f\r"
-    return docs.withColumn(into, F.coalesce(F.size(F.filter(F.split(F.translate(F.col(text), blanks, " " * 5), " ", -1), lambda w: w != "")), F.lit(0)).cast("long"))
