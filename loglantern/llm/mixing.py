@@ -152,7 +152,8 @@ def mix_spans(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     drawn = [(*run, n_blocks[run[1]], cut, min(cut + CUT, run[3])) for run in _draws(slots, shard_slots, seed) for cut in range(0, run[3], CUT)]
     drawn = spark.createDataFrame(drawn, "shard int, source_number int, first long, count long, place long, slots long, blocks long, cut long, stop long")
     taken = drawn.repartition(parts(spark)).mapInArrow(_slot_rows(seed), "shard int, place long, pass int, source_number int, block long")
-    return placed, taken.join(pieces, ["source_number", "block"])
+    # spelled out rows are far more than Spark expects of the table they come from, so none may be broadcast
+    return placed, taken.join(pieces.hint("merge"), ["source_number", "block"])
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -193,6 +194,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     which nothing is taken, those without words included, are gone. Rows equal in id and text
     are told apart by their places, and each is put out as often as its places are taken.
     """
+    docs = docs.drop("_id", "_hash", "_text_hash", "_spans", "_mixed")
     columns = docs.columns
     docs = docs.withColumn("_hash", F.xxhash64("text"))
     placed, spans = mix_spans(sized(docs), **options)
