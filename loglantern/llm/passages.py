@@ -155,14 +155,14 @@ def _without(words: int, columns: int):
     return rows
 
 
-def without_repeats(docs: DataFrame, words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORDS) -> DataFrame:
     """docs with `_n_words`, `_n_removed` and `_kept_text`: the words that lie in no repeated window, joined by blanks.
 
     Windows are judged on the input. A null text has no words. Other columns are kept, but for those of the
     names above and `_id`, `_hash`, `_runs`."""
     docs = docs.drop("_n_words", "_n_removed", "_kept_text", "_id", "_hash", "_runs")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    runs = repeated_runs(hashed, words).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+    runs = repeated_runs(hashed, words, seed).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_runs")
     own = docs["doc_id"].eqNullSafe(runs["_id"]) & (F.xxhash64(docs["text"]) == runs["_hash"])
     rows = docs.join(runs, own, "left").drop("_id", "_hash")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from loglantern.llm.host_rules import op5_host_rules
 from loglantern.llm.mixing import op9_mixing
 from loglantern.llm.near_dups import op10_near_dups
+from loglantern.llm.oracle import ORACLE
 from loglantern.llm.passages import op4_passages
 from loglantern.llm.pieces import op6_pieces
 from loglantern.llm.quality_net import op1_quality_net
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_near_dups": op10_near_dups,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
