@@ -9,18 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..params import CaptureParams
-from ..plans.ordered import BUCKET, asof_next, bucket_of, neighbours, scan
+from ..plans.ordered import BUCKET, bucket_of, neighbours
 from ..plans.scratch import stored
 
-# Matches of one island that a single task folds, reading them as a stream of batches;
-# longer islands are linked instead.
-FOLD_LIMIT = 10_000_000
-# Openings up to which their buckets are broadcast to filter lines, a few dozen bytes each.
-BROADCAST_BUCKETS = 500_000
-# Captures that a window over one source may hold in one task.
-WINDOW_CAPTURES = 2_000_000
-
-
 def capture_id() -> Column:
     return F.concat_ws("-", "host", "open_seq")
 
@@ -80,112 +71,132 @@ def capture_sessions(matches: DataFrame, params: CaptureParams, size: int = BUCK
     return spans.withColumn("until", F.col("last_t") + params.window_us)
 
 
-def _fold(params: CaptureParams):
-    """Cut sorted matches into captures, jumping from opener to opener."""
-    window, longest, reach = params.window_us, params.longest_us, params.reach
-
-    def cut(batches):
-        run = None  # host, island, open_seq, open_t, last_seq, last_t, matches
+class _Bucket:
+    """The matches of one bucket in order, and for each the match that opens the next
+    capture if it opened one itself (len: none of this bucket)."""
+
+    def __init__(self, seq: np.ndarray, t: np.ndarray, params: CaptureParams):
+        self.seq, self.t, self.params, n = seq, t, params, len(seq)
+        quiet = np.flatnonzero(t[1:] - t[:-1] > params.window_us) + 1
+        self.quiet = np.append(quiet, n)  # a match after a quiet gap opens a capture whatever came before
+        self.next = np.minimum(self.beyond(seq, t), self.quiet[np.searchsorted(quiet, np.arange(n), "right")])
+
+    def beyond(self, open_seq, open_t):
+        """The first match that a capture opened there may not hold."""
+        stop = np.searchsorted(self.seq, open_seq + self.params.reach, "right")
+        longest = self.params.longest_us
+        return np.minimum(stop, np.searchsorted(self.t, open_t + longest, "right")) if longest else stop
+
+    def last_openers(self) -> np.ndarray:
+        """For each match, if it opened a capture: the last opener of the bucket."""
+        n = len(self.seq)
+        link = np.where(self.next < n, self.next, np.arange(n))
+        while True:  # links are followed twice as far each round
+            far = link[link]
+            if (far == link).all():
+                return link
+            link = far
+
+
+def _summarised(params: CaptureParams):
+    """One row for a bucket: how a capture that comes into it leaves it. First matches that
+    lead to the same last opener make one step of the lists; most buckets have a quiet gap, and one step."""
+
+    def rows(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq")
+        bucket = _Bucket(group["seq"].to_numpy(), group["t"].to_numpy(), params)
+        out, n = bucket.last_openers(), len(group)
+        ends = np.append(np.flatnonzero(out[1:] != out[:-1]), n - 1)
+        return pd.DataFrame({
+            "host": [group["host"].iloc[0]], "bucket": [group["bucket"].iloc[0]],
+            "first_t": [bucket.t[0]], "last_t": [bucket.t[-1]], "quiet": [int(bucket.quiet[0])], "n": [n],
+            "step_at": [ends.tolist()], "step_seq": [bucket.seq[ends].tolist()], "step_t": [bucket.t[ends].tolist()],
+            "exit_seq": [bucket.seq[out[ends]].tolist()], "exit_t": [bucket.t[out[ends]].tolist()],
+        })
+
+    return rows
+
+
+SUMMARY_SCHEMA = (
+    "host string, bucket bigint, first_t bigint, last_t bigint, quiet bigint, n bigint, step_at array<bigint>, "
+    "step_seq array<bigint>, step_t array<bigint>, exit_seq array<bigint>, exit_t array<bigint>"
+)
+
+
+def _carried(params: CaptureParams):
+    """Go through the buckets of each source in order; give each the capture that comes into it."""
+    reach, longest, window = params.reach, params.longest_us, params.window_us
+
+    def rows(batches):
+        host, open_, last = None, None, None
         for batch in batches:
-            hosts, island = batch["host"].to_numpy(), batch["island_seq"].to_numpy()
-            seq, t = batch["seq"].to_numpy(), batch["t"].to_numpy()
-            rows, i, n = [], 0, len(batch)
-            # A capture never goes on past a quiet gap, into another run, or to another source.
-            apart = (island[1:] != island[:-1]) | (hosts[1:] != hosts[:-1]) | (t[1:] - t[:-1] > window)
-            for end in [*(np.flatnonzero(apart) + 1), n]:
-                while i < end:
-                    if run is None or run[0] != hosts[i] or run[1] != island[i] or t[i] - run[5] > window:
-                        if run is not None:
-                            rows.append(run)
-                        run = [hosts[i], island[i], seq[i], t[i], seq[i], t[i], 0]
-                    stop = i + np.searchsorted(seq[i:end], run[2] + reach, "right")
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.host != host:
+                    host, open_ = r.host, None
+                into = open_ if open_ is not None and r.first_t - last <= window else None
+                out.append((host, r.bucket, None if into is None else into[0], None if into is None else into[1]))
+                if into is None:
+                    step = 0  # the bucket's first match opens a capture
+                else:
+                    # the step that the first match beyond the open capture belongs to, or one after the last
+                    step = np.searchsorted(r.step_seq, into[0] + reach, "right")
                     if longest:
-                        stop = min(stop, i + np.searchsorted(t[i:end], run[3] + longest, "right"))
-                    if stop > i:
-                        run[4], run[5] = seq[stop - 1], t[stop - 1]
-                        run[6] += stop - i
-                        i = stop
-                    if i < end:
-                        rows.append(run)
-                        run = [hosts[i], island[i], seq[i], t[i], seq[i], t[i], 0]
-            if rows:
-                yield _frame(rows)
-        if run is not None:
-            yield _frame([run])
+                        step = min(step, np.searchsorted(r.step_t, into[1] + longest, "right"))
+                    step = min(step, np.searchsorted(r.step_at, r.quiet, "left"))
+                if step < len(r.exit_seq):
+                    open_ = (r.exit_seq[step], r.exit_t[step])
+                last = r.last_t
+            yield pd.DataFrame(out, columns=["host", "bucket", "into_seq", "into_t"]).astype({"into_seq": "Int64", "into_t": "Int64"})
 
-    return cut
+    return rows
 
 
-FOLD_COLUMNS = ["host", "island_seq", "open_seq", "open_t", "last_seq", "last_t", "n_matches"]
-FOLD_SCHEMA = "host string, island_seq bigint, open_seq bigint, open_t bigint, last_seq bigint, last_t bigint, n_matches bigint"
+def _cut(params: CaptureParams):
+    """The captures of one bucket, given the one that comes into it: a part of it may be there."""
 
+    def rows(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("seq")
+        bucket = _Bucket(group["seq"].to_numpy(), group["t"].to_numpy(), params)
+        n, into, out, at = len(group), group["into_seq"].iloc[0], [], 0
+        if not pd.isna(into):
+            open_seq, open_t = int(into), int(group["into_t"].iloc[0])
+            at = int(min(bucket.beyond(open_seq, open_t), bucket.quiet[0]))
+            if at:
+                out.append((open_seq, open_t, 0, at - 1))
+        while at < n:
+            stop = int(bucket.next[at])
+            out.append((bucket.seq[at], bucket.t[at], at, stop - 1))
+            at = stop
+        first, last = np.array([o[2] for o in out], int), np.array([o[3] for o in out], int)
+        return pd.DataFrame({
+            "host": group["host"].iloc[0], "open_seq": [o[0] for o in out], "open_t": [o[1] for o in out],
+            "last_seq": bucket.seq[last], "last_t": bucket.t[last], "n_matches": last - first + 1,
+        })
 
-def _frame(rows) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=FOLD_COLUMNS)
+    return rows
 
 
-def _folded(rows: DataFrame, params: CaptureParams) -> DataFrame:
-    ordered = rows.repartition("host", "island_seq").sortWithinPartitions("host", "island_seq", "seq")
-    return ordered.select("host", "island_seq", "seq", "t").mapInPandas(_fold(params), FOLD_SCHEMA).drop("island_seq")
+CUT_SCHEMA = "host string, open_seq bigint, open_t bigint, last_seq bigint, last_t bigint, n_matches bigint"
 
 
-def _linked(rows: DataFrame, params: CaptureParams, size: int) -> DataFrame:
-    """The same cut for islands too long for one task. Every match is linked to the match
-    that would open the next capture if it opened one; the true openers are reached from
-    each island's first match by following links, twice as far in every round."""
-    key = ["host", "island_seq"]
-    points = rows.select(*key, F.col("seq").alias("at"), F.col("seq").alias("to"))
-    probes = rows.select(*key, (F.col("seq") + params.reach + 1).alias("at"), F.col("seq").alias("frm"))
-    links = asof_next(points, probes, key, "at", "to", "to", "nxt", size).select("host", "frm", "nxt")
-    if params.longest_us:
-        points = rows.select(*key, F.col("t").alias("at"), F.col("seq").alias("to"))
-        probes = rows.select(*key, (F.col("t") + params.longest_us + 1).alias("at"), F.col("seq").alias("frm"))
-        later = asof_next(points, probes, key, "at", "to", "to", "nxt_t", size).select("host", "frm", "nxt_t")
-        links = links.join(later, ["host", "frm"]).select("host", "frm", F.least("nxt", "nxt_t").alias("nxt"))
-    links = stored(links.where(F.col("nxt").isNotNull()), "links")
-    openers = stored(rows.groupBy(*key).agg(F.min("seq").alias("seq")).select("host", "seq"), "openers")
-    while True:
-        step = openers.withColumnRenamed("seq", "frm").join(links, ["host", "frm"]).select("host", F.col("nxt").alias("seq"))
-        step = stored(step, "step")
-        if step.isEmpty():
-            break
-        openers = stored(openers.unionByName(step), "openers")
-        far = links.select("host", F.col("frm").alias("nxt"), F.col("nxt").alias("_far"))
-        links = stored(links.join(far, ["host", "nxt"]).select("host", "frm", F.col("_far").alias("nxt")), "links")
-    marked = rows.join(openers.withColumn("_opens", F.lit(True)), ["host", "seq"], "left")
-    marked = scan(marked, ["host"], F.when(F.col("_opens"), F.struct("seq", "t")), "_open", size=size)
-    return _spans(marked.select("host", "seq", "t", F.col("_open.seq").alias("open_seq"), F.col("_open.t").alias("open_t")))
-
-
-def find_captures(
-    matches: DataFrame, params: CaptureParams, size: int = BUCKET, fold_limit: int = FOLD_LIMIT
-) -> DataFrame:
+def find_captures(matches: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
     """Captures with all limits: one row per capture with its opener, its last match, the
     time it lasts `until`, and the highest line number it may reach.
 
-    Matches that one task may read are cut in one pass per source. With more of them, runs
-    that no open capture can survive between are independent: the first capture of every
-    run is a plain aggregate, only matches beyond it are cut, run by run, and runs that are
-    themselves too long are linked.
+    Where a capture ends depends on where it began, along a whole source. In each bucket the way
+    from every possible opener to the bucket's last one is worked out by itself, and told in one row of
+    a few steps; these rows are carried along the source, which gives every bucket the capture that
+    comes into it, and then the buckets are cut by themselves.
     """
-    if matches.count() <= fold_limit:
-        found = _folded(matches.withColumn("island_seq", F.lit(0).cast("long")), params)
-    else:
-        gap = min(params.window_us, params.longest_us) if params.longest_us else params.window_us
-        rows = stored(islands(matches, gap, params.reach, size), "islands")
-        inside = F.col("seq") <= F.col("island_seq") + params.reach
-        if params.longest_us:
-            inside = inside & (F.col("t") <= F.col("island_t") + params.longest_us)
-        first = _spans(rows.where(inside).withColumnsRenamed({"island_seq": "open_seq", "island_t": "open_t"}))
-        rest = rows.where(~inside)
-        counts = rest.groupBy("host", "island_seq").agg(F.count("*").alias("_n"))
-        over = stored(counts.where(F.col("_n") > fold_limit).drop("_n"), "long_islands")
-        if over.isEmpty():
-            found = first.unionByName(_folded(rest, params))
-        else:
-            short = _folded(rest.join(over, ["host", "island_seq"], "left_anti"), params)
-            long = stored(rest.join(over, ["host", "island_seq"], "left_semi"), "long_rows")
-            found = first.unionByName(short).unionByName(_linked(long, params, size))
+    rows = matches.select("host", bucket_of(F.col("seq"), size).alias("bucket"), "seq", "t")
+    steps = rows.groupBy("host", "bucket").applyInPandas(_summarised(params), SUMMARY_SCHEMA)
+    steps = steps.repartition("host").sortWithinPartitions("host", "bucket")
+    into = steps.mapInPandas(_carried(params), "host string, bucket bigint, into_seq bigint, into_t bigint")
+    parts = rows.join(into, ["host", "bucket"]).groupBy("host", "bucket").applyInPandas(_cut(params), CUT_SCHEMA)
+    found = parts.groupBy("host", "open_seq", "open_t").agg(
+        F.max("last_seq").alias("last_seq"), F.max("last_t").alias("last_t"), F.sum("n_matches").alias("n_matches")
+    )
     until = F.col("last_t") + params.window_us
     if params.longest_us:
         until = F.least(until, F.col("open_t") + params.longest_us)
@@ -204,17 +215,13 @@ def line_index(lines: DataFrame, size: int = BUCKET) -> DataFrame:
     )
 
 
-def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size: int, window_limit: int) -> DataFrame:
+def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size: int) -> DataFrame:
     """Rows (host, bucket, at, rank, event) saying which capture is current and which is
     next from line `at` on. A capture is repeated at the start of each later bucket that
     can still hold one of its lines or a context line of the next capture."""
     this = F.struct("open_seq", "open_t", "until", "limit_seq")
     rows = captures.select("host", "open_seq", "open_t", "until", "limit_seq")
-    if captures.count() <= window_limit:
-        in_order = Window.partitionBy("host").orderBy("open_seq")
-        chained = rows.select("*", F.lag(this).over(in_order).alias("before"), F.lead(this).over(in_order).alias("after"))
-    else:
-        chained = neighbours(rows, ["host"], this, "open_seq", size)
+    chained = neighbours(rows, ["host"], this, "open_seq", size)
     nothing = F.lit(None).cast("struct<open_seq:bigint,open_t:bigint,until:bigint,limit_seq:bigint>")
     # What holds from a capture's opener on, and, for a source's first capture, before it.
     states = F.array(
@@ -224,10 +231,8 @@ def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size
     states = chained.select("host", F.explode(F.filter(states, lambda s: s.isNotNull())).alias("event"))
     now, nxt = "event.now", "event.next"
     own_bucket = bucket_of(F.col(f"{now}.open_seq"), size)
-    reach = F.col(f"{now}.limit_seq")
-    if params.reach > 1000 * size:
-        states = states.join(index.groupBy("host").agg(F.max("high_seq").alias("_end")), "host")
-        reach = F.least(reach, F.col("_end"))
+    states = states.join(index.groupBy("host").agg(F.max("high_seq").alias("_end")), "host")
+    reach = F.least(F.col(f"{now}.limit_seq"), F.col("_end"))
     last_bucket = bucket_of(F.coalesce(F.col(f"{nxt}.open_seq"), reach), size)
     zero = F.lit(0).cast("long")
     spread = states.select(
@@ -247,25 +252,20 @@ def _openings(captures: DataFrame, index: DataFrame, params: CaptureParams, size
 
 
 def capture_lines(
-    labelled: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET,
-    broadcast_limit: int = BROADCAST_BUCKETS, window_limit: int = WINDOW_CAPTURES,
+    labelled: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET
 ) -> DataFrame:
     """Every captured line with its one owner and role: open, match, after or context.
 
     A line belongs to the capture open when it was read, else as context to the next
     capture if it is at most capture_time older. In each bucket, lines and openings are
     sorted together and the latest opening is carried down, so no line meets more than one
-    capture. Buckets no capture touches are left out before the shuffle while the list of
-    touched ones is small enough to broadcast; beyond that most lines are needed anyway.
+    capture. Lines of buckets that no capture touches are left out by a semi join on (source, bucket).
     """
     index = line_index(labelled, size)
-    events = stored(_openings(captures, index, params, size, window_limit), "openings")
+    events = stored(_openings(captures, index, params, size), "openings")
     extra = [c for c in ("always",) if c in labelled.columns]
     lines = labelled.withColumn("bucket", bucket_of(F.col("seq"), size))
-    if events.count() <= broadcast_limit:
-        touched = events.select("host", "bucket").distinct()
-        lines = lines.join(F.broadcast(touched), ["host", "bucket"], "left_semi")
-    lines = lines.select(
+    lines = lines.join(events.select("host", "bucket").distinct(), ["host", "bucket"], "left_semi").select(
         "host", "bucket", F.col("seq").alias("at"), F.lit(2).alias("rank"), "ts", "t", "line", "label", *extra
     )
     latest = Window.partitionBy("host", "bucket").orderBy("at", "rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -310,7 +310,7 @@ def capture_members(held: DataFrame) -> DataFrame:
 
 
 def capture_summary(held: DataFrame, ends: DataFrame, params: CaptureParams) -> DataFrame:
-    """One row per capture: pattern, matched line, span, counts and why it ended.
+    """One row per capture: pattern, matched line (opening_line as it was read), span, counts and why it ended.
     `ends` gives each source's last line time (host, end_t)."""
     after = F.col("role").isin("match", "after")
     member = F.col("role") != "context"
@@ -324,7 +324,8 @@ def capture_summary(held: DataFrame, ends: DataFrame, params: CaptureParams) ->
         F.count_if(F.col("is_match") & member).alias("n_matches"),
     )
     openers = held.where(F.col("role") == "open").select(
-        "host", "open_seq", F.col("label").alias("pattern"), strip(F.col("line")).alias("matched_line")
+        "host", "open_seq", F.col("label").alias("pattern"), strip(F.col("line")).alias("matched_line"),
+        F.col("line").alias("opening_line"),
     )
     longest = F.lit(bool(params.longest_us)) & (F.col("until") == F.col("open_t") + params.longest_us)
     reason = (

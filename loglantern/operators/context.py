@@ -24,13 +24,13 @@ def expand(ranges: DataFrame, low: str, high: str, size: int = BUCKET) -> DataFr
     )
 
 
-def overlapping_context(held: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
+def overlapping_context(held: DataFrame, captures: DataFrame, params: CaptureParams) -> DataFrame:
     """The whole look-back window of every capture as a span of line numbers, lines that
     other captures hold included. Every line of a window is a captured line, so only
     `held` is searched."""
     points = held.select("host", F.col("t").alias("at"), F.col("seq").alias("first_seq"))
     probes = captures.select("host", (F.col("open_t") - params.window_us).alias("at"), "open_seq", "open_t")
-    found = asof_next(points, probes, ["host"], "at", "first_seq", "first_seq", "first_seq", size)
+    found = asof_next(points, probes, ["host"], "at", "first_seq", "first_seq", "first_seq")
     return found.select(
         "host", "open_seq", "open_t", "first_seq", (F.col("open_seq") - 1).alias("last_seq"),
         (F.col("open_seq") - F.col("first_seq")).alias("n_lines"),
@@ -53,7 +53,7 @@ def context_byte_cap(held: DataFrame, spans: DataFrame, params: CaptureParams, s
     openers = sized.where(F.col("role") == "open").select("host", F.col("seq").alias("open_seq"), "before")
     probes = openers.select("host", "open_seq", (F.col("before") - params.context_bytes).alias("at"))
     points = sized.select("host", F.col("before").alias("at"), F.col("seq").alias("fits"))
-    fits = asof_next(points, probes, ["host"], "at", "fits", "fits", "fits", size).select("host", "open_seq", "fits")
+    fits = asof_next(points, probes, ["host"], "at", "fits", "fits", "fits").select("host", "open_seq", "fits")
     kept = F.when(
         F.col("n_lines") > 0, F.least(F.greatest("first_seq", "fits"), F.col("last_seq"))
     ).otherwise(F.col("first_seq"))
@@ -138,7 +138,7 @@ def left_out_counts(ranges: DataFrame, size: int = BUCKET) -> DataFrame:
         "host", F.col("kept_first").alias("at"), "open_seq",
         (F.col("nth") - F.col("reusable").cast("long")).alias("_to"),
     )
-    spans = asof_next(points, probes, ["host"], "at", "_from", "_from", "_from", size)
+    spans = asof_next(points, probes, ["host"], "at", "_from", "_from", "_from")
     pairs = expand(spans.withColumnRenamed("at", "kept_first"), "_from", "_to", size).withColumnRenamed("seq", "nth")
     return (
         pairs.join(holders, ["host", "nth"])

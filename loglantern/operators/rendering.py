@@ -15,6 +15,7 @@ PATTERN_ROW = "Matched pattern: "
 LINE_ROW = "Matched line:    "
 AT_ROW = "Captured at:     "
 SINCE_ROW = "Logs since "
+INDEX_FOR, INDEX_TO = " Captured logs for ", " to "
 MATCH_MARK = "-> "
 SELF_MARK = "loglantern-self"
 
@@ -54,7 +55,7 @@ def capture_index(named: DataFrame) -> DataFrame:
     saved = named.where(F.col("reusable")) if "reusable" in named.columns else named
     return saved.select(
         "host", "open_seq",
-        F.concat(iso_time(F.col("open_t")), F.lit(" Captured logs for "), "pattern", F.lit(" to "), "path").alias("entry"),
+        F.concat(iso_time(F.col("open_t")), F.lit(INDEX_FOR), "pattern", F.lit(INDEX_TO), "path").alias("entry"),
     )
 
 
@@ -72,12 +73,12 @@ def header_rows(captures: DataFrame, params: CaptureParams, captured_at: str) ->
     """Rule, pattern, matched line, time, rule, start of the window, and the note on dropped context."""
     dropped = F.when(
         F.col("context_truncated"),
-        F.lit(f"Older lines were dropped to stay within {params.context_bytes} bytes of context ..."),
+        F.lit(f"Earlier lines did not fit into {params.context_bytes} bytes of context ..."),
     )
     texts = F.array(
         F.lit(RULE),
         F.concat(F.lit(PATTERN_ROW), F.col("pattern")),
-        F.concat(F.lit(LINE_ROW), F.col("matched_line")),
+        F.concat(F.lit(LINE_ROW), F.col("opening_line")),
         F.lit(AT_ROW + captured_at),
         F.lit(RULE),
         F.concat(F.lit(SINCE_ROW), iso_time(F.col("open_t") - params.window_us), F.lit(":")),
@@ -91,7 +92,7 @@ def left_out_rows(left_out: DataFrame, paths: DataFrame) -> DataFrame:
     where = paths.select("host", F.col("open_seq").alias("held_by_seq"), F.col("path").alias("_path"))
     return left_out.join(where, ["host", "held_by_seq"]).select(
         "host", "open_seq", F.lit(NOTES).alias("part"), F.col("held_by_seq").alias("pos"),
-        F.concat(F.col("n").cast("string"), F.lit(" lines of this window are left out: they are in "), "_path").alias("text"),
+        F.concat(F.col("n").cast("string"), F.lit(" earlier lines stand in "), "_path").alias("text"),
     )
 
 
@@ -103,19 +104,15 @@ def body_rows(written: DataFrame) -> DataFrame:
 
 
 def trailer_rows(captures: DataFrame, params: CaptureParams, ended_at: str) -> DataFrame:
-    cap = params.line_count_max
+    # Over time means that it was still open then: a line cap or the end of the input may come first.
+    limit = F.col("open_t") + params.longest_us
+    over = F.lit(bool(params.longest_us)) & ((F.col("end_reason") == "time_max") | (F.col("end_t") >= limit))
     texts = F.array(
-        F.when(
-            F.col("lines_after") > cap,
-            F.lit(f"Captured line count exceeded capture_line_count_max {cap}. Truncated to {cap} lines."),
-        ),
-        F.when(
-            F.lit(bool(params.longest_us)) & (F.col("until") == F.col("open_t") + params.longest_us),
-            F.lit(f"Capture reached capture_time_max of {params.capture_time_max} seconds. A later match starts a new capture."),
-        ),
+        F.when(F.col("lines_after") > params.line_count_max, F.lit(f"Stopped by the limit of {params.line_count_max} lines.")),
+        F.when(over, F.lit(f"Stopped by the limit of {params.capture_time_max} seconds; the next match opens another capture.")),
         F.lit(RULE),
-        F.lit(f"End of capture at {ended_at}"),
-        F.concat(F.lit("Captured "), F.col("lines_after").cast("string"), F.lit(" lines after first match.")),
+        F.lit(f"Closed at {ended_at}"),
+        F.concat(F.col("lines_after").cast("string"), F.lit(" lines followed the opening one.")),
         F.lit(RULE),
         F.lit(RULE),
     )
@@ -137,10 +134,10 @@ def render_capture(
 def append_analysis(rendered: DataFrame, verdicts: DataFrame, mark: str = SELF_MARK) -> DataFrame:
     """Add the verdict, or why there is none, as marked rows after each capture."""
     told = F.concat(
-        F.lit("LLM analysis\ntitle: "), F.col("title"), F.lit("\nnotify: "), F.col("notify").cast("string"),
+        F.lit("Verdict\ntitle: "), F.col("title"), F.lit("\nnotify: "), F.col("notify").cast("string"),
         F.lit("\nsummary:\n"), F.col("summary"),
     )
-    text = F.when(F.col("error").isNull(), told).otherwise(F.concat(F.lit("LLM analysis failed: "), F.col("error")))
+    text = F.when(F.col("error").isNull(), told).otherwise(F.concat(F.lit("No verdict: "), F.col("error")))
     ends = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
     rows = F.split(F.regexp_replace(text, rf"(?:{ends})\z", ""), ends)
     marked = F.concat(F.array(F.lit("")), F.transform(rows, lambda row: F.concat(F.lit(mark + " "), row)))

@@ -3,6 +3,9 @@ Everything is an outbox table; nothing is sent."""
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,55 +48,61 @@ def model_request(captures: DataFrame, params: RequestParams, salt: str) -> Data
     return captures.where(F.col("path").isNotNull()).select("host", "open_seq", F.to_json(message).alias("request"))
 
 
-def _kind(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _plain(value) -> str:
+    return str(value).encode("utf-8", "replace").decode()
+
+
+def _object_in(texts):
+    """The first of the texts that is JSON, and whether any is."""
+    for text in texts:
+        try:
+            return json.loads(text), True
+        except (ValueError, RecursionError):
+            continue
+    return None, False
 
 
-def _shown(value: Column) -> Column:
-    """A JSON value as text: strings as they are, booleans capitalised."""
-    text = F.try_variant_get(value, "$", "string")
-    kind = _kind(value)
-    return F.when(kind == "BOOLEAN", F.initcap(text)).when(kind != "VOID", F.coalesce(text, F.to_json(value)))
+@F.pandas_udf("struct<kind:string,title:string,summary:string,notify:boolean>")
+def _read_reply(whole: pd.Series, inner: pd.Series) -> pd.DataFrame:
+    """What a reply says: its whole text as JSON, else the part from its first to its last brace.
+
+    Python's reader sets the rule: nothing may follow the value, of equal keys the last counts, NaN is a number."""
+    rows = []
+    for texts in zip(whole, inner, strict=True):
+        value, found = _object_in(t for t in texts if t is not None)
+        if not isinstance(value, dict):
+            rows.append(("other" if found else "none", None, None, None))
+            continue
+        title, summary, notify = (value.get(k) for k in ("title", "summary", "notify"))
+        rows.append(("object", _plain(title or ""), "" if summary is None else _plain(summary), notify if isinstance(notify, bool) else None))
+    return pd.DataFrame(rows, columns=["kind", "title", "summary", "notify"])
 
 
 def parse_verdict(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Add title, summary, notify and error from a model's reply: a JSON object, alone, in a
     ``` fence or inside other text. notify must be a JSON boolean and title not empty."""
     ends = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}])"
-    fenced = F.regexp_replace(strip(F.col(reply)), rf"\A```.*?(?:{ends}|\z)", "")
+    whole = strip(F.col(reply))
+    fenced = F.regexp_replace(whole, rf"\A```.*?(?:{ends}|\z)", "")
     unfenced = strip(F.regexp_replace(fenced, rf"(?s)(?:\A|{ends})(?:(?!{ends})\s)*```(?:(?!{ends}).)*\z", ""))
-    text = F.when(F.col("_all").startswith("```"), unfenced).otherwise(F.col("_all"))
+    rows = replies.withColumn("_text", F.when(whole.startswith("```"), unfenced).otherwise(whole))
     first, last = F.locate("{", F.col("_text")), F.length("_text") - F.locate("}", F.reverse("_text")) + 1
-    inner = F.when(
-        (first > 0) & F.col("_text").contains("}") & (last > first),
-        F.substr(F.col("_text"), first, last - first + 1),
-    )
-    listed = F.col("_text").rlike(r'(?s)\A(?:\[.*\]|".*"|[-+0-9.eE]+|true|false|null)\z') & F.try_parse_json(F.col("_text")).isNotNull()
-    rows = (
-        replies.withColumn("_all", strip(F.col(reply)))
-        .withColumn("_text", text)
-        .withColumn("_listed", listed)
-        .withColumn("_json", F.try_parse_json(inner))
-        .withColumn("_object", _kind(F.col("_json")).startswith("OBJECT"))
-    )
-    title_json = F.try_variant_get("_json", "$.title", "variant")
-    summary_json = F.try_variant_get("_json", "$.summary", "variant")
-    empty = title_json.isNull() | _shown(title_json).isin("False", "0", "0.0", "[]", "{}") & (_kind(title_json) != "STRING")
-    rows = rows.withColumn("_title", F.when(empty, F.lit("")).otherwise(strip(flatten_text(_shown(title_json)))))
-    notify_json = F.try_variant_get("_json", "$.notify", "variant")
+    braced = (first > 0) & F.col("_text").contains("}") & (last > first)
+    rows = rows.withColumn("_inner", F.when(braced, F.substr(F.col("_text"), first, last - first + 1)))
+    rows = rows.withColumn("_said", _read_reply("_text", "_inner")).withColumn("_title", strip(flatten_text(F.col("_said.title"))))
     error = (
-        F.when(F.col("_listed"), "the reply's JSON is not an object")
-        .when(F.col("_json").isNull() | ~F.col("_object"), "the reply holds no JSON object")
-        .when(F.coalesce(_kind(notify_json), F.lit("VOID")) != "BOOLEAN", "notify is not a boolean")
-        .when(F.coalesce(F.col("_title"), F.lit("")) == "", "title is missing")
+        F.when(F.col("_said.kind") == "none", "the reply holds no JSON object")
+        .when(F.col("_said.kind") == "other", "the reply's JSON is not an object")
+        .when(F.col("_said.notify").isNull(), "notify is not a boolean")
+        .when(F.col("_title") == "", "title is missing")
     )
     rows = rows.withColumn("error", error)
     good = F.col("error").isNull()
     return (
         rows.withColumn("title", F.when(good, cut(F.col("_title"), HEADER_MAX)))
-        .withColumn("summary", F.when(good, F.coalesce(_shown(summary_json), F.lit(""))))
-        .withColumn("notify", F.when(good, F.try_variant_get("_json", "$.notify", "boolean")))
-        .drop("_all", "_text", "_listed", "_json", "_object", "_title")
+        .withColumn("summary", F.when(good, F.col("_said.summary")))
+        .withColumn("notify", F.when(good, F.col("_said.notify")))
+        .drop("_text", "_inner", "_said", "_title")
     )
 
 

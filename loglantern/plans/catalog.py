@@ -440,18 +440,18 @@ def push_request(spark, sf):
 
 def replies(spark, sf):
     """Conversation turns as model replies: bare, fenced, inside other text, and broken in several ways."""
-    n = F.col("conv_id") * 7 + F.col("turn")
-    good = F.to_json(F.struct(F.concat(F.lit("On\n"), F.left("text", F.lit(250))).alias("title"), F.col("text").alias("summary"), (n % 2 == 0).alias("notify")))
-    reply = (
-        F.when(n % 8 == 0, good)
-        .when(n % 8 == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
-        .when(n % 8 == 2, F.concat(F.lit("Here it is: "), good, F.lit(" Done.")))
-        .when(n % 8 == 3, F.col("text"))
-        .when(n % 8 == 4, F.concat(F.lit("["), good, F.lit("]")))
-        .when(n % 8 == 5, F.lit('{"title": "t", "summary": "s", "notify": "true"}'))
-        .when(n % 8 == 6, F.lit('{"title": "  ", "summary": null, "notify": true}'))
-        .otherwise(F.lit('{"title": 5, "notify": false, "more": [1]}'))
-    )
+    n = (F.col("conv_id") * 7 + F.col("turn")) % 13
+    notify = (F.col("conv_id") + F.col("turn")) % 2 == 0
+    good = F.to_json(F.struct(F.concat(F.lit("On\n"), F.left("text", F.lit(250))).alias("title"), F.col("text").alias("summary"), notify.alias("notify")))
+    forms = [
+        good, F.concat(F.lit("```json\n"), good, F.lit("\n```")), F.concat(F.lit("Here it is: "), good, F.lit(" Done.")), F.col("text"),
+        F.concat(F.lit("["), good, F.lit("]")), F.lit('{"title": "t", "summary": "s", "notify": "true"}'),
+        F.lit('{"title": "  ", "summary": null, "notify": true}'), F.lit('{"title": 5, "notify": false, "more": [1]}'),
+        F.concat(good, F.lit(' and {"b": 1}')), F.concat(good, F.lit(" junk }")),
+        F.lit('{"title": "first", "title": "last", "notify": true, "notify": false}'), F.lit('{"title": "t", "n": NaN, "notify": true}'),
+        F.lit('{"title": "t", "summary": 12345678901234567890123456789012345678901234, "notify": true}'),
+    ]
+    reply = F.element_at(F.array(*forms), (n + 1).cast("int"))
     return table(spark, sf, "conversations").select("conv_id", "turn", reply.alias("reply"))
 
 

@@ -92,6 +92,7 @@ SUMMARY = CAPPED + f""",
 rolled AS (
   SELECT host, open_seq, open_t, until, max(seq) AS end_seq, max(t) AS end_t,
          max(CASE WHEN role = 'open' THEN label END) AS pattern, max(CASE WHEN role = 'open' THEN trim(line) END) AS matched_line,
+         max(CASE WHEN role = 'open' THEN line END) AS opening_line,
          count(*) - 1 AS lines_after, count(label) AS n_matches
   FROM members GROUP BY host, open_seq, open_t, until),
 summary AS (
@@ -144,20 +145,22 @@ RULE = "-" * 80
 RENDERED = WRITTEN + NAMED.replace("FROM_TABLE", "runs") + f""",
 header AS (
   SELECT host, open_seq, unnest([0, 1, 2, 3, 4, 5, 6]) AS pos, unnest([
-    '{RULE}', 'Matched pattern: ' || pattern, 'Matched line:    ' || matched_line, 'Captured at:     {NOW}', '{RULE}',
+    '{RULE}', 'Matched pattern: ' || pattern, 'Matched line:    ' || opening_line, 'Captured at:     {NOW}', '{RULE}',
     'Logs since ' || {iso(f'(open_t - {T})')} || ':',
-    CASE WHEN kept_first > first_seq THEN 'Older lines were dropped to stay within {BYTES} bytes of context ...' END]) AS text
+    CASE WHEN kept_first > first_seq THEN 'Earlier lines did not fit into {BYTES} bytes of context ...' END]) AS text
   FROM named),
 trailer AS (
   SELECT host, open_seq, unnest([0, 1, 2, 3, 4, 5, 6]) AS slot, unnest([
-    CASE WHEN lines_after > {CAP} THEN 'Captured line count exceeded capture_line_count_max {CAP}. Truncated to {CAP} lines.' END,
-    CASE WHEN until = open_t + {M} THEN 'Capture reached capture_time_max of {M // 1000000} seconds. A later match starts a new capture.' END,
-    '{RULE}', 'End of capture at {NOW}', 'Captured ' || lines_after || ' lines after first match.', '{RULE}', '{RULE}']) AS text
+    CASE WHEN lines_after > {CAP} THEN 'Stopped by the limit of {CAP} lines.' END,
+    -- the time of closing: the capping line's, the end of the input, else the time the capture lasts until
+    CASE WHEN open_t + {M} <= CASE end_reason WHEN 'line_cap' THEN end_t WHEN 'end_of_input' THEN end_t ELSE until END
+         THEN 'Stopped by the limit of {M // 1000000} seconds; the next match opens another capture.' END,
+    '{RULE}', 'Closed at {NOW}', lines_after || ' lines followed the opening one.', '{RULE}', '{RULE}']) AS text
   FROM named),
 rendered AS (
   SELECT host, open_seq, CAST(0 AS BIGINT) AS part, CAST(pos AS BIGINT) AS pos, text FROM header WHERE text IS NOT NULL
   UNION ALL
-  SELECT l.host, l.open_seq, 1, l.held_by_seq, l.n || ' lines of this window are left out: they are in ' || p.path
+  SELECT l.host, l.open_seq, 1, l.held_by_seq, l.n || ' earlier lines stand in ' || p.path
   FROM left_out l JOIN named p ON p.host = l.host AND p.open_seq = l.held_by_seq
   UNION ALL
   SELECT host, open_seq, 2, seq, CASE WHEN is_match THEN '-> ' || trim(line) ELSE line END FROM written
@@ -247,9 +250,6 @@ entries AS (
     CASE WHEN event_id % 17 <> 0 THEN message || CASE WHEN event_id % 6 = 0 THEN chr(10) || chr(10) || 'second ' || pid ELSE '' END END AS message
   FROM raw)"""
 
-CONVERSATIONS = """
-n AS (SELECT *, conv_id * 7 + turn AS k FROM conversations)"""
-
 USAGE = """
 usage AS (
   SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(o_custkey + 1000) AS BIGINT) AS bytes FROM orders GROUP BY 1)"""
@@ -358,8 +358,8 @@ grouped AS (SELECT *, sum(CASE WHEN before IS NULL OR low > before + 1 THEN 1 EL
     "render_capture": captured(RENDERED, "SELECT host, open_seq, part, pos, text FROM rendered"),
     "append_analysis": captured(INCIDENTS + """,
 notes AS (
-  SELECT host, open_seq, CASE WHEN v_notify IS NULL THEN ['LLM analysis failed: no answer']
-    ELSE list_concat(['LLM analysis', 'title: ' || v_title, 'notify: ' || CAST(v_notify AS VARCHAR), 'summary:'], [v_summary, matched_line]) END AS texts
+  SELECT host, open_seq, CASE WHEN v_notify IS NULL THEN ['No verdict: no answer']
+    ELSE list_concat(['Verdict', 'title: ' || v_title, 'notify: ' || CAST(v_notify AS VARCHAR), 'summary:'], [v_summary, matched_line]) END AS texts
   FROM incidents)""",
         "SELECT host, open_seq, CAST(0 AS BIGINT) AS pos, '' AS text FROM notes UNION ALL "
         "SELECT host, open_seq, unnest(generate_series(1, len(texts))), 'loglantern-self ' || unnest(texts) FROM notes"),
@@ -381,14 +381,35 @@ room AS (SELECT doc_id, max(i) FILTER (fits) AS n FROM fitting GROUP BY doc_id)"
     "push_request": captured(INCIDENTS,
         "SELECT host, open_seq, title, CAST(3 AS BIGINT) AS priority, replace(body_text, chr(10), ' / ') || chr(10) || coalesce(path, 'capture not saved; see the log') AS body "
         "FROM routed WHERE mode = 'model' AND to_phone"),
-    "parse_verdict": query(CONVERSATIONS + r""",
-t AS (SELECT *, trim(regexp_replace('On / ' || left(text, 250), '\r\n|\r|\n', ' / ', 'g')) AS full_title FROM n)""",
-        """SELECT conv_id, turn,
-  CASE WHEN k % 8 = 3 THEN 'the reply holds no JSON object' WHEN k % 8 = 4 THEN 'the reply''s JSON is not an object'
-       WHEN k % 8 = 5 THEN 'notify is not a boolean' WHEN k % 8 = 6 THEN 'title is missing' END AS error,
-  CASE WHEN k % 8 < 3 THEN CASE WHEN length(full_title) > 200 THEN rtrim(left(full_title, 200)) ELSE full_title END WHEN k % 8 = 7 THEN '5' END AS title,
-  CASE WHEN k % 8 < 3 THEN text WHEN k % 8 = 7 THEN '' END AS summary,
-  CASE WHEN k % 8 < 3 THEN k % 2 = 0 WHEN k % 8 = 7 THEN FALSE END AS notify FROM t"""),
+    # A reply is JSON as a whole (fences off), else its part from the first to the last brace; of equal keys the last counts.
+    "parse_verdict": query(r"""
+replies AS (
+  SELECT conv_id, turn, (conv_id * 7 + turn) % 13 AS n, text, json_object('title', 'On' || chr(10) || left(text, 250), 'summary', text,
+    'notify', (conv_id + turn) % 2 = 0)::VARCHAR AS good FROM conversations),
+told AS (
+  SELECT conv_id, turn, [good, '```json' || chr(10) || good || chr(10) || '```', 'Here it is: ' || good || ' Done.', text, '[' || good || ']',
+    '{"title": "t", "summary": "s", "notify": "true"}', '{"title": "  ", "summary": null, "notify": true}', '{"title": 5, "notify": false, "more": [1]}',
+    good || ' and {"b": 1}', good || ' junk }', '{"title": "first", "title": "last", "notify": true, "notify": false}',
+    '{"title": "t", "n": NaN, "notify": true}', '{"title": "t", "summary": 12345678901234567890123456789012345678901234, "notify": true}'][n + 1] AS reply
+  FROM replies),
+bare AS (SELECT conv_id, turn, regexp_replace(regexp_replace(reply, '^```[^\n]*\n', ''), '\n```$', '') AS t FROM told),
+cuts AS (SELECT *, regexp_extract(t, '(?s)\{.*\}') AS inner_part FROM bare),
+read AS (SELECT *, CASE WHEN json_valid(t) THEN t WHEN json_valid(inner_part) THEN inner_part END AS v FROM cuts),
+seen AS (
+  SELECT conv_id, turn, v, json_type(v) AS kind, json_type(json_extract(v, '$.notify')) AS notify_kind,
+    len(regexp_extract_all(v, '"title": ')) > 1 AS twice, json_extract_string(v, '$.title') AS title, json_extract_string(v, '$.summary') AS summary,
+    json_extract_string(v, '$.notify') = 'true' AS notify FROM read),
+last AS (
+  SELECT * REPLACE (CASE WHEN twice THEN list_extract(regexp_extract_all(v, '"title": "([^"]*)"', 1), -1) ELSE title END AS title,
+    CASE WHEN twice THEN list_extract(regexp_extract_all(v, '"notify": (true|false)', 1), -1) = 'true' ELSE notify END AS notify) FROM seen),
+judged AS (
+  SELECT *, trim(regexp_replace(title, '\r\n|\r|\n', ' / ', 'g')) AS flat,
+    CASE WHEN v IS NULL THEN 'the reply holds no JSON object' WHEN kind <> 'OBJECT' THEN 'the reply''s JSON is not an object'
+         WHEN notify_kind IS DISTINCT FROM 'BOOLEAN' THEN 'notify is not a boolean'
+         WHEN coalesce(trim(title), '') = '' THEN 'title is missing' END AS error FROM last)""",
+        """SELECT conv_id, turn, error,
+  CASE WHEN error IS NULL THEN CASE WHEN length(flat) > 200 THEN rtrim(left(flat, 200)) ELSE flat END END AS title,
+  CASE WHEN error IS NULL THEN coalesce(summary, '') END AS summary, CASE WHEN error IS NULL THEN notify END AS notify FROM judged"""),
     "write_captures": captured(CAPTURES, """SELECT strftime(make_timestamp(open_t), '%Y-%m') AS month, host, open_seq, seq, role, line FROM members
 UNION ALL SELECT strftime(make_timestamp(c.open_t), '%Y-%m'), o.host, o.open_seq, o.seq, 'context', l.line
 FROM owned o JOIN captures c USING (host, open_seq) JOIN lines l ON l.host = o.host AND l.seq = o.seq"""),

@@ -13,34 +13,36 @@ from pyspark.sql import functions as F
 from .scratch import stored
 
 BUCKET = 65536
-# Rows that a window over one key may hold in one task; with more, the work is split.
-WINDOW_ROWS = 2_000_000
 
 
 def bucket_of(seq: Column, size: int = BUCKET) -> Column:
     return F.call_function("div", seq, F.lit(size).cast("long"))
 
 
-def number_rows(df: DataFrame, key: list[str], order: list[str], out: str = "seq") -> DataFrame:
-    """Number rows 1.. per key in the given order.
+def placed(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """df in the given order per key, written once, with its partition `_part` and a rising `_place`.
 
-    Rows are range partitioned on (key, order), so a busy key spreads over many
-    partitions. The sorted rows are written once with their place in the partition;
-    the numbers follow from one count per (key, partition).
-    """
-    placed = (
+    Rows are range partitioned on (key, order), so a busy key spreads over many partitions."""
+    rows = (
         df.repartitionByRange(*key, *order)
         .sortWithinPartitions(*key, *order)
         .withColumn("_place", F.monotonically_increasing_id())
     )
-    rows = stored(placed, "numbered").withColumn("_part", F.shiftright("_place", 33))
+    return stored(rows, "placed").withColumn("_part", F.shiftright("_place", 33))
+
+
+def number_rows(df: DataFrame, key: list[str], order: list[str], out: str = "seq") -> DataFrame:
+    """Number rows 1.. per key in the given order: the place of a row in its partition, shifted by a count for
+    each (key, partition). Those counts are a row for each partition and key, whatever the number of rows;
+    they are written, so that the join knows their size and broadcasts them while they are small."""
+    rows = placed(df, key, order)
     runs = rows.groupBy(*key, "_part").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = runs.select(
         *key, "_part", (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift")
     )
     return (
-        rows.join(shifts, [*key, "_part"])
+        rows.join(stored(shifts, "shifts"), [*key, "_part"])
         .withColumn(out, F.col("_place") + F.col("_shift"))
         .drop("_part", "_place", "_shift")
     )
@@ -121,14 +123,13 @@ def neighbours(df: DataFrame, key: list[str], value: Column, seq: str = "seq", s
 
 
 def asof_next(
-    points: DataFrame, probes: DataFrame, key: list[str], at: str, value: str, tie: str, out: str,
-    size: int = BUCKET,
+    points: DataFrame, probes: DataFrame, key: list[str], at: str, value: str, tie: str, out: str
 ) -> DataFrame:
     """Give every probe the value of the first point of its key at or after it (null: none).
 
-    Points and probes are put in one order, and the next point's value is carried back
-    over the probes: no pairs. With more than WINDOW_ROWS of them they are numbered
-    first, and no group is larger than a bucket.
+    Points and probes are range partitioned in one order and written with their places. The next
+    point is carried back over the probes within each partition, and one row per (key, partition)
+    carries it over the partitions: no pairs, and no key in one task.
     """
     carried = [c for c in probes.columns if c not in key and c != at]
     types = dict(probes.dtypes)
@@ -142,13 +143,17 @@ def asof_next(
         F.lit(None).cast(dict(left.dtypes)["_point"]).alias("_point"),
         *carried,
     )
-    both, order = left.unionByName(right), ["_at", "_kind", "_tie"]
-    if points.count() + probes.count() <= WINDOW_ROWS:
-        later = Window.partitionBy(*key).orderBy(*map(F.desc, order)).rowsBetween(Window.unboundedPreceding, 0)
-        found = both.withColumn("_next", F.last("_point", ignorenulls=True).over(later))
-    else:
-        numbered = number_rows(both, key, order, out="_place_no")
-        found = scan(numbered, key, F.col("_point"), "_next", seq="_place_no", size=size, backwards=True)
+    both = placed(left.unionByName(right), key, ["_at", "_kind", "_tie"])
+    later = Window.partitionBy(*key, "_part").orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*key).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (
+        both.where(F.col("_kind") == 1).groupBy(*key, "_part").agg(F.min_by("_point", "_place").alias("_first"))
+        .unionByName(both.select(*key, "_part").distinct().withColumn("_first", F.lit(None).cast(dict(left.dtypes)["_point"])))
+        .groupBy(*key, "_part").agg(F.max("_first").alias("_first"))
+        .select(*key, "_part", F.last("_first", ignorenulls=True).over(after).alias("_beyond"))
+    )
+    found = both.withColumn("_here", F.last("_point", ignorenulls=True).over(later)).where(F.col("_kind") == 0)
+    found = found.join(firsts, [*key, "_part"]).withColumn("_next", F.coalesce("_here", "_beyond"))
     return found.where(F.col("_kind") == 0).select(
         *key, F.col("_at").alias(at), *carried, F.col(f"_next.{value}").alias(out)
     )

@@ -7,16 +7,14 @@ from pyspark.sql import functions as F
 from loglantern.operators import captures as cap
 from loglantern.operators import context as ctx
 from loglantern.params import CaptureParams
-from loglantern.plans import ordered
 from loglantern.plans.scratch import stored
 
 S = 1_000_000
 
 
-def run(labelled, params, size=65536, limit=cap.FOLD_LIMIT):
-    found = stored(cap.find_captures(cap.match_rows(labelled), params, size, limit), "found")
-    few = cap.BROADCAST_BUCKETS if limit > 10 else 0
-    held = stored(cap.capture_lines(labelled, found, params, size, few, few), "held")
+def run(labelled, params, size=65536):
+    found = stored(cap.find_captures(cap.match_rows(labelled), params, size), "found")
+    held = stored(cap.capture_lines(labelled, found, params, size), "held")
     return found, held
 
 
@@ -84,25 +82,24 @@ def random_hosts(seed, hosts, length):
 
 
 CASES = [
-    # T, M, cap, bucket, matches folded in one task, bytes of context
-    (10, 25, 4, 4, 10**6, 60),
-    (10, 25, 4, 7, 2, 60),
-    (5, 0, 2, 3, 3, 30),
-    (0, 0, 3, 5, 10**6, 1),
-    (0, 9, 0, 4, 1, 500),
-    (60, 12, 1000, 8, 4, 200),
+    # T, M, cap, bucket, bytes of context
+    (10, 25, 4, 4, 60),
+    (10, 25, 4, 7, 60),
+    (5, 0, 2, 3, 30),
+    (0, 0, 3, 5, 1),
+    (0, 9, 0, 4, 500),
+    (60, 12, 1000, 8, 200),
+    (60, 0, 7, 3, 200),
 ]
 
 
-@pytest.mark.parametrize("T,M,most,size,limit,budget", CASES)
-def test_against_line_by_line_model(log, monkeypatch, T, M, most, size, limit, budget):
-    if limit < 10:
-        monkeypatch.setattr(ordered, "WINDOW_ROWS", 0)
+@pytest.mark.parametrize("T,M,most,size,budget", CASES)
+def test_against_line_by_line_model(log, T, M, most, size, budget):
     hosts = random_hosts(T * 31 + M * 7 + most, 25, 70)
     params = CaptureParams(T, M, most, budget)
     labelled = stored(log(hosts), "log")
-    found, held = run(labelled, params, size, limit)
-    spans = stored(ctx.overlapping_context(held, found, params, size), "spans")
+    found, held = run(labelled, params, size)
+    spans = stored(ctx.overlapping_context(held, found, params), "spans")
     capped = ctx.context_byte_cap(held, spans, params, size)
     wide = ctx.context_byte_cap(held, spans, CaptureParams(T, M, most, 10**9), size)
     summary = cap.capture_summary(held, cap.source_ends(labelled), params)

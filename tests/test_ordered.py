@@ -51,15 +51,13 @@ def test_scans_and_neighbours(spark):
             assert got[(host, seqs[i])] == (seqs[i - 1], seqs[i + 1])
 
 
-@pytest.mark.parametrize("window_rows", [0, 1000])
-def test_asof_next(spark, monkeypatch, window_rows):
-    monkeypatch.setattr(ordered, "WINDOW_ROWS", window_rows)
+def test_asof_next(spark):
     rng = random.Random(3)
     points = [(h, rng.randint(0, 50), s) for h in ("a", "b") for s in range(1, 25)]
     probes = [(h, rng.randint(-5, 55), i) for h in ("a", "b", "c") for i in range(25)]
     left = spark.createDataFrame(points, "host string, at bigint, seq bigint")
     right = spark.createDataFrame(probes, "host string, at bigint, probe bigint")
-    got = {(r["host"], r["probe"]): r["hit"] for r in asof_next(left, right, ["host"], "at", "seq", "seq", "hit", 4).collect()}
+    got = {(r["host"], r["probe"]): r["hit"] for r in asof_next(left, right, ["host"], "at", "seq", "seq", "hit").collect()}
     for host, at, i in probes:
         later = sorted((a, s) for h, a, s in points if h == host and a >= at)
         assert got[(host, i)] == (later[0][1] if later else None)
