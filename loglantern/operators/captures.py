@@ -344,7 +344,8 @@ def capture_summary(held: DataFrame, ends: DataFrame, params: CaptureParams) ->
 
 
 def source_ends(lines: DataFrame) -> DataFrame:
-    return lines.groupBy("host").agg(F.max("t").alias("end_t"))
+    """The time of each source's last line; written, so that joins know how few rows there are."""
+    return stored(lines.groupBy("host").agg(F.max("t").alias("end_t")), "source-ends")
 
 
 def always_notify_rollup(held: DataFrame) -> DataFrame:

@@ -54,12 +54,15 @@ class OwnIdentity:
 
 @dataclass(frozen=True)
 class PatternVersion:
-    """A pattern set that holds for lines from_seq <= seq < to_seq (None: open end)."""
+    """A pattern set that holds for lines from_seq <= seq < to_seq (None: open end) and, where given, of times
+    from_t <= t < to_t in microseconds: a reload is one moment, and another line number in each source."""
 
     patterns: PatternSet
     from_seq: int = 0
     to_seq: int | None = None
     always: PatternSet = field(default_factory=PatternSet)
+    from_t: int | None = None
+    to_t: int | None = None
 
 
 def needle_of(glob: str) -> str | None:
@@ -178,12 +181,16 @@ def label_lines(
 def label_lines_versioned(
     lines: DataFrame, versions: list[PatternVersion], own: OwnIdentity | None = None
 ) -> DataFrame:
-    """label_lines with patterns that changed on the way: each line uses the version its seq falls in."""
+    """label_lines with patterns that changed on the way: each line uses the version its seq (and t) falls in."""
     label, always = F.lit(None).cast("string"), F.lit(False)
     for version in versions:
         holds = F.col("seq") >= version.from_seq
         if version.to_seq is not None:
             holds = holds & (F.col("seq") < version.to_seq)
+        if version.from_t is not None:
+            holds = holds & (F.col("t") >= version.from_t)
+        if version.to_t is not None:
+            holds = holds & (F.col("t") < version.to_t)
         found = match_label(F.col("line"), version.patterns, own)
         label = F.when(holds, found).otherwise(label)
         always = F.when(holds, always_notify_match(F.col("line"), found, version.always)).otherwise(always)

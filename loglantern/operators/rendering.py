@@ -34,9 +34,19 @@ def month_of(t: Column) -> Column:
     return F.date_format(F.timestamp_micros(t), "yyyy-MM")
 
 
+def group_of(host: Column) -> Column:
+    """The part of a month that holds a source's captures: one of 256."""
+    return F.left(F.md5(F.coalesce(host, F.lit("")).cast("binary")), F.lit(2))
+
+
+def stored_in(root: str, month: Column, host: Column) -> Column:
+    """The folder that write_rendered puts a capture's rows into."""
+    return F.concat(F.lit(f"{root}/month="), month, F.lit("/group="), group_of(host))
+
+
 def capture_name(captures: DataFrame, root: str) -> DataFrame:
-    """Add month, name and path: '<slug>_<open time>.log' under root/host/month; the same
-    name again gets -1, -2, ..."""
+    """Add month, name and path. The name is '<slug>_<open time>.log'; the same
+    name again gets -1, -2, ... The path is the folder that holds the capture's rows, and behind a '#' its host and name."""
     base = F.concat(
         F.col("slug"), F.lit("_"), F.date_format(F.timestamp_micros("open_t"), "yyyy-MM-dd'T'HH_mm_ss")
     )
@@ -45,7 +55,7 @@ def capture_name(captures: DataFrame, root: str) -> DataFrame:
     again = F.when(F.col("_nth") > 1, F.concat(F.lit("-"), (F.col("_nth") - 1).cast("string"))).otherwise("")
     return (
         numbered.withColumn("name", F.concat("_base", again, F.lit(".log")))
-        .withColumn("path", F.concat_ws("/", F.lit(root), "host", "month", "name"))
+        .withColumn("path", F.concat(stored_in(root, F.col("month"), F.col("host")), F.lit("#"), "host", F.lit("/"), "name"))
         .drop("_base", "_nth")
     )
 

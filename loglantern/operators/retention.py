@@ -8,11 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..params import check
+from .rendering import group_of, stored_in
 
 # A month in days, and the days a changed month is left alone.
 MONTH_DAYS = 30
 RECENT_DAYS = 1
-MONTH_PATH = r"/(?:month=)?([0-9]{4}-(?:0[1-9]|1[0-2]))/"
+MONTH_PATH = r"^/(?:month=)?([0-9]{4}-(?:0[1-9]|1[0-2]))/"
+# Names of folders that a compaction makes; readers skip names that begin so.
+FRESH, ASIDE = "_compact-", "_replaced-"
+COMPACTED = ".zstd.parquet"
+FILE_BYTES = 256 << 20
 
 
 def write_captures(lines: DataFrame, root: str, mode: str = "append") -> None:
@@ -28,23 +33,46 @@ def write_index(index: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def write_rendered(rendered: DataFrame, named: DataFrame, root: str, mode: str = "append") -> None:
-    """Each capture's text in a folder of its own: root/month/host/name, rows in order."""
+    """The rows of all captures as parquet, in the folders that their paths name: a folder for each month
+    and group of hosts, whatever the number of captures. Rows are clustered by capture; a large capture is split over files."""
     rows = rendered.join(named.select("host", "open_seq", "month", "name"), ["host", "open_seq"])
-    ordered = rows.repartition("month", "host", "name").sortWithinPartitions("month", "host", "name", "part", "pos")
-    ordered.select("month", "host", "name", "text").write.mode(mode).partitionBy("month", "host", "name").text(root, lineSep="\n")
+    rows = rows.withColumns({"group": group_of(F.col("host")), "_piece": F.call_function("div", F.col("pos"), F.lit(100_000).cast("long"))})
+    ordered = rows.repartition("month", "group", "host", "_piece").sortWithinPartitions("month", "group", "host", "name", "part", "pos")
+    ordered.select("month", "group", "host", "name", "part", "pos", "text").write.mode(mode).partitionBy("month", "group").parquet(root)
+
+
+def read_rendered(spark: SparkSession, root: str) -> DataFrame:
+    """month, host, name, part, pos, text, and the path of each row's capture."""
+    rows = spark.read.parquet(root)
+    month = F.regexp_extract(F.col("_metadata.file_path"), "/month=([^/]+)/group=[^/]+/[^/]+$", 1)
+    rows = rows.select(month.alias("month"), "host", "name", "part", "pos", "text")
+    return rows.withColumn("path", F.concat(stored_in(root, F.col("month"), F.col("host")), F.lit("#"), "host", F.lit("/"), "name"))
+
+
+def export_captures(spark: SparkSession, root: str, chosen: DataFrame, folder: str) -> None:
+    """A folder of text for each of some chosen captures (host, name): folder/host/name."""
+    rows = read_rendered(spark, root).join(chosen.select("host", "name"), ["host", "name"])
+    ordered = rows.repartitionByRange("host", "name", "part", "pos").sortWithinPartitions("host", "name", "part", "pos")
+    ordered.select("host", "name", "text").write.mode("append").partitionBy("host", "name").text(folder, lineSep="\n")
 
 
 def partition_usage(spark: SparkSession, root: str) -> DataFrame:
-    """Per month folder under root: bytes, newest change and number of files. File contents are not read."""
+    """Per month folder under root: bytes, newest change, number of files, and whether all of them are compacted.
+    File contents are not read."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .select("path", "length", "modificationTime")
     )
-    month = F.regexp_extract("path", MONTH_PATH, 1)
+    fs, top = _files(spark, root)
+    below = F.substr("path", F.lit(len(fs.makeQualified(top).toString()) + 1))
+    month = F.regexp_extract(below, MONTH_PATH, 1)
     return (
         files.withColumn("month", month).where(F.col("month") != "")
         .groupBy(F.lit(root).alias("root"), "month")
-        .agg(F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest"), F.count("*").alias("entries"))
+        .agg(
+            F.sum("length").alias("bytes"), F.max("modificationTime").alias("newest"), F.count("*").alias("entries"),
+            F.bool_and(F.col("path").endswith(COMPACTED)).alias("compacted"),
+        )
     )
 
 
@@ -87,25 +115,85 @@ def _files(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
-def compact_month(spark: SparkSession, root: str, month: str, files: int = 1) -> int:
-    """Rewrite one month as few zstd files; the old files go only after the new ones hold
-    every row. Returns the number of rows."""
-    source = f"{root}/month={month}"
-    fresh = f"{root}/_compact-{uuid.uuid4().hex}"
-    rows = spark.read.parquet(source)
+def _moved(fs, source, target) -> None:
+    """Rename, or raise: a Hadoop rename may fail by returning False."""
+    if not fs.rename(source, target):
+        raise RuntimeError(f"{source} could not be renamed to {target}")
+
+
+def recover_months(spark: SparkSession, root: str) -> None:
+    """Undo what a compaction that broke off has left: a month that was put aside and not replaced comes back."""
+    fs, top = _files(spark, root)
+    if not fs.exists(top):
+        return
+    for name in [s.getPath().getName() for s in fs.listStatus(top)]:
+        if name.startswith(ASIDE):
+            old, month = _files(spark, f"{root}/{name}")[1], _files(spark, f"{root}/month={name[len(ASIDE) :][:7]}")[1]
+            if fs.exists(month):
+                fs.delete(old, True)
+            else:
+                _moved(fs, old, month)
+        elif name.startswith(FRESH):
+            fs.delete(_files(spark, f"{root}/{name}")[1], True)
+
+
+def compact_months(spark: SparkSession, root: str, months: list[str], file_bytes: int = FILE_BYTES) -> dict[str, int]:
+    """Rewrite months as few zstd files of about file_bytes, all in one job; gives the rows of each.
+
+    A month is replaced only when the new files hold as many rows of it; whatever fails, each month is whole
+    under its name or comes back by recover_months, which every call begins with."""
+    recover_months(spark, root)
+    if not months:
+        return {}
+    month = F.regexp_extract(F.col("_metadata.file_path"), "/month=([0-9-]{7})/[^/]+$", 1)
+    sources = [f"{root}/month={m}" for m in months]
+    rows = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(*sources).withColumn("month", month)
+    sizes = {r["month"]: r["bytes"] for r in partition_usage(spark, root).where(F.col("month").isin(months)).collect()}  # a row a month
+    files = {m: max(1, -(-sizes.get(m, 0) // file_bytes)) for m in months}
     keys = [c for c in ("host", "open_seq", "seq") if c in rows.columns]
-    packed = rows.repartitionByRange(files, *keys).sortWithinPartitions(*keys) if keys else rows.repartition(files)
-    packed.write.mode("errorifexists").option("compression", "zstd").parquet(fresh)
-    before, after = rows.count(), spark.read.parquet(fresh).count()
-    fs, _ = _files(spark, root)
+    counts = F.create_map(*[F.lit(x) for m, n in files.items() for x in (m, n)])
+    piece = F.pmod(F.xxhash64(*(keys or [c for c in rows.columns if c != "month"])), counts[F.col("month")])
+    fresh = f"{root}/{FRESH}{uuid.uuid4().hex}"
+    packed = rows.withColumn("_piece", piece).repartition(sum(files.values()), "month", "_piece").sortWithinPartitions("month", "_piece", *keys)
+    packed.drop("_piece").write.mode("errorifexists").partitionBy("month").option("compression", "zstd").parquet(fresh)
+    before = {r["month"]: r["count"] for r in rows.groupBy("month").count().collect()}
+    written = spark.read.option("recursiveFileLookup", "true").parquet(fresh).withColumn("month", month)
+    after = {r["month"]: r["count"] for r in written.groupBy("month").count().collect()}
+    fs, new = _files(spark, fresh)
     if before != after:
-        fs.delete(_files(spark, fresh)[1], True)
-        raise RuntimeError(f"compacting {source} gave {after} of {before} rows; the month is unchanged")
-    aside = f"{root}/_replaced-{uuid.uuid4().hex}"
-    fs.rename(_files(spark, source)[1], _files(spark, aside)[1])
-    fs.rename(_files(spark, fresh)[1], _files(spark, source)[1])
-    fs.delete(_files(spark, aside)[1], True)
-    return after
+        fs.delete(new, True)
+        raise RuntimeError(f"compacting {root} gave {after} of {before} rows; the months are unchanged")
+    for m, source in zip(months, sources, strict=True):
+        _replaced(spark, root, m, source, f"{fresh}/month={m}")
+    fs.delete(new, True)
+    return {m: after.get(m, 0) for m in months}
+
+
+def _replaced(spark: SparkSession, root: str, month: str, source: str, fresh: str) -> None:
+    """Put a month's new folder in the place of the old one, which is put back if that fails."""
+    fs, old = _files(spark, source)
+    aside, new = (_files(spark, p)[1] for p in (f"{root}/{ASIDE}{month}-{uuid.uuid4().hex}", fresh))
+    _moved(fs, old, aside)
+    try:
+        _moved(fs, new, old)
+    except Exception:
+        _moved(fs, aside, old)
+        raise
+    fs.delete(aside, True)
+
+
+def compact_month(spark: SparkSession, root: str, month: str, file_bytes: int = FILE_BYTES) -> int:
+    """compact_months for one month; gives its rows."""
+    return compact_months(spark, root, [month], file_bytes)[month]
+
+
+def apply_plan(spark: SparkSession, root: str, plan: DataFrame) -> dict[str, list[str]]:
+    """Carry out a retention or purge plan (a row a month; without an action: delete) on a store's months."""
+    rows = plan.select("month", (F.col("action") if "action" in plan.columns else F.lit("delete")).alias("action")).collect()
+    done = {a: sorted(r["month"] for r in rows if r["action"] == a) for a in ("delete", "compact")}
+    delete_months(spark, root, done["delete"])
+    compact_months(spark, root, done["compact"])
+    return done
 
 
 def delete_months(spark: SparkSession, root: str, months: list[str]) -> None:

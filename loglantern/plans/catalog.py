@@ -212,6 +212,45 @@ def resume_slice(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+def resume_by_host(spark, sf):
+    """Every host resumed by its own position: found, lost, too old, and none."""
+    rows = log_lines(spark, sf).select("host", "seq", F.col("event_id").cast("string").alias("cursor"), F.call_function("div", F.col("t"), F.lit(1_000_000).cast("long")).alias("stored"))
+    ends = rows.agg(F.min("stored").alias("low"), F.max("stored").alias("high")).first()
+    middle = (ends["low"] + ends["high"]) // 2
+    saved = journal.position_of(rows.where(F.col("stored") <= middle))
+    number = F.substr("host", F.lit(2)).cast("int")
+    positions = saved.select(
+        "host", F.when(number % 4 == 1, F.lit("gone")).otherwise(F.col("cursor")).alias("cursor"),
+        F.when(number % 4 == 2, F.col("time") - 10 * 86400).otherwise(F.col("time")).alias("time"),
+    ).where(number % 4 != 3)
+    found = journal.resume_by_host(rows, positions, middle + 3600, 36000, 86400)
+    return found.select("host", "seq", "role", F.col("time").cast("long").alias("time"))
+
+
+def text_captures(spark, sf):
+    """From text files to captures: lines written as text, read, numbered, timed by their stamps, labelled and cut."""
+    path = scratch_path(spark, "text_log")
+    log_lines(spark, sf).repartitionByRange("host", "seq").sortWithinPartitions("host", "seq").select("host", "line").write.partitionBy("host").text(path, lineSep="\n")
+    host = F.regexp_extract(F.col("_metadata.file_path"), "host=([^/]+)/", 1)
+    labelled = matching.label_lines(lines.read_log(spark, path, host), WATCH, ALWAYS, OWN)
+    return cap.find_captures(cap.match_rows(labelled), PARAMS)
+
+
+def journal_captures(spark, sf):
+    """From export files to captures."""
+    path = scratch_path(spark, "export_log")
+    field = lambda name, column: F.concat(F.lit(name + "="), F.col(column).cast("string"), F.lit("\n"))
+    rows = raw_lines(spark, sf).withColumn("cursor", F.format_string("%012d", "event_id"))
+    record = F.concat(
+        field("__CURSOR", "cursor"), field("__REALTIME_TIMESTAMP", "t"), field("_HOSTNAME", "host"),
+        field("SYSLOG_IDENTIFIER", "ident"), field("_PID", "pid"), field("MESSAGE", "message"),
+    )
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(record.alias("value")).write.text(path, lineSep="\n")
+    entries = journal.read_journal_export(spark, path).drop("file", "place")
+    labelled = matching.label_lines(journal.journal_log(entries), WATCH, ALWAYS, OWN)
+    return cap.find_captures(cap.match_rows(labelled), PARAMS)
+
+
 # --- patterns ---
 
 def load_patterns(spark, sf):
@@ -258,6 +297,15 @@ def pattern_versions(spark, sf):
     return found.where(F.col("label").isNotNull()).select("host", "seq", "label", "always")
 
 
+def pattern_versions_by_time(spark, sf):
+    """A reload at one moment, which is another line of each host."""
+    ends = log_lines(spark, sf).agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    middle = (ends["low"] + ends["high"]) // 2
+    versions = [matching.PatternVersion(WATCH, always=ALWAYS, to_t=middle), matching.PatternVersion(SECOND_WATCH, from_t=middle)]
+    found = matching.label_lines_versioned(log_lines(spark, sf), versions, OWN)
+    return found.where(F.col("label").isNotNull()).select("host", "seq", "label", "always")
+
+
 def always_notify_match(spark, sf):
     rows = labelled_lines(spark, sf)
     return rows.where(F.col("always")).select("host", "seq", "label")
@@ -358,6 +406,42 @@ def run_counters(spark, sf):
     return cap.run_counters(labelled_lines(spark, sf))
 
 
+SMALL = 64  # lines of a bucket: captures, windows and runs then cross many buckets
+
+
+def small_captures(spark, sf):
+    return once(spark, sf, "small_captures", lambda: cap.find_captures(matches(spark, sf), PARAMS, SMALL))
+
+
+def small_held(spark, sf):
+    return once(spark, sf, "small_held", lambda: cap.capture_lines(labelled_lines(spark, sf), small_captures(spark, sf), PARAMS, SMALL))
+
+
+def small_capped(spark, sf):
+    def build():
+        windows = ctx.overlapping_context(small_held(spark, sf), small_captures(spark, sf), PARAMS)
+        return ctx.context_byte_cap(small_held(spark, sf), windows, PARAMS, SMALL)
+
+    return once(spark, sf, "small_capped", build)
+
+
+def capture_sessions_split(spark, sf):
+    return cap.find_captures(matches(spark, sf), PARAMS, SMALL)
+
+
+def capture_members_split(spark, sf):
+    return cap.capture_members(small_held(spark, sf)).select("host", "open_seq", "seq", "role", "line")
+
+
+def context_byte_cap_split(spark, sf):
+    return small_capped(spark, sf).select("host", "open_seq", "kept_first", "kept_lines", "context_truncated")
+
+
+def left_out_counts_split(spark, sf):
+    told = cap.capture_summary(small_held(spark, sf), cap.source_ends(labelled_lines(spark, sf)), PARAMS)
+    return ctx.left_out_counts(ctx.held_ranges(small_capped(spark, sf), with_reusable(told), SMALL), SMALL)
+
+
 # --- text of captures ---
 
 def capture_name(spark, sf):
@@ -471,8 +555,21 @@ def write_captures(spark, sf):
 def write_rendered(spark, sf):
     path = scratch_path(spark, "texts")
     retention.write_rendered(rendered(spark, sf), named(spark, sf), path)
-    back = spark.read.option("lineSep", "\n").text(path)
-    return back.select(F.col("month").cast("string").alias("month"), "host", "name", F.col("value").alias("text"))
+    back = retention.read_rendered(spark, path)
+    return back.select("month", "host", "name", F.col("part").cast("long").alias("part"), "pos", "text")
+
+
+def capture_paths(spark, sf):
+    """Every path of the index, with the rows that are found in the folder it names."""
+    path = scratch_path(spark, "texts")
+    here = rendering.capture_name(named(spark, sf).drop("slug", "month", "name", "path"), path)
+    retention.write_rendered(rendered(spark, sf), here, path)
+    entries = rendering.capture_index(here).select("host", "open_seq", F.element_at(F.split("entry", rendering.INDEX_TO), -1).alias("path"))
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
+    found = spark.read.parquet(path).select(F.concat(F.regexp_replace(folder, "^file:/*", "/"), F.lit("#"), "host", F.lit("/"), "name").alias("path"))
+    found = found.groupBy("path").agg(F.count("*").alias("rows"))
+    rows = entries.withColumn("path", F.regexp_replace("path", "^file:/*", "/")).join(found, "path", "left")
+    return rows.select("host", "open_seq", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
 def month_texts(spark, sf):
@@ -506,13 +603,35 @@ def purge_plan(spark, sf):
     return plan.select("month", "bytes")
 
 
-def compact_month(spark, sf):
+def order_months(spark, sf):
     path = scratch_path(spark, "compacted")
     rows = table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), "o_orderkey", "o_custkey")
-    rows.write.partitionBy("month").parquet(path)
-    for month in ("1995-01", "1995-02"):
-        retention.compact_month(spark, path, month)
-    return spark.read.parquet(path).select(F.col("month").cast("string").alias("month"), "o_orderkey", "o_custkey")
+    rows.repartition(4).write.partitionBy("month").parquet(path)
+    return path
+
+
+def month_rows(spark, path):
+    """The rows of a store of months; with each, its month's number of files and whether all are compacted."""
+    month = F.regexp_extract(F.col("_metadata.file_path"), "/month=([^/]+)/[^/]+$", 1)
+    rows = spark.read.parquet(path).select(month.alias("month"), "o_orderkey", "o_custkey")
+    return rows.join(retention.partition_usage(spark, path).select("month", "compacted", F.col("entries").alias("files")), "month")
+
+
+def compact_month(spark, sf):
+    """All months compacted."""
+    path = order_months(spark, sf)
+    months = [r["month"] for r in retention.partition_usage(spark, path).select("month").collect()]
+    retention.compact_months(spark, path, months)
+    return month_rows(spark, path)
+
+
+def apply_plan(spark, sf):
+    """The plan carried out: old months gone, middle ones compacted, new ones as they were; then once more, which changes nothing."""
+    path = order_months(spark, sf)
+    for _ in range(2):
+        plan = retention.retention_plan(retention.partition_usage(spark, path), "1999-03-15", 12, 36)
+        retention.apply_plan(spark, path, plan)
+    return month_rows(spark, path).drop("files")
 
 
 # --- streams ---
@@ -558,9 +677,12 @@ QUERIES = {
     "read_journal_export": read_journal_export, "journal_to_lines": journal_to_lines, "resume_slice": resume_slice,
     "line_time": line_time, "load_patterns": load_patterns, "matches": matches_query, "first_match": first_match,
     "substring_predicate": substring_predicate, "glob_predicate": glob_predicate, "regex_predicate": regex_predicate,
-    "is_own_line": is_own_line, "pattern_versions": pattern_versions, "always_notify_match": always_notify_match,
+    "is_own_line": is_own_line, "pattern_versions": pattern_versions, "pattern_versions_by_time": pattern_versions_by_time,
+    "resume_by_host": resume_by_host, "text_captures": text_captures, "journal_captures": journal_captures, "always_notify_match": always_notify_match,
     "flatten_text": flatten, "note_text": notes, "strip_ansi": ansi, "slugify": slugs,
     "capture_sessions": capture_sessions, "capture_sessions_capped": capture_sessions_capped,
+    "capture_sessions_split": capture_sessions_split, "capture_members_split": capture_members_split,
+    "context_byte_cap_split": context_byte_cap_split, "left_out_counts_split": left_out_counts_split,
     "capture_members": capture_members, "owned_context": owned_context, "lookback_context": lookback_context,
     "overlapping_context": overlapping_context, "context_byte_cap": context_byte_cap, "capped_context": capped_context, "context_dedup": context_dedup,
     "left_out_counts": left_out_counts, "capture_summary": capture_summary, "always_notify_rollup": always_notify_rollup,
@@ -570,7 +692,7 @@ QUERIES = {
     "excerpt_json_capped": excerpt_json_capped, "alert_title": titles, "alert_body": bodies, "route_capture": route_capture,
     "event_payload": event_payload, "model_request": model_request, "parse_verdict": parse_verdict,
     "push_request": push_request, "write_captures": write_captures, "write_rendered": write_rendered, "partition_usage": partition_usage,
-    "retention_plan": retention_plan, "purge_plan": purge_plan, "compact_month": compact_month,
+    "retention_plan": retention_plan, "purge_plan": purge_plan, "compact_month": compact_month, "apply_plan": apply_plan, "capture_paths": capture_paths,
     "stream_captures": stream_captures, "quiet_close": quiet_close, "stream_late_lines": stream_late_lines,
     "backlog_catch_up": backlog_catch_up,
 }

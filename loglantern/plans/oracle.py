@@ -135,7 +135,7 @@ counted AS (SELECT *, row_number() OVER (PARTITION BY host, base ORDER BY open_s
 named AS (
   SELECT *, strftime(make_timestamp(open_t), '%Y-%m') AS month,
          base || CASE WHEN again > 0 THEN '-' || again ELSE '' END || '.log' AS name,
-         '/captures/' || host || '/' || strftime(make_timestamp(open_t), '%Y-%m') || '/' || base
+         '/captures/month=' || strftime(make_timestamp(open_t), '%Y-%m') || '/group=' || left(md5(host), 2) || '#' || host || '/' || base
            || CASE WHEN again > 0 THEN '-' || again ELSE '' END || '.log' AS path
   FROM counted)"""
 
@@ -413,7 +413,8 @@ judged AS (
     "write_captures": captured(CAPTURES, """SELECT strftime(make_timestamp(open_t), '%Y-%m') AS month, host, open_seq, seq, role, line FROM members
 UNION ALL SELECT strftime(make_timestamp(c.open_t), '%Y-%m'), o.host, o.open_seq, o.seq, 'context', l.line
 FROM owned o JOIN captures c USING (host, open_seq) JOIN lines l ON l.host = o.host AND l.seq = o.seq"""),
-    "write_rendered": captured(RENDERED, "SELECT n.month, r.host, n.name, r.text FROM rendered r JOIN named n USING (host, open_seq)"),
+    "write_rendered": captured(RENDERED, "SELECT n.month, r.host, n.name, r.part, r.pos, r.text FROM rendered r JOIN named n USING (host, open_seq)"),
+    "capture_paths": captured(RENDERED, "SELECT host, open_seq, count(*) AS rows FROM rendered JOIN named USING (host, open_seq) WHERE reusable GROUP BY 1, 2"),
     "partition_usage": "SELECT strftime(o_orderdate, '%Y-%m') AS month, CAST(sum(strlen(o_orderkey || ' ' || o_orderstatus || ' ' || o_orderpriority) + 1) AS BIGINT) AS bytes FROM orders GROUP BY 1",
     "retention_plan": query(USAGE + """,
 aged AS (SELECT *, date_diff('day', CAST(month || '-01' AS DATE), DATE '1999-03-15') AS age FROM usage)""",
@@ -422,5 +423,34 @@ aged AS (SELECT *, date_diff('day', CAST(month || '-01' AS DATE), DATE '1999-03-
 free AS (SELECT * FROM usage WHERE month NOT IN ('1999-03', '1995-02') AND CAST(month || '-28' AS TIMESTAMP) <= TIMESTAMP '1999-03-14'),
 total AS (SELECT *, sum(bytes) OVER (ORDER BY month) - bytes AS before, sum(bytes) OVER () AS everything FROM free)""",
         "SELECT month, bytes FROM total WHERE before < 500000 AND everything >= 500000"),
-    "compact_month": "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_custkey FROM orders",
+    "compact_month": "SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_custkey, TRUE AS compacted, CAST(1 AS BIGINT) AS files FROM orders",
+    "apply_plan": query("""
+aged AS (
+  SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey, o_custkey,
+         date_diff('day', CAST(strftime(o_orderdate, '%Y-%m') || '-01' AS DATE), DATE '1999-03-15') AS age FROM orders)""",
+        "SELECT month, o_orderkey, o_custkey, age > 360 AS compacted FROM aged WHERE age <= 1080"),
 }
+ORACLE["journal_captures"] = ORACLE["capture_sessions_capped"]
+# A line's stamp has whole seconds; lines keep their order.
+_SECONDS = RAW.replace("lines AS (", "fine AS (") + ",\nlines AS (SELECT * REPLACE (t // 1000000 * 1000000 AS t) FROM fine)"
+ORACLE["text_captures"] = ORACLE["capture_sessions_capped"].replace(RAW.strip(), _SECONDS.strip())
+ORACLE["pattern_versions_by_time"] = query(RAW + f""",
+middle AS (SELECT (min(t) + max(t)) // 2 AS m FROM lines),
+versioned AS (
+  SELECT host, seq, line, t < m AS early, CASE WHEN {own('line')} THEN NULL WHEN t < m THEN {WATCH} ELSE {SECOND} END AS label FROM lines, middle)""",
+    f"SELECT host, seq, label, early AND {ALWAYS} AS always FROM versioned WHERE label IS NOT NULL")
+ORACLE["resume_by_host"] = query(RAW + """,
+e AS (SELECT host, seq, t // 1000000 AS stored, CAST(substr(host, 2) AS INT) % 4 AS kind FROM lines),
+mid AS (SELECT (min(stored) + max(stored)) // 2 AS m FROM e),
+saved AS (SELECT host, max(seq) AS place, arg_max(stored, seq) AS time FROM e, mid WHERE stored <= m GROUP BY host),
+since AS (SELECT host, place, m + 3600 AS now, greatest(time - 36000, m + 3600 - 86400) AS since FROM saved, mid),
+bound AS (SELECT s.host, coalesce(max(e.seq), 0) AS stop FROM since s LEFT JOIN e ON e.host = s.host AND e.seq <= s.place AND e.stored < s.since GROUP BY 1),
+every AS (
+  SELECT e.*, place, now, since, stop, count(*) OVER (PARTITION BY e.host) AS last, CASE WHEN stored < now - 2 THEN stored ELSE now END AS late
+  FROM e JOIN since USING (host) JOIN bound USING (host)),
+before AS (SELECT *, min(stored) OVER (PARTITION BY host ORDER BY seq DESC) AS low FROM every WHERE kind = 0 AND seq <= place AND seq > stop)""",
+    """SELECT host, seq, 'context' AS role, least(low, now) AS time FROM before
+UNION ALL SELECT host, seq, 'match', late FROM every
+WHERE CASE kind WHEN 0 THEN seq > place WHEN 1 THEN stored >= since WHEN 2 THEN stored >= now - 86400 ELSE seq > last - 20 END""")
+for _name in ("capture_sessions_capped", "capture_members", "context_byte_cap", "left_out_counts"):
+    ORACLE[_name.replace("_capped", "") + "_split"] = ORACLE[_name]

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..params import check
-from ..plans.ordered import BUCKET, scan
-from .lines import is_blank, tail_start
+from ..plans.ordered import BUCKET, number_rows, scan
+from ..plans.scratch import stored
+from .lines import is_blank, steady_time, tail_start
 
 # The export fields a line needs, the bytes kept of one, and a cursor's form.
 FIELDS = {
@@ -20,6 +21,7 @@ FIELDS = {
     b"SYSLOG_PID": "syslog_pid", b"MESSAGE": "message",
 }
 FIELD_MAX = 4 << 20
+MOST_BYTES = (1 << 31) - 1  # of a file that Spark reads as one value
 FIELD_NAME = re.compile(rb"[A-Z0-9_]+")
 CURSOR = re.compile(r"s=[0-9a-f]{32};i=[0-9a-f]{1,16};b=[0-9a-f]{32};m=[0-9a-f]{1,16};t=[0-9a-f]{1,16};x=[0-9a-f]{1,16}")
 
@@ -65,7 +67,10 @@ def _decode(batches):
 
 def read_journal_export(spark: SparkSession, path: str) -> DataFrame:
     """The entries of export files. A binary field may hold anything, so a file cannot be
-    split: many files (each under 2 GB) are what runs in parallel."""
+    split: many files are what runs in parallel. A file of 2 GB or more is refused by name before any is read."""
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") >= MOST_BYTES)
+    if large := [r["path"] for r in sizes.limit(5).collect()]:
+        raise ValueError(f"export files of 2 GB or more cannot be read, write them in parts: {', '.join(large)}")
     raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_decode, RAW_SCHEMA)
     digits = F.col("source").rlike(r"\A[0-9]+\z")
     return raw.select(
@@ -97,6 +102,15 @@ def journal_to_lines(entries: DataFrame) -> DataFrame:
     return rows.withColumn("line", line).drop("_prefix", "_text").where(~is_blank(F.col("line")))
 
 
+def journal_log(entries: DataFrame) -> DataFrame:
+    """host, seq, line, ts, t of entries as they were stored: ready to be labelled. An entry without a host is of source ''."""
+    rows = journal_to_lines(entries.withColumn("_source", F.coalesce("host", F.lit(""))))
+    order = [c for c in ("stored_us", "file", "place", "cursor", "part") if c in rows.columns]
+    rows = rows.drop("host").withColumnRenamed("_source", "host").withColumn("ts", F.timestamp_micros("stored_us"))
+    numbered = number_rows(rows, ["host"], order)
+    return steady_time(numbered).select("host", "seq", "line", "ts", "t")
+
+
 @dataclass(frozen=True)
 class Position:
     """The last entry read, and the second it was stored."""
@@ -125,27 +139,64 @@ def resume_slice(
     """
     check(resume_max=resume_max, capture_time=capture_time)
     read = F.lit(now)
-    stored = F.col("stored")
-    late = F.when(stored < read - 2, stored).otherwise(read)
+    stored_at = F.col("stored")
+    late = F.when(stored_at < read - 2, stored_at).otherwise(read)
     if position is None:
         return tail_start(entries, last=tail).withColumn("role", F.lit("match")).withColumn("time", late)
     if now - position.time > resume_max:
-        return entries.where(stored >= now - resume_max).withColumn("role", F.lit("match")).withColumn("time", late)
+        return entries.where(stored_at >= now - resume_max).withColumn("role", F.lit("match")).withColumn("time", late)
     since = max(position.time - capture_time, now - resume_max)
     usable = position.cursor is not None and (any_cursor or CURSOR.fullmatch(position.cursor))
     saved = entries.where(F.col("cursor") == position.cursor).select("seq").first() if usable else None
     if saved is None:
         if position.time > now + 60:
             return tail_start(entries, last=tail).withColumn("role", F.lit("match")).withColumn("time", late)
-        return entries.where(stored >= since).withColumn("role", F.lit("match")).withColumn("time", late)
+        return entries.where(stored_at >= since).withColumn("role", F.lit("match")).withColumn("time", late)
     at = saved["seq"]
-    older = entries.where((F.col("seq") <= at) & (stored < since)).agg(F.max("seq").alias("seq")).first()["seq"] or 0
+    older = entries.where((F.col("seq") <= at) & (stored_at < since)).agg(F.max("seq").alias("seq")).first()["seq"] or 0
     after = entries.where(F.col("seq") > at).withColumn("role", F.lit("match")).withColumn("time", late)
     before = entries.where((F.col("seq") > older) & (F.col("seq") <= at)).withColumn("role", F.lit("context"))
-    before = scan(before, ["host"], stored, "_time", how="min", size=size, backwards=True)
+    before = scan(before, ["host"], stored_at, "_time", how="min", size=size, backwards=True)
     return after.unionByName(before.withColumn("time", F.least("_time", read)).drop("_time"))
 
 
+def resume_by_host(entries: DataFrame, positions: DataFrame, now: int, capture_time: int, resume_max: int, tail: int = 20, size: int = BUCKET) -> DataFrame:
+    """resume_slice for every source by its own position: positions is a table as position_of gives it (host, cursor, time).
+
+    A source without a position starts with its last `tail` lines. Positions, ends and bounds are a row a source, and
+    written, so that the entries stay where they are."""
+    check(resume_max=resume_max, capture_time=capture_time)
+    stored_at, late = F.col("stored"), F.when(F.col("stored") < now - 2, F.col("stored")).otherwise(F.lit(now))
+    ends = entries.groupBy("host").agg(F.max("seq").alias("_end"))
+    saved = positions.select("host", F.col("cursor").alias("_cursor"), F.col("time").alias("_time"))
+    known = stored(ends.join(saved, "host", "left"), "positions")
+    at = entries.join(known, "host").where(F.col("cursor") == F.col("_cursor")).groupBy("host").agg(F.max("seq").alias("_at"))
+    known = known.join(at, "host", "left").withColumn("_since", F.greatest(F.col("_time") - capture_time, F.lit(now - resume_max)))
+    case = (
+        F.when(F.col("_time").isNull(), "tail")
+        .when(now - F.col("_time") > resume_max, "old")
+        .when(F.col("_at").isNotNull(), "found")
+        .when(F.col("_time") > now + 60, "tail")
+        .otherwise("lost")
+    )
+    known = stored(known.withColumn("_case", case), "positions")
+    older = entries.join(known, "host").where((F.col("seq") <= F.col("_at")) & (stored_at < F.col("_since")))
+    known = stored(known.join(older.groupBy("host").agg(F.max("seq").alias("_older")), "host", "left"), "positions")
+    rows = entries.join(known, "host")
+    found = F.col("_case") == "found"
+    matched = (
+        F.when(found, F.col("seq") > F.col("_at"))
+        .when(F.col("_case") == "tail", F.col("seq") > F.col("_end") - tail)
+        .when(F.col("_case") == "old", stored_at >= now - resume_max)
+        .otherwise(stored_at >= F.col("_since"))
+    )
+    own = [c for c in entries.columns]
+    after = rows.where(matched).select(*own, F.lit("match").alias("role"), late.alias("time"))
+    before = rows.where(found & (F.col("seq") <= F.col("_at")) & (F.col("seq") > F.coalesce("_older", F.lit(0)))).select(*own)
+    before = scan(before, ["host"], stored_at, "_low", how="min", size=size, backwards=True)
+    return after.unionByName(before.select(*own, F.lit("context").alias("role"), F.least("_low", F.lit(now)).alias("time")))
+
+
 def position_of(entries: DataFrame) -> DataFrame:
     """The position to save: the cursor and second of the last entry of each source."""
     return entries.groupBy("host").agg(F.max_by("cursor", "seq").alias("cursor"), F.max_by("stored", "seq").alias("time"))

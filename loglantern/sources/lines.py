@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NOT_BLANK
 from ..plans.ordered import number_rows, scan
+from ..plans.scratch import stored
 
 # The longest piece of one line, and the lag that marks a stored line as backlog.
 PIECE_CHARS = 1 << 20
 BACKLOG_SECONDS = 2
+STAMP = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d{6})?(?:Z|[+-]\d{2}:\d{2}))[ \t]"
 
 LINE_SCHEMA = "host string, seq bigint, ts timestamp, line string"
 
@@ -58,11 +60,26 @@ def steady_time(lines: DataFrame, key: str = "host") -> DataFrame:
     return scan(lines, [key], F.unix_micros("ts"), "t", how="max")
 
 
+def stamped(lines: DataFrame, line: str = "line", key: str = "host") -> DataFrame:
+    """Add ts, the time a numbered line begins with (ISO, with its zone), or that of the line before it, and t, its
+    microseconds that never run back. Lines before a source's first stamp take that one."""
+    own = F.try_to_timestamp(F.regexp_extract(line, STAMP, 1), F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"))
+    rows = scan(lines.withColumn("_own", own), [key], F.col("_own"), "_last")
+    rows = scan(rows, [key], F.col("_own"), "_first", backwards=True)
+    return steady_time(rows.withColumn("ts", F.coalesce("_last", "_first")).drop("_own", "_last", "_first"), key)
+
+
+def read_log(spark: SparkSession, path: str, host: Column | None = None) -> DataFrame:
+    """host, seq, line, ts, t of text logs whose lines begin with their time: ready to be labelled."""
+    return stamped(read_log_lines(spark, path, host))
+
+
 def tail_start(lines: DataFrame, last: int | None = None, first: int | None = None, key: str = "host") -> DataFrame:
-    """The last lines of every source, or its lines from number `first` on."""
+    """The last lines of every source, or its lines from number `first` on. The ends, a row a source, are
+    written first, so that their size is known and the lines need not be moved to meet them."""
     if first is not None:
         return lines.where(F.col("seq") >= first)
-    ends = lines.groupBy(key).agg(F.max("seq").alias("_end"))
+    ends = stored(lines.groupBy(key).agg(F.max("seq").alias("_end")), "ends")
     return lines.join(ends, key).where(F.col("seq") > F.col("_end") - last).drop("_end")
 
 
