@@ -16,7 +16,7 @@ from ..sources import journal, lines, patterns
 from ..sources.tables import (
     ALWAYS, DOC_PATTERNS, OWN, PARAMS, WATCH, doc_lines, labelled_lines, log_lines, once, raw_lines, table,
 )
-from ..streaming.batches import CaptureStream, captured_stream_lines, closed_captures, fixed, late_lines
+from ..streaming.batches import TICK, CaptureStream, captured_stream_lines, closed_captures, fixed, late_lines, outbox
 from .scratch import scratch_path
 
 NOW = "2024-02-10T00:00:00"
@@ -636,14 +636,14 @@ def apply_plan(spark, sf):
 
 # --- streams ---
 
-def feed(spark, sf, slices, delay=None):
+def feed(spark, sf, slices, delay=None, params=None):
     """Run a capture stream over the given time slices of the log, one at a time: every slice
     lands as new files, and a new query resumes from the checkpoint."""
     base = scratch_path(spark, "stream")
     rows = log_lines(spark, sf).select("host", "seq", "ts", "t", "line")
     ends = rows.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
     step = (ends["high"] - ends["low"]) // 3 + 1
-    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, delay)
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, delay, requests=params)
     for part in slices:
         inside = (F.col("t") >= ends["low"] + part * step) & (F.col("t") < ends["low"] + (part + 1) * step)
         rows.where(inside).drop("t").write.mode("append").parquet(f"{base}/in")
@@ -662,9 +662,56 @@ def quiet_close(spark, sf):
     return closed_captures(spark, stream.output).select("host", "open_seq", "until", "n_matches", "end_reason")
 
 
+def quiet_close_by_clock(spark, sf):
+    """After the last line only the clock ticks, a year on: every capture closes."""
+    stream = feed(spark, sf, (0, 1, 2), delay=600)
+    tick = spark.createDataFrame([(None, None, None, None)], TICK).withColumn("ts", F.lit("2025-06-01 00:00:00").cast("timestamp"))
+    stream(tick, 3)
+    return closed_captures(spark, stream.output).select("host", "open_seq", "until", "n_matches", "end_reason")
+
+
 def stream_late_lines(spark, sf):
-    stream = feed(spark, sf, (0, 1, 0))
-    return late_lines(spark, stream, 2)
+    """The middle third comes twice, and the first once more when all is over: those are late."""
+    stream = feed(spark, sf, (0, 1, 1, 2, 0))
+    return late_lines(spark, stream).select("host", "seq", "line", F.col("batch").cast("long").alias("batch"))
+
+
+def stream_text_captures(spark, sf):
+    """Text files as a stream: numbered, timed, cut, in three batches."""
+    base = scratch_path(spark, "text_stream")
+    rows = log_lines(spark, sf)
+    most = rows.agg(F.max("seq").alias("n")).first()["n"]
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, 10**9)
+    for part in range(3):
+        inside = (F.col("seq") > part * most // 3) & (F.col("seq") <= (part + 1) * most // 3)
+        own = rows.where(inside & (F.col("host") == "h3")).repartitionByRange(1, "seq").sortWithinPartitions("seq")
+        own.select("line").write.mode("append").text(f"{base}/in", lineSep="\n")
+        source = lines.stream_text_lines(spark, f"{base}/in", "h3")
+        stream.start(source, f"{base}/checkpoint", available_now=True).awaitTermination()
+    return captured_stream_lines(spark, stream.output).select("host", "open_seq", "seq", "role", "line")
+
+
+def stream_outbox(spark, sf):
+    """The pushes of all captures that a stream closes."""
+    stream = feed(spark, sf, (0, 1, 2), params=RequestParams(events=True))
+    closed = closed_captures(spark, stream.output).select("host", "open_seq", "pattern", "matched_line", "always_notify", "end_reason", "lines_after")
+    events = outbox(spark, stream.output, "events")
+    read = F.from_json("event", "push boolean, title string, path string, excerpt string")
+    return closed.join(events.select("host", "open_seq", read.alias("e")), ["host", "open_seq"]).select(
+        *closed.columns, "e.push", "e.title", F.col("e.path").contains("#").alias("has_path"), (F.length("e.excerpt") > 0).alias("has_excerpt")
+    )
+
+
+def stream_state(spark, sf):
+    """What a stream keeps after each of three batches is bounded: lines by time and bytes, and only open captures."""
+    stream = feed(spark, sf, (0, 1, 2))
+    kept = spark.read.schema("host string, seq bigint, t bigint, line string").parquet(f"{stream.state}/2/lines")
+    ends = log_lines(spark, sf).groupBy("host").agg(F.max("t").alias("end"))
+    rows = kept.join(ends, "host").groupBy("host").agg(
+        F.bool_and(F.col("t") >= F.col("end") - PARAMS.window_us).alias("in_time"),
+        ((F.sum(F.octet_length("line") + 1) <= PARAMS.context_bytes) | (F.count("*") == 1)).alias("in_bytes"),
+    )
+    return rows.agg(F.coalesce(F.bool_and("in_time"), F.lit(True)).alias("in_time"), F.coalesce(F.bool_and("in_bytes"), F.lit(True)).alias("in_bytes"))
 
 
 def backlog_catch_up(spark, sf):
@@ -693,7 +740,8 @@ QUERIES = {
     "event_payload": event_payload, "model_request": model_request, "parse_verdict": parse_verdict,
     "push_request": push_request, "write_captures": write_captures, "write_rendered": write_rendered, "partition_usage": partition_usage,
     "retention_plan": retention_plan, "purge_plan": purge_plan, "compact_month": compact_month, "apply_plan": apply_plan, "capture_paths": capture_paths,
-    "stream_captures": stream_captures, "quiet_close": quiet_close, "stream_late_lines": stream_late_lines,
+    "stream_captures": stream_captures, "stream_text_captures": stream_text_captures, "stream_outbox": stream_outbox,
+    "stream_state": stream_state, "quiet_close": quiet_close, "quiet_close_by_clock": quiet_close_by_clock, "stream_late_lines": stream_late_lines,
     "backlog_catch_up": backlog_catch_up,
 }
 

@@ -278,9 +278,21 @@ SELECT s.host, s.open_seq, s.until, s.n_matches,
   CASE WHEN lines_after > {CAP} THEN 'line_cap' WHEN s.until = s.open_t + {M} THEN 'time_max' ELSE 'time' END AS end_reason
 FROM summary s JOIN last_line l USING (host), newest
 WHERE l.end_t > s.until OR s.lines_after > {CAP} OR s.until < mark"""),
+    "quiet_close_by_clock": captured(SUMMARY, f"""
+SELECT host, open_seq, until, n_matches,
+  CASE WHEN lines_after > {CAP} THEN 'line_cap' WHEN until = open_t + {M} THEN 'time_max' ELSE 'time' END AS end_reason FROM summary"""),
     "stream_late_lines": query(RAW + """,
-bounds AS (SELECT min(t) AS low, (max(t) - min(t)) // 3 + 1 AS step FROM lines)""",
-        "SELECT host, count(*) FILTER (t < low + step) AS late FROM lines, bounds GROUP BY host"),
+bounds AS (SELECT min(t) AS low, (max(t) - min(t)) // 3 + 1 AS step FROM lines),
+thirds AS (SELECT host, seq, line, (t - low) // step AS third FROM lines, bounds)""",
+        "SELECT host, seq, line, CASE third WHEN 1 THEN 2 ELSE 4 END AS batch FROM thirds WHERE third < 2"),
+    "stream_outbox": captured(INCIDENTS + """,
+last_line AS (SELECT host, max(t) AS end_t FROM lines GROUP BY host)""", f"""
+SELECT s.host, s.open_seq, s.pattern, s.matched_line, t.always_notify, s.lines_after,
+  CASE WHEN lines_after > {CAP} THEN 'line_cap' WHEN s.until = s.open_t + {M} THEN 'time_max' ELSE 'time' END AS end_reason,
+  t.always_notify AS push, i.plain AS title, TRUE AS has_path, TRUE AS has_excerpt
+FROM summary s JOIN told t USING (host, open_seq) JOIN incidents i USING (host, open_seq) JOIN last_line l ON l.host = s.host
+WHERE l.end_t > s.until OR s.lines_after > {CAP}"""),
+    "stream_state": "SELECT TRUE AS in_time, TRUE AS in_bytes",
     "backlog_catch_up": query(RAW, "SELECT host, seq, line FROM lines WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 5 DAY"),
     "read_log_lines": query(RAW + r""",
 odd AS (SELECT host, seq AS place, CASE WHEN event_id % 7 = 0 THEN line || chr(13) || 'x' ELSE line END AS line FROM lines WHERE event_id % 11 <> 0)""",
@@ -434,6 +446,7 @@ ORACLE["journal_captures"] = ORACLE["capture_sessions_capped"]
 # A line's stamp has whole seconds; lines keep their order.
 _SECONDS = RAW.replace("lines AS (", "fine AS (") + ",\nlines AS (SELECT * REPLACE (t // 1000000 * 1000000 AS t) FROM fine)"
 ORACLE["text_captures"] = ORACLE["capture_sessions_capped"].replace(RAW.strip(), _SECONDS.strip())
+ORACLE["stream_text_captures"] = ORACLE["stream_captures"].replace(RAW.strip(), _SECONDS.strip().replace("FROM fine)", "FROM fine WHERE host = 'h3')"))
 ORACLE["pattern_versions_by_time"] = query(RAW + f""",
 middle AS (SELECT (min(t) + max(t)) // 2 AS m FROM lines),
 versioned AS (

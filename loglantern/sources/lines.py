@@ -96,13 +96,17 @@ def stream_log_lines(spark: SparkSession, path: str, schema: str = LINE_SCHEMA,
     return reader.parquet(path)
 
 
-def stream_text_lines(spark: SparkSession, path: str, host: str, files_per_batch: int | None = None) -> DataFrame:
-    """New text files of one source as they land in a folder, one row per non-blank line."""
+def stream_text_lines(spark: SparkSession, path: str, host: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """New text files as they land in a folder, one row per non-blank line, with what orders them; a file is
+    a source of its own unless a host is given. CaptureStream numbers and times them."""
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    lines = reader.text(path).select(F.lit(host).alias("host"), F.make_valid_utf8("value").alias("line"))
-    return split_pieces(lines).where(~is_blank(F.col("line"))).drop("piece")
+    lines = reader.text(path).select(
+        (F.col("_metadata.file_path") if host is None else F.lit(host)).alias("host"), F.make_valid_utf8("value").alias("line"),
+        F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+    )
+    return split_pieces(lines).where(~is_blank(F.col("line")))
 
 
 def catch_up(lines: DataFrame, now: Column, resume_max: int) -> DataFrame:

@@ -16,16 +16,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.captures import capture_lines, find_captures, match_rows
+from ..operators.captures import always_notify_rollup, capture_lines, capture_summary, find_captures, match_rows
 from ..operators.context import cap_context, newest_bytes
+from ..operators.excerpts import excerpt_json_capped, place_rows
 from ..operators.matching import OwnIdentity, PatternSet, label_lines
-from ..params import CaptureParams
-from ..plans.ordered import BUCKET, scan
+from ..operators.rendering import capture_name, render_capture
+from ..operators.requests import event_payload, push_request, route_capture
+from ..operators.retention import write_rendered
+from ..params import CaptureParams, RequestParams
+from ..plans.ordered import BUCKET, number_rows, scan
 from ..plans.scratch import scratch_path, scratch_scope, stored
+from ..sources.lines import stamped
 
 LINES = "host string, seq bigint, ts timestamp, t bigint, line string, label string, always boolean"
 MATCHES = "host string, seq bigint, t bigint"
 ENDS = "host string, end_seq bigint, end_t bigint, late bigint"
+OPEN = (
+    "host string, open_seq bigint, open_t bigint, until bigint, seq bigint, ts timestamp, t bigint, role string, is_match boolean, "
+    "line string, label string, always boolean, truncated boolean"
+)
+TICK = "host string, seq bigint, ts timestamp, line string"
 
 Patterns = Callable[[SparkSession, int], tuple[PatternSet, PatternSet]]
 
@@ -38,9 +48,11 @@ def fixed(patterns: PatternSet, always: PatternSet = PatternSet()) -> Patterns:
 
 @dataclass
 class CaptureStream:
-    """Settings of one stream: where it writes captured lines and closed captures, where
-    it keeps state, and how many seconds of event time may pass before a silent source's
-    open capture is closed and older lines count as late (None: never)."""
+    """Settings of one stream: where it writes, where it keeps state, and how many seconds may pass before a silent
+    source's open capture is closed, and before a line behind its own source's newest counts as late (None: never).
+
+    Under output are written, a folder a batch: lines (captured lines), closed (captures with all that is known of
+    them), texts (their rendered rows), late (lines too late to be read in order), and, with requests, pushes and events."""
 
     output: str
     state: str
@@ -50,6 +62,7 @@ class CaptureStream:
     delay: int | None = None
     size: int = BUCKET
     session: SparkSession | None = None
+    requests: RequestParams | None = None
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
         with scratch_scope(self.session or rows.sparkSession):
@@ -59,20 +72,21 @@ class CaptureStream:
         # The batch is written once; the rest reads it as an ordinary table, with the caller's session settings.
         spark = self.session or rows.sparkSession
         path = scratch_path(spark, "arrived")
-        rows.select("host", "seq", "ts", "line").write.parquet(path)
-        lookback = self._state(spark, batch, "lines", LINES)
-        matched = self._state(spark, batch, "matches", MATCHES)
-        ends = self._state(spark, batch, "ends", ENDS)
+        rows.withColumn("place", F.monotonically_increasing_id()).write.parquet(path)
+        arrived = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, place bigint").parquet(path)
+        lookback, matched, ends, begun = (
+            self._state(spark, batch, name, schema) for name, schema in (("lines", LINES), ("matches", MATCHES), ("ends", ENDS), ("open", OPEN))
+        )
         params = self.params
+        ticked = arrived.where("host IS NULL").agg(F.max(F.unix_micros("ts")).alias("t")).first()["t"] if "ts" in rows.columns else None
 
-        watermark = self._watermark(ends)
         late = F.coalesce(F.col("seq") <= F.col("end_seq"), F.lit(False))
-        if watermark is not None:
-            late = late | (F.unix_micros("ts") < watermark)
-        taken = spark.read.schema("host string, seq bigint, ts timestamp, line string").parquet(path)
-        taken = taken.join(ends, "host", "left").withColumn("_late", late)
-        fresh = taken.where(~F.col("_late"))
-        fresh = scan(fresh, ["host"], F.unix_micros("ts"), "t", how="max", size=self.size)
+        if self.delay is not None:
+            late = late | F.coalesce(F.unix_micros("ts") < F.col("end_t") - self.delay * 1_000_000, F.lit(False))
+        taken = self._in_order(arrived.where("host IS NOT NULL"), ends).join(ends, "host", "left").withColumn("_late", late)
+        taken = stored(taken, "taken")
+        taken.where("_late").select("host", "seq", "ts", "line").write.mode("overwrite").parquet(f"{self.output}/late/batch={batch}")
+        fresh = scan(taken.where(~F.col("_late")), ["host"], F.unix_micros("ts"), "t", how="max", size=self.size)
         fresh = fresh.withColumn("t", F.greatest("t", "end_t")).select("host", "seq", "ts", "t", "line")
         watch, always = self.patterns(spark, batch)
         labelled = stored(label_lines(fresh, watch, always, self.own), "batch_lines")
@@ -81,32 +95,75 @@ class CaptureStream:
         matches = matched.unionByName(match_rows(labelled))
         captures = stored(find_captures(matches, params, self.size), "batch_captures")
         held = stored(capture_lines(lines, captures, params, self.size), "batch_held")
-        cap_context(held, params, self.size).write.mode("overwrite").parquet(f"{self.output}/lines/batch={batch}")
+        capped = stored(cap_context(held, params, self.size), "batch_capped")
+        capped.write.mode("overwrite").parquet(f"{self.output}/lines/batch={batch}")
 
-        arrived = taken.groupBy("host").agg(
+        counted = taken.groupBy("host").agg(
             F.max(F.when(~F.col("_late"), F.col("seq"))).alias("end_seq"),
             F.count_if("_late").alias("late"),
         ).join(labelled.groupBy("host").agg(F.max("t").alias("end_t")), "host", "left")
         now = stored(
-            ends.unionByName(arrived).groupBy("host")
+            ends.unionByName(counted).groupBy("host")
             .agg(F.max("end_seq").alias("end_seq"), F.max("end_t").alias("end_t"), F.sum("late").alias("late")),
             "batch_ends",
         )
         full = held.where(F.col("seq") == F.col("open_seq") + params.reach).select("host", "open_seq", F.lit(True).alias("full"))
-        judged = captures.join(now, "host").join(full, ["host", "open_seq"], "left")
-        is_closed = self._closed(self._watermark(now))
+        judged = stored(captures.join(now, "host").join(full, ["host", "open_seq"], "left"), "judged")
+        is_closed = self._closed(self._watermark(now, ticked))
         closed = judged.where(is_closed).withColumn("end_reason", self._reason()).drop("end_seq", "end_t", "late", "full")
-        closed.write.mode("overwrite").parquet(f"{self.output}/closed/batch={batch}")
 
-        still = judged.where(~is_closed).select("host", "open_seq")
+        # what is known of captures that are still open goes on to the next batch
+        key = ["host", "open_seq"]
+        more = held.groupBy(*key).agg(F.count_if(F.col("role") == "context").alias("_all"))
+        less = capped.groupBy(*key).agg(F.count_if(F.col("role") == "context").alias("_kept"))
+        cut = more.join(less, key, "left").select(*key, (F.col("_all") > F.coalesce("_kept", F.lit(0))).alias("truncated"))
+        known = stored(begun.unionByName(capped.join(cut, key).select(*begun.columns)), "known")
+        self._closing(spark, batch, closed, known.join(closed.select(*key), key, "left_semi"), now)
+
+        still = judged.where(~is_closed).select(*key)
         kept = matches.join(still, "host").where(F.col("seq") >= F.col("open_seq")).select("host", "seq", "t")
-        recent = self._recent(lines, now)
-        waiting = recent.join(held.select("host", "seq"), ["host", "seq"], "left_anti")
-        for name, df in (("lines", waiting), ("matches", kept), ("ends", now)):
+        waiting = self._recent(lines, now).join(held.select("host", "seq"), ["host", "seq"], "left_anti")
+        going = known.join(still, key, "left_semi")
+        for name, df in (("lines", waiting), ("matches", kept), ("ends", now), ("open", going)):
             df.write.mode("overwrite").parquet(self._path(batch, name))
         if batch > 1:
             self._forget(spark, batch - 2)
 
+    def _in_order(self, rows: DataFrame, ends: DataFrame) -> DataFrame:
+        """host, seq, ts, line: as they come, or, for lines of text files, numbered on from each source's last, with the
+        time they begin with, else that of their file."""
+        if "seq" in rows.columns:
+            return rows.select("host", "seq", "ts", "line")
+        numbered = number_rows(rows, ["host"], ["changed", "file", "block", "place", "piece"])
+        timed = stamped(numbered).withColumn("ts", F.coalesce("ts", "changed"))
+        before = ends.select("host", F.col("end_seq").alias("_before"))
+        return timed.join(before, "host", "left").select("host", (F.col("seq") + F.coalesce("_before", F.lit(0))).alias("seq"), "ts", "line")
+
+    def _closing(self, spark: SparkSession, batch: int, closed: DataFrame, lines: DataFrame, now: DataFrame) -> None:
+        """Write the captures that this batch closes: what is known of them, their text, and their requests."""
+        key, params = ["host", "open_seq"], self.params
+        lines = stored(lines, "closing")
+        texts = f"{self.output}/texts/batch={batch}"
+        told = capture_summary(lines, now.select("host", "end_t"), params).drop("end_reason", "until", "open_t", "n_matches")
+        told = told.join(closed.select(*key, "open_t", "until", "n_matches", "last_seq", "last_t", "limit_seq", "end_reason"), key)
+        told = told.join(always_notify_rollup(lines), key)
+        told = told.join(lines.groupBy(*key).agg(F.bool_or("truncated").alias("context_truncated")), key)
+        named = stored(capture_name(told, texts), "named")
+        named.write.mode("overwrite").parquet(f"{self.output}/closed/batch={batch}")
+        none = spark.createDataFrame([], "host string, open_seq bigint, held_by_seq bigint, n bigint")
+        at = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+        stamp = spark.range(1).select(at.alias("at")).first()["at"]
+        rendered = stored(render_capture(named, lines, none, params, stamp, stamp), "rendered")
+        write_rendered(rendered, named, texts, "overwrite")
+        if self.requests is None:
+            return
+        routed = stored(route_capture(named.withColumn("post_failed", F.lit(False)), self.requests), "routed")
+        push_request(routed, self.requests).write.mode("overwrite").parquet(f"{self.output}/pushes/batch={batch}")
+        if self.requests.events:
+            placed = place_rows(rendered, lines, self.size)
+            with_text = routed.join(excerpt_json_capped(placed), key, "left")
+            event_payload(with_text, self.requests, stamp).write.mode("overwrite").parquet(f"{self.output}/events/batch={batch}")
+
     def _recent(self, lines: DataFrame, ends: DataFrame) -> DataFrame:
         """Lines a coming match can still reach: by time, and by the bytes of context allowed."""
         timed = lines.join(ends.select("host", F.col("end_t").alias("_end")), "host").where(
@@ -122,12 +179,12 @@ class CaptureStream:
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(self._path(batch - 1, name))
 
-    def _watermark(self, ends: DataFrame) -> int | None:
-        """The event time no line may still be older than, in microseconds."""
+    def _watermark(self, ends: DataFrame, ticked: int | None) -> int | None:
+        """The time no line may still be older than, in microseconds: by the newest line of any source, or by the clock."""
         if self.delay is None:
             return None
-        newest = ends.agg(F.max("end_t").alias("t")).first()["t"]
-        return None if newest is None else newest - self.delay * 1_000_000
+        times = [t for t in (ends.agg(F.max("end_t").alias("t")).first()["t"], ticked) if t is not None]
+        return max(times) - self.delay * 1_000_000 if times else None
 
     def _closed(self, watermark: int | None) -> Column:
         """A capture ends when a later line came, when it is full, or when the watermark passes its end.
@@ -145,8 +202,14 @@ class CaptureStream:
         old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     def start(self, lines: DataFrame, checkpoint: str, available_now: bool = False, seconds: int = 10) -> StreamingQuery:
-        """Run over a streaming lines table (host, seq, ts, line); stops by itself with available_now."""
+        """Run over a streaming table of lines (host, seq, ts, line, or what stream_text_lines gives); stops by itself
+        with available_now. Without it, and with a delay, a clock runs along with structured lines, so that captures
+        are closed while all sources are quiet; text lines get theirs from their files."""
         self.session = lines.sparkSession
+        if not available_now and self.delay is not None and "seq" in lines.columns:
+            clock = self.session.readStream.format("rate").option("rowsPerSecond", 1).load()
+            ticks = clock.selectExpr("CAST(NULL AS string) AS host", "CAST(NULL AS bigint) AS seq", "timestamp AS ts", "CAST(NULL AS string) AS line")
+            lines = lines.select("host", "seq", "ts", "line").unionByName(ticks)
         writer = lines.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")
         return writer.start()
@@ -157,10 +220,15 @@ def captured_stream_lines(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.parquet(f"{output}/lines").drop("batch")
 
 
-def late_lines(spark: SparkSession, stream: CaptureStream, batch: int) -> DataFrame:
-    """Lines each source sent too late, up to a batch that is still kept."""
-    return stream._state(spark, batch + 1, "ends", ENDS).select("host", "late")
+def late_lines(spark: SparkSession, stream: CaptureStream) -> DataFrame:
+    """The lines that came too late to be read in order, with the batch they came in."""
+    return spark.read.parquet(f"{stream.output}/late")
 
 
 def closed_captures(spark: SparkSession, output: str) -> DataFrame:
     return spark.read.parquet(f"{output}/closed").drop("batch")
+
+
+def outbox(spark: SparkSession, output: str, kind: str) -> DataFrame:
+    """The pushes or events of all captures closed so far."""
+    return spark.read.parquet(f"{output}/{kind}").drop("batch")

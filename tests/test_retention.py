@@ -53,6 +53,39 @@ def test_usage_compaction_and_deletion(spark, tmp_path):
     assert {r["month"] for r in ret.partition_usage(spark, root).collect()} == {"2020-02"}
 
 
+def test_a_failed_compaction_leaves_every_month(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    rows = spark.range(40).selectExpr("CASE WHEN id < 20 THEN '2020-01' ELSE '2020-02' END AS month", "'h' AS host", "id AS open_seq", "id AS seq", "'x' AS line")
+    ret.write_captures(rows.repartition(3), root)
+
+    def counts():
+        back = spark.read.option("recursiveFileLookup", "true").parquet(f"{root}/month=2020-01"), spark.read.parquet(f"{root}/month=2020-02")
+        return [df.count() for df in back]
+
+    moved, calls = ret._moved, []
+
+    def second_fails(fs, source, target):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("no")
+        moved(fs, source, target)
+
+    monkeypatch.setattr(ret, "_moved", second_fails)
+    with pytest.raises(RuntimeError):
+        ret.compact_months(spark, root, ["2020-01", "2020-02"])
+    assert counts() == [20, 20]  # the old month was put back
+    monkeypatch.setattr(ret, "_moved", moved)
+    # a job that died between the two renames: the month stands aside and comes back
+    (tmp_path / "store" / "month=2020-01").rename(tmp_path / "store" / f"{ret.ASIDE}2020-01-dead")
+    ret.recover_months(spark, root)
+    assert counts() == [20, 20]
+    assert ret.compact_months(spark, root, ["2020-01", "2020-02"]) == {"2020-01": 20, "2020-02": 20}
+    assert counts() == [20, 20] and not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_")]
+    assert {r["month"]: r["compacted"] for r in ret.partition_usage(spark, root).collect()} == {"2020-01": True, "2020-02": True}
+    assert ret.apply_plan(spark, root, spark.sql("SELECT '2020-02' AS month, 'delete' AS action")) == {"delete": ["2020-02"], "compact": []}
+    assert {r["month"] for r in ret.partition_usage(spark, root).collect()} == {"2020-01"}
+
+
 def test_settings(spark):
     with pytest.raises(ValueError):
         ret.retention_plan(usage(spark, [("2020-01", 1, None)]), "2020-04-01", -1, 0)

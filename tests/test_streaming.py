@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -7,9 +8,10 @@ from pyspark.sql import functions as F
 
 from loglantern.operators.captures import observed, run_counters
 from loglantern.operators.matching import PatternSet
-from loglantern.params import CaptureParams
+from loglantern.operators.retention import read_rendered
+from loglantern.params import CaptureParams, RequestParams
 from loglantern.sources.lines import LINE_SCHEMA, catch_up, stream_log_lines, stream_text_lines
-from loglantern.streaming.batches import CaptureStream, captured_stream_lines, closed_captures, fixed, late_lines
+from loglantern.streaming.batches import TICK, CaptureStream, captured_stream_lines, closed_captures, fixed, late_lines, outbox
 
 WATCH = PatternSet.of(texts=["HIT"])
 
@@ -59,18 +61,49 @@ def test_quiet_close_late_lines_and_rerun(spark, tmp_path):
     params = CaptureParams(10, 0, 100)
     first = [("a", 1, 100, "HIT"), ("b", 1, 100, "x")]
     second = [("b", 2, 150, "x"), ("a", 1, 100, "HIT")]
-    third = [("a", 2, 104, "too late"), ("a", 3, 160, "HIT"), ("b", 3, 161, "HIT")]
+    third = [("a", 2, 104, "slow source"), ("a", 3, 160, "HIT"), ("b", 3, 161, "HIT")]
     stream = play(spark, tmp_path, [first, second, third], params, delay=20)
     out = f"{tmp_path}/out"
     assert [(r["host"], r["open_seq"], r["end_reason"]) for r in closed_captures(spark, out).collect()] == [("a", 1, "time")]
     assert sorted((r["host"], r["seq"]) for r in captured_stream_lines(spark, out).collect()) == [("a", 1), ("a", 3), ("b", 3)]
-    assert {r["host"]: r["late"] for r in late_lines(spark, stream, 2).collect()} == {"a": 2, "b": 0}
+    # a line is late by its own source's newest line, and is kept
+    assert [(r["host"], r["seq"], r["line"], r["batch"]) for r in late_lines(spark, stream).collect()] == [("a", 1, "HIT", 1)]
     # A batch that runs again replaces its own output.
     again = spark.createDataFrame(third, "host string, seq bigint, s bigint, line string").withColumn("ts", F.timestamp_seconds("s"))
     stream(again, 2)
     assert sorted((r["host"], r["seq"]) for r in captured_stream_lines(spark, out).collect()) == [("a", 1), ("a", 3), ("b", 3)]
 
 
+def test_a_clock_closes_what_is_quiet_and_requests_are_written(spark, tmp_path):
+    base, params = str(tmp_path), CaptureParams(10, 0, 100)
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH), params, delay=20, size=8, requests=RequestParams(events=True))
+    rows = [("a", 1, 95, "before"), ("a", 2, 100, " HIT "), ("a", 3, 105, "after")]
+    df = spark.createDataFrame(rows, "host string, seq bigint, s bigint, line string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    stream(df, 0)
+    assert spark.read.parquet(f"{base}/out/closed").count() == 0
+    for batch, at in ((1, 129), (2, 131)):
+        stream(spark.createDataFrame([(None, None, None, None)], TICK).withColumn("ts", F.timestamp_seconds(F.lit(at))), batch)
+        assert spark.read.parquet(f"{base}/out/closed").count() == batch - 1
+    row = closed_captures(spark, f"{base}/out").first()
+    assert (row["host"], row["open_seq"], row["matched_line"], row["lines_after"], row["context_lines"], row["end_reason"]) == ("a", 2, "HIT", 1, 1, "time")
+    texts = read_rendered(spark, f"{base}/out/texts/batch=2")
+    found = [r["text"] for r in texts.where(F.col("path") == row["path"]).orderBy("part", "pos").collect()]
+    assert found[2] == "Matched line:     HIT " and "before" in found and "-> HIT" in found and "after" in found
+    event = json.loads(outbox(spark, f"{base}/out", "events").first()["event"])
+    assert event["path"] == row["path"] and "-> HIT" in event["excerpt"] and not event["push"]
+
+
+def test_text_files_are_numbered_on(spark, tmp_path):
+    base = str(tmp_path)
+    (tmp_path / "in").mkdir()
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH), CaptureParams(60, 0, 100), size=8)
+    for name, text in (("a.log", "2024-01-01T00:00:00Z one\n\n no stamp HIT\n"), ("b.log", "2024-01-01T00:00:30Z two\n2024-01-01T00:05:00Z HIT\n")):
+        (tmp_path / "in" / name).write_text(text)
+        stream.start(stream_text_lines(spark, f"{base}/in", "h"), f"{base}/c", available_now=True).awaitTermination()
+    got = sorted((r["open_seq"], r["seq"], r["role"]) for r in captured_stream_lines(spark, f"{base}/out").collect())
+    assert got == [(2, 1, "context"), (2, 2, "open"), (2, 3, "after"), (4, 4, "open")]
+
+
 def test_context_bytes_bound_the_state(spark, tmp_path):
     params = CaptureParams(1000, 0, 100, context_bytes=14)
     stream = play(spark, tmp_path, [[("a", i, i, f"line {i}") for i in range(1, 9)], [("a", 9, 9, "HIT")]], params)
