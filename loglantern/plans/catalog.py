@@ -510,12 +510,20 @@ def route_capture(spark, sf):
 
 def event_payload(spark, sf):
     rows = incidents(spark, sf).join(excerpts.excerpt_json_capped(placed(spark, sf)), ["host", "open_seq"])
-    return requests.event_payload(requests.route_capture(rows, MODES["events"]), MODES["events"], NOW)
+    found = requests.event_payload(requests.route_capture(rows, MODES["events"]), MODES["events"], NOW)
+    fields = "source string, version string, host string, pattern string, title string, body string, push boolean, always_notify boolean, excerpt string, path string, time string"
+    read = F.from_json("event", fields)  # read back from the JSON
+    return found.select("host", "open_seq", *(read[f].alias(f) for f in ("source", "version", "pattern", "title", "body", "push", "always_notify", "excerpt", "path", "time")))
 
 
 def model_request(spark, sf):
     rows = incidents(spark, sf).join(excerpts.excerpt_around_match(placed(spark, sf), EXCERPT_BYTES), ["host", "open_seq"])
-    return requests.model_request(rows, MODES["model"], SALT)
+    found = requests.model_request(rows, MODES["model"], SALT)
+    read = F.from_json("request", "model string, temperature int, messages array<struct<role: string, content: string>>")
+    return found.select(
+        "host", "open_seq", read["model"].alias("model"), read["temperature"].alias("temperature"),
+        F.array_join(read["messages"]["role"], " ").alias("roles"), F.element_at(read["messages"]["content"], 2).alias("content"),
+    )
 
 
 def push_request(spark, sf):

@@ -30,10 +30,10 @@ def test_entry(spark):
     assert rows and set(rows[0].asDict()) >= {"capture_id", "end_reason"}
 
 
-def test_only_reports_of_texts_lack_sql():
+def test_every_query_has_sql():
     without = {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"} - set(entry.oracle_sql())
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert without == {"excerpt_json_capped", "event_payload", "model_request"}
+    assert without == set()
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in STREAMS])
