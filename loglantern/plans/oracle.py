@@ -203,29 +203,27 @@ AROUND_TEXT = (
     f"{gap('size - length(q3) - match_end - length(q2)')} || q3 ELSE {gap('size - match_end - length(q2)')} END"
 )
 
-def excerpts(before: str, name: str, limit: int, rounds: int) -> str:
-    """Excerpts of budget b, a column of the table `before`, that shrinks while their JSON form is over the limit."""
-    out, source = "", before
-    for i in range(rounds):
-        n = f"{name}{i}"
-        around = AROUND.removeprefix(TEXTS).replace("parts AS (SELECT t.host, t.open_seq, body, header_end, match_end, size, least(header_end, 2048, 1100 // 4) AS hn FROM texts t JOIN marks USING (host, open_seq))",
-            f"parts AS (SELECT *, least(header_end, 2048, b // 4) AS hn FROM {source})").replace("1100 - hn", "b - hn")
-        for cte in ("parts", "room", "sides", "shares", "tails", "raw_cuts", "cuts"):
-            around = around.replace(f"\n{cte} AS", f"\n{n}_{cte} AS").replace(f"FROM {cte})", f"FROM {n}_{cte})").replace(f"FROM {cte}\n", f"FROM {n}_{cte}\n")
-        out += around + f""",
-{n}_ends AS (SELECT *, least(2048, greatest(1, b // 2)) AS head, CASE WHEN b - least(2048, greatest(1, b // 2)) > 5 THEN chr(10) || '...' || chr(10) ELSE '' END AS sep FROM {n}_cuts),
-{n}_text AS (
-  SELECT host, open_seq, body, header_end, match_end, size, b, CASE WHEN size <= b THEN body WHEN b >= 1024 THEN left({AROUND_TEXT}, b)
-    ELSE left(body, head) || sep || right(body, b - head - length(sep)) END AS excerpt FROM {n}_ends),
-{n}_sized AS (SELECT *, 2 + length(excerpt) + length(excerpt) - length(regexp_replace(excerpt, '["\\\\\\n]', '', 'g')) AS n FROM {n}_text),
-{n}_next AS (SELECT host, open_seq, body, header_end, match_end, size, least(b - 1, b * {limit} // n) AS b FROM {n}_sized WHERE n > {limit})"""
-        source = f"{n}_next"
-    every = " UNION ALL ".join(f"SELECT host, open_seq, excerpt FROM {name}{i}_sized WHERE n <= {limit}" for i in range(rounds))
-    return out + f",\n{name} AS ({every})"
-
-
-CAPPED_TEXTS = TEXTS + """,
-budgeted AS (SELECT t.host, t.open_seq, body, header_end, match_end, size, 1100 AS b FROM texts t JOIN marks USING (host, open_seq))""" + excerpts("budgeted", "capped_text", 1100, 16)
+def excerpt_of(source: str) -> str:
+    """The excerpts of the captures of a table, of at most b bytes each, b being its column, with the length n of their JSON form."""
+    around = AROUND.removeprefix(TEXTS).removeprefix(",").replace(
+        "parts AS (SELECT t.host, t.open_seq, body, header_end, match_end, size, least(header_end, 2048, 1100 // 4) AS hn FROM texts t JOIN marks USING (host, open_seq))",
+        f"parts AS (SELECT *, least(header_end, 2048, b // 4) AS hn FROM {source})").replace("1100 - hn", "b - hn")
+    return f"""SELECT host, open_seq, body, header_end, match_end, size, b, excerpt,
+    2 + 2 * length(excerpt) - length(regexp_replace(excerpt, '["\\\\\\n]', '', 'g')) AS n FROM (
+  WITH {around.strip()},
+  ends AS (SELECT *, least(2048, greatest(1, b // 2)) AS head, CASE WHEN b - least(2048, greatest(1, b // 2)) > 5 THEN chr(10) || '...' || chr(10) ELSE '' END AS sep FROM cuts)
+  SELECT *, CASE WHEN size <= b THEN body WHEN b >= 1024 THEN left({AROUND_TEXT}, b) ELSE left(body, head) || sep || right(body, b - head - length(sep)) END AS excerpt
+  FROM ends)"""
+
+
+# The budget shrinks in proportion to what is too much, by one at least, until the JSON form fits.
+CAPPED_TEXTS = TEXTS + f""",
+budgeted AS (SELECT t.host, t.open_seq, body, header_end, match_end, size, CAST(1100 AS BIGINT) AS b FROM texts t JOIN marks USING (host, open_seq)),
+tried AS (
+  {excerpt_of("budgeted")}
+  UNION ALL
+  {excerpt_of("(SELECT host, open_seq, body, header_end, match_end, size, CAST(least(b - 1, b * 1100 // n) AS BIGINT) AS b FROM tried WHERE n > 1100)")}),
+capped_text AS (SELECT host, open_seq, excerpt FROM tried WHERE n <= 1100)"""
 
 INCIDENTS = WRITTEN + NAMED.replace("FROM_TABLE", "runs") + """,
 told AS (
