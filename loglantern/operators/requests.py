@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import HEADER_MAX, alert_body, alert_title, cut, flatten_text, header_text, note_text, strip
 from ..params import RequestParams
@@ -62,7 +63,10 @@ def _object_in(texts):
     return None, False
 
 
-@F.pandas_udf("struct<kind:string,title:string,summary:string,notify:boolean>")
+SAID = T.StructType([*(T.StructField(f, T.StringType()) for f in ("kind", "title", "summary")), T.StructField("notify", T.BooleanType())])
+
+
+@F.pandas_udf(SAID)
 def _read_reply(whole: pd.Series, inner: pd.Series) -> pd.DataFrame:
     """What a reply says: its whole text as JSON, else the part from its first to its last brace.
 

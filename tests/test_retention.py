@@ -80,7 +80,7 @@ def test_a_failed_compaction_leaves_every_month(spark, tmp_path, monkeypatch):
     ret.recover_months(spark, root)
     assert counts() == [20, 20]
     assert ret.compact_months(spark, root, ["2020-01", "2020-02"]) == {"2020-01": 20, "2020-02": 20}
-    assert counts() == [20, 20] and not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_")]
+    assert counts() == [20, 20] and not [p for p in (tmp_path / "store").iterdir() if p.name.startswith((ret.FRESH, ret.ASIDE))]
     assert {r["month"]: r["compacted"] for r in ret.partition_usage(spark, root).collect()} == {"2020-01": True, "2020-02": True}
     assert ret.apply_plan(spark, root, spark.sql("SELECT '2020-02' AS month, 'delete' AS action")) == {"delete": ["2020-02"], "compact": []}
     assert {r["month"] for r in ret.partition_usage(spark, root).collect()} == {"2020-01"}
