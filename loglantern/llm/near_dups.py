@@ -3,17 +3,17 @@
 A document's set of word shingles is cut by hash into 128 buckets. Of the least hash in each, a register
 keeps the number of leading zeros and ten bits that follow (16 bits in all). Documents with
 the same set are one class from then on. Registers, the empty ones filled from others by a fixed
-pseudorandom order, are banded; documents that share a band are candidates. Candidates are compared with
-pivots of their band, eight times as many each round, until all of a band is one component or
-every member was a pivot; so a group of many copies costs a star, not all its pairs. An
-estimate of the Jaccard similarity from the registers, less the matches expected by chance, drops pairs
-far below the threshold; the others are confirmed on full sets.
+pseudorandom order, are banded; documents that share a band are candidates. All of a band are compared with
+one of them, so a group of many copies costs a star. What is then still of several components in a band is
+compared by blocks, within the tasks. Before each comparison an estimate of the Jaccard similarity from the registers, less
+the matches expected by chance, drops pairs far below the threshold; the others are confirmed on full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +28,8 @@ BUCKETS = 1 << BUCKET_BITS
 BAND = 4
 #: Pairs are dropped unseen when the estimate is so many standard deviations below the threshold.
 DEVIATIONS = 6.0
-#: Pivots of a band grow by this factor each round.
-FACTOR = 8
+#: Classes of a block, and shingles of all their sets, at most about.
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1 << 18
 
 
 def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -166,6 +166,7 @@ def _near(percent: int):
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets overlap enough: by estimate first, then on the full sets."""
     side = lambda x, *c: members.select(F.col("class").alias(x), *(F.col(k).alias(v) for k, v in c))
     rough = pairs.join(side("a", ("registers", "ra"), ("n_shingles", "na")), "a").join(side("b", ("registers", "rb"), ("n_shingles", "nb")), "b")
     near = stored(rough.mapInArrow(_near(percent), "a binary, b binary"), "near")
@@ -174,41 +175,120 @@ def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return full.withColumn("both", both).filter(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
+def _alone(members: DataFrame, among: DataFrame) -> DataFrame:
+    """class, n, alone: the size of each set of some classes, and how many of its shingles no other of them has.
+
+    A shingle met once names its class itself, so nothing is joined back."""
+    own = members.join(among.select("class").distinct(), "class")
+    once = own.select("class", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("sets"), F.first("class").alias("class"))
+    once = once.filter("sets = 1").groupBy("class").agg(F.count("*").alias("alone"))
+    return own.select("class", F.col("n_shingles").alias("n")).join(once, "class", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+
+
+def _compared(percent: int):
+    """Links between the classes of two blocks (or of one) that have different roots, as few as join what is linked.
+
+    Estimates come first; the classes that have a pair left are compared on full sets, each with a whole block at once."""
+
+    def sets(rows: pa.Table, names: np.ndarray):
+        column = rows.column("shingles").combine_chunks()
+        ends = column.offsets.to_numpy()
+        return np.searchsorted(names, column.values.to_numpy()[ends[0] : ends[-1]]), ends - ends[0]
+
+    def group(rows: pa.Table) -> pa.Table:
+        left, right = (rows.filter(pc.equal(rows.column("side"), s)) for s in (0, 1))
+        alone = not right.num_rows
+        right = left if alone else right
+        if not left.num_rows or left.num_rows + right.num_rows < 2 + alone:
+            return _NO_LINKS
+        names = np.unique(pc.list_flatten(rows.column("shingles").combine_chunks()).to_numpy())
+        (ids_a, at_a), (ids_b, at_b) = sets(left, names), sets(right, names)
+        size_a, size_b = np.diff(at_a), np.diff(at_b)
+        regs_a, regs_b = (np.frombuffer(b"".join(r.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS) for r in (left, right))
+        root_a, root_b = left.column("root").to_pylist(), right.column("root").to_pylist()
+        number = {r: i for i, r in enumerate(dict.fromkeys(root_a + root_b))}
+        root_a, root_b = (np.array([number[r] for r in x]) for x in (root_a, root_b))
+        up, seen, out = list(range(len(number))), np.zeros(len(names), np.int32), []
+
+        def top(i):
+            while up[i] != i:
+                up[i] = i = up[up[i]]
+            return i
+
+        for i in range(len(size_a)):
+            other = np.flatnonzero(root_b != root_a[i])
+            other = other[other > i] if alone else other
+            other = other[100 * np.minimum(size_b[other], size_a[i]) >= percent * np.maximum(size_b[other], size_a[i])]
+            if len(other):
+                guess, used = estimates(np.broadcast_to(regs_a[i], (len(other), BUCKETS)), regs_b[other], np.broadcast_to(size_a[i], len(other)), size_b[other])
+                other = other[guess >= percent / 100 - DEVIATIONS * np.sqrt(percent / 100 * (1 - percent / 100) / used)]
+            if not len(other):
+                continue
+            own = ids_a[at_a[i] : at_a[i + 1]]
+            seen[own] = 1
+            both = np.add.reduceat(seen[ids_b], at_b[:-1])[other]
+            seen[own] = 0
+            for j in other[100 * both >= percent * (size_a[i] + size_b[other] - both)]:
+                x, y = top(root_a[i]), top(root_b[j])
+                if x != y:
+                    up[x] = y
+                    out.append((i, int(j)))
+        names_a, names_b = left.column("class").to_pylist(), right.column("class").to_pylist()
+        return pa.table({"a": [names_a[i] for i, _ in out], "b": [names_b[j] for _, j in out]}, schema=_NO_LINKS.schema)
+
+    return group
+
+
+_NO_LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())]).empty_table()
+
+
+def _between_components(seats: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among the classes of bands that hold several components.
+
+    Classes are dealt into blocks of bounded size by the largest band that they are in. Two blocks that
+    meet in a band are compared in one task; a class goes to as many tasks as its block meets others."""
+    home = seats.groupBy("class").agg(F.max(F.struct("size", "band")).alias("home"), F.first("root").alias("root"))
+    own = members.join(home.select("class", "root", F.col("home.band").alias("home")), "class")
+    own = stored(own, "own")
+    sizes = own.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
+    own = own.join(stored(sizes, "homes"), "home").withColumn("part", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    own = stored(own.withColumn("block", F.struct("home", "part")).drop("home", "part", "blocks"), "own")
+    meet = stored(seats.select("band", "class").join(own.select("class", "block"), "class").select("band", "block").distinct(), "meet")
+    pairs = meet.join(meet.withColumnRenamed("block", "other"), "band").filter("block <= other").select("block", "other").distinct()
+    sides = F.explode(F.expr("CASE WHEN block = other THEN array(struct(0 AS side, block AS at)) ELSE array(struct(0 AS side, block AS at), struct(1 AS side, other AS at)) END"))
+    tasks = stored(pairs.select("block", "other", sides.alias("s")).select("block", "other", "s.side", "s.at"), "tasks")
+    rows = tasks.join(own.withColumnRenamed("block", "at"), "at").select("block", "other", "side", "class", "root", "registers", "shingles")
+    return rows.groupBy("block", "other").applyInArrow(_compared(percent), "a binary, b binary")
+
+
 def class_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between classes (a, b) by which all linked classes can be reached."""
+    """Links between classes (a, b) by which all linked classes can be reached.
+
+    First each band's members are compared with one of them. Then only bands of several components matter. Members
+    that have too many shingles alone to be linked with any other leave them; the rest of such bands are compared by blocks."""
     bands = classes.select("class", "registers").mapInArrow(_bands, "band long, class binary")
-    shared = stored(bands.groupBy("band").agg(F.count("*").alias("size"), F.min("class").alias("pivot")).filter("size > 1"), "bands")
+    shared = bands.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
     seats = stored(bands.join(shared.hint("merge"), "band"), "seats")
     inside = seats.select("class").distinct().join(classes, "class").select("class", "n_shingles", "registers", "rep.doc_id", "rep.text_hash")
     same = texts["doc_id"].eqNullSafe(inside["doc_id"]) & (texts["text_hash"] == inside["text_hash"])
     members = inside.join(texts, same).select("class", "n_shingles", "registers", "text")
     members = stored(members.mapInArrow(_sets(k), "class binary, n_shingles long, registers binary, shingles array<long>"), "members")
 
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    pairs = seats.filter("class != pivot").select(*ordered(F.col("pivot"), F.col("class"))).distinct()
-    tested = stored(pairs, "pairs")
-    links = stored(_confirmed(tested, members, percent), "links")
-    draw = F.pmod(F.xxhash64("band", "class"), F.lit(1 << 30)) / float(1 << 30) * F.col("size")
-    seats = stored(seats.select("band", "class", "size", draw.alias("draw")), "seats")
-    pivots = 1
-    while True:
-        root = components(links).select(F.col("node").alias("class"), F.col("component").alias("root"))
-        now = seats.join(root, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        now = stored(now, "seats-now")
-        split = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter((F.col("low") != F.col("high")))
-        split = stored(split.select("band"), "split")
-        seats = stored(now.join(split, "band").filter(F.col("size") > pivots), "seats")
-        if seats.isEmpty():
-            return links
-        pivots, last = pivots * FACTOR, pivots
-        # of a band whose members were all pivots by now, every pair has been compared
-        first = F.lit(-1.0) if last == 1 else F.lit(float(last))
-        hubs = seats.filter((F.col("draw") >= first) & (F.col("draw") < pivots)).select("band", F.col("class").alias("hub"), F.col("root").alias("hub_root"))
-        pairs = seats.join(hubs, "band").filter("root != hub_root").select(*ordered(F.col("hub"), F.col("class"))).distinct()
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = stored(tested.unionByName(pairs), "tested")
-        links = stored(links.unionByName(_confirmed(pairs, members, percent)), "links")
-        seats = seats.drop("root")
+    pivot = stored(seats.groupBy("band").agg(F.min("class").alias("a")), "pivots")
+    pairs = seats.join(pivot, "band").filter("class != a").select("a", F.col("class").alias("b")).distinct()
+    links = stored(_confirmed(stored(pairs, "pairs"), members, percent), "links")
+    root = components(links).select(F.col("node").alias("class"), F.col("component").alias("root"))
+    seats = stored(seats.join(root, "class", "left").withColumn("root", F.coalesce("root", "class")), "seats")
+    seats = _split(seats)
+    known = stored(_alone(members, seats).filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")), "not-alone")
+    seats = _split(seats.join(known.select("class"), "class"))
+    return stored(links.unionByName(_between_components(seats, members, percent)), "links")
+
+
+def _split(seats: DataFrame) -> DataFrame:
+    """The seats of bands that have members of several components."""
+    several = seats.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("band")
+    return stored(seats.join(stored(several, "split"), "band"), "seats")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
