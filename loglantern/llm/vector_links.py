@@ -5,7 +5,7 @@ bounded size, and each shard builds its graph: a node's layers are drawn from it
 best of a beam search that are nearer to it than to each other. Then every vector queries every shard of its
 label, whole shards at a time: a task holds two shards and runs the queries of each against the graph of the other.
 A beam widens for a query while even its last member is a match; and for all queries when an audit of a sample
-against all vectors of the shard finds a match that the beam missed. Matches are verified by cosine in
+against all vectors of the shard finds a link that neither of its ends has found. Matches are verified by cosine in
 double precision and counted; a task hands on one link for each vector of what it has joined, so that large groups cost no pairs.
 """
 
@@ -28,8 +28,10 @@ MIN_COSINE = 0.93
 SHARD_VECTORS = 6000
 LINKS = 16
 BUILD_BEAM, QUERY_BEAM = 64, 64
-#: Nodes that a search opens at once, and queries that run side by side.
+#: Nodes that a search opens at once (more in wide beams), and queries that run side by side.
 OPENED, TOGETHER = 4, 512
+#: A beam of more than so much of a shard looks at all of it.
+WHOLE = 0.25
 #: An audit looks at one in so many queries; two in a row must pass.
 AUDIT_SHARE, AUDITS = 8, 2
 _SLACK = 1e-4  # of a search in single precision
@@ -64,7 +66,7 @@ class Graph:
                 live, ids, score, opened = live[more], ids[more], score[more], opened[more]
                 if not len(live):
                     return best_ids, best_score
-            pick = np.argsort(opened, axis=1, kind="stable")[:, :OPENED]  # unopened ones first, in order of score
+            pick = np.argsort(opened, axis=1, kind="stable")[:, : max(OPENED, beam // 16)]  # unopened ones first, in order of score
             fresh = ~np.take_along_axis(opened, pick, 1)
             np.put_along_axis(opened, pick, True, 1)
             near = np.where(fresh[:, :, None], links[np.maximum(np.take_along_axis(ids, pick, 1), 0)], -1).reshape(len(live), -1)
@@ -146,43 +148,74 @@ def _link_back(vectors: np.ndarray, links: np.ndarray, new: np.ndarray, chosen:
     """Add each new node to the links of those it chose; full lists keep the diverse best."""
     source, target = np.repeat(new, chosen.shape[1]), chosen.reshape(-1)
     source, target = source[target >= 0], target[target >= 0]
+    if not len(target):
+        return
     order = np.argsort(target, kind="stable")
     source, target = source[order], target[order]
-    for part in np.split(np.arange(len(target)), np.flatnonzero(np.diff(target)) + 1) if len(target) else []:
-        node, wide = target[part[0]], links.shape[1]
-        own = links[node]
-        pool = np.concatenate([own[own >= 0], source[part]])
-        if len(pool) > wide:
-            score = vectors[pool] @ vectors[node]
-            best = np.argsort(-score, kind="stable")
-            pool = _diverse(vectors, pool[best][None], score[best][None], wide)[0]
-        links[node] = -1
-        links[node, : len(pool)] = pool
-
-
-def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) of all verified matches; queries and exact are unit vectors in double precision."""
-    n, beam, passed, round_ = len(exact), min(QUERY_BEAM, len(exact)), 0, 0
-    single = queries.astype(np.float32)
+    nodes, first, count = np.unique(target, return_index=True, return_counts=True)
+    more = np.full((len(nodes), count.max()), -1, np.int64)
+    more[np.repeat(np.arange(len(nodes)), count), np.arange(len(target)) - np.repeat(first, count)] = source
+    pool = np.concatenate([links[nodes], more], axis=1)
+    order = np.argsort(pool < 0, axis=1, kind="stable")
+    pool = np.take_along_axis(pool, order, 1)
+    wide = links.shape[1]
+    over = (pool >= 0).sum(axis=1) > wide
+    links[nodes[~over]] = pool[~over, :wide]
+    for at in range(0, over.sum(), 256):
+        rows = np.flatnonzero(over)[at : at + 256]
+        own = pool[rows]
+        score = np.where(own >= 0, np.einsum("rd,rpd->rp", vectors[nodes[rows]], vectors[np.maximum(own, 0)]), -np.inf).astype(np.float32)
+        best = np.argsort(-score, axis=1, kind="stable")
+        links[nodes[rows]] = _diverse(vectors, np.take_along_axis(own, best, 1), np.take_along_axis(score, best, 1), wide)
+
+
+def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, cosine: float, beam: int, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) of verified matches by a beam that widens for each query until its last member is none.
+
+    queries and exact are unit vectors in double precision; own: they are the same, and each query enters at itself too."""
+    n, found, single = len(exact), [], queries.astype(np.float32)
+    for a in range(0, len(queries), TOGETHER):
+        todo, width = np.arange(a, min(a + TOGETHER, len(queries))), beam
+        while len(todo):
+            if width >= WHOLE * n:  # all of the shard is in the beam
+                r, c = np.nonzero(single[todo] @ graph.vectors.T >= cosine - _SLACK)
+                found.append(_verified(todo[r], c, queries, exact, cosine))
+                break
+            entries = graph.descend(single[todo], 0)
+            if own:
+                entries = np.concatenate([np.where(entries == todo[:, None], -1, entries), todo[:, None]], axis=1)
+            ids, score = graph.search(single[todo], entries, 0, width)
+            close = (ids >= 0) & (score >= cosine - _SLACK)
+            full = close[:, -1]  # even the last of the beam matches
+            r, c = np.nonzero(close & ~full[:, None])
+            found.append(_verified(todo[r], ids[r, c], queries, exact, cosine))
+            todo, width = todo[full], width * 4
+    return _joined(found)
+
+
+def all_matches(a: tuple[Graph, np.ndarray], b: tuple[Graph, np.ndarray] | None, cosine: float, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) of all linked pairs of one shard, or between two, each in both directions; b's vectors are numbered after a's.
+
+    A pair counts when either finds the other. Audits compare a sample of the vectors with all of the other shard; a
+    link that is missed doubles the beam, until two audits in a row pass or the beam holds a whole shard."""
+    beam, passed, round_, size = QUERY_BEAM, 0, 0, len(a[1])
+    exact = a[1] if b is None else np.concatenate([a[1], b[1]])
     while True:
-        if beam >= n:  # as wide as the shard: every node is looked at
-            found = [_verified(np.repeat(np.arange(a, min(a + TOGETHER, len(queries))), n), np.tile(np.arange(n), min(a + TOGETHER, len(queries)) - a), queries, exact, cosine) for a in range(0, len(queries), TOGETHER)]
-            return _joined(found)
-        found = []
-        for a in range(0, len(queries), TOGETHER):
-            todo, width = np.arange(a, min(a + TOGETHER, len(queries))), beam
-            while len(todo):
-                ids, score = graph.search(single[todo], graph.descend(single[todo], 0), 0, width)
-                close = (ids >= 0) & (score >= cosine - _SLACK)
-                full = close[:, -1] & (width < n)  # even the last of the beam matches
-                r, c = np.nonzero(close & ~full[:, None])
-                found.append(_verified(todo[r], ids[r, c], queries, exact, cosine))
-                todo, width = todo[full], min(width * 4, n)
-        query, node = _joined(found)
-        audit = np.flatnonzero(mixed(np.arange(len(queries), dtype=np.uint64) + np.uint64(round_ << 32)) % np.uint64(AUDIT_SHARE) == 0)
+        if b is None:
+            query, node = matches(*a, a[1], cosine, beam, own=True)
+        else:
+            (q1, n1), (q2, n2) = matches(*b, a[1], cosine, beam), matches(*a, b[1], cosine, beam)
+            query, node = np.concatenate([q1, n2]), np.concatenate([n1 + size, q2 + size])
+        pair = np.unique(np.concatenate([query * len(exact) + node, node * len(exact) + query]))
+        query, node = pair // len(exact), pair % len(exact)
+        if beam >= WHOLE * max(size, len(exact) - size):
+            return query, node
+        sample = mixed(ids.astype(np.uint64) + np.uint64(round_ << 40)) % np.uint64(AUDIT_SHARE) == 0
+        truth = 0
+        for part, other in ([(np.flatnonzero(sample), exact)] if b is None else [(np.flatnonzero(sample[:size]), b[1]), (size + np.flatnonzero(sample[size:]), a[1])]):
+            truth += sum(int((exact[part[at : at + TOGETHER]] @ other.T >= cosine).sum()) for at in range(0, len(part), TOGETHER))
         round_ += 1
-        truth = sum(int((queries[audit[a : a + TOGETHER]] @ exact.T >= cosine).sum()) for a in range(0, len(audit), TOGETHER))
-        if truth <= int(np.isin(query, audit).sum()):
+        if truth <= int(sample[query].sum()):
             passed += 1
             if passed >= AUDITS:
                 return query, node
@@ -232,20 +265,14 @@ def _compare(cosine: float):
         shard = both.column("shard").to_numpy()
         a = _graph(both.filter(pa.array(shard == low)))
         if low == high:
-            query, node = matches(a[0], a[1], a[1], cosine)
-            x, y = np.concatenate([query, node]), np.concatenate([node, query])
             ids, n = a[2], a[3]
+            x, y = all_matches(a[:2], None, cosine, ids)
         else:
-            if not (shard == high).any():
+            if not (shard == high).any() or not (shard == low).any():
                 return _EMPTY
             b = _graph(both.filter(pa.array(shard == high)))
-            size = len(a[1])
-            q1, n1 = matches(b[0], b[1], a[1], cosine)
-            q2, n2 = matches(a[0], a[1], b[1], cosine)
-            x, y = np.concatenate([q1, n2, n1 + size, q2 + size]), np.concatenate([n1 + size, q2 + size, q1, n2])
             ids, n = np.concatenate([a[2], b[2]]), np.concatenate([a[3], b[3]])
-        pair = np.unique(x * len(ids) + y)
-        x, y = pair // len(ids), pair % len(ids)
+            x, y = all_matches(a[:2], b[:2], cosine, ids)
         x, y = x[x != y], y[x != y]
         links = np.bincount(x, n[y], len(ids)).astype(np.int64)
         least = ids.copy()
