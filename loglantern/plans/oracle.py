@@ -306,7 +306,7 @@ SELECT host, open_seq, until, n_matches,
     "stream_late_lines": query(RAW + """,
 bounds AS (SELECT min(t) AS low, (max(t) - min(t)) // 3 + 1 AS step FROM lines),
 thirds AS (SELECT host, seq, line, (t - low) // step AS third FROM lines, bounds)""",
-        "SELECT host, seq, line, CASE third WHEN 1 THEN 2 ELSE 4 END AS batch FROM thirds WHERE third < 2"),
+        "SELECT host, seq, line, CAST(CASE third WHEN 1 THEN 2 ELSE 4 END AS BIGINT) AS batch FROM thirds WHERE third < 2"),
     "stream_outbox": captured(INCIDENTS + """,
 last_line AS (SELECT host, max(t) AS end_t FROM lines GROUP BY host)""", f"""
 SELECT s.host, s.open_seq, s.pattern, s.matched_line, t.always_notify, s.lines_after,
