@@ -1,10 +1,8 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from loglantern.operators.context import expand, range_coalesce
-from loglantern.plans import ordered
 from loglantern.plans.ordered import asof_next, neighbours, number_rows, scan
 
 

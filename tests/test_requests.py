@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from loglantern.operators import requests as r
 from loglantern.params import RequestParams
