@@ -104,7 +104,8 @@ def host_rules(docs: DataFrame, host: str = "source", key: str = "doc_id", text:
     hosts = host_verdicts(rows, "_host").select(F.col("_host").alias("_name"), F.col("rate").alias("host_rate"), F.col("rejected").alias("host_rejected"))
     hosts = hosts.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_key", "n_words", "word_chars"), F.lit(SALTS)).cast("int"))
-    judged = rows.join(hosts, rows["_host"].eqNullSafe(hosts["_name"]) & (rows["_salt"] == hosts["_part"]))
+    # hosts times parts are more than Spark expects of the table of hosts, so they may not be broadcast
+    judged = rows.join(hosts.hint("merge"), rows["_host"].eqNullSafe(hosts["_name"]) & (rows["_salt"] == hosts["_part"]))
     return judged.select(
         F.col("_key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "host_rate", "host_rejected", (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"),
@@ -113,4 +114,4 @@ def host_rules(docs: DataFrame, host: str = "source", key: str = "doc_id", text:
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdicts of all documents; a document's host is its source."""
-    return host_rules(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return host_rules(table(spark, sf_dir, "documents", "doc_id", "source", "text")).drop("host_rate")
