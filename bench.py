@@ -3,7 +3,7 @@
 Every entry runs over all of $BENCH_SF_DIR's events (default sf0.1) once to warm up and
 once for the time. `whole_path` numbers, labels, cuts, collects, and leaves out what is held, from raw rows. Entries
 named in `prepared` are operator times: they read tables that stand before the clock starts. The `replicated_*`
-entries run the whole path, numbering included, over copies of the events, $BENCH_COPIES of them (default 100), each
+entries run the whole path, numbering included, over copies of the events, $BENCH_COPIES of them (default 20), each
 30 days after the last; the rate is over all of them.
 """
 
@@ -64,7 +64,7 @@ def copies_of(spark: SparkSession, sf_dir: str, copies: int):
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    copies = int(os.environ.get("BENCH_COPIES", "100"))
+    copies = int(os.environ.get("BENCH_COPIES", "20"))
     spark = session()
     lines = log_lines(spark, sf_dir).select("host", "seq", "ts", "t", "line")
     labelled = catalog.labelled_lines(spark, sf_dir)
