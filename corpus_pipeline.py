@@ -23,11 +23,15 @@ def leave_out_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group; one row of it where rows are repeated. Texts without words all stay."""
+    """The document of the least id of each group; one row of it where rows are repeated. Texts without words all stay.
+
+    A group is a component of linked texts, whatever their ids: null or tied ids make no group of texts that are not linked.
+    Of a group's several texts of the least id (or of none), that of the least hash stays."""
     found = near_duplicates(docs, k=SHINGLE_WORDS, percent=PERCENT).filter("kept AND n_shingles > 0")
-    stay = stored(found.groupBy("component_id").agg(F.min("text_hash").alias("_stays")), "stay")
+    stay = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("_stays"))
+    stay = stored(stay.select("_stays.doc_id", "_stays.text_hash"), "stay")
     worded = docs.filter(has_words(F.col("text"))).withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
-    same = worded["doc_id"].eqNullSafe(stay["component_id"]) & (worded["_hash"] == stay["_stays"])
+    same = worded["doc_id"].eqNullSafe(stay["doc_id"]) & (worded["_hash"] == stay["text_hash"])
     return worded.join(stay.hint("merge"), same, "left_semi").select(*docs.columns).unionByName(docs.filter(~has_words(F.col("text"))))
 
 

@@ -292,12 +292,14 @@ def _split(seats: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept for each row of docs (its doc_id and text).
+    """doc_id, text_hash, n_shingles, component, component_id, kept for each row of docs (its doc_id and text).
 
     Two documents are linked when their sets of k-word shingles (A-Z in lower case) overlap by `percent` of their
     union or more. component_id is the least doc_id that can be reached. A text of fewer words than k is one
     shingle. Null and wordless texts have none and link with nothing. A null id is never a component's
-    unless all its ids are null. Equal texts are one class, whatever their ids; repeated rows are kept apart."""
+    unless all its ids are null. Equal texts are one class, whatever their ids; repeated rows are kept apart.
+    Where ids are null or tied, several components have one component_id; `component`, the least class of each (null
+    for texts without shingles), tells them apart, and several rows of a component may be kept."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     rows = texts.mapInArrow(_signatures(k), "doc_id long, text_hash long, n_shingles long, class binary, registers binary")
     rows = stored(rows, "signatures")
@@ -308,14 +310,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     low = classes.select("class", "low")
     linked = found.join(low, found["node"] == low["class"])
     least = stored(linked.groupBy("component").agg(F.min("low").alias("least")), "least")
-    linked = stored(found.join(least, "component").select(F.col("node").alias("class"), "least"), "linked")
-    ids = stored(low.join(linked, "class", "left").select("class", F.coalesce("least", "low").alias("component_id")), "ids")
+    linked = stored(found.join(least, "component").select(F.col("node").alias("class"), "component", "least"), "linked")
+    ids = low.join(linked, "class", "left").select("class", F.coalesce("component", "class").alias("component"), F.coalesce("least", "low").alias("component_id"))
+    ids = stored(ids, "ids")
     out = rows.drop("registers").join(ids, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.withColumn("component_id", component)
-    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", "component", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op10_near_dups(spark, sf_dir) -> DataFrame:
     """Components of all documents at 0.8 over two-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=2).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=2).drop("text_hash", "component")

@@ -73,3 +73,16 @@ def test_stages(spark, tmp_path):
     assert len(last) == mixed.count() and all(r["round_trip"] and r["n_pieces"] == len(r["pieces"]) > 0 for r in last)
     run = corpus_pipeline.run(spark, sf).collect()
     assert sorted((r["doc_id"], r["n_pieces"]) for r in run) == sorted((r["doc_id"], r["n_pieces"]) for r in last)
+
+
+def test_null_and_tied_ids_make_no_group(spark):
+    rng = random.Random(8)
+    unlike = [prose(rng, 40) for _ in range(6)]
+    near = unlike[0] + " end"
+    rows = [(None, t) for t in unlike[:3]] + [(None, near), (None, unlike[1]), (7, unlike[3]), (7, unlike[4]), (8, unlike[5]), (None, unlike[5] + " end"), (7, unlike[3])]
+    rows += [(None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.one_of_near_duplicates(spark, docs, "").collect())
+    first = [t for _, t in kept if t in (unlike[0], near)]
+    assert len(first) == 1
+    assert kept == sorted([(0, first[0]), (0, unlike[1]), (0, unlike[2]), (7, unlike[3]), (7, unlike[4]), (8, unlike[5]), (0, ""), (0, "")])
