@@ -271,7 +271,8 @@ def class_links(classes: DataFrame, texts: DataFrame, k: int, percent: int) -> D
     seats = stored(bands.join(shared.hint("merge"), "band"), "seats")
     inside = seats.select("class").distinct().join(classes, "class").select("class", "n_shingles", "registers", "rep.doc_id", "rep.text_hash")
     same = texts["doc_id"].eqNullSafe(inside["doc_id"]) & (texts["text_hash"] == inside["text_hash"])
-    members = inside.join(texts, same).select("class", "n_shingles", "registers", "text")
+    # a representative's row may be repeated in the table: one is taken
+    members = inside.join(texts, same).select("class", "n_shingles", "registers", "text").dropDuplicates(["class"])
     members = stored(members.mapInArrow(_sets(k), "class binary, n_shingles long, registers binary, shingles array<long>"), "members")
 
     pivot = stored(seats.groupBy("band").agg(F.min("class").alias("a")), "pivots")

@@ -124,6 +124,7 @@ def repeated_runs(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WORD
     runs = classes.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n", "anchor", "many")).alias("runs"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "runs")
     known = docs.join(runs, docs["doc_id"].eqNullSafe(runs["_id"]) & (docs["text_hash"] == runs["_hash"])).select("doc_id", "text_hash", "text", "runs")
+    known = known.dropDuplicates(["doc_id", "text_hash"])  # repeated rows have equal windows
     windows = stored(known.mapInArrow(_windows(words), "doc_id long, text_hash long, anchor long, window long, start int, many boolean"), "windows")
     twice = stored(windows.groupBy("anchor", "window").agg(F.count("*").alias("classes")).filter("classes > 1").select("anchor", "window"), "windows-met")
     ends = windows.filter("NOT many").join(twice, ["anchor", "window"]).select("doc_id", "text_hash", "start", F.lit(1).alias("n"))
@@ -162,7 +163,8 @@ def without_repeats(docs: DataFrame, words: int = MIN_WORDS, seed: int = SEED_WO
     names above and `_id`, `_hash`, `_runs`."""
     docs = docs.drop("_n_words", "_n_removed", "_kept_text", "_id", "_hash", "_runs")
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    runs = repeated_runs(hashed, words, seed).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+    # a set: repeated rows have equal spans
+    runs = repeated_runs(hashed, words, seed).groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "n")).alias("_runs"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_runs")
     own = docs["doc_id"].eqNullSafe(runs["_id"]) & (F.xxhash64(docs["text"]) == runs["_hash"])
     rows = docs.join(runs, own, "left").drop("_id", "_hash")

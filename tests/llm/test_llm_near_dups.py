@@ -1,7 +1,9 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
-from plain import DOCS, components, corpus, near_links, shingle_set
+from plain import DOCS, components, corpus, near_links, prose, shingle_set
 from pyspark.sql import functions as F
 
 from loglantern.llm import near_dups
@@ -44,6 +46,24 @@ def test_one_band_of_many_unlike_texts_is_compared_by_blocks(spark, monkeypatch)
     assert len(set(found.values())) < len(found) - 3
 
 
+def test_repeated_rows_are_one_member(spark, monkeypatch):
+    tables, keep = {}, near_dups.stored
+
+    def seen(df, name):
+        tables[name] = keep(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(near_dups, "stored", seen)
+    rng = random.Random(4)
+    texts = [prose(rng, 60) for _ in range(3)]
+    rows = 5 * [(1, texts[0]), (None, texts[1])] + 3 * [(2, texts[0] + " end"), (None, texts[1] + " end")] + [(3, texts[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dups.near_duplicates(docs, 2).collect())
+    assert got == sorted(8 * [(0, 0, True)] + 5 * [(1, 1, True)] + 3 * [(2, 1, False)] + [(3, 3, True)])
+    names = [r["class"] for r in tables["members"].collect()]
+    assert len(names) == len(set(names)) == 4
+
+
 def test_empty_table(spark):
     assert near_dups.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 

@@ -1,7 +1,8 @@
 import random
 
+import pyarrow as pa
 import pytest
-from plain import DOCS, corpus, sha, without_repeats
+from plain import DOCS, corpus, prose, sha, without_repeats
 from pyspark.sql import functions as F
 
 from loglantern.llm import passages, queries
@@ -27,6 +28,37 @@ def test_query(spark, tmp_path):
     assert got == sorted((r[0], n, g, sha(kept)) for r, (n, g, kept) in zip(rows, without_repeats([r[1] for r in rows], 35), strict=True))
 
 
+def test_repeated_rows_have_one_set_of_spans(spark, monkeypatch):
+    tables, keep = {}, passages.stored
+
+    def seen(df, name):
+        tables[name] = keep(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(passages, "stored", seen)
+    rng = random.Random(6)
+    shared = prose(rng, 60)
+    rows = 5 * [(1, prose(rng, 40) + " " + shared)] + 4 * [(None, shared + " " + prose(rng, 50))] + [(2, prose(rng, 9) + " " + shared)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    got = sorted((r["text"], r["_n_words"], r["_n_removed"], r["_kept_text"]) for r in passages.without_repeats(docs).collect())
+    assert got == sorted((t, *w) for (_, t), w in zip(rows, without_repeats([t for _, t in rows], 35), strict=True))
+    windows = tables["windows"]
+    assert windows.count() == windows.distinct().count() > 0
+
+    def counted(words, columns):
+        def out(batches):
+            for batch in batches:
+                runs = batch.column(batch.schema.get_field_index("_runs")).to_pylist()
+                assert all(len(r) == len({(s["start"], s["n"]) for s in r}) > 0 for r in runs)
+                none = pa.array([0] * len(runs), pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:columns], none, none, pa.array([""] * len(runs))], names=[*batch.schema.names[:columns], "_n_words", "_n_removed", "_kept_text"])
+
+        return out
+
+    monkeypatch.setattr(passages, "_without", counted)
+    assert len(passages.without_repeats(docs).collect()) == len(rows)
+
+
 def test_empty_table(spark):
     assert passages.without_repeats(spark.createDataFrame([], DOCS)).collect() == []
 
