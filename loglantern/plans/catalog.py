@@ -685,7 +685,7 @@ def stream_late_lines(spark, sf):
 
 
 def stream_text_captures(spark, sf):
-    """Text files as a stream: numbered, timed, cut, in three batches."""
+    """Text files of one named source, h3, as a stream: numbered, timed, cut, in three batches."""
     base = scratch_path(spark, "text_stream")
     rows = log_lines(spark, sf)
     most = rows.agg(F.max("seq").alias("n")).first()["n"]
@@ -699,6 +699,40 @@ def stream_text_captures(spark, sf):
     return captured_stream_lines(spark, stream.output).select("host", "open_seq", "seq", "role", "line")
 
 
+def stream_text_captures_by_host(spark, sf):
+    """The text files of all sources as a stream: numbered, timed, cut, in three batches. A file's folder names its source;
+    a slice of a source may be several files, of one time, in order of name."""
+    base = scratch_path(spark, "text_stream")
+    rows = log_lines(spark, sf)
+    most = rows.agg(F.max("seq").alias("n")).first()["n"]
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, 10**9)
+    host = F.regexp_extract(F.col("_metadata.file_path"), "host=([^/]+)/", 1)
+    seen = set()
+    for part in range(3):
+        inside = (F.col("seq") > part * most // 3) & (F.col("seq") <= (part + 1) * most // 3)
+        own = rows.where(inside).repartitionByRange("host", "seq").sortWithinPartitions("host", "seq")
+        own.select("host", "line").write.mode("append").partitionBy("host").text(f"{base}/in", lineSep="\n")
+        seen |= one_time(spark, f"{base}/in", seen)
+        source = lines.stream_text_lines(spark, f"{base}/in", host)
+        stream.start(source, f"{base}/checkpoint", available_now=True).awaitTermination()
+    return captured_stream_lines(spark, stream.output).select("host", "open_seq", "seq", "role", "line")
+
+
+def one_time(spark, path, seen):
+    """Give the files of a folder that were not seen before the newest one's time, and name them: tasks end in any order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files, new = store.listFiles(folder, True), []
+    while files.hasNext():
+        file = files.next()
+        if file.getPath().toString() not in seen:
+            new.append(file)
+    newest = max((file.getModificationTime() for file in new), default=0)
+    for file in new:
+        store.setTimes(file.getPath(), newest, -1)
+    return {file.getPath().toString() for file in new}
+
+
 def stream_outbox(spark, sf):
     """The pushes of all captures that a stream closes."""
     stream = feed(spark, sf, (0, 1, 2), params=RequestParams(events=True))
@@ -748,7 +782,8 @@ QUERIES = {
     "event_payload": event_payload, "model_request": model_request, "parse_verdict": parse_verdict,
     "push_request": push_request, "write_captures": write_captures, "write_rendered": write_rendered, "partition_usage": partition_usage,
     "retention_plan": retention_plan, "purge_plan": purge_plan, "compact_month": compact_month, "apply_plan": apply_plan, "capture_paths": capture_paths,
-    "stream_captures": stream_captures, "stream_text_captures": stream_text_captures, "stream_outbox": stream_outbox,
+    "stream_captures": stream_captures, "stream_text_captures": stream_text_captures, "stream_text_captures_by_host": stream_text_captures_by_host,
+    "stream_outbox": stream_outbox,
     "stream_state": stream_state, "quiet_close": quiet_close, "quiet_close_by_clock": quiet_close_by_clock, "stream_late_lines": stream_late_lines,
     "backlog_catch_up": backlog_catch_up,
 }

@@ -485,6 +485,7 @@ ORACLE["journal_captures"] = ORACLE["capture_sessions_capped"]
 _SECONDS = RAW.replace("lines AS (", "fine AS (") + ",\nlines AS (SELECT * REPLACE (t // 1000000 * 1000000 AS t) FROM fine)"
 ORACLE["text_captures"] = ORACLE["capture_sessions_capped"].replace(RAW.strip(), _SECONDS.strip())
 ORACLE["stream_text_captures"] = ORACLE["stream_captures"].replace(RAW.strip(), _SECONDS.strip().replace("FROM fine)", "FROM fine WHERE host = 'h3')"))
+ORACLE["stream_text_captures_by_host"] = ORACLE["stream_captures"].replace(RAW.strip(), _SECONDS.strip())
 ORACLE["pattern_versions_by_time"] = query(RAW + f""",
 middle AS (SELECT (min(t) + max(t)) // 2 AS m FROM lines),
 versioned AS (

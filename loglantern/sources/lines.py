@@ -96,9 +96,10 @@ def stream_log_lines(spark: SparkSession, path: str, schema: str = LINE_SCHEMA,
     return reader.parquet(path)
 
 
-def stream_text_lines(spark: SparkSession, path: str, host: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+def stream_text_lines(spark: SparkSession, path: str, host: str | Column | None = None, files_per_batch: int | None = None) -> DataFrame:
     """New text files as they land in a folder, one row per non-blank line, with what orders them; a file is
-    a source of its own unless a host is given. CaptureStream numbers and times them."""
+    a source of its own unless a host is given, by name or as a column (of the file's path). CaptureStream numbers and
+    times them."""
     reader = spark.readStream.option("lineSep", "\n")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

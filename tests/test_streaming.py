@@ -122,6 +122,17 @@ def test_text_files_as_a_stream(spark, tmp_path):
     assert sorted((r["host"], r["line"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("h", "one\r"), ("h", "two�")]
 
 
+def test_text_lines_of_several_sources(spark, tmp_path):
+    for host in ("a", "b"):
+        (tmp_path / "in" / f"host={host}").mkdir(parents=True)
+        (tmp_path / "in" / f"host={host}" / "x.log").write_text(f"one {host}\n")
+    host = F.regexp_extract(F.col("_metadata.file_path"), "host=([^/]+)/", 1)
+    source = stream_text_lines(spark, f"{tmp_path}/in", host)
+    query = source.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/out")
+    query.awaitTermination()
+    assert sorted((r["host"], r["line"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", "one a"), ("b", "one b")]
+
+
 def test_counters_while_reading(spark):
     df = spark.createDataFrame([("h", "x", None), ("h", "HIT", "*HIT*")], "host string, line string, label string")
     seen = Observation("run")
