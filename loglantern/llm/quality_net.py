@@ -80,10 +80,11 @@ class Net:
         return hidden @ self.out + self.out_bias[0], hidden, seen
 
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """A probability for each text of a block."""
+        """A probability for each text of a block, whatever texts lie next to it: the windows of a text's last
+        cell look on into a cell of no bytes that is not pooled."""
         size = np.diff(bounds)
         cells = -(-(size + WIDTH - 1) // CELL)
-        base = np.concatenate(([0], np.cumsum(cells)))
+        base = np.concatenate(([0], np.cumsum(cells + 1)))
         codes = np.full(base[-1] * CELL + WIDTH - 1, _PAD, np.uint16)
         for i, n in enumerate(size):
             codes[base[i] * CELL : base[i] * CELL + n] = data[bounds[i] : bounds[i + 1]]
@@ -91,7 +92,7 @@ class Net:
         chunks = np.maximum(1, -(-(cells - CHUNK_CELLS) // STEP_CELLS) + 1)
         owner = np.repeat(np.arange(len(size)), chunks)
         first = base[:-1][owner] + STEP_CELLS * (np.arange(len(owner)) - np.repeat(np.cumsum(chunks) - chunks, chunks))
-        last = base[1:][owner] - 1
+        last = base[1:][owner] - 2
         pooled = best[first]
         for k in range(1, CHUNK_CELLS):
             pooled = np.maximum(pooled, best[np.minimum(first + k, last)])

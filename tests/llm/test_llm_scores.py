@@ -91,6 +91,29 @@ def test_every_byte_counts():
     assert net.scores(block, np.array([0, 5000, 5000, 5070]))[[0, 2]] == pytest.approx([whole, score(text[:70])], abs=1e-5)
 
 
+def test_neighbours_do_not_matter():
+    """Every text of a block, empty ones included, scores as it does alone, in any order."""
+    net = qn.Net.fresh(1)
+    net.bias += 0.1
+    rng = np.random.default_rng(8)
+    sizes = [0, 1, 2, 5, 0, *range(120, 132), 250, 251, 256, 0, 507, 512, 513, 5000, 0, 60]
+    texts = [rng.integers(32, 127, n).astype(np.uint8) for n in sizes]
+    alone = [net.scores(t, np.array([0, len(t)]))[0] for t in texts]
+    for order in (np.arange(len(texts)), np.arange(len(texts))[::-1], rng.permutation(len(texts))):
+        block = np.concatenate([texts[i] for i in order])
+        bounds = np.concatenate(([0], np.cumsum([len(texts[i]) for i in order])))
+        assert net.scores(block, bounds) == pytest.approx([alone[i] for i in order], abs=1e-6)
+
+
+@given
+def test_reruns_over_other_partitions_agree(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    net = qn.Net.fresh(1)
+    net.bias += 0.1
+    first, again = ({r["doc_id"]: r["_score"] for r in qn.quality(docs.repartition(n, "text"), net).collect()} for n in (2, 7))
+    assert first.keys() == again.keys() and all(abs(first[k] - again[k]) < 1e-6 for k in first)
+
+
 def test_gradients():
     net = qn.Net.fresh(4)
     rng = np.random.default_rng(1)
