@@ -75,9 +75,56 @@ nodes AS (SELECT doc_id AS id FROM documents),{REACHED}
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = w.doc_id AS kept
 FROM w JOIN least ON id = w.doc_id LEFT JOIN sizes s ON s.doc_id = w.doc_id"""
 
+EXACT_DUPS = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+  count(*) OVER (PARTITION BY text_sha256) AS group_size,
+  doc_id = first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS kept, text_sha256
+FROM d"""
+
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+LEXICAL_SEARCH = f"""
+WITH asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+docs AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+sizes AS (SELECT doc_id, CAST(len(ts) AS BIGINT) AS n FROM docs WHERE len(ts) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM docs) GROUP BY 1, 2),
+rare AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, total GROUP BY term, docs),
+parts AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // l)))) AS part
+  FROM counts JOIN sizes USING (doc_id) JOIN rare USING (term), total),
+scored AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY 1, 2),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ordered WHERE place <= 50"""
+
+HARD_NEGATIVES = """
+WITH fit AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+best AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS nth
+  FROM scored WHERE label = own),
+inside AS (
+  SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS place
+  FROM best JOIN scored s USING (anchor_id)
+  WHERE nth <= 5 AND label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM inside WHERE place <= 10"""
+
 ORACLE = {
     "op3_vector_links": VECTOR_LINKS,
     "op4_passages": PASSAGES,
     "op5_host_rules": HOST_RULES,
     "op10_near_dups": NEAR_DUPS,
+    "op11_exact_dups": EXACT_DUPS,
+    "op12_lexical_search": LEXICAL_SEARCH,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from loglantern.llm.exact_dups import op11_exact_dups
+from loglantern.llm.hard_negatives import op13_hard_negatives
 from loglantern.llm.host_rules import op5_host_rules
+from loglantern.llm.lexical_search import op12_lexical_search
 from loglantern.llm.mixing import op9_mixing
 from loglantern.llm.near_dups import op10_near_dups
 from loglantern.llm.oracle import ORACLE
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_near_dups": op10_near_dups,
+    "op11_exact_dups": op11_exact_dups,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
