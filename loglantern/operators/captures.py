@@ -12,6 +12,10 @@ from ..params import CaptureParams
 from ..plans.ordered import BUCKET, bucket_of, neighbours
 from ..plans.scratch import stored
 
+#: Stretches of a source that one task joins.
+GROUP = 64
+
+
 def capture_id() -> Column:
     return F.concat_ws("-", "host", "open_seq")
 
@@ -98,60 +102,142 @@ class _Bucket:
             link = far
 
 
-def _summarised(params: CaptureParams):
-    """One row for a bucket: how a capture that comes into it leaves it. First matches that
-    lead to the same last opener make one step of the lists; most buckets have a quiet gap, and one step."""
+class _Way:
+    """How captures leave a stretch of a source, by the match that opens the next one in it.
 
-    def rows(group: pd.DataFrame) -> pd.DataFrame:
+    A capture that comes in is followed by the first match it may not hold. `seq`, `t` are such matches in order, `out_seq`,
+    `out_t` the stretch's last opener if a capture opens there; matches that lead to the same one are one step, told by
+    its last match. Only matches that a capture from before `start` can be followed by are steps: those up to its reach and up to the first
+    quiet gap, so a stretch of any length has at most reach + 2. `shut`: no capture passes the last step."""
+
+    LISTS = ("seq", "t", "out_seq", "out_t")
+
+    def __init__(self, first_t: int, last_t: int, shut: bool, lists, params: CaptureParams):
+        self.first_t, self.last_t, self.shut, self.params = first_t, last_t, shut, params
+        self.seq, self.t, self.out_seq, self.out_t = (np.asarray(v, np.int64) for v in lists)
+
+    @classmethod
+    def of_row(cls, r, params: CaptureParams) -> _Way:
+        return cls(r.first_t, r.last_t, r.shut, (getattr(r, c) for c in cls.LISTS), params)
+
+    def row(self, host: str, node: int) -> pd.DataFrame:
+        own = {"host": [host], "node": [node], "first_t": [self.first_t], "last_t": [self.last_t], "shut": [self.shut]}
+        return pd.DataFrame(own | {c: [getattr(self, c).tolist()] for c in self.LISTS})
+
+    def leave(self, seq: np.ndarray, t: np.ndarray, last_t: int) -> tuple[np.ndarray, np.ndarray]:
+        """The captures that are open behind the stretch, given those open before it, where the last match was at last_t."""
+        n = len(self.seq)
+        if self.first_t - last_t > self.params.window_us:
+            step = np.zeros(len(seq), np.int64)
+        else:
+            step = np.searchsorted(self.seq, seq + self.params.reach, "right")
+            if self.params.longest_us:
+                step = np.minimum(step, np.searchsorted(self.t, t + self.params.longest_us, "right"))
+            if self.shut:
+                step = np.minimum(step, n - 1)
+        at, on = np.minimum(step, n - 1), step == n
+        return np.where(on, seq, self.out_seq[at]), np.where(on, t, self.out_t[at])
+
+    def then(self, later: _Way, start: int) -> _Way:
+        """The way through both stretches, for captures from before `start`."""
+        out_seq, out_t = later.leave(self.out_seq, self.out_t, self.last_t)
+        lists, shut = [self.seq, self.t, out_seq, out_t], self.shut
+        if not shut:  # a capture may pass the first stretch: what follows it is in the later one
+            apart = later.first_t - self.last_t > self.params.window_us
+            lists = [np.append(a, getattr(later, c)[:1] if apart else getattr(later, c)) for a, c in zip(lists, self.LISTS, strict=True)]
+            shut = apart or later.shut
+        return _steps(self.first_t, later.last_t, shut, lists, start, self.params)
+
+
+def _steps(first_t: int, last_t: int, shut: bool, lists, start: int, params: CaptureParams) -> _Way:
+    """A way without the steps that no capture from before `start` comes to, and one step for each way out."""
+    seq, t, out_seq, out_t = lists
+    beyond = int(np.searchsorted(seq, start + params.reach, "left"))
+    if beyond < len(seq):
+        seq, t, out_seq, out_t, shut = seq[: beyond + 1], t[: beyond + 1], out_seq[: beyond + 1], out_t[: beyond + 1], True
+    ends = np.append(np.flatnonzero(out_seq[1:] != out_seq[:-1]), len(seq) - 1)
+    return _Way(int(first_t), int(last_t), bool(shut), (seq[ends], t[ends], out_seq[ends], out_t[ends]), params)
+
+
+WAY_SCHEMA = (
+    "host string, node bigint, first_t bigint, last_t bigint, shut boolean, "
+    "seq array<bigint>, t array<bigint>, out_seq array<bigint>, out_t array<bigint>"
+)
+INTO_SCHEMA = "host string, node bigint, into_seq bigint, into_t bigint, before_t bigint"
+
+
+def _bucket_way(params: CaptureParams, size: int):
+    """The way through one bucket of matches."""
+
+    def rows(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("seq")
-        bucket = _Bucket(group["seq"].to_numpy(), group["t"].to_numpy(), params)
-        out, n = bucket.last_openers(), len(group)
-        ends = np.append(np.flatnonzero(out[1:] != out[:-1]), n - 1)
-        return pd.DataFrame({
-            "host": [group["host"].iloc[0]], "bucket": [group["bucket"].iloc[0]],
-            "first_t": [bucket.t[0]], "last_t": [bucket.t[-1]], "quiet": [int(bucket.quiet[0])], "n": [n],
-            "step_at": [ends.tolist()], "step_seq": [bucket.seq[ends].tolist()], "step_t": [bucket.t[ends].tolist()],
-            "exit_seq": [bucket.seq[out[ends]].tolist()], "exit_t": [bucket.t[out[ends]].tolist()],
-        })
+        bucket, node = _Bucket(group["seq"].to_numpy(), group["t"].to_numpy(), params), int(key[1])
+        out, most = bucket.last_openers(), int(bucket.quiet[0]) + 1  # the match behind the first quiet gap is the last step
+        lists = [bucket.seq[:most], bucket.t[:most], bucket.seq[out[:most]], bucket.t[out[:most]]]
+        return _steps(bucket.t[0], bucket.t[-1], most <= len(out), lists, node * size, params).row(key[0], node)
 
     return rows
 
 
-SUMMARY_SCHEMA = (
-    "host string, bucket bigint, first_t bigint, last_t bigint, quiet bigint, n bigint, step_at array<bigint>, "
-    "step_seq array<bigint>, step_t array<bigint>, exit_seq array<bigint>, exit_t array<bigint>"
-)
+def _joined_way(params: CaptureParams, size: int):
+    """The way through all stretches of a group, one after the other; `size` lines a group."""
 
+    def rows(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        ways = [_Way.of_row(r, params) for r in group.sort_values("node").itertuples(index=False)]
+        start, way = int(key[1]) * size, ways[0]
+        for later in ways[1:]:
+            way = way.then(later, start)
+        return way.row(key[0], int(key[1]))
 
-def _carried(params: CaptureParams):
-    """Go through the buckets of each source in order; give each the capture that comes into it."""
-    reach, longest, window = params.reach, params.longest_us, params.window_us
-
-    def rows(batches):
-        host, open_, last = None, None, None
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                if r.host != host:
-                    host, open_ = r.host, None
-                into = open_ if open_ is not None and r.first_t - last <= window else None
-                out.append((host, r.bucket, None if into is None else into[0], None if into is None else into[1]))
-                if into is None:
-                    step = 0  # the bucket's first match opens a capture
-                else:
-                    # the step that the first match beyond the open capture belongs to, or one after the last
-                    step = np.searchsorted(r.step_seq, into[0] + reach, "right")
-                    if longest:
-                        step = min(step, np.searchsorted(r.step_t, into[1] + longest, "right"))
-                    step = min(step, np.searchsorted(r.step_at, r.quiet, "left"))
-                if step < len(r.exit_seq):
-                    open_ = (r.exit_seq[step], r.exit_t[step])
-                last = r.last_t
-            yield pd.DataFrame(out, columns=["host", "bucket", "into_seq", "into_t"]).astype({"into_seq": "Int64", "into_t": "Int64"})
+    return rows
+
+
+def _handed_down(params: CaptureParams):
+    """Go through the stretches of a group in order, given the capture that comes into it; give each the one that comes into it."""
+
+    def rows(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group, out = group.sort_values("node"), []
+        into, before = group["into_seq"].iloc[0], group["before_t"].iloc[0]
+        open_ = None if pd.isna(into) else (int(into), int(group["into_t"].iloc[0]))
+        last = None if pd.isna(before) else int(before)
+        for r in group.itertuples(index=False):
+            way = _Way.of_row(r, params)
+            comes = open_ if open_ is not None and way.first_t - last <= params.window_us else None
+            out.append((key[0], r.node, *(comes or (None, None)), last))
+            if comes is None:
+                open_ = int(way.out_seq[0]), int(way.out_t[0])  # the first match opens a capture
+            else:
+                seq, t = way.leave(np.array(comes[:1]), np.array(comes[1:]), last)
+                open_ = int(seq[0]), int(t[0])
+            last = way.last_t
+        return pd.DataFrame(out, columns=["host", "node", "into_seq", "into_t", "before_t"]).astype(
+            {"into_seq": "Int64", "into_t": "Int64", "before_t": "Int64"}
+        )
 
     return rows
 
 
+def _captures_into(ways: DataFrame, params: CaptureParams, size: int, group: int) -> DataFrame:
+    """The capture that comes into each bucket. Ways are joined by `group` at a time until a source has one group, and the
+    captures are handed down again: a task reads the ways of `group` stretches, however many a source has."""
+    levels, width = [ways], size
+    last = ways.agg(F.max("node").alias("n")).first()["n"] or 0
+    while last >= group:
+        last, width = last // group, width * group
+        above = levels[-1].groupBy("host", F.call_function("div", F.col("node"), F.lit(group).cast("long")).alias("up"))
+        levels.append(stored(above.applyInPandas(_joined_way(params, width), WAY_SCHEMA), "ways"))
+    none = F.lit(None).cast("long")
+    into = None
+    for level in reversed(levels):
+        rows = level.withColumn("up", F.call_function("div", F.col("node"), F.lit(group).cast("long")))
+        if into is None:
+            rows = rows.withColumns({"into_seq": none, "into_t": none, "before_t": none})
+        else:
+            rows = rows.join(into.withColumnRenamed("node", "up"), ["host", "up"])
+        into = rows.groupBy("host", "up").applyInPandas(_handed_down(params), INTO_SCHEMA)
+    return into.select("host", F.col("node").alias("bucket"), "into_seq", "into_t")
+
+
 def _cut(params: CaptureParams):
     """The captures of one bucket, given the one that comes into it: a part of it may be there."""
 
@@ -180,19 +266,17 @@ def _cut(params: CaptureParams):
 CUT_SCHEMA = "host string, open_seq bigint, open_t bigint, last_seq bigint, last_t bigint, n_matches bigint"
 
 
-def find_captures(matches: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
+def find_captures(matches: DataFrame, params: CaptureParams, size: int = BUCKET, group: int = GROUP) -> DataFrame:
     """Captures with all limits: one row per capture with its opener, its last match, the
     time it lasts `until`, and the highest line number it may reach.
 
     Where a capture ends depends on where it began, along a whole source. In each bucket the way
-    from every possible opener to the bucket's last one is worked out by itself, and told in one row of
-    a few steps; these rows are carried along the source, which gives every bucket the capture that
-    comes into it, and then the buckets are cut by themselves.
+    from every opener that a capture from before may lead to, to the bucket's last one, is worked out by itself; ways are joined
+    in levels, which gives every bucket the capture that comes into it, and then the buckets are cut by themselves.
     """
     rows = matches.select("host", bucket_of(F.col("seq"), size).alias("bucket"), "seq", "t")
-    steps = rows.groupBy("host", "bucket").applyInPandas(_summarised(params), SUMMARY_SCHEMA)
-    steps = steps.repartition("host").sortWithinPartitions("host", "bucket")
-    into = steps.mapInPandas(_carried(params), "host string, bucket bigint, into_seq bigint, into_t bigint")
+    ways = stored(rows.groupBy("host", "bucket").applyInPandas(_bucket_way(params, size), WAY_SCHEMA), "ways")
+    into = _captures_into(ways, params, size, group)
     parts = rows.join(into, ["host", "bucket"]).groupBy("host", "bucket").applyInPandas(_cut(params), CUT_SCHEMA)
     found = parts.groupBy("host", "open_seq", "open_t").agg(
         F.max("last_seq").alias("last_seq"), F.max("last_t").alias("last_t"), F.sum("n_matches").alias("n_matches")

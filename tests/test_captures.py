@@ -93,6 +93,48 @@ CASES = [
 ]
 
 
+def folded(rows, params):
+    """(open_seq, until, last match, matches) of each capture of the model."""
+    model = [(i, int(at * S), "HIT" in text) for i, (at, text) in enumerate(rows, 1)]
+    hit = {seq for seq, _, matched in model if matched}
+    captures = fold(model, params.window_us, params.longest_us, params.line_count_max)
+    return [(c.open_seq, c.until, max(hit & set(c.members)), len(hit & set(c.members))) for c in captures]
+
+
+def found_in(found, host):
+    return sorted((r["open_seq"], r["until"], r["last_seq"], r["n_matches"]) for r in found if r["host"] == host)
+
+
+@pytest.mark.parametrize("T,M,most", [(10, 0, 6), (10, 25, 4), (0, 0, 2), (1000, 0, 37), (1000, 90, 1000)])
+def test_dense_matches_over_a_thousand_buckets(log, T, M, most):
+    """One source in which every line matches and nothing is quiet: levels of eight give what a fold gives."""
+    rows = [(i * 0.5, f"HIT {i}") for i in range(4000)]
+    params = CaptureParams(T, M, most)
+    found = cap.find_captures(cap.match_rows(log({"h": rows})), params, 4, 8).collect()
+    assert found_in(found, "h") == folded(rows, params)
+
+
+@pytest.mark.parametrize("T,M,most,size,budget", CASES)
+def test_levels_against_model(log, T, M, most, size, budget):
+    hosts = random_hosts(T * 17 + M + most, 40, 120)
+    params = CaptureParams(T, M, most)
+    for group in (2, 3):
+        found = cap.find_captures(cap.match_rows(log(hosts)), params, size, group).collect()
+        for host, rows in hosts.items():
+            assert found_in(found, host) == folded(rows, params)
+
+
+def test_ways_are_bounded(log, spark):
+    """A way's steps are at most reach + 2, however many stretches are joined."""
+    rows = [(i * 0.1, f"HIT {i}") for i in range(3000)]
+    params = CaptureParams(60, 0, 20)
+    matches = cap.match_rows(log({"h": rows})).select("host", F.expr("seq div 100").alias("bucket"), "seq", "t")
+    ways = matches.groupBy("host", "bucket").applyInPandas(cap._bucket_way(params, 100), cap.WAY_SCHEMA)
+    wide = ways.groupBy("host", F.expr("node div 10").alias("up")).applyInPandas(cap._joined_way(params, 1000), cap.WAY_SCHEMA)
+    for level in (ways, wide):
+        assert all(1 <= len(r["seq"]) <= params.reach + 2 for r in level.collect())
+
+
 @pytest.mark.parametrize("T,M,most,size,budget", CASES)
 def test_against_line_by_line_model(log, T, M, most, size, budget):
     hosts = random_hosts(T * 31 + M * 7 + most, 25, 70)
