@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import CaptureParams
-from ..plans.ordered import BUCKET, asof_next, bucket_of, number_rows, scan
+from ..plans.ordered import BUCKET, bucket_of, first_reaching, number_rows, scan
+from ..plans.scratch import stored
 
 
 def expand(ranges: DataFrame, low: str, high: str, size: int = BUCKET) -> DataFrame:
@@ -24,16 +25,38 @@ def expand(ranges: DataFrame, low: str, high: str, size: int = BUCKET) -> DataFr
     )
 
 
-def overlapping_context(held: DataFrame, captures: DataFrame, params: CaptureParams) -> DataFrame:
-    """The whole look-back window of every capture as a span of line numbers, lines that
-    other captures hold included. Every line of a window is a captured line, so only
-    `held` is searched."""
-    points = held.select("host", F.col("t").alias("at"), F.col("seq").alias("first_seq"))
-    probes = captures.select("host", (F.col("open_t") - params.window_us).alias("at"), "open_seq", "open_t")
-    found = asof_next(points, probes, ["host"], "at", "first_seq", "first_seq", "first_seq")
+def context_windows(held: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
+    """The look-back window of every capture, as spans of line numbers: all of it (first_seq to last_seq, n_lines), lines that other
+    captures hold included, and what the byte budget leaves of it (kept_first, kept_lines, context_truncated): the oldest lines beyond
+    context_bytes go, the newest stays.
+
+    Every line of a window is a captured line, so only `held` is searched. Numbers, times and running bytes of lines rise
+    together, so both starts of a window are found in one pass over narrow rows."""
+    width = F.octet_length("line").cast("long") + 1
+    lines = scan(held.select("host", "seq", "t", "role", width.alias("_width")), ["host"], F.col("_width"), "_to", how="sum", size=size)
+    lines = stored(lines.select("host", "seq", "t", "role", (F.col("_to") - F.col("_width")).alias("before")), "sized-lines")
+    opens = lines.where(F.col("role") == "open").select(
+        "host", F.col("seq").alias("open_seq"), F.col("t").alias("open_t"),
+        (F.col("t") - params.window_us).alias("t"), (F.col("before") - params.context_bytes).alias("before"),
+    )
+    found = first_reaching(lines.drop("role"), opens, ["host"], ["t", "before"], size=size)
+    first, last = F.col("t"), F.col("open_seq") - 1
+    kept = F.when(first <= last, F.least(F.greatest(first, F.col("before")), last)).otherwise(first)
+    rows = found.select(
+        "host", "open_seq", "open_t", first.alias("first_seq"), last.alias("last_seq"), (F.col("open_seq") - first).alias("n_lines"),
+        kept.alias("kept_first"), (F.col("open_seq") - kept).alias("kept_lines"), (kept > first).alias("context_truncated"),
+    )
+    return rows.join(captures.select("host", "open_seq"), ["host", "open_seq"], "left_semi")
+
+
+def overlapping_context(held: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
+    """The whole look-back window of every capture as a span of line numbers, lines that other captures hold included."""
+    points = held.select("host", "seq", "t")
+    probes = captures.select("host", "open_seq", "open_t", (F.col("open_t") - params.window_us).alias("t"))
+    found = first_reaching(points, probes, ["host"], ["t"], size=size)
     return found.select(
-        "host", "open_seq", "open_t", "first_seq", (F.col("open_seq") - 1).alias("last_seq"),
-        (F.col("open_seq") - F.col("first_seq")).alias("n_lines"),
+        "host", "open_seq", "open_t", F.col("t").alias("first_seq"), (F.col("open_seq") - 1).alias("last_seq"),
+        (F.col("open_seq") - F.col("t")).alias("n_lines"),
     )
 
 
@@ -43,29 +66,6 @@ def lookback_context(held: DataFrame, spans: DataFrame, size: int = BUCKET) -> D
     return wanted.select("host", "open_seq", "seq").join(held.drop("open_seq", "open_t", "until", "role"), ["host", "seq"])
 
 
-def context_byte_cap(held: DataFrame, spans: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
-    """Drop the oldest lines of each window beyond context_bytes; the newest always stays.
-    Adds kept_first, kept_lines and context_truncated."""
-    width = F.octet_length("line") + 1
-    sized = scan(held, ["host"], width, "_to", how="sum", size=size).select(
-        "host", "seq", "role", (F.col("_to") - width).alias("before")
-    )
-    openers = sized.where(F.col("role") == "open").select("host", F.col("seq").alias("open_seq"), "before")
-    probes = openers.select("host", "open_seq", (F.col("before") - params.context_bytes).alias("at"))
-    points = sized.select("host", F.col("before").alias("at"), F.col("seq").alias("fits"))
-    fits = asof_next(points, probes, ["host"], "at", "fits", "fits", "fits").select("host", "open_seq", "fits")
-    kept = F.when(
-        F.col("n_lines") > 0, F.least(F.greatest("first_seq", "fits"), F.col("last_seq"))
-    ).otherwise(F.col("first_seq"))
-    return (
-        spans.join(fits, ["host", "open_seq"])
-        .withColumn("kept_first", kept)
-        .withColumn("kept_lines", F.col("open_seq") - F.col("kept_first"))
-        .withColumn("context_truncated", F.col("kept_first") > F.col("first_seq"))
-        .drop("fits")
-    )
-
-
 def cap_context(held: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
     """Captured lines without the context lines beyond context_bytes before their opener.
     The context a capture owns runs up to its opener without a gap, so running byte counts
@@ -133,13 +133,12 @@ def left_out_counts(ranges: DataFrame, size: int = BUCKET) -> DataFrame:
     holders = ranges.where(F.col("reusable")).select(
         "host", "nth", F.col("open_seq").alias("held_by_seq"), F.col("low_seq").alias("_low"), F.col("end_seq").alias("_high")
     )
-    points = holders.select("host", F.col("_high").alias("at"), F.col("nth").alias("_from"))
     probes = ranges.select(
-        "host", F.col("kept_first").alias("at"), "open_seq",
+        "host", F.col("kept_first").alias("_high"), "kept_first", "open_seq",
         (F.col("nth") - F.col("reusable").cast("long")).alias("_to"),
     )
-    spans = asof_next(points, probes, ["host"], "at", "_from", "_from", "_from")
-    pairs = expand(spans.withColumnRenamed("at", "kept_first"), "_from", "_to", size).withColumnRenamed("seq", "nth")
+    spans = first_reaching(holders.select("host", "nth", "_high"), probes, ["host"], ["_high"], seq="nth", size=size)
+    pairs = expand(spans.withColumnRenamed("_high", "_from"), "_from", "_to", size).withColumnRenamed("seq", "nth")
     return (
         pairs.join(holders, ["host", "nth"])
         .withColumn(

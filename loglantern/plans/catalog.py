@@ -53,7 +53,7 @@ def spans(spark, sf):
 
 
 def capped(spark, sf):
-    return once(spark, sf, "capped", lambda: ctx.context_byte_cap(held(spark, sf), spans(spark, sf), PARAMS))
+    return once(spark, sf, "capped", lambda: ctx.context_windows(held(spark, sf), captures(spark, sf), PARAMS))
 
 
 def with_reusable(summaries: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def lookback_context(spark, sf):
 
 
 def context_byte_cap(spark, sf):
-    return ctx.context_byte_cap(held(spark, sf), spans(spark, sf), PARAMS).select(
+    return ctx.context_windows(held(spark, sf), captures(spark, sf), PARAMS).select(
         "host", "open_seq", "kept_first", "kept_lines", "context_truncated"
     )
 
@@ -419,8 +419,7 @@ def small_held(spark, sf):
 
 def small_capped(spark, sf):
     def build():
-        windows = ctx.overlapping_context(small_held(spark, sf), small_captures(spark, sf), PARAMS)
-        return ctx.context_byte_cap(small_held(spark, sf), windows, PARAMS, SMALL)
+        return ctx.context_windows(small_held(spark, sf), small_captures(spark, sf), PARAMS, SMALL)
 
     return once(spark, sf, "small_capped", build)
 

@@ -7,12 +7,17 @@ summary row per bucket along the source.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .scratch import stored
 
 BUCKET = 65536
+#: Buckets of one list of highest values.
+FAN = 512
 
 
 def bucket_of(seq: Column, size: int = BUCKET) -> Column:
@@ -122,38 +127,53 @@ def neighbours(df: DataFrame, key: list[str], value: Column, seq: str = "seq", s
     )
 
 
-def asof_next(
-    points: DataFrame, probes: DataFrame, key: list[str], at: str, value: str, tie: str, out: str
+def _first_in_bucket(seq: str, values: list[str], carried: list[str], empty: pa.Table):
+    """In one bucket of points, the first that reaches what each probe wants."""
+
+    def rows(points: pa.Table, probes: pa.Table) -> pa.Table:
+        if not points.num_rows or not probes.num_rows:
+            return empty
+        at = points.column(seq).to_numpy()
+        order = np.argsort(at)
+        which, want = probes.column("_which").to_numpy(), probes.column("_want").to_numpy()
+        spot = np.zeros(len(want), np.int64)
+        for i, value in enumerate(values):
+            own = which == i
+            spot[own] = np.searchsorted(points.column(value).to_numpy()[order], want[own], "left")
+        found = pa.array(at[order][spot], pa.int64())
+        return pa.Table.from_arrays([*(probes.column(c) for c in carried), probes.column("_which"), found], schema=empty.schema)
+
+    return rows
+
+
+def first_reaching(
+    points: DataFrame, probes: DataFrame, key: list[str], values: list[str], seq: str = "seq", size: int = BUCKET, fan: int = FAN
 ) -> DataFrame:
-    """Give every probe the value of the first point of its key at or after it (null: none).
-
-    Points and probes are range partitioned in one order and written with their places. The next
-    point is carried back over the probes within each partition, and one row per (key, partition)
-    carries it over the partitions: no pairs, and no key in one task.
-    """
-    carried = [c for c in probes.columns if c not in key and c != at]
-    types = dict(probes.dtypes)
-    left = points.select(
-        *key, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.col(tie).cast("long").alias("_tie"),
-        F.struct(F.col(value)).alias("_point"),
-        *[F.lit(None).cast(types[c]).alias(c) for c in carried],
-    )
-    right = probes.select(
-        *key, F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_tie"),
-        F.lit(None).cast(dict(left.dtypes)["_point"]).alias("_point"),
-        *carried,
-    )
-    both = placed(left.unionByName(right), key, ["_at", "_kind", "_tie"])
-    later = Window.partitionBy(*key, "_part").orderBy(F.desc("_place")).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(*key).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    firsts = (
-        both.where(F.col("_kind") == 1).groupBy(*key, "_part").agg(F.min_by("_point", "_place").alias("_first"))
-        .unionByName(both.select(*key, "_part").distinct().withColumn("_first", F.lit(None).cast(dict(left.dtypes)["_point"])))
-        .groupBy(*key, "_part").agg(F.max("_first").alias("_first"))
-        .select(*key, "_part", F.last("_first", ignorenulls=True).over(after).alias("_beyond"))
-    )
-    found = both.withColumn("_here", F.last("_point", ignorenulls=True).over(later)).where(F.col("_kind") == 0)
-    found = found.join(firsts, [*key, "_part"]).withColumn("_next", F.coalesce("_here", "_beyond"))
-    return found.where(F.col("_kind") == 0).select(
-        *key, F.col("_at").alias(at), *carried, F.col(f"_next.{value}").alias(out)
+    """For every probe, the seq of the first point of its key whose value is at least what the probe wants (null: none), for
+    each of `values`, columns of both sides: never falling along seq in points, a wish in probes (null: none).
+
+    Values rise with seq, so a bucket's highest value tells whether the point lies in it or later. Those, a row a
+    bucket, are held in lists of `fan` buckets under one list a key; a probe finds its bucket through two of them and meets the points of that
+    one alone. Points are shuffled once, whatever the number of values."""
+    rows = points.select(*key, bucket_of(F.col(seq), size).alias("_bucket"), seq, *values)
+    highs = stored(rows.groupBy(*key, "_bucket").agg(*(F.max(v).alias(v) for v in values)), "highs")
+    each = lambda: F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(v).alias("v")) for i, v in enumerate(values)))).alias("_e")
+    group = F.call_function("div", F.col("_bucket"), F.lit(fan).cast("long"))
+    high = highs.select(*key, group.alias("_group"), "_bucket", each()).select(*key, "_group", "_bucket", F.col("_e.which").alias("_which"), F.col("_e.v").alias("_high"))
+    branches = high.groupBy(*key, "_which", "_group").agg(
+        F.array_sort(F.collect_list(F.struct("_bucket", "_high"))).alias("_buckets"), F.max("_high").alias("_high")
     )
+    roots = branches.groupBy(*key, "_which").agg(F.array_sort(F.collect_list(F.struct("_group", "_high"))).alias("_groups"))
+    carried = [c for c in probes.columns if c not in values]
+    wants = probes.select(*carried, each()).select(*carried, F.col("_e.which").alias("_which"), F.col("_e.v").alias("_want"))
+    reaching = lambda c: F.get(F.filter(c, lambda e: e["_high"] >= F.col("_want")), 0)
+    sent = wants.where(F.col("_want").isNotNull()).join(roots, [*key, "_which"]).withColumn("_group", reaching("_groups")["_group"])
+    sent = sent.join(branches.drop("_high"), [*key, "_which", "_group"]).withColumn("_bucket", reaching("_buckets")["_bucket"])
+    sent = sent.select(*carried, "_which", "_want", "_bucket")
+    schema = wants.select(*carried, "_which", F.lit(0).cast("long").alias("_found")).schema
+    empty = to_arrow_schema(schema).empty_table()
+    by = [*key, "_bucket"]
+    rows, sent = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (rows, sent))  # columns of their own on each side
+    found = rows.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(_first_in_bucket(seq, values, carried, empty), schema)
+    every = found.unionByName(wants.drop("_want").withColumn("_found", F.lit(None).cast("long")))
+    return every.groupBy(*carried).agg(*(F.max(F.when(F.col("_which") == i, F.col("_found"))).alias(v) for i, v in enumerate(values)))

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from loglantern.operators.context import expand, range_coalesce
-from loglantern.plans.ordered import asof_next, neighbours, number_rows, scan
+from loglantern.plans.ordered import first_reaching, neighbours, number_rows, scan
 
 
 def rows_of(seed, hosts=4, most=60):
@@ -49,16 +49,23 @@ def test_scans_and_neighbours(spark):
             assert got[(host, seqs[i])] == (seqs[i - 1], seqs[i + 1])
 
 
-def test_asof_next(spark):
+def test_first_reaching(spark):
     rng = random.Random(3)
-    points = [(h, rng.randint(0, 50), s) for h in ("a", "b") for s in range(1, 25)]
-    probes = [(h, rng.randint(-5, 55), i) for h in ("a", "b", "c") for i in range(25)]
-    left = spark.createDataFrame(points, "host string, at bigint, seq bigint")
-    right = spark.createDataFrame(probes, "host string, at bigint, probe bigint")
-    got = {(r["host"], r["probe"]): r["hit"] for r in asof_next(left, right, ["host"], "at", "seq", "seq", "hit").collect()}
-    for host, at, i in probes:
-        later = sorted((a, s) for h, a, s in points if h == host and a >= at)
-        assert got[(host, i)] == (later[0][1] if later else None)
+    points = []
+    for host in ("a", "b"):
+        v = w = 0
+        for seq in sorted(rng.sample(range(1, 400), 120)):
+            v, w = v + rng.choice([0, 0, 1, 7]), w + rng.choice([1, 50])
+            points.append((host, seq, v, w))
+    probes = [(h, rng.choice([None, *range(-5, 400, 7)]), rng.randint(-5, 4000), i) for h in ("a", "b", "c") for i in range(60)]
+    left = spark.createDataFrame(points, "host string, seq bigint, v bigint, w bigint")
+    right = spark.createDataFrame(probes, "host string, v bigint, w bigint, probe bigint")
+    for size, fan in ((7, 3), (65536, 512)):
+        got = {(r["host"], r["probe"]): (r["v"], r["w"]) for r in first_reaching(left, right, ["host"], ["v", "w"], size=size, fan=fan).collect()}
+        assert len(got) == len(probes)
+        for host, v, w, i in probes:
+            first = lambda at, want: next((p[1] for p in points if p[0] == host and want is not None and p[at] >= want), None)
+            assert got[(host, i)] == (first(2, v), first(3, w))
 
 
 def test_ranges(spark):
