@@ -683,21 +683,6 @@ def stream_late_lines(spark, sf):
     return late_lines(spark, stream).select("host", "seq", "line", F.col("batch").cast("long").alias("batch"))
 
 
-def stream_text_captures(spark, sf):
-    """Text files of one named source, h3, as a stream: numbered, timed, cut, in three batches."""
-    base = scratch_path(spark, "text_stream")
-    rows = log_lines(spark, sf)
-    most = rows.agg(F.max("seq").alias("n")).first()["n"]
-    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, 10**9)
-    for part in range(3):
-        inside = (F.col("seq") > part * most // 3) & (F.col("seq") <= (part + 1) * most // 3)
-        own = rows.where(inside & (F.col("host") == "h3")).repartitionByRange(1, "seq").sortWithinPartitions("seq")
-        own.select("line").write.mode("append").text(f"{base}/in", lineSep="\n")
-        source = lines.stream_text_lines(spark, f"{base}/in", "h3")
-        stream.start(source, f"{base}/checkpoint", available_now=True).awaitTermination()
-    return captured_stream_lines(spark, stream.output).select("host", "open_seq", "seq", "role", "line")
-
-
 def stream_text_captures_by_host(spark, sf):
     """The text files of all sources as a stream: numbered, timed, cut, in three batches. A file's folder names its source;
     a slice of a source may be several files, of one time, in order of name."""
@@ -744,15 +729,13 @@ def stream_outbox(spark, sf):
 
 
 def stream_state(spark, sf):
-    """What a stream keeps after each of three batches is bounded: lines by time and bytes, and only open captures."""
+    """What a stream keeps after three batches: lines that a coming match can still reach, the matches of open captures, and each
+    source's last line."""
     stream = feed(spark, sf, (0, 1, 2))
-    kept = spark.read.schema("host string, seq bigint, t bigint, line string").parquet(f"{stream.state}/2/lines")
-    ends = log_lines(spark, sf).groupBy("host").agg(F.max("t").alias("end"))
-    rows = kept.join(ends, "host").groupBy("host").agg(
-        F.bool_and(F.col("t") >= F.col("end") - PARAMS.window_us).alias("in_time"),
-        ((F.sum(F.octet_length("line") + 1) <= PARAMS.context_bytes) | (F.count("*") == 1)).alias("in_bytes"),
+    kept = lambda name, seq: spark.read.parquet(f"{stream.state}/2/{name}").select(
+        F.lit({"lines": "line", "matches": "match", "ends": "end"}[name]).alias("kind"), "host", F.col(seq).alias("seq")
     )
-    return rows.agg(F.coalesce(F.bool_and("in_time"), F.lit(True)).alias("in_time"), F.coalesce(F.bool_and("in_bytes"), F.lit(True)).alias("in_bytes"))
+    return kept("lines", "seq").unionByName(kept("matches", "seq")).unionByName(kept("ends", "end_seq"))
 
 
 def backlog_catch_up(spark, sf):
@@ -781,7 +764,7 @@ QUERIES = {
     "event_payload": event_payload, "model_request": model_request, "parse_verdict": parse_verdict,
     "push_request": push_request, "write_captures": write_captures, "write_rendered": write_rendered, "partition_usage": partition_usage,
     "retention_plan": retention_plan, "purge_plan": purge_plan, "compact_month": compact_month, "apply_plan": apply_plan, "capture_paths": capture_paths,
-    "stream_captures": stream_captures, "stream_text_captures": stream_text_captures, "stream_text_captures_by_host": stream_text_captures_by_host,
+    "stream_captures": stream_captures, "stream_text_captures_by_host": stream_text_captures_by_host,
     "stream_outbox": stream_outbox,
     "stream_state": stream_state, "quiet_close": quiet_close, "quiet_close_by_clock": quiet_close_by_clock, "stream_late_lines": stream_late_lines,
     "backlog_catch_up": backlog_catch_up,

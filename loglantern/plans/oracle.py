@@ -217,13 +217,15 @@ def excerpt_of(source: str) -> str:
 
 
 # The budget shrinks in proportion to what is too much, by one at least, until the JSON form fits.
-CAPPED_TEXTS = TEXTS + f""",
-budgeted AS (SELECT t.host, t.open_seq, body, header_end, match_end, size, CAST(1100 AS BIGINT) AS b FROM texts t JOIN marks USING (host, open_seq)),
+def capped_texts(limit: int) -> str:
+    return TEXTS + f""",
+budgeted AS (SELECT t.host, t.open_seq, body, header_end, match_end, size, CAST({limit} AS BIGINT) AS b FROM texts t JOIN marks USING (host, open_seq)),
 tried AS (
   {excerpt_of("budgeted")}
   UNION ALL
-  {excerpt_of("(SELECT host, open_seq, body, header_end, match_end, size, CAST(least(b - 1, b * 1100 // n) AS BIGINT) AS b FROM tried WHERE n > 1100)")}),
-capped_text AS (SELECT host, open_seq, excerpt FROM tried WHERE n <= 1100)"""
+  {excerpt_of(f"(SELECT host, open_seq, body, header_end, match_end, size, CAST(least(b - 1, b * {limit} // n) AS BIGINT) AS b FROM tried WHERE n > {limit})")}),
+capped_text AS (SELECT host, open_seq, excerpt FROM tried WHERE n <= {limit})"""
+
 
 INCIDENTS = WRITTEN + NAMED.replace("FROM_TABLE", "runs") + """,
 told AS (
@@ -314,7 +316,15 @@ SELECT s.host, s.open_seq, s.pattern, s.matched_line, t.always_notify, s.lines_a
   t.always_notify AS push, i.plain AS title, TRUE AS has_path, TRUE AS has_excerpt
 FROM summary s JOIN told t USING (host, open_seq) JOIN incidents i USING (host, open_seq) JOIN last_line l ON l.host = s.host
 WHERE l.end_t > s.until OR s.lines_after > {CAP}"""),
-    "stream_state": "SELECT TRUE AS in_time, TRUE AS in_bytes",
+    "stream_state": captured(SUMMARY + STREAM_CLOSED + f""",
+recent AS (
+  SELECT host, seq, sum(strlen(line) + 1) OVER (PARTITION BY host ORDER BY seq DESC) AS used, row_number() OVER (PARTITION BY host ORDER BY seq DESC) AS nth
+  FROM marked l JOIN last_line e USING (host) WHERE l.t >= e.end_t - {T}),
+still AS (SELECT host, open_seq FROM summary s JOIN last_line l USING (host) WHERE NOT (l.end_t > s.until OR s.lines_after > {CAP})),
+waiting AS (SELECT host, seq FROM recent WHERE used <= {BYTES} OR nth = 1 EXCEPT SELECT host, seq FROM members EXCEPT SELECT host, seq FROM owned)""", """
+SELECT 'line' AS kind, host, seq FROM waiting
+UNION ALL SELECT 'match', m.host, m.seq FROM members m JOIN still USING (host, open_seq) WHERE label IS NOT NULL
+UNION ALL SELECT 'end', host, max(seq) FROM lines GROUP BY host"""),
     "backlog_catch_up": query(RAW, "SELECT host, seq, line FROM lines WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 5 DAY"),
     "read_log_lines": query(RAW + r""",
 odd AS (SELECT host, seq AS place, CASE WHEN event_id % 7 = 0 THEN line || chr(13) || 'x' ELSE line END AS line FROM lines WHERE event_id % 11 <> 0)""",
@@ -402,7 +412,7 @@ notes AS (
         f"SELECT host, open_seq, CASE WHEN size <= 1100 THEN body ELSE left({AROUND_TEXT}, 1100) END AS excerpt FROM cuts"),
     "excerpt_head_tail": captured(TEXTS, "SELECT host, open_seq, CASE WHEN length(body) <= 700 THEN body "
         "ELSE left(body, 350) || chr(10) || '...' || chr(10) || right(body, 345) END AS excerpt FROM texts"),
-    "excerpt_json_capped": captured(CAPPED_TEXTS, "SELECT host, open_seq, excerpt FROM capped_text"),
+    "excerpt_json_capped": captured(capped_texts(1100), "SELECT host, open_seq, excerpt FROM capped_text"),
     "alert_title": query(DOC_LINES + """,
 full_title AS (SELECT doc_id, line_no, regexp_replace('doc' || doc_id || ': ' || line, '\\r', ' / ', 'g') AS title FROM doc_lines)""",
         "SELECT doc_id, line_no, CASE WHEN length(title) > 120 THEN rtrim(left(title, 120)) ELSE title END AS title FROM full_title"),
@@ -466,7 +476,7 @@ aged AS (
         "SELECT month, o_orderkey, o_custkey, age > 360 AS compacted FROM aged WHERE age <= 1080"),
 }
 _TOLD = INCIDENTS.removeprefix(WRITTEN + NAMED.replace("FROM_TABLE", "runs"))
-ORACLE["event_payload"] = captured(CAPPED_TEXTS + _TOLD, f"""
+ORACLE["event_payload"] = captured(capped_texts(16384) + _TOLD, f"""
 SELECT r.host, r.open_seq, 'loglantern' AS source, '1' AS version, pattern, title,
   replace(body_text, chr(10), ' / ') || chr(10) || coalesce(path, 'capture not saved; see the log') AS body, push, always_notify,
   CASE WHEN path IS NULL THEN '' ELSE excerpt END AS excerpt, path, '{NOW}' AS time
@@ -484,7 +494,6 @@ ORACLE["journal_captures"] = ORACLE["capture_sessions_capped"]
 # A line's stamp has whole seconds; lines keep their order.
 _SECONDS = RAW.replace("lines AS (", "fine AS (") + ",\nlines AS (SELECT * REPLACE (t // 1000000 * 1000000 AS t) FROM fine)"
 ORACLE["text_captures"] = ORACLE["capture_sessions_capped"].replace(RAW.strip(), _SECONDS.strip())
-ORACLE["stream_text_captures"] = ORACLE["stream_captures"].replace(RAW.strip(), _SECONDS.strip().replace("FROM fine)", "FROM fine WHERE host = 'h3')"))
 ORACLE["stream_text_captures_by_host"] = ORACLE["stream_captures"].replace(RAW.strip(), _SECONDS.strip())
 ORACLE["pattern_versions_by_time"] = query(RAW + f""",
 middle AS (SELECT (min(t) + max(t)) // 2 AS m FROM lines),
