@@ -77,7 +77,7 @@ def main() -> None:
         return marked, found, held
 
     def left_out(marked, found, held):
-        capped = ctx.context_windows(held, found, PARAMS)
+        capped = ctx.context_windows(held, PARAMS)
         told = cap.capture_summary(held, cap.source_ends(marked), PARAMS)
         ranges = stored(ctx.held_ranges(capped, told), "bench")
         run(ctx.context_dedup(held, ranges))

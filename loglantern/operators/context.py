@@ -25,7 +25,7 @@ def expand(ranges: DataFrame, low: str, high: str, size: int = BUCKET) -> DataFr
     )
 
 
-def context_windows(held: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
+def context_windows(held: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:
     """The look-back window of every capture, as spans of line numbers: all of it (first_seq to last_seq, n_lines), lines that other
     captures hold included, and what the byte budget leaves of it (kept_first, kept_lines, context_truncated): the oldest lines beyond
     context_bytes go, the newest stays.
@@ -42,11 +42,10 @@ def context_windows(held: DataFrame, captures: DataFrame, params: CaptureParams,
     found = first_reaching(lines.drop("role"), opens, ["host"], ["t", "before"], size=size)
     first, last = F.col("t"), F.col("open_seq") - 1
     kept = F.when(first <= last, F.least(F.greatest(first, F.col("before")), last)).otherwise(first)
-    rows = found.select(
+    return found.select(
         "host", "open_seq", "open_t", first.alias("first_seq"), last.alias("last_seq"), (F.col("open_seq") - first).alias("n_lines"),
         kept.alias("kept_first"), (F.col("open_seq") - kept).alias("kept_lines"), (kept > first).alias("context_truncated"),
     )
-    return rows.join(captures.select("host", "open_seq"), ["host", "open_seq"], "left_semi")
 
 
 def overlapping_context(held: DataFrame, captures: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:

@@ -16,7 +16,7 @@ from ..sources import journal, lines, patterns
 from ..sources.tables import (
     ALWAYS, DOC_PATTERNS, OWN, PARAMS, WATCH, doc_lines, labelled_lines, log_lines, once, raw_lines, table,
 )
-from ..streaming.batches import TICK, CaptureStream, captured_stream_lines, closed_captures, fixed, late_lines, outbox
+from ..streaming.batches import CaptureStream, answered, captured_stream_lines, closed_captures, fixed, late_lines, outbox
 from .scratch import scratch_path
 
 NOW = "2024-02-10T00:00:00"
@@ -53,7 +53,7 @@ def spans(spark, sf):
 
 
 def capped(spark, sf):
-    return once(spark, sf, "capped", lambda: ctx.context_windows(held(spark, sf), captures(spark, sf), PARAMS))
+    return once(spark, sf, "capped", lambda: ctx.context_windows(held(spark, sf), PARAMS))
 
 
 def with_reusable(summaries: DataFrame) -> DataFrame:
@@ -236,16 +236,20 @@ def text_captures(spark, sf):
     return cap.find_captures(cap.match_rows(labelled), PARAMS)
 
 
-def journal_captures(spark, sf):
-    """From export files to captures."""
-    path = scratch_path(spark, "export_log")
+def export_record():
+    """An event of raw_lines, with its cursor, as an export record."""
     field = lambda name, column: F.concat(F.lit(name + "="), F.col(column).cast("string"), F.lit("\n"))
-    rows = raw_lines(spark, sf).withColumn("cursor", F.format_string("%012d", "event_id"))
-    record = F.concat(
+    return F.concat(
         field("__CURSOR", "cursor"), field("__REALTIME_TIMESTAMP", "t"), field("_HOSTNAME", "host"),
         field("SYSLOG_IDENTIFIER", "ident"), field("_PID", "pid"), field("MESSAGE", "message"),
     )
-    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(record.alias("value")).write.text(path, lineSep="\n")
+
+
+def journal_captures(spark, sf):
+    """From export files to captures."""
+    path = scratch_path(spark, "export_log")
+    rows = raw_lines(spark, sf).withColumn("cursor", F.format_string("%012d", "event_id"))
+    rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(export_record().alias("value")).write.text(path, lineSep="\n")
     entries = journal.read_journal_export(spark, path).drop("file", "place")
     labelled = matching.label_lines(journal.journal_log(entries), WATCH, ALWAYS, OWN)
     return cap.find_captures(cap.match_rows(labelled), PARAMS)
@@ -363,7 +367,7 @@ def lookback_context(spark, sf):
 
 
 def context_byte_cap(spark, sf):
-    return ctx.context_windows(held(spark, sf), captures(spark, sf), PARAMS).select(
+    return ctx.context_windows(held(spark, sf), PARAMS).select(
         "host", "open_seq", "kept_first", "kept_lines", "context_truncated"
     )
 
@@ -419,7 +423,7 @@ def small_held(spark, sf):
 
 def small_capped(spark, sf):
     def build():
-        return ctx.context_windows(small_held(spark, sf), small_captures(spark, sf), PARAMS, SMALL)
+        return ctx.context_windows(small_held(spark, sf), PARAMS, SMALL)
 
     return once(spark, sf, "small_capped", build)
 
@@ -643,14 +647,14 @@ def apply_plan(spark, sf):
 
 # --- streams ---
 
-def feed(spark, sf, slices, delay=None, params=None):
+def feed(spark, sf, slices, delay=None, params=None, unique=None):
     """Run a capture stream over the given time slices of the log, one at a time: every slice
     lands as new files, and a new query resumes from the checkpoint."""
     base = scratch_path(spark, "stream")
     rows = log_lines(spark, sf).select("host", "seq", "ts", "t", "line")
     ends = rows.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
     step = (ends["high"] - ends["low"]) // 3 + 1
-    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, delay, requests=params)
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, delay, requests=params, unique=unique, salt=SALT)
     for part in slices:
         inside = (F.col("t") >= ends["low"] + part * step) & (F.col("t") < ends["low"] + (part + 1) * step)
         rows.where(inside).drop("t").write.mode("append").parquet(f"{base}/in")
@@ -659,8 +663,30 @@ def feed(spark, sf, slices, delay=None, params=None):
     return stream
 
 
+_plain_feeds: dict[tuple[str, str], CaptureStream] = {}
+
+
+def plain_feed(spark, sf):
+    """The stream over three slices without more, run once a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _plain_feeds:
+        _plain_feeds[key] = feed(spark, sf, (0, 1, 2))
+    return _plain_feeds[key]
+
+
+def until_tick(stream, source, checkpoint):
+    """Run a stream by its trigger until a batch in which the clock has ticked has ended."""
+    run = stream.start(source, checkpoint, seconds=1)
+    while run.isActive and not any(p.numInputRows for p in run.recentProgress):
+        run.awaitTermination(1)
+    run.stop()
+    if run.exception():
+        raise run.exception()
+    return stream
+
+
 def stream_captures(spark, sf):
-    stream = feed(spark, sf, (0, 1, 2))
+    stream = plain_feed(spark, sf)
     return captured_stream_lines(spark, stream.output).select("host", "open_seq", "seq", "role", "line")
 
 
@@ -670,13 +696,67 @@ def quiet_close(spark, sf):
 
 
 def quiet_close_by_clock(spark, sf):
-    """After the last line only the clock ticks, a year on: every capture closes."""
+    """After the last line only the clock ticks, years on: every capture closes."""
     stream = feed(spark, sf, (0, 1, 2), delay=600)
-    tick = spark.createDataFrame([(None, None, None, None)], TICK).withColumn("ts", F.lit("2025-06-01 00:00:00").cast("timestamp"))
-    stream(tick, 3)
+    base = stream.output.removesuffix("/out")
+    until_tick(stream, lines.stream_log_lines(spark, f"{base}/in"), f"{base}/clock")
+    return closed_captures(spark, stream.output).select("host", "open_seq", "until", "n_matches", "end_reason")
+
+
+def quiet_close_text(spark, sf):
+    """Text files without any further one: the clock closes their captures."""
+    base = scratch_path(spark, "quiet_text")
+    rows = log_lines(spark, sf).repartitionByRange("host", "seq").sortWithinPartitions("host", "seq")
+    rows.select("host", "line").write.partitionBy("host").text(f"{base}/in", lineSep="\n")
+    one_time(spark, f"{base}/in", set())
+    host = F.regexp_extract(F.col("_metadata.file_path"), "host=([^/]+)/", 1)
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN, 600)
+    until_tick(stream, lines.stream_text_lines(spark, f"{base}/in", host), f"{base}/checkpoint")
+    until_tick(stream, lines.stream_text_lines(spark, f"{base}/in", host), f"{base}/checkpoint")
     return closed_captures(spark, stream.output).select("host", "open_seq", "until", "n_matches", "end_reason")
 
 
+def stream_redelivered(spark, sf):
+    """The middle third comes twice within the time in which lines are known again: the same captures, and no late lines."""
+    stream = feed(spark, sf, (0, 1, 1, 2), unique=60 * 86400)
+    late = late_lines(spark, stream).select("host", F.lit(-1).cast("long").alias("open_seq"), "seq", F.lit("late").alias("role"), "line")
+    return captured_stream_lines(spark, stream.output).select("host", "open_seq", "seq", "role", "line").unionByName(late)
+
+
+def stream_journal_captures(spark, sf):
+    """Export files as a stream, in three slices, from entries to captured lines."""
+    base = scratch_path(spark, "journal_stream")
+    rows = raw_lines(spark, sf).withColumn("cursor", F.format_string("%012d", "event_id"))
+    ends = rows.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    step = (ends["high"] - ends["low"]) // 3 + 1
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN)
+    for part in range(3):
+        own = rows.where((F.col("t") >= ends["low"] + part * step) & (F.col("t") < ends["low"] + (part + 1) * step))
+        own = own.repartitionByRange(4, "t", "event_id").sortWithinPartitions("t", "event_id")
+        own.select(export_record().alias("value")).write.mode("append").text(f"{base}/in", lineSep="\n")
+        entries = journal.stream_journal_export(spark, f"{base}/in", every=20_000)
+        stream.start(journal.stream_journal_lines(entries), f"{base}/checkpoint", available_now=True).awaitTermination()
+    return captured_stream_lines(spark, stream.output).select("host", "open_seq", "seq", "role", "line")
+
+
+def stream_model_requests(spark, sf):
+    """What a stream asks a model about each closed capture, and the pushes that its answers lead to: of three, one is to be
+    told, one not, and one is no answer."""
+    asks = RequestParams(model=True, notes="a test host")
+    stream = feed(spark, sf, (0, 1, 2), params=asks)
+    requests_ = outbox(spark, stream.output, "model_requests")
+    content = F.element_at(F.from_json("request", "messages array<struct<role: string, content: string>>")["messages"]["content"], 2)
+    notify = F.when(F.col("open_seq") % 3 == 0, "true").when(F.col("open_seq") % 3 == 1, "false").otherwise("5")
+    reply = F.concat(F.lit('{"title": "capture '), F.col("open_seq").cast("string"), F.lit('", "summary": "said", "notify": '), notify, F.lit("}"))
+    pushes = answered(spark, stream.output, requests_.select("host", "open_seq", reply.alias("reply")), asks)
+    told = pushes.select("host", "open_seq", "title", F.substring_index("body", "\n", 1).alias("body"))
+    asked = requests_.select(
+        "host", "open_seq", F.regexp_extract(content, r"Matched pattern: (.*)\n", 1).alias("pattern"),
+        F.regexp_extract(content, r"Matched line: (.*)\n", 1).alias("matched_line"), content.contains("Excerpt:\n-").alias("has_excerpt"),
+    )
+    return asked.join(told, ["host", "open_seq"], "left")
+
+
 def stream_late_lines(spark, sf):
     """The middle third comes twice, and the first once more when all is over: those are late."""
     stream = feed(spark, sf, (0, 1, 1, 2, 0))
@@ -731,7 +811,7 @@ def stream_outbox(spark, sf):
 def stream_state(spark, sf):
     """What a stream keeps after three batches: lines that a coming match can still reach, the matches of open captures, and each
     source's last line."""
-    stream = feed(spark, sf, (0, 1, 2))
+    stream = plain_feed(spark, sf)
     kept = lambda name, seq: spark.read.parquet(f"{stream.state}/2/{name}").select(
         F.lit({"lines": "line", "matches": "match", "ends": "end"}[name]).alias("kind"), "host", F.col(seq).alias("seq")
     )
@@ -767,6 +847,8 @@ QUERIES = {
     "stream_captures": stream_captures, "stream_text_captures_by_host": stream_text_captures_by_host,
     "stream_outbox": stream_outbox,
     "stream_state": stream_state, "quiet_close": quiet_close, "quiet_close_by_clock": quiet_close_by_clock, "stream_late_lines": stream_late_lines,
+    "quiet_close_text": quiet_close_text, "stream_redelivered": stream_redelivered, "stream_journal_captures": stream_journal_captures,
+    "stream_model_requests": stream_model_requests,
     "backlog_catch_up": backlog_catch_up,
 }
 

@@ -315,6 +315,14 @@ SELECT s.host, s.open_seq, s.pattern, s.matched_line, t.always_notify, s.lines_a
   CASE WHEN lines_after > {CAP} THEN 'line_cap' WHEN s.until = s.open_t + {M} THEN 'time_max' ELSE 'time' END AS end_reason,
   t.always_notify AS push, i.plain AS title, TRUE AS has_path, TRUE AS has_excerpt
 FROM summary s JOIN told t USING (host, open_seq) JOIN incidents i USING (host, open_seq) JOIN last_line l ON l.host = s.host
+WHERE l.end_t > s.until OR s.lines_after > {CAP}"""),
+    "stream_model_requests": captured(INCIDENTS + """,
+last_line AS (SELECT host, max(t) AS end_t FROM lines GROUP BY host)""", f"""
+SELECT s.host, s.open_seq, s.pattern, s.matched_line, TRUE AS has_excerpt,
+  CASE WHEN s.open_seq % 3 = 2 OR t.always_notify THEN i.plain WHEN s.open_seq % 3 = 0 THEN 'capture ' || s.open_seq END AS title,
+  CASE WHEN s.open_seq % 3 = 2 THEN s.matched_line WHEN t.always_notify THEN t.always_notify_line || ' / Model summary: said'
+       WHEN s.open_seq % 3 = 0 THEN 'said' END AS body
+FROM summary s JOIN told t USING (host, open_seq) JOIN incidents i USING (host, open_seq) JOIN last_line l ON l.host = s.host
 WHERE l.end_t > s.until OR s.lines_after > {CAP}"""),
     "stream_state": captured(SUMMARY + STREAM_CLOSED + f""",
 recent AS (
@@ -494,6 +502,8 @@ ORACLE["journal_captures"] = ORACLE["capture_sessions_capped"]
 # A line's stamp has whole seconds; lines keep their order.
 _SECONDS = RAW.replace("lines AS (", "fine AS (") + ",\nlines AS (SELECT * REPLACE (t // 1000000 * 1000000 AS t) FROM fine)"
 ORACLE["text_captures"] = ORACLE["capture_sessions_capped"].replace(RAW.strip(), _SECONDS.strip())
+ORACLE["quiet_close_text"] = ORACLE["quiet_close_by_clock"].replace(RAW.strip(), _SECONDS.strip())
+ORACLE["stream_redelivered"] = ORACLE["stream_journal_captures"] = ORACLE["stream_captures"]
 ORACLE["stream_text_captures_by_host"] = ORACLE["stream_captures"].replace(RAW.strip(), _SECONDS.strip())
 ORACLE["pattern_versions_by_time"] = query(RAW + f""",
 middle AS (SELECT (min(t) + max(t)) // 2 AS m FROM lines),

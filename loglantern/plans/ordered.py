@@ -150,7 +150,8 @@ def first_reaching(
     points: DataFrame, probes: DataFrame, key: list[str], values: list[str], seq: str = "seq", size: int = BUCKET, fan: int = FAN
 ) -> DataFrame:
     """For every probe, the seq of the first point of its key whose value is at least what the probe wants (null: none), for
-    each of `values`, columns of both sides: never falling along seq in points, a wish in probes (null: none).
+    each of `values`, columns of both sides: never falling along seq in points, a wish in probes (null: none). A probe
+    none of whose wishes is met is left out; the other columns of probes tell them apart.
 
     Values rise with seq, so a bucket's highest value tells whether the point lies in it or later. Those, a row a
     bucket, are held in lists of `fan` buckets under one list a key; a probe finds its bucket through two of them and meets the points of that
@@ -175,5 +176,6 @@ def first_reaching(
     by = [*key, "_bucket"]
     rows, sent = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (rows, sent))  # columns of their own on each side
     found = rows.groupBy(*by).cogroup(sent.groupBy(*by)).applyInArrow(_first_in_bucket(seq, values, carried, empty), schema)
-    every = found.unionByName(wants.drop("_want").withColumn("_found", F.lit(None).cast("long")))
-    return every.groupBy(*carried).agg(*(F.max(F.when(F.col("_which") == i, F.col("_found"))).alias(v) for i, v in enumerate(values)))
+    if len(values) == 1:
+        return found.select(*carried, F.col("_found").alias(values[0]))
+    return found.groupBy(*carried).agg(*(F.max(F.when(F.col("_which") == i, F.col("_found"))).alias(v) for i, v in enumerate(values)))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
 from dataclasses import dataclass
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ FIELDS = {
     b"SYSLOG_PID": "syslog_pid", b"MESSAGE": "message",
 }
 FIELD_MAX = 4 << 20
-MOST_BYTES = (1 << 31) - 1  # of a file that Spark reads as one value
+READ_BYTES = 1 << 20
+#: Bytes of a file that one task decodes.
+STRETCH_BYTES = 64 << 20
 FIELD_NAME = re.compile(rb"[A-Z0-9_]+")
 CURSOR = re.compile(r"s=[0-9a-f]{32};i=[0-9a-f]{1,16};b=[0-9a-f]{32};m=[0-9a-f]{1,16};t=[0-9a-f]{1,16};x=[0-9a-f]{1,16}")
 
@@ -29,49 +33,86 @@ RAW_COLUMNS = ["file", "place", *FIELDS.values()]
 RAW_SCHEMA = ", ".join(f"{c} {'bigint' if c == 'place' else 'string'}" for c in RAW_COLUMNS)
 
 
-def _records(data: bytes):
-    """The field dicts of one export file; a record not ended by an empty line is dropped."""
-    fields, at = {}, 0
-    while at < len(data):
-        end = data.find(b"\n", at)
-        if end < 0:
-            return
-        name, equals, value = data[at:end].partition(b"=")
-        at = end + 1
+def _opened(path: str):
+    """A file of any store as a stream that can be placed."""
+    if path.startswith("file:") or "://" not in path:
+        return open("/" + path.removeprefix("file:").lstrip("/"), "rb", READ_BYTES)
+    store, name = FileSystem.from_uri(path)
+    return io.BufferedReader(store.open_input_file(name), READ_BYTES)
+
+
+def _items(stream, at: int):
+    """(name, value, offset behind it) of the fields from a record's start on, ('', None, offset) at a record's end, and a name of
+    None for lines that are no field. Values are as long as is kept of one. Nothing is given for an item that is cut off."""
+    stream.seek(at)
+    while True:
+        line = stream.readline(FIELD_MAX)
+        at, more = at + len(line), line
+        while not more.endswith(b"\n"):
+            if not (more := stream.readline(FIELD_MAX)):
+                return
+            at += len(more)
+        name, equals, value = line.removesuffix(b"\n").partition(b"=")
         if equals:
-            if name in FIELDS:
-                fields[FIELDS[name]] = value[: FIELD_MAX - len(name) - 1]
+            yield name, value, at
         elif not name:
-            yield fields
-            fields = {}
-        elif FIELD_NAME.fullmatch(name):
-            size = int.from_bytes(data[at : at + 8], "little")
-            if name in FIELDS and at + 8 + size <= len(data):
-                fields[FIELDS[name]] = data[at + 8 : at + 8 + min(size, FIELD_MAX)]
+            yield b"", None, at
+        elif more is line and FIELD_NAME.fullmatch(name):
+            size = int.from_bytes(stream.read(8), "little")
+            value = stream.read(min(size, FIELD_MAX)) if name in FIELDS else b""
             at += 8 + size + 1
+            stream.seek(at - 1)
+            if not stream.read(1):
+                return
+            yield name, value, at
+        else:
+            yield None, None, at
+
+
+def _cut_points(every: int):
+    """Cut each file (path) at record starts, `every` bytes apart or the next start after that. A binary field may hold what
+    looks like records, so a file's starts are found in order; its values are passed over by their lengths, not read."""
+
+    def rows(batches):
+        for batch in batches:
+            for path in batch["path"]:
+                start, found = 0, []
+                with _opened(path) as stream:
+                    for name, _, at in _items(stream, 0):
+                        if name == b"" and at - start >= every:
+                            found.append((path, start, at))
+                            start = at
+                    yield pd.DataFrame([*found, (path, start, None)], columns=["path", "start", "stop"]).astype({"start": "Int64", "stop": "Int64"})
+
+    return rows
 
 
 def _decode(batches):
+    """The records of each stretch of a file; `place` is the offset that a record begins at."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            rows = []
-            for place, fields in enumerate(_records(content)):
-                if "cursor" in fields and fields.get("stored", b"").isdigit():
-                    text = {k: v.decode("utf-8", "replace") for k, v in fields.items()}
-                    rows.append([path, place, *[text.get(c) for c in FIELDS.values()]])
-                if len(rows) >= 10000:
-                    yield pd.DataFrame(rows, columns=RAW_COLUMNS)
-                    rows = []
+        for path, start, stop in zip(batch["path"], batch["start"], batch["stop"]):
+            rows, fields, began = [], {}, int(start)
+            with _opened(path) as stream:
+                for name, value, at in _items(stream, began):
+                    if name == b"":
+                        if "cursor" in fields and fields.get("stored", b"").isdigit():
+                            text = {k: v.decode("utf-8", "replace") for k, v in fields.items()}
+                            rows.append([path, began, *[text.get(c) for c in FIELDS.values()]])
+                        fields, began = {}, at
+                        if not pd.isna(stop) and at >= stop:
+                            break
+                    elif name in FIELDS:
+                        fields[FIELDS[name]] = value
+                    if len(rows) >= 10000:
+                        yield pd.DataFrame(rows, columns=RAW_COLUMNS)
+                        rows = []
             yield pd.DataFrame(rows, columns=RAW_COLUMNS)
 
 
-def read_journal_export(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of export files. A binary field may hold anything, so a file cannot be
-    split: many files are what runs in parallel. A file of 2 GB or more is refused by name before any is read."""
-    sizes = spark.read.format("binaryFile").load(path).select("path", "length").where(F.col("length") >= MOST_BYTES)
-    if large := [r["path"] for r in sizes.limit(5).collect()]:
-        raise ValueError(f"export files of 2 GB or more cannot be read, write them in parts: {', '.join(large)}")
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_decode, RAW_SCHEMA)
+def _entries(files: DataFrame, tasks: int, every: int) -> DataFrame:
+    """The entries of files (path), each read by as many tasks as it has stretches of `every` bytes."""
+    cuts = files.select("path").mapInPandas(_cut_points(every), "path string, start bigint, stop bigint")
+    raw = cuts.repartition(tasks, "path", "start").mapInPandas(_decode, RAW_SCHEMA)
     digits = F.col("source").rlike(r"\A[0-9]+\z")
     return raw.select(
         "file", "place", "cursor", F.col("stored").try_cast("bigint").alias("stored_us"),
@@ -80,6 +121,32 @@ def read_journal_export(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_journal_export(spark: SparkSession, path: str, every: int = STRETCH_BYTES) -> DataFrame:
+    """The entries of export files, of any size. One task finds a file's cuts, at record starts; its stretches are then read by tasks of
+    their own, as streams, so that a task holds a few fields at a time."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # contents are not read here
+    total = files.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // every))
+    return _entries(files, tasks, every)
+
+
+def stream_journal_export(spark: SparkSession, path: str, files_per_batch: int | None = None, every: int = STRETCH_BYTES) -> DataFrame:
+    """The entries of export files as they land in a folder."""
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _entries(reader.load(path), int(spark.conf.get("spark.sql.shuffle.partitions")), every)
+
+
+def stream_journal_lines(entries: DataFrame) -> DataFrame:
+    """Entries of a stream as CaptureStream takes them: lines in order of when they were stored, `at` being that time."""
+    rows = journal_to_lines(entries.withColumn("_source", F.coalesce("host", F.lit(""))))
+    at = F.timestamp_micros("stored_us")
+    return rows.select(
+        F.col("_source").alias("host"), "line", at.alias("changed"), at.alias("at"), "file", F.col("place").alias("block"), F.col("part").cast("int").alias("piece"),
+    )
+
+
 def journal_to_lines(entries: DataFrame) -> DataFrame:
     """Entries as short-iso lines, one row per line of a message with its `part`. Later lines are
     indented by the width of the prefix; an entry without a message gives none."""

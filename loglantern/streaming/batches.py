@@ -9,8 +9,9 @@ replaces exactly what it wrote the first time.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +19,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.captures import always_notify_rollup, capture_lines, capture_summary, find_captures, match_rows
 from ..operators.context import cap_context, newest_bytes
-from ..operators.excerpts import excerpt_json_capped, place_rows
+from ..operators.excerpts import excerpt_around_match, excerpt_json_capped, place_rows
 from ..operators.matching import OwnIdentity, PatternSet, label_lines
 from ..operators.rendering import capture_name, render_capture
-from ..operators.requests import event_payload, push_request, route_capture
+from ..operators.requests import event_payload, model_request, parse_verdict, push_request, route_capture
 from ..operators.retention import write_rendered
 from ..params import CaptureParams, RequestParams
 from ..plans.ordered import BUCKET, number_rows, scan
-from ..plans.scratch import scratch_path, scratch_scope, stored
+from ..plans.scratch import _remove, scratch_path, scratch_scope, stored
 from ..sources.lines import stamped
 
 LINES = "host string, seq bigint, ts timestamp, t bigint, line string, label string, always boolean"
@@ -37,6 +38,9 @@ OPEN = (
 )
 TICK = "host string, seq bigint, ts timestamp, line string"
 
+#: Folder of the markers of ended batches.
+MARKERS = "committed"
+
 Patterns = Callable[[SparkSession, int], tuple[PatternSet, PatternSet]]
 
 
@@ -63,10 +67,19 @@ class CaptureStream:
     size: int = BUCKET
     session: SparkSession | None = None
     requests: RequestParams | None = None
+    #: Seconds within which a line that comes again, by source and number, is dropped unseen (None: it counts as late).
+    unique: int | None = None
+    #: Secret part of the marks around log data in model requests.
+    salt: str = field(default_factory=lambda: secrets.token_hex(16))
 
     def __call__(self, rows: DataFrame, batch: int) -> None:
-        with scratch_scope(self.session or rows.sparkSession):
+        """Run a batch. What it writes counts from the moment its marker is there, and not before: a batch that is killed
+        between two tables shows nothing of itself."""
+        spark = self.session or rows.sparkSession
+        _remove(spark, f"{self.output}/{MARKERS}/batch={batch}")
+        with scratch_scope(spark):
             self._run(rows, batch)
+        spark.range(1).write.mode("overwrite").parquet(f"{self.output}/{MARKERS}/batch={batch}")
 
     def _run(self, rows: DataFrame, batch: int) -> None:
         # The batch is written once; the rest reads it as an ordinary table, with the caller's session settings.
@@ -130,12 +143,15 @@ class CaptureStream:
             self._forget(spark, batch - 2)
 
     def _in_order(self, rows: DataFrame, ends: DataFrame) -> DataFrame:
-        """host, seq, ts, line: as they come, or, for lines of text files, numbered on from each source's last, with the
-        time they begin with, else that of their file."""
+        """host, seq, ts, line: as they come, or, for lines without numbers, numbered on from each source's last, with the
+        time `at` where they have one, else the time they begin with, else that of their file."""
         if "seq" in rows.columns:
             return rows.select("host", "seq", "ts", "line")
-        numbered = number_rows(rows, ["host"], ["changed", "file", "block", "place", "piece"])
-        timed = stamped(numbered).withColumn("ts", F.coalesce("ts", "changed"))
+        numbered = number_rows(rows.drop("ts"), ["host"], ["changed", "file", "block", "place", "piece"])
+        if "at" in rows.columns:
+            timed = numbered.withColumn("ts", F.col("at"))
+        else:
+            timed = stamped(numbered).withColumn("ts", F.coalesce("ts", "changed"))
         before = ends.select("host", F.col("end_seq").alias("_before"))
         return timed.join(before, "host", "left").select("host", (F.col("seq") + F.coalesce("_before", F.lit(0))).alias("seq"), "ts", "line")
 
@@ -157,6 +173,12 @@ class CaptureStream:
         write_rendered(rendered, named, texts, "overwrite")
         if self.requests is None:
             return
+        if self.requests.model and not self.requests.events:
+            # who is told what waits for the model's answer: see answered()
+            around = excerpt_around_match(place_rows(rendered, lines, self.size), self.requests.excerpt_bytes)
+            asked = model_request(named.join(around, key), self.requests, self.salt)
+            asked.write.mode("overwrite").parquet(f"{self.output}/model_requests/batch={batch}")
+            return
         routed = stored(route_capture(named.withColumn("post_failed", F.lit(False)), self.requests), "routed")
         push_request(routed, self.requests).write.mode("overwrite").parquet(f"{self.output}/pushes/batch={batch}")
         if self.requests.events:
@@ -198,37 +220,68 @@ class CaptureStream:
 
     def _forget(self, spark: SparkSession, batch: int) -> None:
         """Drop state that no rerun can ask for any more."""
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{self.state}/{batch}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        _remove(spark, f"{self.state}/{batch}")
 
     def start(self, lines: DataFrame, checkpoint: str, available_now: bool = False, seconds: int = 10) -> StreamingQuery:
         """Run over a streaming table of lines (host, seq, ts, line, or what stream_text_lines gives); stops by itself
-        with available_now. Without it, and with a delay, a clock runs along with structured lines, so that captures
-        are closed while all sources are quiet; text lines get theirs from their files."""
+        with available_now. Without it, and with a delay, a clock runs along with the lines, so that captures
+        are closed while all sources are quiet."""
         self.session = lines.sparkSession
-        if not available_now and self.delay is not None and "seq" in lines.columns:
-            clock = self.session.readStream.format("rate").option("rowsPerSecond", 1).load()
-            ticks = clock.selectExpr("CAST(NULL AS string) AS host", "CAST(NULL AS bigint) AS seq", "timestamp AS ts", "CAST(NULL AS string) AS line")
-            lines = lines.select("host", "seq", "ts", "line").unionByName(ticks)
+        if self.unique is not None and "seq" in lines.columns:
+            # a file that comes twice within that time is no late lines
+            lines = lines.withWatermark("ts", f"{self.unique} seconds").dropDuplicatesWithinWatermark(["host", "seq"])
+        if not available_now and self.delay is not None:
+            lines = self._with_clock(lines)
         writer = lines.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")
         return writer.start()
 
 
+    def _with_clock(self, lines: DataFrame) -> DataFrame:
+        """The lines, and rows without a source that tell the time once a second."""
+        clock = self.session.readStream.format("rate").option("rowsPerSecond", 1).load()
+        if "ts" not in lines.columns:
+            lines = lines.withColumn("ts", F.lit(None).cast("timestamp"))
+        ticks = [F.col("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema]
+        return lines.unionByName(clock.select(*ticks))
+
+
+def committed(spark: SparkSession, output: str, table: str) -> DataFrame:
+    """A table of a stream's output (lines, closed, texts, late, pushes, events, model_requests), of ended batches alone, with `batch`."""
+    ended = spark.read.schema("id bigint, batch int").parquet(f"{output}/{MARKERS}").select("batch").distinct()
+    return spark.read.parquet(f"{output}/{table}").join(ended, "batch", "left_semi")
+
+
 def captured_stream_lines(spark: SparkSession, output: str) -> DataFrame:
     """All lines a stream has captured so far."""
-    return spark.read.parquet(f"{output}/lines").drop("batch")
+    return committed(spark, output, "lines").drop("batch")
 
 
 def late_lines(spark: SparkSession, stream: CaptureStream) -> DataFrame:
     """The lines that came too late to be read in order, with the batch they came in."""
-    return spark.read.parquet(f"{stream.output}/late")
+    return committed(spark, stream.output, "late")
 
 
 def closed_captures(spark: SparkSession, output: str) -> DataFrame:
-    return spark.read.parquet(f"{output}/closed").drop("batch")
+    return committed(spark, output, "closed").drop("batch")
 
 
 def outbox(spark: SparkSession, output: str, kind: str) -> DataFrame:
-    """The pushes or events of all captures closed so far."""
-    return spark.read.parquet(f"{output}/{kind}").drop("batch")
+    """The pushes, events or model requests of all captures closed so far."""
+    return committed(spark, output, kind).drop("batch")
+
+
+def answered(spark: SparkSession, output: str, replies: DataFrame, params: RequestParams) -> DataFrame:
+    """The pushes of closed captures that a model was asked about, given its replies: host, open_seq, reply (null or unusable: the
+    capture is pushed as it is)."""
+    said = parse_verdict(replies.select("host", "open_seq", "reply")).select(
+        "host", "open_seq", F.col("title").alias("verdict_title"), F.col("summary").alias("verdict_summary"),
+        F.col("notify").alias("verdict_notify"), F.col("error").alias("verdict_error"),
+    )
+    return push_request(route_capture(closed_captures(spark, output).join(said, ["host", "open_seq"]), params), params)
+
+
+def posted(spark: SparkSession, output: str, results: DataFrame, params: RequestParams) -> DataFrame:
+    """The pushes that posts of events call for, given how these went: host, open_seq, post_failed."""
+    rows = closed_captures(spark, output).join(results.select("host", "open_seq", "post_failed"), ["host", "open_seq"])
+    return push_request(route_capture(rows, params), params)

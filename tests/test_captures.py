@@ -54,7 +54,7 @@ def test_storm_writes_every_line_once(log):
     found, held = run(labelled, CaptureParams(60, 3600, 10))
     written = [line for lines in lines_of(held).values() for line in lines]
     assert sorted(written) == sorted(text for _, text in rows)
-    capped = ctx.context_windows(held, found, CaptureParams(60, 3600, 10))
+    capped = ctx.context_windows(held, CaptureParams(60, 3600, 10))
     summary = cap.capture_summary(held, cap.source_ends(labelled), CaptureParams(60, 3600, 10))
     left = ctx.left_out_counts(ctx.held_ranges(capped, summary)).collect()
     assert [(r["open_seq"], r["held_by_seq"], r["n"]) for r in left] == [(72, 51, 62)]
@@ -141,8 +141,8 @@ def test_against_line_by_line_model(log, T, M, most, size, budget):
     labelled = stored(log(hosts), "log")
     found, held = run(labelled, params, size)
     spans = stored(ctx.overlapping_context(held, found, params, size), "spans")
-    capped = ctx.context_windows(held, found, params, size)
-    wide = ctx.context_windows(held, found, CaptureParams(T, M, most, 10**9), size)
+    capped = ctx.context_windows(held, params, size)
+    wide = ctx.context_windows(held, CaptureParams(T, M, most, 10**9), size)
     summary = cap.capture_summary(held, cap.source_ends(labelled), params)
     reusable = summary.withColumn("reusable", F.col("open_seq") % 3 != 0)
     ranges = stored(ctx.held_ranges(wide, reusable, size), "ranges")

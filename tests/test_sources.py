@@ -1,3 +1,6 @@
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +79,37 @@ def test_journal_export(spark, tmp_path):
     ]
 
 
+def test_one_export_file_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Stretches of every length give what one stretch gives; a binary field that holds whole records is not cut."""
+    rng = random.Random(6)
+    usec, data, want = 1_700_000_000_000_000, b"", []
+    fake = record(__CURSOR="fake", __REALTIME_TIMESTAMP=1, MESSAGE="never") * 3
+    for i in range(120):
+        message = rng.choice([b"plain", b"two\nlines", fake, b"\n\n" + fake + b"MESSAGE\n", b"x" * rng.randint(0, 3000), b"\n" * 10])
+        data += record(__CURSOR=f"c{i}", __REALTIME_TIMESTAMP=usec + i, _X=fake[: rng.randint(0, len(fake))], MESSAGE=message, _HOSTNAME="h")
+        want.append((f"c{i}", usec + i, message[: journal.FIELD_MAX].decode()))
+    (tmp_path / "one.export").write_bytes(data + b"__CURSOR=cut\n__REALTIME_TIMESTAMP=1\nMESSAGE\n" + (900).to_bytes(8, "little") + b"short\n\n")
+    for every in (30_000, 1 << 20):
+        found = journal.read_journal_export(spark, str(tmp_path), every)
+        rows = sorted(found.collect(), key=lambda r: r["place"])
+        assert [(r["cursor"], r["stored_us"], r["message"]) for r in rows] == want
+    for every in (1, 700, 5000):
+        cuts = journal._cut_points(every)([pd.DataFrame({"path": [f"{tmp_path}/one.export"]})])
+        rows = pd.concat(journal._decode(cuts))
+        assert list(zip(rows["cursor"], rows["stored"].astype(int), rows["message"], strict=True)) == want
+    cuts = [r for batch in journal._cut_points(5000)([pd.DataFrame({"path": [f"file:{tmp_path}/one.export"]})]) for r in batch.itertuples()]
+    assert len(cuts) > 3 and all(a.stop == b.start for a, b in zip(cuts, cuts[1:], strict=False))
+    parts = journal.read_journal_export(spark, str(tmp_path), 30_000).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+    # values longer than is kept of a field, as text and as bytes
+    monkeypatch.setattr(journal, "FIELD_MAX", 50)
+    text = record(__CURSOR="c" * 80, __REALTIME_TIMESTAMP=1, MESSAGE=b"y" * 200) + record(__CURSOR="d", __REALTIME_TIMESTAMP=2, MESSAGE="z" * 90)
+    (tmp_path / "long").write_bytes(text)
+    batch = [pd.DataFrame({"path": [f"{tmp_path}/long"], "start": [0], "stop": [None]})]
+    rows = pd.concat(journal._decode(batch))
+    assert rows["message"].tolist() == ["y" * 50, "z" * 42] and rows["cursor"].tolist() == ["c" * 41, "d"]
+
+
 @pytest.fixture
 def entries(spark):
     rows = [("j", i, f"c{i}", stored) for i, stored in enumerate([10, 50, 20, 60, 90, 80, 100, 130, 140], 1)]

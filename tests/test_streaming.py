@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from brute import fold
@@ -11,7 +12,9 @@ from loglantern.operators.matching import PatternSet
 from loglantern.operators.retention import read_rendered
 from loglantern.params import CaptureParams, RequestParams
 from loglantern.sources.lines import LINE_SCHEMA, catch_up, stream_log_lines, stream_text_lines
-from loglantern.streaming.batches import TICK, CaptureStream, captured_stream_lines, closed_captures, fixed, late_lines, outbox
+from loglantern.streaming.batches import (
+    TICK, CaptureStream, answered, captured_stream_lines, closed_captures, fixed, late_lines, outbox, posted,
+)
 
 WATCH = PatternSet.of(texts=["HIT"])
 
@@ -93,6 +96,84 @@ def test_a_clock_closes_what_is_quiet_and_requests_are_written(spark, tmp_path):
     assert event["path"] == row["path"] and "-> HIT" in event["excerpt"] and not event["push"]
 
 
+def test_a_killed_batch_shows_nothing(spark, tmp_path, monkeypatch):
+    """A batch that fails between its tables is hidden from readers until it has run whole."""
+    params, out = CaptureParams(10, 0, 100), f"{tmp_path}/out"
+    stream = play(spark, tmp_path, [[("a", 1, 100, "HIT"), ("a", 2, 105, "x")]], params)
+    before = sorted((r["host"], r["seq"]) for r in captured_stream_lines(spark, out).collect())
+    assert before == [("a", 1), ("a", 2)]
+    later = spark.createDataFrame([("a", 3, 300, "HIT")], "host string, seq bigint, s bigint, line string").withColumn("ts", F.timestamp_seconds("s"))
+    whole = CaptureStream._closing
+
+    def killed(self, *rest):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(CaptureStream, "_closing", killed)
+    with pytest.raises(RuntimeError, match="killed"):
+        stream(later, 1)
+    assert spark.read.parquet(f"{out}/lines").count() == 3  # written, but not ended
+    assert sorted((r["host"], r["seq"]) for r in captured_stream_lines(spark, out).collect()) == before
+    assert closed_captures(spark, out).count() == 0
+    monkeypatch.setattr(CaptureStream, "_closing", whole)
+    stream(later, 1)
+    assert sorted((r["host"], r["seq"]) for r in captured_stream_lines(spark, out).collect()) == [*before, ("a", 3)]
+    assert [(r["open_seq"], r["end_reason"]) for r in closed_captures(spark, out).collect()] == [(1, "time")]
+
+
+def test_text_closes_by_its_trigger_alone(spark, tmp_path):
+    """No further file comes; the clock that runs with the stream closes what is open."""
+    base = str(tmp_path)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("2024-01-01T00:00:00Z one\n2024-01-01T00:00:30Z HIT\n")
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH), CaptureParams(60, 0, 100), delay=30, size=8)
+    run = stream.start(stream_text_lines(spark, f"{base}/in", "h"), f"{base}/c", seconds=1)
+    try:
+        for _ in range(240):
+            time.sleep(0.5)
+            if (tmp_path / "out" / "committed").exists() and closed_captures(spark, f"{base}/out").count():
+                break
+    finally:
+        run.stop()
+    assert [(r["open_seq"], r["lines_after"], r["end_reason"]) for r in closed_captures(spark, f"{base}/out").collect()] == [(2, 0, "time")]
+
+
+def test_model_answers_and_failed_posts_come_back(spark, tmp_path):
+    base, params = str(tmp_path), CaptureParams(10, 0, 100)
+    lines = [("a", 1, 100, "HIT one"), ("a", 2, 300, "HIT two"), ("a", 3, 600, "HIT three"), ("a", 4, 900, "x")]
+    df = spark.createDataFrame(lines, "host string, seq bigint, s bigint, line string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    asks = RequestParams(model=True)
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH), params, size=8, requests=asks)
+    stream(df, 0)
+    asked = outbox(spark, f"{base}/out", "model_requests").collect()
+    assert sorted(r["open_seq"] for r in asked) == [1, 2, 3] and all("HIT" in r["request"] for r in asked)
+    replies = [("a", 1, '{"title": "t", "summary": "s", "notify": true}'), ("a", 2, '{"title": "t", "summary": "s", "notify": false}'), ("a", 3, None)]
+    pushes = answered(spark, f"{base}/out", spark.createDataFrame(replies, "host string, open_seq bigint, reply string"), asks).collect()
+    assert sorted((r["open_seq"], r["title"]) for r in pushes) == [(1, "t"), (3, "a: *HIT*")]
+    results = spark.createDataFrame([("a", 1, True), ("a", 2, False)], "host string, open_seq bigint, post_failed boolean")
+    assert posted(spark, f"{base}/out", results, RequestParams(events=True)).count() == 0  # only always-notify captures are pushed
+    stream.patterns = fixed(WATCH, PatternSet.of(texts=["one"]))
+    stream.output, stream.state, stream.requests = f"{base}/out2", f"{base}/state2", RequestParams(events=True)
+    stream(df, 0)
+    assert [r["open_seq"] for r in posted(spark, f"{base}/out2", results, stream.requests).collect()] == [1]
+
+
+def test_a_slice_that_comes_twice_is_not_late(spark, tmp_path):
+    params = CaptureParams(12, 40, 6)
+    rows = [(h, seq, s + 1_000_000, line) for h, seq, s, line in rows_of(9, hosts=2, length=20)]
+    once, twice = [rows], [rows[:25], rows[:25], rows[25:]]
+    played = []
+    for name, files, unique in (("a", once, None), ("b", twice, 10_000)):
+        base = f"{tmp_path}/{name}"
+        stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH), params, size=8, unique=unique)
+        for part in files:
+            df = spark.createDataFrame(part, "host string, seq bigint, s bigint, line string").withColumn("ts", F.timestamp_seconds("s"))
+            df.selectExpr("host", "seq", "ts", "line").write.mode("append").parquet(f"{base}/in")
+            stream.start(stream_log_lines(spark, f"{base}/in", LINE_SCHEMA), f"{base}/checkpoint", available_now=True).awaitTermination()
+        assert late_lines(spark, stream).count() == 0
+        played.append(sorted((r["host"], r["open_seq"], r["seq"]) for r in captured_stream_lines(spark, stream.output).collect()))
+    assert played[0] == played[1]
+
+
 def test_text_files_are_numbered_on(spark, tmp_path):
     base = str(tmp_path)
     (tmp_path / "in").mkdir()
