@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import alert_body, alert_title, flatten_text, note_text, slugify, strip_ansi
 from ..operators import captures as cap
 from ..operators import context as ctx
-from ..operators import excerpts, matching, rendering, requests, retention
+from ..operators import excerpts, many_patterns, matching, rendering, requests, retention
 from ..params import RequestParams
 from ..sources import journal, lines, patterns
 from ..sources.tables import (
@@ -273,6 +273,22 @@ def first_match(spark, sf):
     return doc_lines(spark, sf).select("doc_id", "line_no", label.alias("label")).where(F.col("label").isNotNull())
 
 
+def first_match_many(spark, sf):
+    """Every line by half of all messages as substrings, besides some regular expressions and globs: thousands of patterns."""
+    raw = raw_lines(spark, sf)
+    texts = [r["message"] for r in raw.where("event_id % 2 = 0").select("message").distinct().collect()]  # the pattern file
+    watch = matching.PatternSet.of([rf"error user {u} .*\d" for u in range(1, 10)], [*texts, "sign?p user [2-4]5", "click*1}"])
+    found = many_patterns.label_lines_indexed(log_lines(spark, sf), watch, ALWAYS, OWN)
+    return found.where(F.col("label").isNotNull()).select("host", "seq", "label", "always")
+
+
+def pattern_versions_many(spark, sf):
+    """A new version every 10 lines: 100 of them, each with a pattern of its own."""
+    versions = [matching.PatternVersion(matching.PatternSet.of(texts=[f'"k": {n}']), 10 * n, 10 * n + 10, ALWAYS) for n in range(100)]
+    found = many_patterns.label_lines_by_version(log_lines(spark, sf), versions, OWN)
+    return found.where(F.col("label").isNotNull()).select("host", "seq", "label", "always")
+
+
 def substring_predicate(spark, sf):
     return doc_lines(spark, sf).where(matching.substring_predicate(F.col("line"), "the ")).select("doc_id", "line_no")
 
@@ -827,6 +843,7 @@ QUERIES = {
     "read_log_lines": read_log_lines, "number_lines": number_lines, "tail_start": tail_start,
     "read_journal_export": read_journal_export, "journal_to_lines": journal_to_lines, "resume_slice": resume_slice,
     "line_time": line_time, "load_patterns": load_patterns, "matches": matches_query, "first_match": first_match,
+    "first_match_many": first_match_many, "pattern_versions_many": pattern_versions_many,
     "substring_predicate": substring_predicate, "glob_predicate": glob_predicate, "regex_predicate": regex_predicate,
     "is_own_line": is_own_line, "pattern_versions": pattern_versions, "pattern_versions_by_time": pattern_versions_by_time,
     "resume_by_host": resume_by_host, "text_captures": text_captures, "journal_captures": journal_captures, "always_notify_match": always_notify_match,

@@ -370,6 +370,17 @@ UNION ALL SELECT 'old', cursor, 'match', CASE WHEN stored < high - 2 THEN stored
     "is_own_line": query(RAW + r""",
 cutoff AS (SELECT host, seq, CASE WHEN seq % 5 = 0 THEN 'saw ' ELSE '' END || CASE WHEN seq % 3 = 0 THEN regexp_replace(line, '^[^\s]+ ', '') ELSE line END AS line FROM lines)""",
         f"SELECT host, seq, {own('line')} AS own FROM cutoff"),
+    "first_match_many": query(RAW + f""",
+needles AS (SELECT DISTINCT message AS needle FROM raw WHERE event_id % 2 = 0),
+held AS (SELECT host, seq, min('*' || needle || '*') AS held FROM lines JOIN needles ON contains(line, needle) GROUP BY 1, 2),
+named AS (
+  SELECT host, seq, line, CASE WHEN {own('line')} THEN NULL ELSE coalesce({', '.join(regex('line', rf"error user {u} .*\d") for u in range(1, 10))}, held,
+    {glob('line', '*click*1}*', 'click.*1[}]')}, {glob('line', '*sign?p user [2-4]5*', 'sign.p user [2-4]5')}) END AS label
+  FROM lines LEFT JOIN held USING (host, seq))""", f"SELECT host, seq, label, {ALWAYS} AS always FROM named WHERE label IS NOT NULL"),
+    "pattern_versions_many": query(RAW + f""",
+versioned AS (
+  SELECT host, seq, line, CASE WHEN NOT ({own('line')}) AND seq < 1000 AND contains(line, '"k": ' || (seq // 10)) THEN '*"k": ' || (seq // 10) || '*' END AS label
+  FROM lines)""", f"SELECT host, seq, label, {ALWAYS} AS always FROM versioned WHERE label IS NOT NULL"),
     "pattern_versions": query(RAW + f""",
 versioned AS (SELECT host, seq, line, CASE WHEN {own('line')} THEN NULL WHEN seq < 500 THEN {WATCH} ELSE {SECOND} END AS label FROM lines)""",
         f"SELECT host, seq, label, seq < 500 AND {ALWAYS} AS always FROM versioned WHERE label IS NOT NULL"),
