@@ -28,6 +28,8 @@ LOW, HIGH = 30, 90
 SCALE = 256
 #: Rows and anchors of a task, at most on average.
 ROW_BLOCK, ANCHOR_BLOCK = 1 << 15, 1 << 11
+#: Parts that the finds of an anchor are added up in before they are added up whole.
+PARTS = 64
 #: Scores are held to this, either way: vectors of components below 2**20 never reach it.
 _MOST = 1 << 54
 
@@ -142,11 +144,18 @@ def _order(score: str = "score") -> list[Column]:
     return [F.desc(score), F.asc_nulls_last("id"), F.asc("place")]
 
 
+def _first_k(met: DataFrame, key: list[str], k: int, nth: str) -> DataFrame:
+    """The first k of each key, numbered from 1: of parts of its rows first, so that no task gets what all blocks found for it."""
+    some = met.withColumn("_part", F.pmod(F.xxhash64("place"), F.lit(PARTS)))
+    for own in ([*key, "_part"], key):
+        some = some.withColumn(nth, F.row_number().over(Window.partitionBy(*own).orderBy(*_order()))).where(F.col(nth) <= k)
+    return some.drop("_part")
+
+
 def positives(anchors: DataFrame, rows: DataFrame, k: int = POSITIVES, row_block: int = ROW_BLOCK, anchor_block: int = ANCHOR_BLOCK) -> DataFrame:
     """anchor (its place), nth (from 0), id and score of each anchor's first k other rows of the same label and length."""
     met = _met(anchors, rows, ["dim", "label"], _best_positives(k), row_block, anchor_block)
-    nth = F.row_number().over(Window.partitionBy("anchor").orderBy(*_order())) - 1
-    return met.withColumn("nth", nth).where(F.col("nth") < k).select("anchor", "nth", "id", "score")
+    return _first_k(met, ["anchor"], k, "_nth").select("anchor", (F.col("_nth") - 1).alias("nth"), "id", "score")
 
 
 def hard_negatives(
@@ -169,8 +178,7 @@ def hard_negatives(
     asked = asked.withColumn("limits", F.col("asked.limit"))
     asking = anchors.join(asked.select(F.col("anchor").alias("place"), "limits", "floor"), "place")
     met = _met(asking, rows, ["dim"], _best_per_slot(negative), row_block, anchor_block)
-    nth = F.row_number().over(Window.partitionBy("anchor", "slot").orderBy(*_order()))
-    slots = met.withColumn("_nth", nth).where(F.col("_nth") <= negative)
+    slots = _first_k(met, ["anchor", "slot"], negative, "_nth")
     # a few rows a slot and a few slots an anchor: all first ones in one list, in order
     entry = F.struct((-F.col("score")).alias("less"), F.col("id").isNull().alias("none"), "id", "place", "slot")
     lists = slots.groupBy("anchor").agg(F.array_sort(F.collect_list(entry)).alias("found"))
