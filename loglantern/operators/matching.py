@@ -92,12 +92,13 @@ def _python_search(pattern: str):
     return search
 
 
-def regex_label(line: Column, pattern: str) -> Column:
-    """The first text in the line that the Python pattern matches ('' is a match), or null."""
+def regex_label(line: Column, pattern: str, earlier: list[Column] | None = None) -> Column:
+    """The first text in the line that the Python pattern matches ('' is a match), or null. A pattern that only Python
+    can search sees the lines alone that `earlier` labels leave."""
     whole = F.concat(line, F.lit("\n"))
     java = java_regex(pattern)
     if java is None:
-        return _python_search(pattern)(whole)
+        return _python_search(pattern)(F.when(F.coalesce(*earlier).isNull(), whole) if earlier else whole)
     return F.when(whole.rlike(java), F.regexp_extract(whole, java, 0))
 
 
@@ -113,7 +114,7 @@ def first_match(line: Column, patterns: PatternSet) -> Column:
     labels = []
     for kind, pattern in patterns.ranked():
         if kind == "regex":
-            labels.append(regex_label(line, pattern))
+            labels.append(regex_label(line, pattern, list(labels)))
         elif kind == "substring":
             labels.append(F.when(substring_predicate(line, needle_of(pattern)), F.lit(pattern)))
         else:
