@@ -2,15 +2,19 @@
 
 The words of each source, one document after the other, are packed into blocks of `block` words; a
 document's part of a block is a span. The number of blocks that each source gives to the mix
-follows from its target. Output shards draw their counts of blocks by source from a multinomial
-law given those totals (without replacement from what is left to place, so
-the targets are met to within a block). The i-th slot of a source takes the block to which a
+follows from its target. Each output shard draws its counts of blocks by source from a multinomial
+law over the targets, seeded by the shard's number, so shards are drawn by tasks that know nothing of each other; with many
+sources the draw goes down a tree of them, `FAN` branches at a time, which gives the same law.
+Running sums over the shards tell which slots of its source a shard takes. A source that has given all its slots gives no more,
+and what a source still owes after all draws fills a few shards at the end, so targets are met
+to within a block. The i-th slot of a source takes the block to which a
 keyed pseudorandom permutation of the source's block numbers sends i; slots past the last block start
 the next pass over the source. Slots and blocks are joined by (source, block).
 """
 
 from __future__ import annotations
 
+from itertools import chain
 from math import isqrt
 
 import numpy as np
@@ -21,58 +25,106 @@ from pyspark.sql import types as T
 
 from loglantern.llm.tables import parts, table
 from loglantern.llm.words import blocks, mixed
+from loglantern.plans.ordered import number_rows, scan
 from loglantern.plans.scratch import stored
 
 BLOCK_WORDS = 32
 #: Slots of an output shard.
-SHARD_SLOTS = 1 << 16
+SHARD_SLOTS = 1 << 12
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_PASSES = 1.5, 2
 #: Slots spelled out from one row.
 CUT = 4096
-
-
-def targets(sizes: list[int], weights: list[float], total: float, most: float = MOST_PASSES) -> list[float]:
-    """Words wanted of each source: `total` by weight, none above `most` times its size; what is above is shared anew."""
-    want, open_, left = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n > 0}, float(total)
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not full:
-            for i in open_:
-                want[i] = left * weights[i] / weight
+#: Branches of a node in the tree of sources.
+FAN = 256
+
+
+def target_table(sources: DataFrame, total: float, most: float = MOST_PASSES) -> DataFrame:
+    """sources (with `source_size`, `weight`) and `target`, the words wanted of each: `total` by weight, none above `most` times its
+    size; what is above is shared anew among those below. Each round is one sum over the sources; once full, a source stays so."""
+    full = F.lit(False)
+    while True:
+        open_ = (F.col("source_size") > 0) & ~full
+        sums = sources.agg(
+            F.coalesce(F.sum(F.when(open_, F.col("weight"))), F.lit(0.0)).alias("weight"),
+            F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)).alias("full"),
+            F.count_if(full).alias("n"),
+        ).first()
+        if not sums["weight"]:
             break
-        for i in full:
-            want[i] = float(most * sizes[i])
-        open_ -= set(full)
-        left = float(total) - sum(want)
-    return want
-
-
-def _draws(slots: list[int], shard_slots: int, seed: int):
-    """(shard, source, first slot of the source, slots, first place in the shard, the shard's slots) wherever there are any."""
-    left, used = np.array(slots, np.int64), np.zeros(len(slots), np.int64)
-    dice, shard = np.random.Generator(np.random.PCG64(seed)), 0
-    while left.sum():
-        count = left.copy() if left.sum() <= shard_slots else _without_replacement(dice, left, shard_slots)
-        place = 0
-        for s in np.flatnonzero(count):
-            yield shard, int(s), int(used[s]), int(count[s]), place, int(count.sum())
-            place += int(count[s])
-        used, left, shard = used + count, left - count, shard + 1
-
-
-def _without_replacement(dice, left: np.ndarray, n: int) -> np.ndarray:
-    """n slots out of `left`, source by source. numpy draws them below 10**9; above, a binomial is as good."""
-    out, rest = np.zeros(len(left), np.int64), int(left.sum())
-    for i, m in enumerate(left.tolist()):
-        rest -= m
-        if not n:
+        left = float(total) - most * sums["full"]
+        share = F.lit(left) * F.col("weight") / F.lit(float(sums["weight"]))
+        # the level only rises, so all that are full stay above it
+        full = (F.col("source_size") > 0) & (share > most * F.col("source_size"))
+        if sources.agg(F.count_if(full).alias("n")).first()["n"] == sums["n"]:
             break
-        k = int(dice.hypergeometric(m, rest, n) if m + rest < 10**9 else dice.binomial(n, m / (m + rest)))
-        out[i] = k = min(max(k, n - rest), m, n)
-        n -= k
-    return out
+    share = share if sums["weight"] else F.lit(0.0)
+    want = F.when(full, (most * F.col("source_size")).cast("double")).when(F.col("source_size") > 0, share)
+    return sources.withColumn("target", F.coalesce(want, F.lit(0.0)))
+
+
+_DRAWN = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+
+
+def _draw_rows(seed: int, level: int):
+    """Share out the slots that a shard draws in a node of the tree of sources among the node's branches."""
+
+    def rows(batches):
+        for batch in batches:
+            out = ([], [], [])
+            for row in batch.to_pylist():
+                weights = np.array([b["slots"] for b in row["branches"]], np.float64)
+                dice = np.random.Generator(np.random.PCG64([seed, level, row["node"], row["shard"]]))
+                counts = dice.multinomial(row["n"], weights / weights.sum())
+                for i in np.flatnonzero(counts).tolist():
+                    for column, value in zip(out, (row["shard"], row["branches"][i]["node"], int(counts[i])), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_DRAWN)
+
+    return rows
+
+
+def shard_draws(sources: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = 11) -> DataFrame:
+    """shard, source_number, first, count, place, slots: a shard takes `count` slots of a source from its slot `first` on, at
+    the places `place` and on of its `slots`. sources: source_number from 0, slots."""
+    spark = sources.sparkSession
+    sources = sources.where("slots > 0").select("source_number", "slots")
+    sums = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("slots"), F.coalesce(F.max("source_number"), F.lit(0)).alias("last")).first()
+    total, depth = sums["slots"], 1
+    while FAN**depth <= sums["last"]:
+        depth += 1
+    shards, salts = -(-total // shard_slots), parts(spark)
+    div = lambda c, n: F.call_function("div", c, F.lit(n).cast("long"))
+    drawn = spark.range(0, shards, 1, salts).select(
+        F.col("id").alias("shard"), F.lit(0).cast("long").alias("node"), F.least(F.lit(shard_slots).cast("long"), F.lit(total) - F.col("id") * shard_slots).alias("n")
+    )
+    for level in reversed(range(depth)):
+        nodes = sources.groupBy(div(F.col("source_number"), FAN**level).alias("node")).agg(F.sum("slots").alias("slots"))
+        lists = nodes.groupBy(div(F.col("node"), FAN).alias("node")).agg(F.array_sort(F.collect_list(F.struct("node", "slots"))).alias("branches"))
+        # every shard draws in a big node, so its list is there once for each part of the shards
+        lists = stored(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "mix-branches")
+        drawn = drawn.withColumn("salt", F.pmod(F.col("shard"), F.lit(salts)).cast("int")).join(lists, ["node", "salt"])
+        drawn = drawn.select("shard", "node", "n", "branches").mapInArrow(_draw_rows(seed, level), "shard long, node long, n long")
+    drawn = stored(drawn.withColumnRenamed("node", "source_number"), "mix-drawn")
+    counted = scan(drawn, ["source_number"], F.col("n"), "to", how="sum", seq="shard").join(sources, "source_number")
+    counted = stored(counted.select("shard", "source_number", "slots", F.least(F.col("to") - F.col("n"), "slots").alias("first"), F.least("to", "slots").alias("to")), "mix-counted")
+    taken = counted.select("shard", "source_number", "first", (F.col("to") - F.col("first")).alias("count")).where("count > 0")
+
+    given = counted.groupBy("source_number").agg(F.max("to").alias("to"))
+    owed = sources.join(given, "source_number", "left").withColumn("first", F.coalesce("to", F.lit(0))).where("slots > first")
+    owed = stored(owed.select("source_number", "slots", "first", (F.col("slots") - F.col("first")).alias("n"), F.lit(0).alias("all")), "mix-owed")
+    owed = scan(owed, ["all"], F.col("n"), "to", how="sum", seq="source_number").withColumn("from", F.col("to") - F.col("n"))
+    cells = F.sequence(div(F.col("from"), shard_slots), div(F.col("to") - 1, shard_slots))
+    owed = owed.withColumn("cell", F.explode(cells))
+    low, high = F.greatest(F.col("from"), F.col("cell") * shard_slots), F.least(F.col("to"), (F.col("cell") + 1) * shard_slots)
+    last = owed.select((F.col("cell") + shards).alias("shard"), "source_number", (F.col("first") + low - F.col("from")).alias("first"), (high - low).alias("count"))
+
+    # a shard has at most as many rows as slots
+    shard = Window.partitionBy("shard")
+    before = F.sum("count").over(shard.orderBy("source_number").rowsBetween(Window.unboundedPreceding, -1))
+    return taken.unionByName(last).select(
+        F.col("shard").cast("int"), "source_number", "first", "count", F.coalesce(before, F.lit(0)).alias("place"), F.sum("count").over(shard).alias("slots")
+    )
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -91,7 +143,7 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_SLOT = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("pass", pa.int32()), ("source_number", pa.int32()), ("block", pa.int64())])
+_SLOT = pa.schema([("shard", pa.int32()), ("place", pa.int64()), ("pass", pa.int32()), ("source_number", pa.int64()), ("block", pa.int64())])
 
 
 def _slot_rows(seed: int):
@@ -104,7 +156,7 @@ def _slot_rows(seed: int):
                 i, n = run["first"] + k, run["blocks"]
                 block = permuted(i % n, n, seed * 1_000_003 + run["source_number"])
                 place = permuted(run["place"] + k, run["slots"], seed * 2_000_003 + run["shard"])
-                shard, source = (pa.array(np.full(len(k), run[c], np.int32)) for c in ("shard", "source_number"))
+                shard, source = pa.array(np.full(len(k), run["shard"], np.int32)), pa.array(np.full(len(k), run["source_number"], np.int64))
                 yield pa.RecordBatch.from_arrays([shard, pa.array(place), pa.array((i // n).astype(np.int32)), source, pa.array(block)], schema=_SLOT)
 
     return rows
@@ -121,27 +173,34 @@ def mix_spans(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     doc_id, source, size and text_hash (see `sized`); other columns are ignored.
     """
     spark = docs.sparkSession
-    docs = stored(docs.select("doc_id", "text_hash", "source", F.col("size").cast("long").alias("size")), "mix-docs")
-    found = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("rows")).collect()  # a row for each source of the recipe
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    sizes = [r["size"] for r in found]
-    want = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
-    n_blocks = [-(-n // block) for n in sizes]
+    docs = docs.select("doc_id", "text_hash", "source", F.col("size").cast("long").alias("size"))
+    # a row that is repeated, however often, is one row until the places are known
+    docs = stored(docs.groupBy(*docs.columns).agg(F.count("*").alias("copies")), "mix-docs")
+    found = docs.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("rows"))
+    found = found.select("*", F.col("source").isNull().alias("none"), F.lit(0).alias("all"))
+    found = number_rows(found, ["all"], ["none", "source"]).withColumn("source_number", F.col("seq") - 1)
+    cycle = F.create_map(*chain.from_iterable((F.lit(i), F.lit(float(w))) for i, w in enumerate(weights)))
+    n_blocks = F.call_function("div", F.col("source_size") + (block - 1), F.lit(block).cast("long"))
+    found = found.select("source", "source_number", "source_size", "rows", n_blocks.alias("blocks"), cycle[F.pmod("source_number", F.lit(len(weights))).cast("int")].alias("weight"))
+    found = stored(found, "mix-sources")
+    sums = found.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     # a slot has size / blocks words on average, as the last block of a source may be short
-    slots = [min(most * n, round(t * n / size)) if size else 0 for t, n, size in zip(want, n_blocks, sizes, strict=True)]
-    names = [(r["source"], i, n, float(t)) for i, (r, n, t) in enumerate(zip(found, sizes, want, strict=True))]
-    names = spark.createDataFrame(names, "name string, source_number int, source_size long, target double")
-    docs = docs.join(F.broadcast(names), docs["source"].eqNullSafe(names["name"])).drop("name")
+    slots = F.least(most * F.col("blocks"), F.bround(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))
+    found = target_table(found, share * sums["size"], most)
+    found = stored(found.withColumn("slots", F.when(F.col("source_size") > 0, slots).otherwise(F.lit(0))), "mix-targets")
+    names = found.select(F.col("source").alias("name"), "source_number", "source_size", "target")
+    docs = docs.join(names, docs["source"].eqNullSafe(names["name"])).drop("name")
 
     # places in two levels: within runs of about the square root of all rows, and over the runs
-    runs = max(1, isqrt(sum(r["rows"] for r in found)))
-    docs = docs.withColumn("_run", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(runs)))
+    runs = max(1, isqrt(sums["rows"]))
+    docs = docs.withColumns({"_run": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.lit(runs)), "_words": F.col("size") * F.col("copies")})
     over = Window.partitionBy("source_number").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    before = docs.groupBy("source_number", "_run").agg(F.sum("size").alias("_n"))
+    before = docs.groupBy("source_number", "_run").agg(F.sum("_words").alias("_n"))
     before = before.select("source_number", "_run", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_from"))
     inside = Window.partitionBy("source_number", "_run").orderBy("doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
-    docs = docs.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(before, ["source_number", "_run"])
-    placed = docs.withColumn("offset", F.col("_in") + F.col("_from"))
+    docs = docs.withColumn("_in", F.coalesce(F.sum("_words").over(inside), F.lit(0))).join(before, ["source_number", "_run"])
+    docs = docs.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    placed = docs.withColumn("offset", F.col("_in") + F.col("_from") + F.col("_copy") * F.col("size"))
     placed = stored(placed.select("doc_id", "text_hash", "source", "size", "source_number", "source_size", "target", "offset"), "mix-placed")
 
     numbers = F.expr(f"sequence(offset div {block}, (offset + size - 1) div {block})")
@@ -149,9 +208,10 @@ def mix_spans(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     low, high = F.greatest(F.col("offset"), F.col("block") * block), F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * block)
     pieces = pieces.select("source_number", "block", "offset", (low - F.col("offset")).alias("start"), (high - low).alias("n"))
 
-    drawn = [(*run, n_blocks[run[1]], cut, min(cut + CUT, run[3])) for run in _draws(slots, shard_slots, seed) for cut in range(0, run[3], CUT)]
-    drawn = spark.createDataFrame(drawn, "shard int, source_number int, first long, count long, place long, slots long, blocks long, cut long, stop long")
-    taken = drawn.repartition(parts(spark)).mapInArrow(_slot_rows(seed), "shard int, place long, pass int, source_number int, block long")
+    drawn = shard_draws(found, shard_slots, seed).join(found.select("source_number", "blocks"), "source_number")
+    drawn = drawn.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(CUT).cast("long"))))
+    drawn = drawn.withColumn("stop", F.least(F.col("cut") + CUT, "count")).drop("count").repartition(parts(spark), "shard", "source_number", "cut")
+    taken = drawn.mapInArrow(_slot_rows(seed), "shard int, place long, pass int, source_number long, block long")
     # spelled out rows are far more than Spark expects of the table they come from, so none may be broadcast
     return placed, taken.join(pieces.hint("merge"), ["source_number", "block"])
 

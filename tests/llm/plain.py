@@ -55,6 +55,23 @@ def without_repeats(texts, n):
     return out
 
 
+def targets(sizes, weights, total, most=2):
+    """Words wanted of each source: `total` by weight, none above `most` times its size; what is above is shared anew."""
+    want, open_, left = [0.0] * len(sizes), {i for i, n in enumerate(sizes) if n > 0}, float(total)
+    while open_:
+        weight = sum(weights[i] for i in open_)
+        full = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
+        if not full:
+            for i in open_:
+                want[i] = left * weights[i] / weight
+            break
+        for i in full:
+            want[i] = float(most * sizes[i])
+        open_ -= set(full)
+        left = float(total) - sum(want)
+    return want
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 

@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from plain import DOCS, corpus, prose, words
+from plain import DOCS, corpus, prose, targets, words
 from pyspark.sql import functions as F
 
 from loglantern.llm import mixing
@@ -13,12 +13,21 @@ def mix(docs, **options):
     return placed.collect(), spans.collect()
 
 
-def test_targets():
-    assert mixing.targets([100, 100, 100], [5, 2, 1], 240) == pytest.approx([150, 60, 30])
-    assert mixing.targets([100, 10, 100], [1, 5, 1], 120) == pytest.approx([50, 20, 50])
-    assert mixing.targets([10, 10, 1000], [5, 2, 1], 1530) == pytest.approx([20, 20, 1490])
-    assert mixing.targets([10, 0, 5], [5, 2, 1], 1e9) == pytest.approx([20, 0, 10])
-    assert mixing.targets([], [], 0) == []
+def sources_of(spark, sizes, weights):
+    rows = [(i, n, float(w)) for i, (n, w) in enumerate(zip(sizes, weights, strict=False))]
+    return spark.createDataFrame(rows, "source_number long, source_size long, weight double")
+
+
+@pytest.mark.parametrize(
+    "sizes, weights, total",
+    [
+        ([100, 100, 100], [5, 2, 1], 240), ([100, 10, 100], [1, 5, 1], 120), ([10, 10, 1000], [5, 2, 1], 1530), ([10, 0, 5], [5, 2, 1], 1e9),
+        ([], [], 0), ([0, 0], [5, 2], 0), ([2**i for i in range(12)], [5, 2, 1] * 4, 1.5 * (2**12 - 1)),
+    ],
+)
+def test_targets(spark, sizes, weights, total):
+    found = mixing.target_table(sources_of(spark, sizes, weights), total).orderBy("source_number").collect()
+    assert [r["target"] for r in found] == pytest.approx(targets(sizes, weights, total))
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
@@ -30,16 +39,74 @@ def test_permutation(n):
         assert (got != mixing.permuted(np.arange(n), n, 100)).any()
 
 
-def test_draws_add_up():
+def plain_draws(slots, shard_slots, seed):
+    """The draws of all shards, one after the other: {(shard, source): (first slot, slots)}. As many sources as one node holds."""
+    out, used, total = {}, [0] * len(slots), sum(slots)
+    own = [s for s, n in enumerate(slots) if n]
+    weights = np.array([slots[s] for s in own], float)
+    shards = -(-total // shard_slots)
+    for shard in range(shards):
+        n = min(shard_slots, total - shard * shard_slots)
+        counts = np.random.Generator(np.random.PCG64([seed, 0, 0, shard])).multinomial(n, weights / weights.sum())
+        for s, k in zip(own, counts.tolist(), strict=True):
+            k = min(k, slots[s] - used[s])
+            if k:
+                out[shard, s] = (used[s], k)
+                used[s] += k
+    spot = 0
+    for s in own:
+        while used[s] < slots[s]:
+            k = min(slots[s] - used[s], shard_slots - spot % shard_slots)
+            out[shards + spot // shard_slots, s] = (used[s], k)
+            used[s], spot = used[s] + k, spot + k
+    return out
+
+
+def draws_of(spark, slots, shard_slots, seed=1):
+    table = spark.createDataFrame(list(enumerate(slots)), "source_number long, slots long")
+    return mixing.shard_draws(table, shard_slots, seed).collect()
+
+
+def test_draws(spark):
     slots = [1000, 0, 37, 5]
-    rows = list(mixing._draws(slots, 100, 1))
-    assert [sum(r[3] for r in rows if r[1] == s) for s in range(4)] == slots
-    per = Counter()
-    for shard, source, first, n, place, total in rows:
-        per[shard] += n
-        assert place + n <= total and first + n <= slots[source]
-    assert set(per.values()) == {100, 42}
-    assert len({r[3] for r in rows if r[1] == 0}) > 2  # drawn, not dealt
+    rows = draws_of(spark, slots, 100)
+    assert {(r["shard"], r["source_number"]): (r["first"], r["count"]) for r in rows} == plain_draws(slots, 100, 1)
+    assert [sum(r["count"] for r in rows if r["source_number"] == s) for s in range(4)] == slots
+    assert len({r["count"] for r in rows if r["source_number"] == 0}) > 2  # drawn, not dealt
+    places = defaultdict(list)
+    for r in rows:
+        places[r["shard"]].extend(range(r["place"], r["place"] + r["count"]))
+    of = {r["shard"]: r["slots"] for r in rows}
+    assert all(sorted(v) == list(range(of[k])) for k, v in places.items())
+    assert draws_of(spark, [], 10) == [] and draws_of(spark, [0], 10) == []
+
+
+def test_draws_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FAN", 4)
+    slots = [1 + i % 7 * (i % 5 == 0) * 100 for i in range(70)]
+    rows = draws_of(spark, slots, 300)
+    runs = defaultdict(list)
+    for r in rows:
+        runs[r["source_number"]].append((r["first"], r["first"] + r["count"]))
+    for s, own in runs.items():  # a source's slots are all taken, once
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] == slots[s] and all(a[1] == b[0] for a, b in zip(own, own[1:], strict=False))
+    assert len(runs) == len(slots)
+    drawn = [r["count"] for r in rows if r["source_number"] == 30 and r["shard"] < sum(slots) // 300 * 2 // 3]
+    assert abs(np.mean(drawn) - 300 * slots[30] / sum(slots)) < 4 * np.sqrt(300 * slots[30] / sum(slots) / len(drawn))
+
+
+def test_many_sources_and_one_row_many_times(spark):
+    """50,000 sources of a document each, and one row a third of that many times."""
+    rows = spark.range(50_000).select("id", F.hash("id").cast("long"), F.concat(F.lit("s"), F.col("id")), F.lit(3).cast("long"))
+    again = spark.range(20_000).select(F.lit(-1).cast("long"), F.lit(5).cast("long"), F.lit("hot"), F.lit(4).cast("long"))
+    docs = rows.union(again).toDF("doc_id", "text_hash", "source", "size")
+    placed, spans = mixing.mix_spans(docs, block=4)
+    assert placed.count() == 70_000 and placed.select("source_number", "offset").distinct().count() == 70_000
+    taken = spans.groupBy("source_number", "offset").agg(F.sum("n").alias("n"))
+    own = placed.join(taken, ["source_number", "offset"], "left").groupBy("source").agg(F.sum("n").alias("n"), F.max("target").alias("target"), F.max("source_size").alias("size"))
+    worst = own.select(F.max(F.abs(F.coalesce("n", F.lit(0)) - F.col("target"))).alias("off"), F.count_if(F.col("n") > 2 * F.col("size")).alias("above")).first()
+    assert worst["off"] <= 8 and worst["above"] == 0
 
 
 def test_mix(spark):

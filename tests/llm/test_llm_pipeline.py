@@ -1,9 +1,9 @@
 import random
 
 import corpus_pipeline
-from plain import DOCS, components, near_links, prose, shingle_set, without_repeats, words
+from plain import DOCS, components, near_links, prose, shingle_set, targets, without_repeats, words
 
-from loglantern.llm.mixing import WEIGHTS, targets
+from loglantern.llm.mixing import WEIGHTS
 
 
 def docs_rows():
