@@ -7,8 +7,9 @@ comes before, one those under a negation, one those in reported speech. These fo
 machines, one for each direction, and run over the clauses in which the trie has found an insult or
 a threat. What a clause matches (plain, aimed, negated or reported, by insult or threat) is scored, not its words alone:
 a document's score is a logistic function of the weights that its clauses gather by pattern and of their
-density. Insult words beyond a base list, their weights and the function's coefficients are learned from
-a bounded sample of labelled rows.
+density. Threats of the base list are stems with the endings of their language. Words beyond the base lists, their
+class (a threat is what mostly has a target behind it, an insult anything else), their weights and the function's
+coefficients are learned from a bounded sample of labelled rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,14 @@ THRESHOLD = 0.7
 INSULTS = """idiot moron stupid dumb loser scum trash garbage pathetic worthless disgusting clown fool imbecile
 dumm dummkopf trottel abschaum arschloch widerlich erbärmlich imbécile crétin connard ordure minable
 idiota estúpido imbécil basura escoria asqueroso""".split()
-THREATS = """kill murder strangle töten umbringen erwürgen tuer assassiner étrangler matar asesinar estrangular""".split()
+# Stems of threats, and what may follow them: English, German, French, Spanish.
+THREATS = [
+    ("kill murder hurt strangl stab shoot", "- s e es ed ing bed bing"),
+    ("töt erwürg umbring erschieß erstech", "e st t est et en te test ten ete etest eten end"),
+    ("tu assassin étrangl", "er e es ent ez ons é ée és ées ant erai eras era erons erez eront"),
+    ("mat asesin estrangul", "ar o as a an amos aré arás ará aremos arán é aste ó aron ando ado ada"),
+]
+ENDINGS = {stem: frozenset(e.replace("-", "") for e in ends.split()) for stems, ends in THREATS for stem in stems.split()}
 TARGETS = """you your yours yourself du dich dir dein euch euer tu toi te ton vous votre tú ti usted ustedes vosotros""".split()
 NEGATIONS = """not no never neither nor nicht kein keine nie niemals pas jamais aucun non nunca jamás ningún""".split()
 REPORTS = """said says wrote called quoted claimed sagte sagt schrieb nannte zitierte dit écrit appelait citait dijo dice escribió llamó""".split()
@@ -98,6 +106,21 @@ def composed(f: Machine, g: Machine) -> Machine:
     return Machine(step)
 
 
+def _letters(low: str, at: int) -> str:
+    """The letters from a place on."""
+    rest = WORD.match(low, at)
+    return rest.group() if rest else ""
+
+
+def clauses_of(low: str, found: dict):
+    """The clauses that hold a hit, as (place, word) in order."""
+    cuts = [m.start() for m in BOUNDARY.finditer(low)]
+    for number in sorted({bisect_right(cuts, start) for start in found}):
+        begin = cuts[number - 1] if number else 0
+        end = cuts[number] if number < len(cuts) else len(low)
+        yield [(m.start(), m.group()) for m in WORD.finditer(low, begin, end)]
+
+
 #: What clauses match. A word under a negation or a report counts as that, whatever else it is.
 PATTERNS = ("insult", "aimed insult", "threat", "aimed threat", "negated", "reported")
 
@@ -118,18 +141,22 @@ class Grammar:
     """Weights of word beginnings, and the coefficients of the score."""
 
     insults: dict[str, float] = field(default_factory=dict)
+    threats: dict[str, float] = field(default_factory=dict)
     coefficients: np.ndarray | None = None
 
     def open(self):
         import ahocorasick
 
         trie = ahocorasick.Automaton()
-        for word in THREATS:
-            trie.add_word(word, (word, THREAT, 2.0, True))
         for word in INSULTS:
-            trie.add_word(word, (word, INSULT, 2.0, False))
-        for word, weight in self.insults.items():
-            trie.add_word(word, (word, INSULT, weight, False))
+            trie.add_word(word, (word, INSULT, 2.0, None))
+        for kind, words in ((INSULT, self.insults), (THREAT, self.threats)):
+            for word, weight in words.items():
+                trie.add_word(word, (word, kind, weight, None))
+        for stem, ends in ENDINGS.items():
+            # a stem that was learned keeps its weight, and may end in any way
+            weight = self.threats.get(stem, self.insults.get(stem))
+            trie.add_word(stem, (stem, THREAT, 2.0, ends) if weight is None else (stem, THREAT, weight, None))
         trie.make_automaton()
         self.trie = trie
         self.classes = {w: c for words, c in ((REPORTS, REPORT), (NEGATIONS, NEGATION), (TARGETS, TARGET)) for w in words}
@@ -140,9 +167,9 @@ class Grammar:
     def hits(self, low: str) -> dict[int, tuple]:
         """By where a word starts: the class and weight of the longest entry that begins it."""
         found: dict[int, tuple] = {}
-        for end, (word, kind, weight, whole) in self.trie.iter(low):
+        for end, (word, kind, weight, ends) in self.trie.iter(low):
             start = end - len(word) + 1
-            if (start and low[start - 1].isalpha()) or (whole and end + 1 < len(low) and low[end + 1].isalpha()):
+            if (start and low[start - 1].isalpha()) or (ends is not None and _letters(low, end + 1) not in ends):
                 continue
             if start not in found or found[start][2] < end:
                 found[start] = (kind, weight, end)
@@ -157,14 +184,7 @@ class Grammar:
         if not found:
             return out
         out[-2] = len(found)
-        cuts = [m.start() for m in BOUNDARY.finditer(low)]
-        clauses = defaultdict(list)
-        for start in found:
-            clauses[bisect_right(cuts, start)].append(start)
-        for number in clauses:
-            begin = cuts[number - 1] if number else 0
-            end = cuts[number] if number < len(cuts) else len(low)
-            words = [(m.start(), m.group()) for m in WORD.finditer(low, begin, end)]
+        for words in clauses_of(low, found):
             symbols = [((found[at][0] if at in found else self.classes.get(w, OTHER)), frozenset()) for at, w in words]
             symbols = self.forward.run(self.backward.run(symbols[::-1])[::-1])
             for (at, _), symbol in zip(words, symbols, strict=True):
@@ -270,6 +290,39 @@ def chosen(rows: list, candidates: list[str], need: int = 4) -> dict[str, float]
     return out
 
 
+def _targeted(grammar: Grammar):
+    """For each learned word, how often it occurs in toxic documents, how often a target stands shortly behind it, and before it."""
+    def rows(batches):
+        grammar.open()
+        seen = defaultdict(lambda: [0, 0, 0])
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low = (text or "").lower()
+                found = grammar.hits(low) if y == 1 else {}
+                for words in clauses_of(low, found):
+                    aims = [grammar.classes.get(w) == TARGET for _, w in words]
+                    for i, (at, _) in enumerate(words):
+                        if at in found:
+                            n = seen[low[at : found[at][2] + 1]]
+                            n[0] += 1
+                            n[1] += any(aims[i + 1 : i + 1 + TARGET_REACH])
+                            n[2] += any(aims[max(0, i - TARGET_REACH) : i])
+        counts = [pa.array([n[k] for n in seen.values()], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *counts], names=["word", "n", "behind", "before"])
+
+    return rows
+
+
+def threats_among(rows: DataFrame, words: dict[str, float]) -> set[str]:
+    """Those of some learned words that mostly have a target behind them, as a verb has its object, and seldom one before them.
+
+    rows: text, label. At least five occurrences must have one behind. The counts are a row a word, of 256 at most."""
+    counts = rows.mapInArrow(_targeted(Grammar(dict(words))), "word string, n long, behind long, before long")
+    counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "behind", "before")])
+    often = (F.col("behind") >= 5) & (2 * F.col("behind") >= F.col("n")) & (F.col("behind") >= 2 * F.col("before"))
+    return {r["word"] for r in counts.filter(often).select("word").collect()} & set(words)
+
+
 def _features(grammar: Grammar):
     def rows(batches):
         grammar.open()
@@ -287,7 +340,9 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCUMENTS) ->
     labels of both kinds the base words speak alone."""
     some = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = stored(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label"), "learn")  # `most` rows of two numbers
+    one = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # `most` rows of two numbers
+    one = one.groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # a text an id, however often the id is there
+    rows = stored(one.select("text", "label"), "learn")
     grammar = Grammar()
     n = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not n.get(0) or not n.get(1):
@@ -298,7 +353,10 @@ def learned(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCUMENTS) ->
     words = words.filter((F.col("toxic") >= max(2, n[1] // 300)) & (rate > 4)).orderBy((F.col("toxic") * F.log(rate)).desc(), "word").limit(CANDIDATES)
     candidates = [r["word"] for r in words.select("word").collect()]
     if candidates:
-        grammar.insults = chosen(rows.mapInArrow(_matches(candidates), "label int, size long, words array<int>, hits array<int>").collect(), candidates)
+        words = chosen(rows.mapInArrow(_matches(candidates), "label int, size long, words array<int>, hits array<int>").collect(), candidates)
+        verbs = threats_among(rows, words) if words else set()
+        grammar.insults = {w: v for w, v in words.items() if w not in verbs}
+        grammar.threats = {w: v for w, v in words.items() if w in verbs}
     found = rows.mapInArrow(_features(grammar), "label int, features array<double>").collect()  # eight numbers for each of `most` rows
     x = inputs(np.array([r["features"] for r in found]))
     grammar.coefficients = logistic(x, np.array([r["label"] for r in found], float))

@@ -1,6 +1,7 @@
 """The two classifiers: held-out accuracy on the given tables, and their parts."""
 
 import os
+import re
 
 import numpy as np
 import pytest
@@ -159,6 +160,67 @@ def test_clauses_not_words():
     assert clauses("eloweisch", own) == {}
 
 
+def test_threats_are_inflected():
+    assert set(clauses("he kills you")) == set(clauses("Ich töte dich")) == set(clauses("I will hurt you")) == {"aimed threat"}
+    assert set(clauses("they killed her")) == set(clauses("il tuera son voisin")) == {"threat"}
+    assert set(clauses("she said they are killing you")) == {"reported"} and set(clauses("nobody would not kill")) == {"negated"}
+    assert clauses("skill, killer, material, tu, mate, totem, matter of strangers") == {}
+    # a stem that was learned keeps its weight and is a threat; a learned beginning takes any ending
+    assert clauses("a killer for you", tx.Grammar({"kill": 3.0})) == {"aimed threat": 3.0}
+    assert clauses("we smashed you", tx.Grammar({}, {"smash": 2.5})) == {"aimed threat": 2.5}
+
+
+def plain_features(grammar, text):
+    """The same by looking around each word, without transducers."""
+    out = dict.fromkeys(tx.PATTERNS, 0.0)
+    text = (text or "").lower()
+    for clause in re.split(r"[.!?;:\n]+", text):
+        words = re.findall(r"[^\W\d_]+", clause)
+        kinds = []
+        for w in words:
+            options = [(len(s), tx.THREAT, 2.0) for s, ends in tx.ENDINGS.items() if w.startswith(s) and w[len(s) :] in ends]
+            options += [(len(s), tx.INSULT, 2.0) for s in tx.INSULTS if w.startswith(s)]
+            options += [(len(s), k, v) for k, own in ((tx.INSULT, grammar.insults), (tx.THREAT, grammar.threats)) for s, v in own.items() if w.startswith(s)]
+            kinds.append(max(options)[1:] if options else None)
+        near = lambda i, own, reach: any(w in own and not kinds[j] for j, w in enumerate(words) if 0 < i - j <= reach)
+        for i, kind in enumerate(kinds):
+            if not kind:
+                continue
+            behind = any(w in tx.TARGETS and not kinds[j] for j, w in enumerate(words) if 0 < j - i <= tx.TARGET_REACH)
+            if near(i, tx.REPORTS, len(words)):
+                name = "reported"
+            elif near(i, tx.NEGATIONS, tx.NEGATION_REACH):
+                name = "negated"
+            else:
+                name = "aimed " * (behind or near(i, tx.TARGETS, tx.TARGET_REACH)) + ("threat" if kind[0] == tx.THREAT else "insult")
+            out[name] += kind[1]
+    return out
+
+
+def test_grammar_against_a_plain_version():
+    rng = np.random.default_rng(11)
+    grammar = tx.Grammar({"lowei": 3.0, "smu": 1.5}, {"gra": 2.5}).open()
+    pool = [*tx.INSULTS, *tx.TARGETS, *tx.NEGATIONS, *tx.REPORTS, *"kills killing killer töte tötet tuera matar mate loweisch smut grabbed the of a ein walks".split()]
+    for _ in range(400):
+        parts = [str(rng.choice(pool)) + str(rng.choice([" ", " ", " ", ", ", ". ", "! ", "\n", ": "])) for _ in range(rng.integers(0, 40))]
+        text = "".join(parts)
+        found = dict(zip(tx.PATTERNS, grammar.features(text), strict=False))
+        assert found == pytest.approx(plain_features(grammar, text)), text
+
+
+def test_threats_are_learned(spark):
+    """Words with a target behind them are learned as threats, others as insults; an id that is there 10,000 times is one row."""
+    rng = np.random.default_rng(3)
+    other = lambda n: " ".join("".join(rng.choice(list("abcdefg"), 5)) for _ in range(n))
+    rows = [(i, f"{other(6)} smorfle you {other(5)}. {other(4)} smorfled dich. {other(3)} the gribnak {other(8)} gribnak" if i % 2 else other(30), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[1][:2]] * 10_000, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    grammar = tx.learned(docs, labels)
+    assert any(w.startswith("smo") for w in grammar.threats) and not any(w.startswith("gri") for w in grammar.threats)
+    assert all(w.startswith(("gri", "smo")) for w in (*grammar.threats, *grammar.insults))
+    assert clauses("they will smorfle you", grammar).keys() == {"aimed threat"}
+
+
 def test_composition_is_one_machine_after_the_other():
     f, g = tx.marker(tx.NEGATION, 2, "negated"), tx.marker(tx.REPORT, None, "reported")
     both = tx.composed(f, g)
