@@ -187,10 +187,15 @@ def compact_month(spark: SparkSession, root: str, month: str, file_bytes: int =
     return compact_months(spark, root, [month], file_bytes)[month]
 
 
+def planned(plan: DataFrame) -> dict[str, list[str]]:
+    """The months that a plan (a row a month) deletes and compacts."""
+    rows = plan.select("month", (F.col("action") if "action" in plan.columns else F.lit("delete")).alias("action")).collect()
+    return {a: sorted(r["month"] for r in rows if r["action"] == a) for a in ("delete", "compact")}
+
+
 def apply_plan(spark: SparkSession, root: str, plan: DataFrame) -> dict[str, list[str]]:
     """Carry out a retention or purge plan (a row a month; without an action: delete) on a store's months."""
-    rows = plan.select("month", (F.col("action") if "action" in plan.columns else F.lit("delete")).alias("action")).collect()
-    done = {a: sorted(r["month"] for r in rows if r["action"] == a) for a in ("delete", "compact")}
+    done = planned(plan)
     delete_months(spark, root, done["delete"])
     compact_months(spark, root, done["compact"])
     return done
