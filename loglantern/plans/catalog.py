@@ -16,6 +16,7 @@ from ..sources import journal, lines, patterns
 from ..sources.tables import (
     ALWAYS, DOC_PATTERNS, OWN, PARAMS, WATCH, doc_lines, labelled_lines, log_lines, once, raw_lines, table,
 )
+from ..streaming import store
 from ..streaming.batches import CaptureStream, answered, captured_stream_lines, closed_captures, fixed, late_lines, outbox
 from .scratch import scratch_path
 
@@ -824,6 +825,28 @@ def stream_outbox(spark, sf):
     )
 
 
+def stream_retention(spark, sf):
+    """Body lines of the texts that a stream wrote, its sources' logs some months apart: after two batches months are compacted, after
+    the third the oldest are deleted and others compacted again."""
+    base = scratch_path(spark, "aged_stream")
+    rows = log_lines(spark, sf).select("host", "seq", "ts", "t", "line")
+    ends = rows.agg(F.min("t").alias("low"), F.max("t").alias("high")).first()
+    step = (ends["high"] - ends["low"]) // 3 + 1
+    later = F.make_dt_interval(days=F.pmod(F.substring("host", 2, 9).cast("int"), F.lit(4)) * 31)
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH, ALWAYS), PARAMS, OWN)
+    for part, delete_after in ((0, None), (1, 0), (2, 3)):
+        inside = (F.col("t") >= ends["low"] + part * step) & (F.col("t") < ends["low"] + (part + 1) * step)
+        own = rows.where(inside).withColumn("ts", F.col("ts") + later).drop("t")
+        own.write.mode("append").parquet(f"{base}/in")
+        stream.start(lines.stream_log_lines(spark, f"{base}/in"), f"{base}/checkpoint", available_now=True).awaitTermination()
+        if delete_after is not None:
+            plan = retention.retention_plan(store.stream_usage(spark, stream.output), "2024-04-20", 1, delete_after)
+            store.apply_stream_plan(spark, stream.output, plan)
+    compacted = store.stream_usage(spark, stream.output).select("month", "compacted")
+    body = store.stream_texts(spark, stream.output).where(F.col("part") == rendering.BODY)
+    return body.join(compacted, "month").select("month", "host", F.col("pos").alias("seq"), "text", "compacted")
+
+
 def stream_state(spark, sf):
     """What a stream keeps after three batches: lines that a coming match can still reach, the matches of open captures, and each
     source's last line."""
@@ -863,7 +886,7 @@ QUERIES = {
     "retention_plan": retention_plan, "purge_plan": purge_plan, "compact_month": compact_month, "apply_plan": apply_plan, "capture_paths": capture_paths,
     "stream_captures": stream_captures, "stream_text_captures_by_host": stream_text_captures_by_host,
     "stream_outbox": stream_outbox,
-    "stream_state": stream_state, "quiet_close": quiet_close, "quiet_close_by_clock": quiet_close_by_clock, "stream_late_lines": stream_late_lines,
+    "stream_retention": stream_retention, "stream_state": stream_state, "quiet_close": quiet_close, "quiet_close_by_clock": quiet_close_by_clock, "stream_late_lines": stream_late_lines,
     "quiet_close_text": quiet_close_text, "stream_redelivered": stream_redelivered, "stream_journal_captures": stream_journal_captures,
     "stream_model_requests": stream_model_requests,
     "backlog_catch_up": backlog_catch_up,

@@ -516,6 +516,16 @@ ORACLE["text_captures"] = ORACLE["capture_sessions_capped"].replace(RAW.strip(),
 ORACLE["quiet_close_text"] = ORACLE["quiet_close_by_clock"].replace(RAW.strip(), _SECONDS.strip())
 ORACLE["stream_redelivered"] = ORACLE["stream_journal_captures"] = ORACLE["stream_captures"]
 ORACLE["stream_text_captures_by_host"] = ORACLE["stream_captures"].replace(RAW.strip(), _SECONDS.strip())
+ORACLE["stream_retention"] = captured(SUMMARY + f""",
+last_line AS (SELECT host, max(t) AS end_t FROM lines GROUP BY host),
+closed AS (
+  SELECT s.host, s.open_seq, strftime(make_timestamp(s.open_t + CAST(substr(s.host, 2) AS BIGINT) % 4 * 31 * 86400000000), '%Y-%m') AS month
+  FROM summary s JOIN last_line l USING (host) WHERE l.end_t > s.until OR s.lines_after > {CAP}),
+shown AS (
+  SELECT host, open_seq, seq, CASE WHEN label IS NOT NULL THEN '-> ' || trim(line) ELSE line END AS text FROM members
+  UNION ALL SELECT host, o.open_seq, seq, k.line FROM owned o JOIN kept k USING (host, open_seq, seq)),
+aged AS (SELECT *, date_diff('day', CAST(month || '-01' AS DATE), DATE '2024-04-20') AS age FROM closed)""",
+    "SELECT month, host, seq, text, age > 30 AS compacted FROM aged JOIN shown USING (host, open_seq) WHERE age <= 90")
 ORACLE["pattern_versions_by_time"] = query(RAW + f""",
 middle AS (SELECT (min(t) + max(t)) // 2 AS m FROM lines),
 versioned AS (

@@ -13,7 +13,8 @@ from loglantern.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 STREAMS = ("stream_captures", "stream_outbox", "stream_state", "quiet_close", "quiet_close_by_clock", "stream_late_lines",
-           "quiet_close_text", "stream_redelivered", "stream_journal_captures", "stream_model_requests", "stream_text_captures_by_host")
+           "quiet_close_text", "stream_redelivered", "stream_journal_captures", "stream_model_requests", "stream_text_captures_by_host",
+           "stream_retention")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
