@@ -76,6 +76,8 @@ class CaptureStream:
         """Run a batch. What it writes counts from the moment its marker is there, and not before: a batch that is killed
         between two tables shows nothing of itself."""
         spark = self.session or rows.sparkSession
+        if batch == 0:
+            self._unused(spark)
         _remove(spark, f"{self.output}/{MARKERS}/batch={batch}")
         with scratch_scope(spark):
             self._run(rows, batch)
@@ -142,6 +144,13 @@ class CaptureStream:
         if batch > 1:
             self._forget(spark, batch - 2)
 
+    def _unused(self, spark: SparkSession) -> None:
+        """Refuse to begin anew where later batches have ended: they are another checkpoint's, and would be read with this one's."""
+        ended = spark._jvm.org.apache.hadoop.fs.Path(f"{self.output}/{MARKERS}/batch=*")
+        found = ended.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(ended) or ()
+        if any(status.getPath().getName() != "batch=0" for status in found):
+            raise ValueError(f"{self.output} holds batches of another checkpoint: go on from that one, or begin with new folders")
+
     def _in_order(self, rows: DataFrame, ends: DataFrame) -> DataFrame:
         """host, seq, ts, line: as they come, or, for lines without numbers, numbered on from each source's last, with the
         time `at` where they have one, else the time they begin with, else that of their file."""
@@ -222,28 +231,37 @@ class CaptureStream:
         """Drop state that no rerun can ask for any more."""
         _remove(spark, f"{self.state}/{batch}")
 
-    def start(self, lines: DataFrame, checkpoint: str, available_now: bool = False, seconds: int = 10) -> StreamingQuery:
+    def start(
+        self, lines: DataFrame, checkpoint: str, available_now: bool = False, seconds: int = 10, clock: bool | None = None
+    ) -> StreamingQuery:
         """Run over a streaming table of lines (host, seq, ts, line, or what stream_text_lines gives); stops by itself
         with available_now. Without it, and with a delay, a clock runs along with the lines, so that captures
-        are closed while all sources are quiet."""
+        are closed while all sources are quiet.
+
+        A checkpoint is with or without a clock from its first run on. One that first catches up with available_now and then
+        goes on with the clock takes clock=True in both: with available_now the clock stands still and closes nothing."""
         self.session = lines.sparkSession
         if self.unique is not None and "seq" in lines.columns:
             # a file that comes twice within that time is no late lines
             lines = lines.withWatermark("ts", f"{self.unique} seconds").dropDuplicatesWithinWatermark(["host", "seq"])
-        if not available_now and self.delay is not None:
-            lines = self._with_clock(lines)
+        if clock is None:
+            clock = self.delay is not None and not available_now
+        if clock:
+            lines = self._with_clock(lines, ticks=not available_now)
+        if clock and available_now:
+            # else the clock's source, which has no end, makes all that is there one batch, however many files a batch may read
+            self.session.conf.set("spark.sql.streaming.triggerAvailableNowWrapper.enabled", "true")
         writer = lines.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint)
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")
         return writer.start()
 
-
-    def _with_clock(self, lines: DataFrame) -> DataFrame:
-        """The lines, and rows without a source that tell the time once a second."""
-        clock = self.session.readStream.format("rate").option("rowsPerSecond", 1).load()
+    def _with_clock(self, lines: DataFrame, ticks: bool = True) -> DataFrame:
+        """The lines, and rows without a source that tell the time once a second (without ticks: none of them)."""
+        clock = self.session.readStream.format("rate").option("rowsPerSecond", 1).load().where(F.lit(ticks))
         if "ts" not in lines.columns:
             lines = lines.withColumn("ts", F.lit(None).cast("timestamp"))
-        ticks = [F.col("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema]
-        return lines.unionByName(clock.select(*ticks))
+        row = [F.col("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in lines.schema]
+        return lines.unionByName(clock.select(*row))
 
 
 def committed(spark: SparkSession, output: str, table: str) -> DataFrame:

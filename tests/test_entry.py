@@ -51,3 +51,9 @@ def test_query(spark, duck, name):
         want = Counter(tuple(row[names.index(c)] for c in columns) for row in result.fetchall())
         assert not any(isinstance(v, datetime.datetime) for row in list(want)[:5] for v in row)
         assert got == want
+
+
+def test_clock_query(spark, duck):
+    """Every capture closes once: none again in batches of another checkpoint, and none is left open before the first tick."""
+    got = Counter(tuple(r) for r in entry.queries()["quiet_close_by_clock"](spark, SF).collect())
+    assert got == Counter(duck.execute(entry.oracle_sql()["quiet_close_by_clock"]).fetchall())

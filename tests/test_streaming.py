@@ -4,6 +4,7 @@ import time
 
 import pytest
 from brute import fold
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from loglantern.operators.captures import observed, run_counters
 from loglantern.operators.matching import PatternSet
 from loglantern.operators.retention import read_rendered
 from loglantern.params import CaptureParams, RequestParams
+from loglantern.plans.catalog import until_tick
 from loglantern.sources.lines import LINE_SCHEMA, catch_up, stream_log_lines, stream_text_lines
 from loglantern.streaming.batches import (
     TICK, CaptureStream, answered, captured_stream_lines, closed_captures, fixed, late_lines, outbox, posted,
@@ -137,6 +139,38 @@ def test_text_closes_by_its_trigger_alone(spark, tmp_path):
     assert [(r["open_seq"], r["lines_after"], r["end_reason"]) for r in closed_captures(spark, f"{base}/out").collect()] == [(2, 0, "time")]
 
 
+def test_a_clock_goes_on_from_what_was_caught_up(spark, tmp_path):
+    """Backlog is read a file a batch while the clock stands still; then, on the same checkpoint, it closes what is open, once."""
+    base, params = str(tmp_path), CaptureParams(10, 0, 100)
+    files = [[("a", 1, 100, "HIT"), ("b", 1, 100, "HIT")], [("a", 2, 105, "x"), ("b", 2, 120, "HIT")], [("a", 3, 109, "x")]]
+    for rows in files:
+        df = spark.createDataFrame(rows, "host string, seq bigint, s bigint, line string").withColumn("ts", F.timestamp_seconds("s"))
+        df.selectExpr("host", "seq", "ts", "line").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = CaptureStream(f"{base}/out", f"{base}/state", fixed(WATCH), params, delay=20, size=8)
+    closed = lambda: sorted((r["host"], r["open_seq"], r["lines_after"]) for r in closed_captures(spark, f"{base}/out").collect())
+    for _ in range(2):
+        source = stream_log_lines(spark, f"{base}/in", LINE_SCHEMA, files_per_batch=1)
+        stream.start(source, f"{base}/c", available_now=True, clock=True).awaitTermination()
+        assert closed() == [("b", 1, 0)]
+    assert sum(spark.read.parquet(f"{base}/out/lines/batch={n}").count() > 0 for n in range(3)) == 3
+    until_tick(stream, stream_log_lines(spark, f"{base}/in", LINE_SCHEMA, files_per_batch=1), f"{base}/c")
+    assert closed() == [("a", 1, 2), ("b", 1, 0), ("b", 2, 0)]
+    assert sorted((r["host"], r["seq"]) for r in captured_stream_lines(spark, f"{base}/out").collect()) == [
+        ("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)
+    ]
+
+
+def test_an_output_is_one_checkpoints(spark, tmp_path):
+    """Batches begun anew over those of another checkpoint would be read with what is left of these."""
+    params = CaptureParams(10, 0, 100)
+    stream = play(spark, tmp_path, [[("a", 1, 100, "HIT")], [("a", 2, 300, "HIT")]], params)
+    before = sorted((r["host"], r["seq"]) for r in captured_stream_lines(spark, stream.output).collect())
+    source = stream_log_lines(spark, f"{tmp_path}/in", LINE_SCHEMA)
+    with pytest.raises(StreamingQueryException, match="another checkpoint"):
+        stream.start(source, f"{tmp_path}/other", available_now=True).awaitTermination()
+    assert sorted((r["host"], r["seq"]) for r in captured_stream_lines(spark, stream.output).collect()) == before == [("a", 1), ("a", 2)]
+
+
 def test_model_answers_and_failed_posts_come_back(spark, tmp_path):
     base, params = str(tmp_path), CaptureParams(10, 0, 100)
     lines = [("a", 1, 100, "HIT one"), ("a", 2, 300, "HIT two"), ("a", 3, 600, "HIT three"), ("a", 4, 900, "x")]
