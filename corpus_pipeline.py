@@ -14,6 +14,20 @@ from loglantern.llm.toxicity import THRESHOLD, learn_from, learned, toxicity
 from loglantern.plans.scratch import stored
 
 SHINGLE_WORDS, PERCENT = 5, 80
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch that goes to a Python worker, at most. Spark's 10,000 are tens of MB of texts, held by the JVM and the worker.
+BATCH_ROWS = 1024
+
+
+def in_small_batches(stage):
+    """The stage in a session of batches of at most BATCH_ROWS; that stays set, as a stage's last job runs after it returns."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = int(spark.conf.get(ARROW_ROWS))
+        spark.conf.set(ARROW_ROWS, str(min(own, BATCH_ROWS) if own > 0 else BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def leave_out_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,11 +69,11 @@ def in_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("toxicity", leave_out_toxic),
-    ("near duplicates", one_of_near_duplicates),
-    ("repeated passages", without_repeated_passages),
-    ("mixing", mixed_to_weights),
-    ("pieces", in_pieces),
+    ("toxicity", in_small_batches(leave_out_toxic)),
+    ("near duplicates", in_small_batches(one_of_near_duplicates)),
+    ("repeated passages", in_small_batches(without_repeated_passages)),
+    ("mixing", in_small_batches(mixed_to_weights)),
+    ("pieces", in_small_batches(in_pieces)),
 ]
 
 #: SQL cannot express the stages that learn, draw and encode; tests/llm/test_pipeline.py has a plain version.

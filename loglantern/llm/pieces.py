@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loglantern.llm.tables import table
-from loglantern.llm.words import blocks
+from loglantern.llm.words import BLOCK_BYTES, blocks
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -243,7 +243,7 @@ def _lists(found: list[bytes | None]) -> pa.Array:
 def _encode_rows(raw: bytes, columns: int, at: int, check: bool):
     def rows(batches):
         vocabulary, known = _opened(raw)
-        for batch, _ in blocks(batches):
+        for batch, _ in blocks(batches, size=4 * BLOCK_BYTES):  # words share prefixes within a block, and nothing is hashed
             texts = batch.column(at).to_pylist()
             found = vocabulary.encode([t or "" for t in texts], known)
             found = [None if t is None else f for t, f in zip(texts, found, strict=True)]

@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 #: A block of whole texts is closed when it has so many bytes; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 21
+#: Hashing takes many times as much memory, part of which a Python worker keeps for as long as its executor lives.
+BLOCK_BYTES = 1 << 19
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -26,14 +27,17 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        room = max(n, 1 << 16)
-        for i, base in enumerate((_BASE, _INVERSE)):
+    """The first n powers of the base and of its inverse, modulo 2**64. Those for a block are kept, those for a longer text are not."""
+    found = _powers
+    if len(found[0]) < n:
+        room, found = max(n, 1 << 16), []
+        for base in (_BASE, _INVERSE):
             row = np.full(room, base, np.uint64)
             row[0] = 1
-            _powers[i] = np.cumprod(row, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+            found.append(np.cumprod(row, dtype=np.uint64, out=row))
+        if room <= BLOCK_BYTES + 1:
+            _powers[:] = found
+    return found[0][:n], found[1][:n]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
