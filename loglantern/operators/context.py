@@ -9,6 +9,9 @@ from ..params import CaptureParams
 from ..plans.ordered import BUCKET, bucket_of, first_reaching, number_rows, scan
 from ..plans.scratch import stored
 
+#: Lines of a stretch, in which whole windows meet their lines.
+STRETCH = 256
+
 
 def expand(ranges: DataFrame, low: str, high: str, size: int = BUCKET) -> DataFrame:
     """One row per line number of each [low, high] range, built a bucket at a time."""
@@ -59,10 +62,20 @@ def overlapping_context(held: DataFrame, captures: DataFrame, params: CapturePar
     )
 
 
-def lookback_context(held: DataFrame, spans: DataFrame, size: int = BUCKET) -> DataFrame:
-    """The lines of every whole look-back window; a line in several windows is given for each."""
-    wanted = expand(spans.select("host", "open_seq", "first_seq", "last_seq"), "first_seq", "last_seq", size)
-    return wanted.select("host", "open_seq", "seq").join(held.drop("open_seq", "open_t", "until", "role"), ["host", "seq"])
+def lookback_context(held: DataFrame, spans: DataFrame, size: int = STRETCH) -> DataFrame:
+    """The lines of every whole look-back window; a line in several windows is given for each.
+
+    A window goes to each stretch of `size` lines that it touches, and meets that stretch's lines there, so what is moved is the
+    lines once and a row for each window and stretch, not a row for each line of a window. Spark cannot see how many rows the
+    stretches of windows are before they are made, so both sides are sorted and neither is broadcast."""
+    first, last = F.col("first_seq"), F.col("last_seq")
+    wanted = spans.where(first <= last).select(
+        "host", "open_seq", first.alias("_first"), last.alias("_last"),
+        F.explode(F.sequence(bucket_of(first, size), bucket_of(last, size))).alias("_b"),
+    )
+    lines = held.drop("open_seq", "open_t", "until", "role").withColumn("_b", bucket_of(F.col("seq"), size))
+    found = wanted.hint("merge").join(lines, ["host", "_b"]).where(F.col("seq").between(F.col("_first"), F.col("_last")))
+    return found.select("host", "seq", "open_seq", *(c for c in lines.columns if c not in ("host", "seq", "_b")))
 
 
 def cap_context(held: DataFrame, params: CaptureParams, size: int = BUCKET) -> DataFrame:

@@ -202,6 +202,26 @@ def test_against_line_by_line_model(log, T, M, most, size, budget):
     assert left == {k: v for k, v in expect["left"].items() if v}
 
 
+@pytest.mark.parametrize("stretch", [1, 7, 256])
+def test_whole_windows_meet_their_lines_by_stretches(log, stretch):
+    """Windows of many lines are few rows until they meet their lines, and Spark broadcasts them on no guess of their number."""
+    hosts = {"h": [(i // 2, "HIT" if i % 40 in (9, 10) else f"line {i}") for i in range(700)], "k": [(0, "HIT"), (500, "x"), (501, "HIT")], "": [(3, "x"), (4, "HIT")]}
+    params = CaptureParams(200, 0, 5)
+    found, held = run(log(hosts), params)
+    spans = stored(ctx.overlapping_context(held, found, params), "spans")
+    got = ctx.lookback_context(held, spans, stretch)
+    assert got.columns == ["host", "seq", "open_seq", "ts", "t", "is_match", "line", "label", "always"]
+    want = sorted(
+        (r["host"], r["open_seq"], seq, text)
+        for r in found.collect()
+        for seq, (at, text) in enumerate(hosts[r["host"]], 1)
+        if seq < r["open_seq"] and int(at * S) >= r["open_t"] - params.window_us
+    )
+    assert len(want) > 5000 and sorted((r["host"], r["open_seq"], r["seq"], r["line"]) for r in got.collect()) == want
+    plan = got._jdf.queryExecution()
+    assert "Broadcast" not in plan.sparkPlan().toString() + plan.executedPlan().toString()
+
+
 def test_uncapped_sessions(log):
     labelled = log({"h": [(0, "HIT"), (60, "HIT"), (120.5, "HIT"), (121, "x")], "k": [(3, "HIT")]})
     rows = cap.capture_sessions(cap.match_rows(labelled), CaptureParams(60)).collect()
